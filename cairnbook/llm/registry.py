@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import brown, fingerprints
+from cairnbook.llm import brown, fingerprints, mixing
 
 QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_mixing": mixing.op5_mixing,
     "op10_language_model": brown.op10_language_model,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.OP5_SQL,
+}
