@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import brown, fingerprints, mixing
+from cairnbook.llm import brown, fingerprints, jaccard, mixing
 
 QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mixing": mixing.op5_mixing,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op10_language_model": brown.op10_language_model,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
 }
