@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.llm import words
+from cairnbook.llm.ordered import range_cuts, range_of
 from cairnbook.llm.shared import documents, shuffle_partitions
 
 K, SHINGLE_WORDS = 128, 5
@@ -110,16 +112,10 @@ def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Ranges come from a quantile sketch and one number for each range reaches the driver: at most
     the number of shuffle partitions.  The texts are shuffled once.
     """
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    def bucket(col):
-        at = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c <= col)) if cuts else F.lit(0)
-        return F.coalesce(at, F.lit(0)).cast("int")
-
+    cuts = range_cuts(rows, n)
+    bucket = partial(range_of, cuts=cuts)
     null_first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), F.col("doc_id")))
     firsts = [(r["b"], r["f"]["doc_id"]) for r in rows.select("doc_id", bucket(F.col("doc_id")).alias("b")).groupBy("b").agg(null_first.alias("f")).orderBy("b").collect()]
     own = F.struct(bucket(F.col("doc_id")).alias("part"), F.lit(0).alias("last"))

@@ -25,6 +25,7 @@ _SPACES = (32, 9, 10, 11, 12, 13)
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(_SPACES)] = False
 _VALUE = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_EXACT = _VALUE.copy()
 _VALUE[65:91] = _VALUE[97:123]
 _powers: list[np.ndarray] = []
 
@@ -70,7 +71,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
-def _split(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(data: np.ndarray, breaks: np.ndarray, value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last, and hash of each word; breaks: offsets where a word ends in any case."""
     inside = IS_WORD[data]
     begin = inside.copy()
@@ -83,25 +84,26 @@ def _split(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     power, inverse = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
+    np.cumsum(value[data] * power[: len(data)], out=total[1:])
     return starts, ends, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_split of one very long text, piece by piece, cut at separators."""
     parts, at = [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         while to < len(data) and IS_WORD[data[to]]:
             to += 1
-        s, e, h = _split(data[at:to], np.zeros(0, np.int64))
+        s, e, h = _split(data[at:to], np.zeros(0, np.int64), value)
         parts.append((s + at, e + at, h))
         at = to
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def chunks(column, size: int = CHUNK) -> Iterator[Words]:
-    """Words of a text column in groups of rows of about size bytes; a row is never divided."""
+def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
+    """Words of a text column in groups of rows of about size bytes; a row is never divided.  fold: A-Z hash as a-z."""
+    value = _VALUE if fold else _EXACT
     offs, raw = text_buffers(column)
     n, row = len(offs) - 1, 0
     while row < n:
@@ -111,9 +113,9 @@ def chunks(column, size: int = CHUNK) -> Iterator[Words]:
             starts = ends = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)
         elif to == row + 1 and len(data) > PIECE:
-            starts, ends, hashes = _long(data)
+            starts, ends, hashes = _long(data, value)
         else:
-            starts, ends, hashes = _split(data, local)
+            starts, ends, hashes = _split(data, local, value)
         yield Words(row, np.diff(np.searchsorted(starts, local)), hashes, starts, ends, data)
         row = to
 
