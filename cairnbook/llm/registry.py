@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, mixing
+from cairnbook.llm import ans, brown, fingerprints, jaccard, mixing, packing
 
 QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mixing": mixing.op5_mixing,
+    "op6_packing": packing.op6_packing,
     "op7_token_ids": ans.op7_token_ids,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op10_language_model": brown.op10_language_model,
