@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, mixing, packing
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, mixing, packing
 
 QUERIES = {
+    "op2_topk_search": kdtree.op2_topk_search,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_topk_search": kdtree.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
 }
