@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, mixing, packing
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing
 
 QUERIES = {
     "op2_topk_search": kdtree.op2_topk_search,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_token_ids": ans.op7_token_ids,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_language_id": langid.op9_language_id,
     "op10_language_model": brown.op10_language_model,
 }
 
