@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_topk_search": kdtree.op2_topk_search,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mixing": mixing.op5_mixing,
