@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing, toxicity
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_topk_search": kdtree.op2_topk_search,
+    "op3_warc_audit": warc.op3_warc_audit,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_topk_search": kdtree.OP2_SQL,
+    "op3_warc_audit": warc.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
 }
