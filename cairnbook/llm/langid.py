@@ -115,26 +115,30 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return TextModel(languages, counts.reshape(len(languages), BUCKETS))
 
 
-def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text") -> DataFrame:
-    """df's other columns with text_n (trigrams) and text_logs (log likelihood of each language; zeros without text)."""
+def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """df's other columns with text_n (trigrams) and text_logs (log likelihood of each language; zeros without text).
+
+    text_col may name a field of a struct column, which then stays.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model.table)
-    others = [c for c in df.columns if c != text_col]
-    rows = df.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).alias("evidence_text"))
+    outer, _, field = text_col.partition(".")
+    kept = [c for c in df.columns if field or keep_text or c != outer]
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add("text_n", T.LongType()).add("text_logs", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         table = shared.value
         for batch in batches:
             logs, number = [], []
-            for _, _, offs, data in _pieces(batch.column("evidence_text")):
+            text = batch.column(outer).field(field) if field else batch.column(outer)
+            for _, _, offs, data in _pieces(text):
                 sums, count = _sums(data, offs, table)
                 logs.append(sums / np.maximum(count, 1)[:, None] * np.minimum(count, STRENGTH)[:, None])
                 number.append(count)
             flat = np.concatenate(logs) if logs else np.zeros((0, table.shape[1]))
             offsets = pa.array(np.arange(len(flat) + 1) * table.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(np.concatenate(number).astype(np.int64) if number else [], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1)))], [*others, "text_n", "text_logs"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(number).astype(np.int64) if number else [], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1)))], [*kept, "text_n", "text_logs"])
 
-    schema = rows.drop("evidence_text").schema.add("text_n", T.LongType()).add("text_logs", T.ArrayType(T.DoubleType()))
-    return rows.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _best(logs: Column) -> Column:
@@ -158,19 +162,21 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def fuse(rows: DataFrame, languages: list[str], keys: dict[str, str | None]) -> DataFrame:
+def fuse(rows: DataFrame, languages: list[str], keys: dict[str, str | None], voters: DataFrame | None = None) -> DataFrame:
     """rows (with text_n, text_logs) plus lang, posterior and accepted.
 
+    voters: the same rows without what is not needed to count them (default: rows).
+
     keys: names of the columns with the declared language, suffix, host and domain (None: no such evidence).
     """
     classes = len(languages)
-    rows = rows.withColumn("vote", _best(F.col("text_logs")))
-    every = rows.where("text_n > 0").groupBy().agg(F.array(*[F.count_if(F.col("vote") == i).cast("double") for i in range(classes)]).alias("all_")).first()[0]
+    rows, voters = (x.withColumn("vote", _best(F.col("text_logs"))) for x in (rows, rows if voters is None else voters))
+    every = voters.where("text_n > 0").groupBy().agg(F.array(*[F.count_if(F.col("vote") == i).cast("double") for i in range(classes)]).alias("all_")).first()[0]
     base = (np.array(every) + 1) / (sum(every) + classes)
     logs = F.col("text_logs")
     for name in ("declared", "suffix"):
         if key := keys.get(name):
-            counts = _counted(rows, key, classes, name)
+            counts = stored(_counted(voters, key, classes, name), "lang-counts")
             rows = rows.join(counts, rows[key] == F.col(f"{name}_key"), "left")
             value = _less_own(F.col(name), classes)
             # P(value | language), smoothed to the value's share over all languages
@@ -182,7 +188,7 @@ def fuse(rows: DataFrame, languages: list[str], keys: dict[str, str | None]) ->
     prior = F.array(*[F.lit(float(x)) for x in base])
     for name in ("domain", "host"):
         if key := keys.get(name):
-            counts = _counted(rows, key, classes, name)
+            counts = stored(_counted(voters, key, classes, name), "lang-counts")
             rows = rows.join(counts, rows[key] == F.col(f"{name}_key"), "left")
             value = _less_own(F.col(name), classes)
             n = _total(value)
@@ -217,10 +223,15 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """docs with lang_found, posterior and accepted; the source stands for the host, the given language for the declared one."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = text_evidence(docs.select(whole.alias("row"), F.col("lang").cast("string").alias("declared_lang"), F.col("source").cast("string").alias("host_name"), F.col("text").alias("text_")), model, "text_")
-    return fuse(rows, model.languages, {"declared": "declared_lang", "host": "host_name"}).select("row", F.col("lang").alias("lang_found"), "posterior", "accepted")
+    """row (all columns of docs), lang_found, posterior and accepted; the source stands for the host, the given language for the declared one.
+
+    The texts are read twice: once to count by language and source, once to judge; they are not shuffled
+    unless the counts are too many to be sent to all tasks.
+    """
+    declared, source = F.col("lang").cast("string").alias("declared_lang"), F.col("source").cast("string").alias("host_name")
+    voters = stored(text_evidence(docs.select(declared, source, "text"), model), "lang-votes")
+    rows = text_evidence(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), declared, source), model, "row.text")
+    return fuse(rows, model.languages, {"declared": "declared_lang", "host": "host_name"}, voters).select("row", F.col("lang").alias("lang_found"), "posterior", "accepted")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnbook.llm import words
 from cairnbook.llm.shared import documents, id_remainder
@@ -357,19 +358,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs' other columns and score."""
+    """docs' other columns and score; text_col may name a field of a struct column, which then stays."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(text_col), F.lit("")).alias("scored_text"))
+    outer, _, field = text_col.partition(".")
+    kept = [c for c in docs.columns if field or c != outer]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", T.DoubleType())
 
     def run(batches):
         for batch in batches:
-            got = [score_chunk(shared.value, c) for c in words.chunks(batch.column("scored_text"), size=1 << 19)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*others, "score"])
+            text = batch.column(outer).field(field) if field else batch.column(outer)
+            got = [score_chunk(shared.value, c) for c in words.chunks(text, size=1 << 19)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*kept, "score"])
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, rows.drop("scored_text").schema.add("score", T.DoubleType()))
+    return docs.mapInArrow(run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
