@@ -7,9 +7,11 @@ reach.  No candidate is left out at any step:
 
 1. Texts of equal sets are one set with many members; only sets go on.
 2. Sets that link share one of the first size - ceil(threshold * size) + 1 shingles in any one order
-   (prefix filter).  The order puts common shingles last, by counts of the (at most COMMON) most common ones,
-   so that passages of many documents seldom meet.  Sets that share such a shingle, directly or through
-   others, form a cluster; each link lies inside a cluster.
+   (prefix filter).  The order here: shingles whose hash lies in the lowest 2 * (1 - threshold) of all hashes
+   come first, by the number of sets that have them, then all others by hash.  That number is exact, as every set
+   reports all its shingles of that zone.  A set of mostly unshared text has a prefix of unshared shingles and
+   drops out; passages of many documents come late.  Sets that share a prefix shingle and could link by their
+   sizes, directly or through others, form a cluster; each link lies inside a cluster.
 3. Each cluster is joined by an R-tree of count vectors (see rtree).  A cluster of more than BLOCK sets is cut
    into blocks of BLOCK, each with the cluster's smallest set as hub; afterwards, pairs of blocks are
    joined unless all their sets are in one component by then, in component order, so that a large group of
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 
 from cairnbook.llm import rtree, words
 from cairnbook.llm.components import components
-from cairnbook.llm.shared import documents, stored
+from cairnbook.llm.shared import documents, shuffle_partitions, stored
 
 SHINGLE_WORDS, NUM, DEN = 4, 85, 100
-COMMON, LOCAL_LEAST, BLOCK = 1 << 18, 8, 512
+BLOCK = 512
 BLOOM_BITS = 1 << 26
 
 
@@ -50,53 +52,41 @@ def _identity(values: np.ndarray) -> int:
     return int(words.mix((total * words._SHINGLE[:3]).sum(keepdims=True)).view(np.int64)[0]) or 1
 
 
-def _scan(rows: DataFrame, n: int) -> DataFrame:
-    """Kind 0: (doc_id, set id, set size) of each row.  Kind 1: (shingle, in how many sets) of shingles common in some MB of text."""
+def _zone(num: int, den: int) -> int:
+    """Upper end of the zone of hashes whose shingles are counted."""
+    return (2 * (den - num) << 64) // den
+
+
+def _prefix(n, num: int, den: int):
+    """Length of the prefix of a set of n shingles."""
+    return n - -(-num * n // den) + 1
 
-    def run(batches):
-        held, total = [], 0
 
-        def common():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c >= LOCAL_LEAST], c[c >= LOCAL_LEAST]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "doc_id", "sid", "n"])
+def _scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, set id, set size, shingles in the zone) of each row."""
+    top = np.uint64(min(_zone(num, den), (1 << 64) - 1))
 
+    def run(batches):
         for batch in batches:
-            ids, sizes = [], []
-            for values in _sets(batch.column("text"), n):
-                ids.append(_identity(values))
-                sizes.append(len(values))
-                held.append(values)
-                total += len(values)
-                if total > 2_000_000:
-                    yield common()
-                    held, total = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "doc_id", "sid", "n"])
-        if held:
-            yield common()
+            got = [(_identity(x), len(x), int(np.searchsorted(x, top))) for x in _sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)]], ["doc_id", "sid", "n", "zone"])
 
-    return rows.mapInArrow(run, "kind byte, doc_id long, sid long, n long")
+    return rows.mapInArrow(run, "doc_id long, sid long, n long, zone long")
 
 
-def _prefixes(rows: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
-    """(sid, keys): the prefix of each set, common shingles last, then by hash."""
+def _reports(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sid, keys): of each set once per task its zone's shingles, and as many more by hash as the prefix needs."""
+    top = np.uint64(min(_zone(num, den), (1 << 64) - 1))
 
     def run(batches):
-        hashes, counts = common.value
+        seen: set[int] = set()
         for batch in batches:
             ids, sizes, out = [], [], []
             for values in _sets(batch.column("text"), n):
-                if not len(values):
+                if not len(values) or (sid := _identity(values)) in seen:
                     continue
-                rank = np.zeros(len(values), np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-                    rank = np.where(hashes[at] == values, counts[at], 0)
-                length = len(values) - -(-num * len(values) // den) + 1
-                if len(hashes) and rank.any():
-                    values, sid = values[np.argsort(rank, kind="stable")], _identity(values)
-                else:
-                    sid = _identity(values)
+                seen.add(sid)
+                length = max(_prefix(len(values), num, den), int(np.searchsorted(values, top)))
                 ids.append(sid)
                 sizes.append(length)
                 out.append(values[:length])
@@ -104,7 +94,29 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["sid", "keys"])
 
-    return rows.mapInArrow(run, "sid long, keys array<long>")
+    return rows.mapInArrow(run, "sid long, keys array<long>").select("sid", F.explode("keys").alias("key"))
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between sets that share a prefix shingle: each set to the smallest of its size's neighbourhood."""
+    keys = _reports(rows, n, num, den).repartition(shuffle_partitions(rows.sparkSession), "key")
+    shared = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("key", "df")
+    met = keys.join(shared, "key").distinct()
+    # unsigned order of the hash: the zone is [0, top)
+    top = min(_zone(num, den), (1 << 64) - 1)
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+    outside = unsigned >= F.lit(top - (1 << 63))
+    some = met.join(sets.select("sid", "n", "zone"), "sid").withColumn("outside", outside)
+    by_set = Window.partitionBy("sid")
+    ordered = by_set.orderBy("outside", F.when(F.col("outside"), 0).otherwise(F.col("df")), unsigned)
+    length = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    # shared shingles of the zone come after its unshared ones; those outside it stand at a place known to be inside the prefix
+    first = F.col("zone") - F.count_if(~F.col("outside")).over(by_set)
+    kept = some.withColumn("place", F.row_number().over(ordered) + first).where(F.col("outside") | (F.col("place") <= length))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) * (1 + 1e-9)))
+    posting = kept.select("sid", "key", F.explode(F.array(size_class, size_class + 1)).alias("size"))
+    low = posting.groupBy("key", "size").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
+    return posting.join(low, ["key", "size"]).where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _bloom_cells(doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,16 +179,10 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of df: doc_id, n_shingles, component_id."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanned = stored(_scan(rows, n), "jaccard-scan", "kind")
-    docs = scanned.where("kind = 0").select("doc_id", "sid", "n")
-    counted = scanned.where("kind = 1").groupBy(F.col("sid").alias("h")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    order = np.argsort(hashes := counted["h"].to_numpy().view(np.uint64))
-    common = spark.sparkContext.broadcast((hashes[order], counted["c"].to_numpy()[order]))
+    docs = stored(_scan(rows, n, num, den), "jaccard-scan")
     # sets with their first member
-    sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    keys = stored(_prefixes(rows, n, num, den, common), "jaccard-keys").select("sid", F.explode("keys").alias("key"))
-    met = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key", "low")
-    edges = keys.join(met, "key").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
+    sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"))
+    edges = _candidates(rows, sets, n, num, den)
     cluster = stored(components(edges, name="jaccard-clusters"), "jaccard-cluster")
     member = stored(cluster.join(sets.where("doc_id is not null"), cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
     tokens = stored(_members(rows, member, n).dropDuplicates(["sid"]).select("sid", "tokens"), "jaccard-sets")
