@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cairnbook.plans import bills, dedupe, evaluation, exports, lifecycle, scalars, search, sources, staging, verified  # noqa: F401
+from cairnbook.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
