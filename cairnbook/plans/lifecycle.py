@@ -1 +1,185 @@
-"""Queries."""
+"""Queries of jobs, versions, decisions and change capture."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cairnbook.operators import lifecycle as lc
+from cairnbook.plans.registry import query
+from cairnbook.plans.verified import X, with_batch
+from cairnbook.sources import fixtures as fx
+from cairnbook.sources.fixtures import SQL_EXTRACTED, SQL_JOBS
+
+J = f"WITH {SQL_JOBS} "
+NOW = "TIMESTAMP '2024-01-15 12:00:00'"
+
+
+def now():
+    return F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+
+
+def jobs(s, d):
+    out = fx.jobs(s, d)
+    for c in ("available_at", "lease_expires_at", "created_at"):
+        out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return out
+
+
+RUNNABLE = f"((status = 'queued' AND available_at <= {NOW}) OR (status = 'running' AND lease_expires_at <= {NOW} AND attempts < 4))"
+
+
+@query("b14_runnable_jobs", J + f"SELECT id FROM fx_jobs WHERE {RUNNABLE}")
+def b14(s, d):
+    return jobs(s, d).where(lc.runnable(now())).select("id")
+
+
+@query("b15_execution_scope", J + "SELECT id FROM fx_jobs WHERE job_type = 'click' AND idempotency_key = 'key-7'")
+def b15(s, d):
+    return jobs(s, d).where("job_type = 'click' and idempotency_key = 'key-7'").select("id")
+
+
+@query("g5_queue_head", J + f"SELECT id FROM fx_jobs WHERE {RUNNABLE} ORDER BY available_at, created_at, id LIMIT 1")
+def g5(s, d):
+    return jobs(s, d).where(lc.runnable(now())).orderBy("available_at", "created_at", "id").limit(1).select("id")
+
+
+@query("i1_idempotent_enqueue", J + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY document_id, idempotency_key ORDER BY created_at, id) AS rn FROM fx_jobs) WHERE rn = 1")
+def i1(s, d):
+    return lc.enqueue(jobs(s, d)).select("id")
+
+
+@query("i2_claim", J + f"SELECT document_id, min(id) AS claimed FROM fx_jobs WHERE {RUNNABLE} GROUP BY 1")
+def i2(s, d):
+    """One claim per document: with a single writer a claim is the first runnable job of its key."""
+    return jobs(s, d).where(lc.runnable(now())).groupBy("document_id").agg(F.min("id").alias("claimed"))
+
+
+@query("i3_lease_reclaim", J + f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'running' AND lease_expires_at <= {NOW} THEN CASE WHEN attempts < 4 THEN 'queued' ELSE 'dead' END ELSE status END AS status FROM fx_jobs) GROUP BY 1")
+def i3(s, d):
+    lost = (F.col("status") == "running") & (F.col("lease_expires_at") <= now())
+    return jobs(s, d).withColumn("status", F.when(lost & (F.col("attempts") < 4), "queued").when(lost, "dead").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("i4_retry_or_bury", J + "SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 4 THEN 'dead' ELSE 'queued' END AS status, CASE WHEN attempts + 1 < 4 THEN CAST(least(30 * pow(2, attempts), 3600) AS BIGINT) END AS delay FROM fx_jobs WHERE status = 'running'")
+def i4(s, d):
+    out = lc.after_failure(jobs(s, d), now())
+    return out.select("id", "attempts", "status", F.when(F.col("status") == "queued", lc.retry_delay(F.col("attempts"))).alias("delay"))
+
+
+@query("i5_bury_exhausted", J + "SELECT id, CASE WHEN id % 2 = 0 THEN 'done' ELSE 'dead' END AS status FROM fx_jobs WHERE status = 'running' AND attempts >= 4")
+def i5(s, d):
+    return jobs(s, d).where("status = 'running' and attempts >= 4").select("id", F.when(F.col("id") % 2 == 0, "done").otherwise("dead").alias("status"))
+
+
+@query("i6_superseded_versions", f"WITH {SQL_EXTRACTED}, m AS (SELECT issue, max(version) AS v FROM fx_extracted GROUP BY 1) SELECT extraction_id FROM fx_extracted JOIN m USING (issue) WHERE version < v")
+def i6(s, d):
+    e = fx.extracted(s, d)
+    return e.withColumn("v", F.max("version").over(Window.partitionBy("issue"))).where("version < v").select("extraction_id")
+
+
+@query("i7_state_machine", J + "SELECT p || '>' || status AS step, (p || '>' || status) IN ('queued>running', 'running>done', 'running>dead', 'running>queued') AS allowed, count(*) AS n FROM (SELECT status, lag(status) OVER (PARTITION BY document_id ORDER BY created_at, id) AS p FROM fx_jobs) WHERE p IS NOT NULL GROUP BY 1, 2")
+def i7(s, d):
+    steps = jobs(s, d).withColumn("p", F.lag("status").over(Window.partitionBy("document_id").orderBy("created_at", "id"))).where("p is not null").groupBy(F.concat_ws(">", "p", "status").alias("step")).agg(F.count("*").alias("n"))
+    return steps.select("step", F.col("step").isin("queued>running", "running>done", "running>dead", "running>queued").alias("allowed"), "n")
+
+
+@query("i8_upload_idempotency", J + ", f AS (SELECT idempotency_key, arg_min(job_type, id) AS t, min(id) AS i FROM fx_jobs GROUP BY 1) SELECT id, CASE WHEN id = i THEN 'new' WHEN job_type = t THEN 'replay' ELSE 'conflict' END AS outcome FROM fx_jobs JOIN f USING (idempotency_key)")
+def i8(s, d):
+    return lc.idempotent(jobs(s, d), "idempotency_key", "job_type", "id").select("id", "outcome")
+
+
+@query("i9_extraction_lifecycle", f"WITH {SQL_EXTRACTED} SELECT extraction_id, CASE WHEN status = 'pending_review' AND version > 3 THEN 'approved' WHEN status = 'pending_review' AND version = 0 THEN 'rejected' ELSE status END AS status FROM fx_extracted")
+def i9(s, d):
+    pending = F.col("status") == "pending_review"
+    return fx.extracted(s, d).select("extraction_id", F.when(pending & (F.col("version") > 3), "approved").when(pending & (F.col("version") == 0), "rejected").otherwise(F.col("status")).alias("status"))
+
+
+@query("i10_cohort_decisions", "WITH l AS (SELECT l_orderkey, l_linenumber, arg_max(l_returnflag, (l_shipdate, l_returnflag)) AS a FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, count(*) FILTER (a = 'A') AS included, count(*) FILTER (a = 'R') AS excluded, count(*) FILTER (a = 'N') = 0 AS ready FROM l GROUP BY 1")
+def i10(s, d):
+    last = fx.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_shipdate", "l_returnflag")).alias("a"))
+    return last.groupBy("l_orderkey").agg(F.count_if(F.col("a") == "A").alias("included"), F.count_if(F.col("a") == "R").alias("excluded"), (F.count_if(F.col("a") == "N") == 0).alias("ready"))
+
+
+@query("i11_activation_preview", X + "SELECT lifecycle, count(*) AS candidates, count(*) FILTER (status <> 'approved') AS undecided, count(*) FILTER (status = 'superseded') AS stale FROM fx_extracted JOIN fx_batches ON active_batch_id = batch_id GROUP BY 1")
+def i11(s, d):
+    return with_batch(s, d).where("lifecycle is not null").groupBy("lifecycle").agg(F.count("*").alias("candidates"), F.count_if(F.col("status") != "approved").alias("undecided"), F.count_if(F.col("status") == "superseded").alias("stale"))
+
+
+@query("i12_cohort_rejection", X + "SELECT extraction_id, CASE WHEN lifecycle = 'open' THEN 'rejected' ELSE status END AS status FROM fx_extracted LEFT JOIN fx_batches ON active_batch_id = batch_id")
+def i12(s, d):
+    return with_batch(s, d).select("extraction_id", F.when(F.col("lifecycle") == "open", "rejected").otherwise(F.col("status")).alias("status"))
+
+
+@query("i13_promote", f"WITH {SQL_EXTRACTED}, a AS (SELECT issue, max(extraction_id) AS k FROM fx_extracted WHERE status = 'approved' GROUP BY 1) SELECT extraction_id, CASE WHEN extraction_id = k THEN 'approved' ELSE 'superseded' END AS status FROM fx_extracted JOIN a USING (issue) WHERE status = 'approved'")
+def i13(s, d):
+    e = fx.extracted(s, d).where("status = 'approved'")
+    return e.withColumn("k", F.max("extraction_id").over(Window.partitionBy("issue"))).select("extraction_id", F.when(F.col("extraction_id") == F.col("k"), "approved").otherwise("superseded").alias("status"))
+
+
+@query("i18_field_changes", "WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 15 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 100 <> 7) SELECT 'customer' AS table_name, CAST(k AS VARCHAR) AS row_pk, action, field, old_value, new_value FROM (SELECT o.c_custkey AS k, CASE WHEN n.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS action, unnest(['c_name', 'c_mktsegment']) AS field, unnest([o.c_name, o.c_mktsegment]) AS old_value, unnest([n.c_name, n.c_mktsegment]) AS new_value FROM customer o LEFT JOIN n ON n.c_custkey = o.c_custkey) WHERE old_value IS DISTINCT FROM new_value")
+def i18(s, d):
+    old = fx.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = old.where("c_custkey % 100 <> 7").withColumn("c_name", F.when(F.col("c_custkey") % 10 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name"))).withColumn("c_mktsegment", F.when(F.col("c_custkey") % 15 != 0, F.col("c_mktsegment")))
+    return lc.changes(old, new, "c_custkey", ["c_name", "c_mktsegment"], "customer")
+
+
+@query("i19_payload_corrections", "SELECT o_orderkey, 'total_amount' AS field, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS old_value, CAST(CAST(o_totalprice + 1 AS DECIMAL(18,2)) AS VARCHAR) AS new_value FROM orders WHERE o_orderkey % 50 = 0")
+def i19(s, d):
+    o = fx.table(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total_amount"))
+    new = fx.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(18,2)").cast("string").alias("total_amount"))
+    return lc.changes(o, new, "o_orderkey", ["total_amount"], "orders").select(F.col("row_pk").cast("long").alias("o_orderkey"), "field", "old_value", "new_value")
+
+
+CHAIN = "c AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 AND event_id > 0 THEN event_id - 1 END AS recovers FROM events)"
+
+
+@query("i20_retry_chain_leaf", f"WITH {CHAIN} SELECT id FROM c WHERE id NOT IN (SELECT recovers FROM c WHERE recovers IS NOT NULL)")
+def i20(s, d):
+    c = fx.table(s, d, "events").select(F.col("event_id").alias("id"), F.when((F.col("event_id") % 3 == 0) & (F.col("event_id") > 0), F.col("event_id") - 1).alias("recovers"))
+    return lc.leaves(c, "id", "recovers").select("id")
+
+
+@query("i21_derivative_retry", J + "SELECT document_id, max(id) AS target FROM fx_jobs WHERE status = 'dead' GROUP BY 1")
+def i21(s, d):
+    return jobs(s, d).where("status = 'dead'").groupBy("document_id").agg(F.max("id").alias("target"))
+
+
+@query("i22_current_error", J + ", t AS (SELECT document_id, arg_max(id, (created_at, id)) AS id, arg_max(status, (created_at, id)) AS status FROM fx_jobs WHERE status IN ('dead', 'done') GROUP BY 1) SELECT document_id, id FROM t WHERE status = 'dead'")
+def i22(s, d):
+    terminal = jobs(s, d).where("status in ('dead', 'done')").select("document_id", "id", "status", "created_at")
+    return lc.latest(terminal, ["document_id"], ["created_at", "id"]).where("status = 'dead'").select("document_id", "id")
+
+
+@query("i23_capability_lease", J + f"SELECT document_id, max(created_at) >= TIMESTAMP '2024-01-20' AS fresh, count(*) FILTER (status = 'queued') = 0 AS drained FROM fx_jobs GROUP BY 1")
+def i23(s, d):
+    return jobs(s, d).groupBy("document_id").agg((F.max("created_at") >= F.lit("2024-01-20").cast("timestamp_ntz")).alias("fresh"), (F.count_if(F.col("status") == "queued") == 0).alias("drained"))
+
+
+@query("i24_integrity_guards", "SELECT 'known_status' AS rule, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS violations FROM orders UNION ALL SELECT 'positive_total', count(*) FILTER (NOT o_totalprice > 1000) FROM orders")
+def i24(s, d):
+    return lc.violations(fx.table(s, d, "orders"), {"known_status": F.col("o_orderstatus").isin("F", "O"), "positive_total": F.col("o_totalprice") > 1000})
+
+
+@query("e26_lease_counts", J + f"SELECT count(*) FILTER (status = 'running' AND lease_expires_at > {NOW}) AS running, count(DISTINCT document_id) FILTER (status = 'running' AND lease_expires_at > {NOW}) AS workers FROM fx_jobs")
+def e26(s, d):
+    held = (F.col("status") == "running") & (F.col("lease_expires_at") > now())
+    return jobs(s, d).agg(F.count_if(held).alias("running"), F.count_distinct(F.when(held, F.col("document_id"))).alias("workers"))
+
+
+@query("g9_newest_matching_job", J + "SELECT document_id, max(id) AS id FROM fx_jobs WHERE idempotency_key LIKE 'key-1%' GROUP BY 1")
+def g9(s, d):
+    return jobs(s, d).where(F.col("idempotency_key").startswith("key-1")).groupBy("document_id").agg(F.max("id").alias("id"))
+
+
+@query("m8_replay_safe_batches", J + "SELECT idempotency_key, count(*) AS writes, count(DISTINCT job_type) = 1 AS same FROM fx_jobs GROUP BY 1")
+def m8(s, d):
+    return jobs(s, d).groupBy("idempotency_key").agg(F.count("*").alias("writes"), (F.count_distinct("job_type") == 1).alias("same"))
+
+
+@query("streaming_job_states")
+def streaming_jobs(s, d):
+    """The durable queue as a stream: events of jobs folded to one state per document, all data processed, then read back."""
+    from cairnbook.streaming.jobs import run_to_end
+
+    return run_to_end(s, f"{d}/events.parquet")

@@ -1 +1,108 @@
-"""Queries."""
+"""Queries of chunking and vector search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cairnbook.functions import text as tx
+from cairnbook.operators import search
+from cairnbook.plans.registry import query
+from cairnbook.sources import fixtures as fx
+
+MARKDOWN = "# Expenses\n\nlead text\n\n## June\n\n| a | b |\n| 1 | 2 |\n\n### Notes\n\n領収書 paid in cash. Another sentence! And more?"
+DIST = "round(greatest(0.0::DOUBLE, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))), 6)"
+
+
+def with_query(s, d):
+    # the query vector is one row
+    q = fx.table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return fx.table(s, d, "embeddings").join(F.broadcast(q), F.lit(True))
+
+
+@query("v8_filtered_knn", f"SELECT vec_id, {DIST} AS distance FROM embeddings WHERE label IN (1, 3, 5) ORDER BY distance, vec_id LIMIT 8")
+def v8(s, d):
+    rows = with_query(s, d).where(F.col("label").isin(1, 3, 5)).withColumn("distance", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6))
+    return rows.orderBy("distance", "vec_id").limit(8).select("vec_id", "distance")
+
+
+@query("g4_vector_topk", f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10")
+def g4(s, d):
+    return with_query(s, d).withColumn("distance", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6)).orderBy("distance", "vec_id").limit(10).select("vec_id", "distance")
+
+
+@query("v7_domain_filter", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') OR NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id)")
+def v7(s, d):
+    visible = fx.table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("a")).distinct().withColumn("financial", F.lit(True))
+    marked = fx.table(s, d, "labels").select(F.col("doc_id").alias("b")).distinct().withColumn("marked", F.lit(True))
+    rows = fx.table(s, d, "embeddings").select("vec_id").join(visible, F.col("vec_id") == F.col("a"), "left").join(marked, F.col("vec_id") == F.col("b"), "left")
+    return rows.where(F.col("financial").isNotNull() | F.col("marked").isNull()).select("vec_id")
+
+
+@query("d34_l2_normalise", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6)) AS unit FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
+def d34(s, d):
+    return fx.table(s, d, "embeddings").select("vec_id", F.transform(tx.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("d35_cosine_distance", f"SELECT vec_id, {DIST} AS distance FROM embeddings")
+def d35(s, d):
+    return with_query(s, d).select("vec_id", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6).alias("distance"))
+
+
+@query("d36_prompt_prefix", "SELECT item_id, CASE WHEN starts_with(text, 'query: ') THEN text ELSE 'query: ' || text END AS prompt FROM benchmark")
+def d36(s, d):
+    return fx.table(s, d, "benchmark").select("item_id", F.when(F.col("text").startswith("query: "), F.col("text")).otherwise(F.concat(F.lit("query: "), F.col("text"))).alias("prompt"))
+
+
+@query("v1_sections")
+def v1(s, d):
+    return s.createDataFrame([(p, len(lines)) for p, lines in search.sections(MARKDOWN)], "heading_path string, n_lines int")
+
+
+@query("v2_blocks")
+def v2(s, d):
+    return s.createDataFrame(search.blocks(MARKDOWN.splitlines()), "text string, is_table boolean")
+
+
+@query("v3_greedy_chunks")
+def v3(s, d):
+    return search.chunks(fx.table(s, d, "documents"), "doc_id", "text").select("document_id", "seq", "heading_path", "tokens", F.md5("text").alias("digest"))
+
+
+@query("v4_hard_split")
+def v4(s, d):
+    rows = [(i, t, search.tokens(t)) for i, t in enumerate(search.hard_split("領収書" * 30 + " abcdefgh" * 20, 12))]
+    return s.createDataFrame(rows, "seq int, text string, tokens int")
+
+
+@query("w8_chunk_seq", "SELECT doc_id, CAST(unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS INTEGER) AS seq FROM documents")
+def w8(s, d):
+    return fx.table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line")).select("doc_id", "seq")
+
+
+@query("v5_discovery_chunks")
+def v5(s, d):
+    docs = s.createDataFrame([(1, MARKDOWN), (2, "plain")], "id long, text string")
+    return search.chunks(docs, "id", "text", 60).select("document_id", "seq", "heading_path", "text")
+
+
+@query("v6_batched_embedding")
+def v6(s, d):
+    rows = fx.table(s, d, "benchmark").select("item_id", "text")
+    return search.embed(rows, lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]).select("item_id", "embedding")
+
+
+@query("i17_replace_chunks")
+def i17(s, d):
+    from cairnbook.sources.tables import replace_partitions
+
+    made = search.chunks(fx.table(s, d, "documents"), "doc_id", "text").withColumn("chunk_id", F.sha2(F.concat_ws("/", F.col("document_id").cast("string"), F.col("seq").cast("string"), "text"), 256)).withColumn("part", F.col("document_id") % 4)
+    return replace_partitions(made, "chunks", "part").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
+
+
+@query("l3_semantic_answer")
+def l3(s, d):
+    """Retrieved passages with their citation; arithmetic questions are refused."""
+    from cairnbook.operators.intent import is_aggregation
+
+    hits = v8(s, d)
+    return hits.select(F.lit(is_aggregation("what does the warranty say")).alias("refused"), F.concat(F.lit("[source "), F.col("vec_id").cast("string"), F.lit("]")).alias("citation"))

@@ -1 +1,219 @@
-"""Queries."""
+"""Queries of sources: small files made here, parsed on executors; pages and text from the tables."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairnbook.plans.registry import query
+from cairnbook.sources import fixtures as fx
+from cairnbook.sources import parse
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def zipped(parts: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def tarred(parts: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, data in parts.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+CSV = b'name,name,note\nA,1,"line one\nline two"\nB,2,=SUM(A1:A2)\nC,3\n'
+FILES = {
+    "plain.csv": CSV, "japanese.tsv": "日付\t金額\n2026年7月1日\t1200\n".encode("cp932"), "wide.csv": "a;b;c\n1;2,5;3\n".encode("utf-16"),
+    "tree.json": b'{"orders": [{"id": 1, "tags": ["x"]}, {"id": 2, "total": 3.5}], "meta": {"rows": [{"k": "v"}]}}', "lines.jsonl": b'{"a": 1}\n{"b": "two"}\n',
+    "list.xml": b"<r><item><n>a</n><q>1</q></item><item><n>b</n></item><x/></r>", "note.md": "---\ntitle: Lease\n---\n# One\n\ntext\n\n## Two\n".encode(),
+    "page.html": b"<html><body><p>Hi</p><script>x()</script><table><tr><th>a</th></tr><tr><td onclick='x'>1</td></tr></table><a href='https://example.com'>l</a></body></html>",
+    "letter.docx": zipped({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'}),
+    "book.xlsx": zipped({"xl/workbook.xml": f'<workbook xmlns="{S}"><sheets><sheet name="June"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{S}"><sheetData><row><c r="A1" t="inlineStr"><is><t>日付</t></is></c><c r="B1" t="inlineStr"><is><t>金額</t></is></c></row><row><c r="A2" t="inlineStr"><is><t>2026-07-01</t></is></c><c r="B2"><v>5</v></c></row><row><c r="A4"><v>1</v></c></row></sheetData><mergeCells><mergeCell ref="A4:B4"/></mergeCells></worksheet>'}),
+    "bundle.zip": zipped({"a.txt": "x", "../evil.txt": "y", "in.tar": tarred({"deep.csv": b"a,b\n"})}), "one.gz": gzip.compress(b"hello", mtime=0),
+    "mail.eml": b"From: a@example.com\nSubject: Invoice\nMIME-Version: 1.0\nContent-Type: text/plain\n\nTotal 1200\n", "old.rtf": rb"{\rtf1{\fonttbl{\f0 Arial;}}Hello \'e9\par World}", "shot.png": b"\x89PNG\r\n\x1a\n0000", "scan.pdf": b"%PDF-1.7\n", "server.log": b"started\nstopped\n",
+}
+
+
+def files(s):
+    return s.createDataFrame([(k, bytearray(v)) for k, v in FILES.items()], "name string, content binary")
+
+
+def parsed(s, names: list[str], f, schema: str):
+    """Rows that f gives for the bytes of each file, made in Arrow batches on executors."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [r for n, c in zip(pdf["name"], pdf["content"], strict=True) for r in f(n, bytes(c))]
+            columns = [x.split()[0] for x in schema.replace("<string>", "").split(", ")]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files(s).where(F.col("name").isin(names)).mapInPandas(run, schema)
+
+
+@query("a2_delimited_source")
+def a2(s, d):
+    return parsed(s, ["plain.csv", "japanese.tsv", "wide.csv"], lambda n, c: [(n, i, "|".join(r)) for i, r in enumerate([parse.delimited(c)[0], *parse.delimited(c)[1]])], "name string, row_number int, cells string")
+
+
+@query("a3_charset")
+def a3(s, d):
+    return parsed(s, ["plain.csv", "japanese.tsv", "wide.csv"], lambda n, c: [(n, parse.decode(c)[1])], "name string, charset string")
+
+
+@query("a4_delimiter")
+def a4(s, d):
+    return parsed(s, ["plain.csv", "japanese.tsv", "wide.csv"], lambda n, c: [(n, parse.delimiter(parse.decode(c)[0]))], "name string, delimiter string")
+
+
+@query("a5_strict_rows")
+def a5(s, d):
+    def count(n, c):
+        head, rows = parse.delimited(c)
+        return [(n, len(rows), sum(len(r) != len(head) for r in rows))]
+
+    return parsed(s, ["plain.csv"], count, "name string, n_rows int, ragged int")
+
+
+@query("a8_structured_source")
+def a8(s, d):
+    return parsed(s, ["tree.json", "lines.jsonl"], lambda n, c: [(n, p, "|".join(h), len(r)) for p, h, r in parse.structured(c, n.rsplit(".", 1)[1])], "name string, path string, header string, n_rows int")
+
+
+@query("a9_json_tables", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def a9(s, d):
+    return fx.table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("a10_xml_tables")
+def a10(s, d):
+    return parsed(s, ["list.xml"], lambda n, c: [(p, "|".join(h), "|".join(";".join(x) for x in r)) for p, h, r in parse.xml_tables(c)], "path string, header string, rows string")
+
+
+@query("a11_html_source")
+def a11(s, d):
+    """Inert text and counters of every page."""
+
+    def run(batches):
+        for pdf in batches:
+            got = [parse.inert_html(h or "") for h in pdf["html"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "n_chars": [len(t) for t, _, _ in got], "n_tables": [len(x) for _, x, _ in got], "active": [c["active"] for _, _, c in got], "events": [c["events"] for _, _, c in got], "external": [c["external"] for _, _, c in got]})
+
+    return fx.table(s, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n_chars long, n_tables long, active long, events long, external long")
+
+
+KEYWORDS = frozenset(("日付", "金額", "合計", "取引先", "摘要", "備考", "科目", "date", "amount", "total", "vendor", "description"))
+
+
+@query("a12_workbook")
+def a12(s, d):
+    return parsed(s, ["book.xlsx"], lambda n, c: [(sheet, i, "|".join(r)) for sheet, grid in parse.xlsx(c).items() for i, r in enumerate(grid)], "sheet string, row_number int, cells string")
+
+
+@query("a13_header_row")
+def a13(s, d):
+    return parsed(s, ["book.xlsx"], lambda n, c: [(sheet, parse.header_score(grid, KEYWORDS)) for sheet, grid in parse.xlsx(c).items()], "sheet string, header_row int")
+
+
+@query("a14_subtables")
+def a14(s, d):
+    return parsed(s, ["book.xlsx"], lambda n, c: [(sheet, i, len(t), len(t[0])) for sheet, grid in parse.xlsx(c).items() for i, t in enumerate(parse.subtables(grid))], "sheet string, part int, n_rows int, n_columns int")
+
+
+@query("a15_sheet_description", "SELECT event_type AS sheet, substr('day, event, k, value; ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d'), 1, 1000) AS description FROM events GROUP BY 1")
+def a15(s, d):
+    span = F.concat_ws(" to ", F.date_format(F.min("ts"), "yyyy-MM-dd"), F.date_format(F.max("ts"), "yyyy-MM-dd"))
+    return fx.table(s, d, "events").groupBy(F.col("event_type").alias("sheet")).agg(F.substring(F.concat(F.lit("day, event, k, value; "), span), 1, 1000).alias("description"))
+
+
+@query("a16_markdown_source")
+def a16(s, d):
+    return parsed(s, ["note.md"], lambda n, c: [(parse.front_matter(c.decode())[0].get("title"), level, title) for level, title in parse.outline(parse.front_matter(c.decode())[1])], "title string, level int, heading string")
+
+
+@query("a17_text_source", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\x01-\\x08\\x0E-\\x1F]')) <= 0.05 * length(coalesce(text, '')) AS is_text FROM documents")
+def a17(s, d):
+    text = F.coalesce("text", F.lit(""))
+    return fx.table(s, d, "documents").select("doc_id", (F.regexp_count(text, F.lit(r"[\x01-\x08\x0E-\x1F]")) <= 0.05 * F.length(text)).alias("is_text"))
+
+
+@query("a18_docx")
+def a18(s, d):
+    return parsed(s, ["letter.docx"], lambda n, c: [(n, "\n".join(parse.docx(c)[0]), len(parse.docx(c)[1]))], "name string, text string, n_tables int")
+
+
+@query("a19_rtf")
+def a19(s, d):
+    return parsed(s, ["old.rtf"], lambda n, c: [(n, parse.rtf(c))], "name string, text string")
+
+
+@query("a20_mail")
+def a20(s, d):
+    return parsed(s, ["mail.eml"], lambda n, c: [(m["subject"], m["sender"], m["text"], len(m["attachments"]))] if (m := parse.mail(c)) else [], "subject string, sender string, text string, n_attachments int")
+
+
+@query("a21_archive_members")
+def a21(s, d):
+    return parsed(s, ["bundle.zip", "one.gz"], lambda n, c: [(n, *m) for m in parse.archive_members(c)], "name string, path string, size long, kind string")
+
+
+@query("a22_page_routing")
+def a22(s, d):
+    route = F.pandas_udf(T.BooleanType())(lambda t: t.map(lambda x: parse.page_needs_ocr(x or "")))
+    return fx.table(s, d, "documents").select("doc_id", route(F.substring("text", 1, 2000)).alias("needs_ocr"))
+
+
+@query("a23_image_source")
+def a23(s, d):
+    return files(s).where(F.col("name") == "shot.png").select("name", F.hex(F.substring("content", 1, 8)).alias("magic"), F.length("content").alias("n_bytes"))
+
+
+@query("a24_sniffing")
+def a24(s, d):
+    return parsed(s, list(FILES), lambda n, c: [(n, parse.sniff(c, n))], "name string, format string")
+
+
+@query("a25_admission_policy")
+def a25(s, d):
+    """First rule that holds: reject what is unknown or unsafe, store what has no parser, process the rest."""
+    f = F.col("format")
+    rules = ((f == "unknown", "reject", "unknown format", False), (F.length("name") > 200, "reject", "name too long", False), (f.isin("png", "jpeg", "gif", "tiff", "pdf"), "store", "needs recognition", True), (F.lit(True), "process", "has a parser", False))
+
+    def said(decision, reason, retryable):
+        return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"), F.lit(retryable).alias("retryable"))
+
+    verdict = F.coalesce(*[F.when(hit, said(*rest)) for hit, *rest in rules])
+    return a24(s, d).withColumn("v", verdict).select("name", "format", "v.*")
+
+
+@query("a26_parse_budgets", "SELECT count(*) AS n, count(*) FILTER (length(text) > 20000) AS above FROM documents")
+def a26(s, d):
+    return fx.table(s, d, "documents").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 20000).alias("above"))
+
+
+@query("a27_adapter_dispatch")
+def a27(s, d):
+    """Each file through the parser of its sniffed format: number of tables or texts found."""
+    tables = {"csv": lambda c: 1, "tsv": lambda c: 1, "json": lambda c: len(parse.structured(c, "json")), "jsonl": lambda c: len(parse.structured(c, "jsonl")), "xml": lambda c: len(parse.xml_tables(c)), "html": lambda c: len(parse.inert_html(c.decode())[1]), "docx": lambda c: len(parse.docx(c)[1]), "xlsx": lambda c: len(parse.xlsx(c)), "zip": lambda c: len(parse.archive_members(c))}
+    return parsed(s, list(FILES), lambda n, c: [(n, k, tables[k](c) if k in tables else 0)] if (k := parse.sniff(c, n)) else [], "name string, format string, found int")
+
+
+@query("a28_legacy_import", "SELECT p_partkey, sha256(p_name) AS digest FROM part WHERE p_partkey % 10 <> 0")
+def a28(s, d):
+    known = fx.table(s, d, "part").where("p_partkey % 10 = 0").select("p_partkey")
+    return fx.table(s, d, "part").join(known, "p_partkey", "left_anti").select("p_partkey", F.sha2("p_name", 256).alias("digest"))
