@@ -194,14 +194,29 @@ class Network:
         return g, d_x
 
 
-def _odds(label: np.ndarray, bucket: np.ndarray, doc: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of a bucket's occurring in a text of label 1, from the texts to use; each counts once."""
-    keep = use[doc]
-    bucket, doc = bucket[keep], doc[keep]
-    pair = np.unique(bucket * np.int64(len(label)) + doc)
-    b, d = pair // len(label), pair % len(label)
-    one, zero = (np.bincount(b[label[d] == v], minlength=BUCKETS) for v in (1, 0))
-    n1, n0 = label[use].sum(), (1 - label[use]).sum()
+def _tally(label: np.ndarray, half: np.ndarray, some: Distinct, doc: np.ndarray, word: np.ndarray, step: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of each half and label in which a bucket occurs, (4, BUCKETS), of words and of character n-grams.
+
+    doc, word: distinct pairs, ascending by doc; step texts at a time, as the n-grams of all texts are many.
+    """
+    out = np.zeros((2, 4, BUCKETS), np.int64)
+    begin = np.cumsum(some.counts) - some.counts
+    for low in range(0, len(label), step):
+        part = slice(*np.searchsorted(doc, (low, low + step)))
+        d, w = doc[part], word[part]
+        reps = some.counts[w]
+        flat = np.repeat(begin[w] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        for i, (bucket, owner) in enumerate(((some.word[w], d), (some.grams[flat], np.repeat(d, reps)))):
+            pair = np.unique((owner - low) * BUCKETS + bucket)
+            at = low + pair // BUCKETS
+            out[i] += np.bincount((half[at] * 2 + label[at]) * BUCKETS + pair % BUCKETS, minlength=4 * BUCKETS).reshape(4, BUCKETS)
+    return out[0], out[1]
+
+
+def _odds(tally: np.ndarray, texts: np.ndarray, halves: list[int]) -> np.ndarray:
+    """Smoothed log odds of a bucket's occurring in a text of label 1; texts: number of texts of each half and label."""
+    one, zero = (sum(tally[2 * h + v] for h in halves) for v in (1, 0))
+    n1, n0 = (sum(texts[2 * h + v] for h in halves) for v in (1, 0))
     ratio = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     trust = (one + zero) / (one + zero + 4.0)
     return np.clip(ratio * trust / 2, -1.0, 3.0).astype(F32)
@@ -220,11 +235,11 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5, epochs: int | None
     pair = np.unique(doc * np.int64(len(some.hashes)) + some.index)
     d, w = pair // len(some.hashes), pair % len(some.hashes)
     begin = np.cumsum(some.counts) - some.counts
-    reps = some.counts[w]
-    flat = np.repeat(begin[w] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
     # a text is learnt with odds counted on the other half of the texts, and scored later with those of all
     half = np.arange(len(texts)) % 2
-    odds = [(_odds(label, some.word[w], d, use), _odds(label, some.grams[flat], np.repeat(d, reps), use)) for use in (half == 1, half == 0, half >= 0)]
+    tallies = _tally(label, half, some, d, w)
+    numbers = np.bincount(half * 2 + label, minlength=4)
+    odds = [tuple(_odds(t, numbers, halves) for t in tallies) for halves in ([1], [0], [0, 1])]
     first, length, row = windows(chunk.counts)
     none = len(some.hashes)
     place = first[:, None] + np.arange(WINDOW)
@@ -358,10 +373,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs' other columns and score; text_col may name a field of a struct column, which then stays."""
+    """docs' other columns and score (in place of one of that name); text_col may name a field of a struct column, which then stays."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     outer, _, field = text_col.partition(".")
-    kept = [c for c in docs.columns if field or c != outer]
+    kept = [c for c in docs.columns if (field or c != outer) and c != "score"]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", T.DoubleType())
 
     def run(batches):
