@@ -32,6 +32,7 @@ WINDOW, STRIDE = 32, 16
 BUCKETS = 1 << 16
 VECTOR, HIDDEN, ATTENTION, FIXED = 6, 8, 6, 3
 EPOCHS, STEPS, RATE, BATCH, GRAMS = 5, 100, 0.01, 256, (4, 5)
+SLICE = 1 << 14
 F32 = np.float32
 
 
@@ -77,7 +78,9 @@ class Distinct:
     def __init__(self, chunk: words.Words):
         self.hashes, first, self.index = np.unique(chunk.hashes, return_index=True, return_inverse=True)
         self.word = (self.hashes % np.uint64(BUCKETS)).astype(np.int64)
-        self.grams, self.counts = _grams(chunk, chunk.starts[first], chunk.ends[first])
+        starts, ends = chunk.starts[first], chunk.ends[first]
+        parts = [_grams(chunk, starts[i : i + SLICE], ends[i : i + SLICE]) for i in range(0, max(1, len(first)), SLICE)]
+        self.grams, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,13 +115,16 @@ class Network:
     def inputs(self, some: Distinct) -> np.ndarray:
         """(distinct words + 1, inputs); the last row stands for no word."""
         x = np.zeros((len(some.hashes) + 1, VECTOR + FIXED), F32)
-        n = len(some.hashes)
-        if n:
-            x[:n, :VECTOR] = self.p["word"][some.word] + _reduce(np.add, self.p["char"][some.grams], some.counts)
-            x[:n, VECTOR] = self.word_odds[some.word]
-            odds = self.gram_odds[some.grams]
-            x[:n, VECTOR + 1] = _reduce(np.maximum, odds, some.counts)
-            x[:n, VECTOR + 2] = _reduce(np.add, odds, some.counts) / np.maximum(1, some.counts)
+        ends = np.cumsum(some.counts)
+        for i in range(0, len(some.hashes), SLICE):
+            part = slice(i, min(i + SLICE, len(some.hashes)))
+            counts = some.counts[part]
+            grams = some.grams[ends[part.start] - counts[0] : ends[part.stop - 1]]
+            x[part, :VECTOR] = self.p["word"][some.word[part]] + _reduce(np.add, self.p["char"][grams], counts)
+            x[part, VECTOR] = self.word_odds[some.word[part]]
+            odds = self.gram_odds[grams]
+            x[part, VECTOR + 1] = _reduce(np.maximum, odds, counts)
+            x[part, VECTOR + 2] = _reduce(np.add, odds, counts) / np.maximum(1, counts)
         return x
 
     def _run(self, projected: np.ndarray, index: np.ndarray, mask: np.ndarray | None, s: str, keep: bool):
@@ -229,7 +235,7 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5, epochs: int | None
         return net
     net.trained = True
     epochs = epochs or min(60, max(EPOCHS, -(-STEPS * BATCH // (2 * len(texts)))))
-    chunk = next(iter(words.chunks(pa.array(texts, pa.large_string()), size=1 << 62)))
+    chunk = words.joined(list(words.chunks(pa.array(texts, pa.large_string()))))
     some = Distinct(chunk)
     doc = np.repeat(np.arange(len(texts)), chunk.counts)
     pair = np.unique(doc * np.int64(len(some.hashes)) + some.index)

@@ -120,6 +120,13 @@ def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
         row = to
 
 
+def joined(parts: list[Words]) -> Words:
+    """The words of consecutive groups of rows as one group."""
+    at = np.cumsum([0, *[len(p.data) for p in parts]])
+    moved = [(p.starts + a, p.ends + a) for p, a in zip(parts, at, strict=False)]
+    return Words(parts[0].first, *[np.concatenate([getattr(p, n) for p in parts]) for n in ("counts", "hashes")], *[np.concatenate([m[i] for m in moved]) for i in (0, 1)], np.concatenate([p.data for p in parts]))
+
+
 _SHINGLE = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
