@@ -248,9 +248,13 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5, epochs: int | None
     odds = [tuple(_odds(t, numbers, halves) for t in tallies) for halves in ([1], [0], [0, 1])]
     first, length, row = windows(chunk.counts)
     none = len(some.hashes)
-    place = first[:, None] + np.arange(WINDOW)
-    mask = (np.arange(WINDOW) < length[:, None]).astype(F32)
-    index = np.where(mask > 0, some.index[np.minimum(place, len(some.index) - 1)], none) if len(some.index) else np.full(place.shape, none)
+    mask, index = np.zeros((len(row), WINDOW), F32), np.full((len(row), WINDOW), none, np.int32)
+    for i in range(0, len(row), 4096):
+        part = slice(i, i + 4096)
+        mask[part] = np.arange(WINDOW) < length[part, None]
+        if len(some.index):
+            place = np.minimum(first[part, None] + np.arange(WINDOW), len(some.index) - 1)
+            index[part] = np.where(mask[part] > 0, some.index[place], none)
     r = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
