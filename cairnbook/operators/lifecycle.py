@@ -48,7 +48,7 @@ def after_failure(jobs: DataFrame, now: Column, most: int = MAX_ATTEMPTS) -> Dat
     """Failed running jobs: back to the queue after a delay, or dead at the last attempt."""
     tries = F.col("attempts") + 1
     over = tries >= most
-    return jobs.where("status = 'running'").select("id", tries.alias("attempts"), F.when(over, "dead").otherwise("queued").alias("status"), F.when(~over, F.timestamp_add("SECOND", retry_delay(tries), now) if hasattr(F, "timestamp_add") else now).alias("available_at"))
+    return jobs.where("status = 'running'").select("id", tries.alias("attempts"), F.when(over, "dead").otherwise("queued").alias("status"), F.when(~over, now + F.make_dt_interval(secs=retry_delay(tries).cast("decimal(18,6)"))).alias("available_at"))
 
 
 def idempotent(requests: DataFrame, key: str, digest: str, order: str) -> DataFrame:
