@@ -62,12 +62,12 @@ def distinct_count(values: np.ndarray, k: int = K) -> float:
 def _shared(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
     """Size of the union's sketch, and how many of its values both have."""
     both = np.concatenate((a, b))
+    if not len(both):
+        return 0, 0
     both.sort()
     twice = np.append(both[1:] == both[:-1], False)
-    first = np.append(True, both[1:] != both[:-1]) if len(both) else twice
+    first = np.append(True, both[1:] != both[:-1])
     union = both[first][:k]
-    if not len(union):
-        return 0, 0
     return len(union), int(twice[: np.searchsorted(both, union[-1], side="right")].sum())
 
 
