@@ -179,3 +179,22 @@ def a29(s, d):
     from cairnbook.sources.tables import replace_partitions
 
     return replace_partitions(fx.staged_rows(s, d).withColumn("values", F.to_json("values")), "staged", "document_id", "source_version").groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query("a30_stage_typed_rows", R + "SELECT row_index, TRY_CAST(CASE WHEN k <> '' THEN k END AS BIGINT) AS k, TRY_CAST(CASE WHEN value <> '' THEN value END AS DOUBLE) AS value, event, CAST(day AS DATE) AS day FROM fx_rows")
+def a30(s, d):
+    v = {c: F.nullif(F.trim(F.element_at("values", F.lit(c))), F.lit("")) for c in ("k", "value", "event", "day")}
+    return fx.staged_rows(s, d).select("row_index", v["k"].try_cast("bigint").alias("k"), v["value"].try_cast("double").alias("value"), v["event"].alias("event"), F.try_to_date(v["day"], "yyyy-MM-dd").alias("day"))
+
+
+@query("m7_rule_constraints")
+def m7(s, d):
+    """Rules refused when they are written: too many sources, no source, an unknown style."""
+    out = []
+    for name, make in (("nine sources", lambda: mapping.Rule("x", tuple("abcdefghi"))), ("no source", lambda: mapping.Rule("x")), ("style", lambda: mapping.Rule("x", ("a",), kind="date", style="?")), ("good", lambda: mapping.Rule("x", ("a",)))):
+        try:
+            make()
+            out.append((name, True))
+        except ValueError:
+            out.append((name, False))
+    return s.createDataFrame(out, "rule string, accepted boolean")

@@ -358,3 +358,29 @@ def d3(s, d):
     chain = F.when(~q.rlike(intent.AGGREGATION), "none").when(q.rlike(intent.COMPARE), "unsupported").when(q.rlike(intent.TOP), "top_counterparties").when(q.rlike(intent.COUNT), "count").when(q.rlike(intent.AVERAGE), "average").otherwise("sum")
     asked = s.createDataFrame([(x,) for x in QUESTIONS], "text string").unionByName(fx.table(s, d, "conversations").select("text"))
     return asked.select("text", chain.alias("metric"), q.rlike(intent.NARROWING).alias("narrowing"))
+
+
+@query("d4_date_slots")
+def d4(s, d):
+    asked = ["2026-06 total", "6月の合計", "tháng 6 năm 2025 tổng", "spent in June", "last month total", "this month total", "last year total", "this year total", "total"]
+    return s.createDataFrame([(q, *intent.date_slot(q, dt.date(2026, 7, 15))) for q in asked], "question string, date_from date, date_to date")
+
+
+@query("d6_text_slots")
+def d6(s, d):
+    asked = ["total at Sample Shop in June", "取引先: 東京ガス", "category: 会議費", "food total", "invoice total", "請求 total", "レシート total"]
+    rows = [(q, i.counterparty, i.category, i.doc_class) for q in asked for i in [intent.parse(q + " 合計", dt.date(2026, 7, 15))]]
+    return s.createDataFrame(rows, "question string, counterparty string, category string, doc_class string")
+
+
+@query("l4_templates", A + "SELECT 'sum' AS template, count(DISTINCT coalesce(currency, 'unspecified')) AS n FROM active UNION ALL SELECT 'average', count(DISTINCT coalesce(currency, 'unspecified')) FROM active UNION ALL SELECT 'count', 1 UNION ALL SELECT 'unsupported', 0")
+def l4(s, d):
+    """Rows that each template gives over all records with authority."""
+    rows = active(s, d)
+    parts = [intent.plan(rows, intent.Intent(m)).agg(F.lit(m).alias("template"), F.count("*").alias("n")) for m in ("sum", "average", "count", "unsupported")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("d2_narrowing_regex", "SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(?:where\\s+i|that\\s+i|same\\s+(?:shop|place))\\b') AS narrows FROM conversations")
+def d2(s, d):
+    return fx.table(s, d, "conversations").select("conv_id", "turn", F.col("text").rlike(r"(?i)\b(?:where\s+i|that\s+i|same\s+(?:shop|place))\b").alias("narrows"))
