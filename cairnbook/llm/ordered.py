@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,18 @@ def range_cuts(rows: DataFrame, n: int) -> list[int]:
 
 
 def range_of(col: Column, cuts: list[int]) -> Column:
-    """Number of bounds not above col; 0 for null."""
-    at = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c <= col)) if cuts else F.lit(0)
-    return F.when(col.isNull(), 0).otherwise(at).cast("int")
+    """Number of bounds not above col; 0 for null.  Two steps of about sqrt(bounds) comparisons."""
+    if not cuts:
+        return F.lit(0)
+    k = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+
+    def longs(values):
+        return F.array(*[F.lit(int(c)).cast("long") for c in values])
+
+    group = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= col))
+    inside = F.size(F.filter(F.element_at(F.array(*[longs(g) for g in groups]), F.greatest(group, F.lit(1))), lambda c: c <= col))
+    return F.when(col.isNull() | (group == 0), 0).otherwise((group - 1) * k + inside).cast("int")
 
 
 def in_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

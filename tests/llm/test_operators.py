@@ -49,6 +49,16 @@ def test_fingerprints(docs, none):
     assert fingerprints.edited_neighbours(none).count() == 0 and fingerprints.fingerprint(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 17])
+def test_ranges(spark, n):
+    from cairnbook.llm.ordered import range_of
+
+    cuts = [10 * i for i in range(n)]
+    got = spark.range(-5, 200).withColumn("r", range_of(F.col("id"), cuts)).collect()
+    assert all(r["r"] == sum(c <= r["id"] for c in cuts) for r in got)
+    assert spark.range(1).select(range_of(F.lit(None).cast("long"), cuts)).first()[0] == 0
+
+
 def test_single_document_follows_itself(spark):
     row = fingerprints.edited_neighbours(spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")).first()
     assert row["near_next"] == 1.0 and row["n_chars"] == 15
