@@ -5,7 +5,7 @@ buckets of its character n-grams (character input), next to three fixed inputs:
 largest and mean log odds of its character n-grams, counted over the training texts.  Two gated recurrent units read
 a window of WINDOW words in both directions; attention weights pool their states; a logistic unit gives the
 window's log odds.  Windows start every STRIDE words, the last one ends with the text; a text scores as its
-strongest window, so that no part of it is left out.  Training (numpy, on the driver) is multiple-instance: a
+strongest window, so that no part of it is left out.  Training (numpy, in one task over the bounded sample) is multiple-instance: a
 text's label is learnt on the window that scores highest at the time.
 
 Training rows: labelled texts of the training fold, at most SAMPLE of each label (the first by hash of the id)
@@ -17,6 +17,8 @@ training; labels that are null or not 0 or 1 are not used; without training rows
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -377,9 +379,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     drawn = [marked.where(F.col("label") == v).orderBy(by_hash, "doc_id").limit(3 * sample) for v in (0, 1)]
     joined = sized.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
     both = [joined.where(F.col("label") == v).orderBy(by_hash, "doc_id", "text").limit(sample) for v in (0, 1)]
-    got = both[0].unionByName(both[1]).select("doc_id", "text", "label").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    return train([r["text"] for r in got], np.array([r["label"] for r in got], np.int64))
+    picked = both[0].unionByName(both[1]).select("doc_id", "text", F.col("label").cast("long").alias("label")).coalesce(1)
+
+    def run(batches):
+        got = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)))
+        net = train([r[2] for r in got], np.array([r[1] for r in got], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    rows = picked.mapInArrow(run, "net binary").collect()
+    return pickle.loads(rows[0]["net"]) if rows else Network()
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
