@@ -1,16 +1,17 @@
 """Brown class-based bigram language model (operator 10).
 
-Items are the TOP most frequent words and, for all other words, their endings dealt to ENDINGS
-groups.  Exchange clustering over the items' bigram counts (of all training texts) gives
-classes; the text's probability is the product over tokens of
+The classes begin with exchange clustering (at most SWEEPS sweeps) over the bigram counts, of all training
+texts, of the TOP most frequent words and of the other words' endings, dealt to ENDINGS groups.  Then every
+other word seen SEEN times or more is inserted into the class that its own neighbours' classes make most likely:
+their number grows with the corpus.  Words seen less often, and unseen ones, have the class of their ending.
+The text's probability is the product over tokens of
 
     LAMBDA * P(class | class before) * (c + 1) / D(class)  +  (1 - LAMBDA) * (c + 1) / (N + V + 1)
 
 with c the token's training count, D(class) = tokens + types (+ 1 for unseen words) of the class,
 N training tokens and V their types.  As c + 1 is a factor of both terms, only sum(log10(c + 1)) of
-a document needs the words' counts; the rest needs classes, which follow from the frequent words
-and from a word's ending.  Counts of frequent words (at most FREQUENT) are sent to all tasks;
-those of all other words are joined by the word's 64-bit hash.
+a document needs the words' counts; the rest needs classes.  Counts and classes of frequent words (at most
+FREQUENT) are sent to all tasks; those of all other words are joined by the word's 64-bit hash.
 
 Cases: a null text is empty and has the end token alone; a null id is a training row; without
 training rows every count is 0.  Repeated rows are scored each.
@@ -29,7 +30,7 @@ from cairnbook.llm import words
 from cairnbook.llm.shared import documents, id_remainder, stored
 
 TOP, ENDINGS, CLASSES, FREQUENT = 512, 256, 64, 1 << 18
-LAMBDA, SWEEPS = 0.95, 4
+LAMBDA, SWEEPS, SEEN = 0.95, 4, 2
 HOLD_MOD, HOLD = 7, 2
 
 
@@ -68,7 +69,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Frequent words: sorted hashes, counts, and the item of each (-1: by its ending)."""
+    """Frequent words: sorted hashes, counts, the item of each (-1: by its ending), and its class once known (-1: by its item)."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
@@ -76,6 +77,7 @@ class Lexicon:
         self.items = np.full(len(hashes), -1, np.int64)
         best = np.lexsort((self.hashes, -self.counts))[:TOP]
         self.items[best] = np.arange(1, len(best) + 1)
+        self.classes = np.full(len(hashes), -1, np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hash is, and whether it is there."""
@@ -88,6 +90,10 @@ class Lexicon:
         own = self.items[at] if len(self.items) else np.full(len(hashes), -1)
         return np.where(there & (own >= 0), own, 1 + TOP + endings)
 
+    def class_(self, at: np.ndarray, there: np.ndarray, of_item: np.ndarray) -> np.ndarray:
+        own = self.classes[at] if len(self.classes) else np.full(len(at), -1)
+        return np.where(there & (own >= 0), own, of_item)
+
 
 N_ITEMS = 1 + TOP + ENDINGS  # item 0 is the end of a text
 
@@ -138,7 +144,7 @@ def _entropy(x: np.ndarray) -> np.ndarray:
 
 
 def exchange(matrix: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Exchange clustering: move each item to the class that raises the bigram likelihood most, until nothing moves.
+    """Exchange clustering: move each item to the class that raises the bigram likelihood most, until nothing moves or for so many sweeps.
 
     Item 0 keeps class 0 alone.  Items never seen get the last class.
     """
@@ -185,16 +191,120 @@ def exchange(matrix: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     return label
 
 
+def contexts(train: DataFrame, lexicon, label: np.ndarray, whole: bool) -> DataFrame:
+    """(h, code, n) of all words but the TOP: code is the class before, or CLASSES + the class after, plus 2 * CLASSES * the ending's class.
+
+    whole: the lexicon has all words that will be placed, so others are left out at once.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            h, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((code, h))
+            h, code, n = h[order], code[order], n[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(code[first].astype(np.int16)), pa.array(np.add.reduceat(n, first))], ["h", "code", "n"])
+
+        for batch in batches:
+            for chunk in words.chunks(batch.column(0)):
+                if not len(chunk.hashes):
+                    continue
+                distinct, index, _, there, item = _distinct(chunk, lexicon.value)
+                before, tokens, _ = _before_after(label[item][index], chunk.counts)
+                at = np.arange(len(index)) + np.repeat(np.arange(len(chunk.counts)), chunk.counts)
+                some = np.flatnonzero(((item > TOP) & (there | (not whole)))[index])
+                if not len(some):
+                    continue
+                key = index[some] * (2 * CLASSES)
+                key, n = np.unique(np.concatenate((key + before[at[some]], key + CLASSES + tokens[at[some] + 1])), return_counts=True)
+                which, code = np.divmod(key, 2 * CLASSES)
+                held.append((distinct[which], code + 2 * CLASSES * label[item[which]], n.astype(np.int64)))
+                size += len(n)
+                if size > 3_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return train.mapInArrow(run, "h long, code short, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
+
+
+def insert(cells: np.ndarray, sizes: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the bigram likelihood most, when it is taken out of its ending's class; sizes: its entries of (code, n)."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    first = np.cumsum(sizes) - sizes
+    side, old = code % (2 * CLASSES), code // (2 * CLASSES)
+    row = np.concatenate((cells, cells.T))  # class i before: cells (i, g); class j after: cells (g, j)
+    without = row[side]
+    place = np.arange(len(code))
+    without[place, old] = np.maximum(without[place, old] - n, 0)
+    gain = np.add.reduceat(_entropy(without + n[:, None]) - _entropy(without), first, axis=0)
+    count = np.add.reduceat(np.where(side < CLASSES, n, 0), first).astype(float)
+    mine, each = old[first], np.arange(len(sizes))
+    for total in (cells.sum(1), cells.sum(0)):
+        rest = np.tile(total, (len(sizes), 1))
+        rest[each, mine] = np.maximum(rest[each, mine] - count, 0)
+        gain -= _entropy(rest + count[:, None]) - _entropy(rest)
+    gain[:, 0] = -np.inf
+    return np.argmax(gain, 1)
+
+
+def placed(found: DataFrame, cells: np.ndarray) -> DataFrame:
+    """(h, cls) of all words of contexts() seen SEEN times or more; a word has at most 2 * CLASSES entries."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                entries = part.column("x").flatten()
+                sizes = part.column("x").value_lengths().to_numpy().astype(np.int64)
+                cls = insert(cells, sizes, entries.field(0).to_numpy().astype(np.int64), entries.field(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls.astype(np.int16))], ["h", "cls"])
+
+    before = F.when(F.col("code") % (2 * CLASSES) < CLASSES, F.col("n")).otherwise(0)
+    by_word = found.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("x"), F.sum(before).alias("c")).where(F.col("c") >= SEEN)
+    return by_word.select("h", "x").mapInArrow(run, "h long, cls short")
+
+
+def class_bigrams(sequences: DataFrame) -> np.ndarray:
+    """Class bigrams of a column of class sequences (a byte a token, without ends)."""
+
+    def run(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for before, tokens, _ in _sequences(batch.column(0)):
+                total += np.bincount(before * CLASSES + tokens, minlength=len(total))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+    got = sequences.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(CLASSES * CLASSES)
+    cells[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return cells.reshape(CLASSES, CLASSES)
+
+
+def _sequences(column):
+    """_before_after of some rows at a time."""
+    for at in range(0, len(column), 256):
+        some = column.slice(at, 256).to_pylist()
+        yield _before_after(np.frombuffer(b"".join(some), np.uint8).astype(np.int64), np.array([len(x) for x in some], np.int64))
+
+
 class Model:
     """log10 of the class part of a token's probability, for each class before and class."""
 
-    def __init__(self, matrix: np.ndarray, label: np.ndarray, types: np.ndarray, n_tokens: int, n_types: int, classes: int = CLASSES):
+    def __init__(self, matrix: np.ndarray, label: np.ndarray, types: np.ndarray, n_tokens: int, n_types: int, classes: int = CLASSES, unseen: np.ndarray | None = None):
+        """unseen: classes that unseen words can have (default: those of the endings' items)."""
         one = np.zeros((len(label), classes))
         one[np.arange(len(label)), label] = 1
         cells = one.T @ matrix @ one
         size = cells.sum(0)
         open_ = np.zeros(classes)
-        open_[label[1 + TOP :]] = 1
+        open_[label[1 + TOP :] if unseen is None else unseen] = 1
         emission = size + one.T @ types + open_
         prior = (size + 1) / (size.sum() + classes)
         step = (cells + classes * prior) / (cells.sum(1, keepdims=True) + classes)
@@ -204,9 +314,9 @@ class Model:
 
 
 def fit(train: DataFrame, counts: DataFrame):
-    """Lexicon and Model (both broadcast) of the training texts, with N and V.
+    """Lexicon with classes (broadcast), labels of the items, (h, c, cls) of all words (cls null: by ending), types by class, N and V, training texts.
 
-    To the driver: a histogram of counts, FREQUENT words, N_ITEMS squared bigrams, type counts by ending.
+    To the driver: a histogram of counts, FREQUENT words, N_ITEMS squared bigrams, type counts by class.
     """
     spark = train.sparkSession
     n_texts = train.count()
@@ -218,31 +328,40 @@ def fit(train: DataFrame, counts: DataFrame):
         least = row["c"]
     if steps and room < 0 and steps[0]["n"] > FREQUENT:
         least = 1_000_001
-    top = counts.where(F.col("c") >= max(2, least)).select("h", "c").toArrow()
+    frequent = F.col("c") >= max(2, least)
+    top = counts.where(frequent).select("h", "c").toArrow()
     lexicon = Lexicon(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy())
     n_types = sum(r["n"] for r in steps) + (n_texts > 0)
     n_tokens = sum(r["s"] for r in steps) + n_texts
     lex = spark.sparkContext.broadcast(lexicon)
     matrix = bigram_counts(train, lex)
-    types = np.zeros(N_ITEMS)
-    types[0] = 1 if n_texts else 0
-    by_ending = {r["ending"]: r["n"] for r in counts.groupBy("ending").count().withColumnRenamed("count", "n").collect()}
-    for e, n in by_ending.items():
-        types[1 + TOP + e] = n
-    own = lexicon.items[lexicon.items > 0]
-    types[own] = 1
-    endings = counts.where(F.col("h").isin([int(x) for x in lexicon.hashes[lexicon.items > 0].view(np.int64)])).select("ending").collect() if len(own) else []
-    for r in endings:
-        types[1 + TOP + r["ending"]] -= 1
-    return lex, spark.sparkContext.broadcast(Model(matrix, exchange(matrix), types, n_tokens, n_types)), n_tokens, n_types
-
-
-def _scan(rows: DataFrame, lex, model) -> DataFrame:
-    """For each row: what needs no join (rare = false), and its words outside the lexicon with their numbers (rare = true)."""
-    names = ["rid", "rare", "doc_id", "held_out", "n_tokens", "n_known", "sum_known", "sum_class", "h", "tf"]
+    label = exchange(matrix)
+    one = np.zeros((N_ITEMS, CLASSES))
+    one[np.arange(N_ITEMS), label] = 1
+    own = lexicon.items > 0
+    seeds = spark.createDataFrame([(int(h), int(c)) for h, c in zip(lexicon.hashes[own].view(np.int64), label[lexicon.items[own]], strict=True)], "h long, cls short")
+    whole = max(2, least) <= SEEN
+    classes = placed(contexts(train, lex, label, whole), one.T @ matrix @ one).unionByName(seeds)
+    known = stored(counts.join(classes, "h", "left"), "lm-words")
+    by_ending = F.element_at(F.array(*[F.lit(int(x)) for x in label[1 + TOP :]]), F.col("ending") + 1)
+    types = np.zeros(CLASSES)
+    for r in known.groupBy(F.coalesce(F.col("cls").cast("int"), by_ending).alias("g")).agg(F.count("*").alias("n")).collect():
+        types[r["g"]] += r["n"]
+    types[0] += 1 if n_texts else 0
+    mine = known.where(frequent & F.col("cls").isNotNull()).select("h", "cls").toArrow()
+    lexicon.classes[lexicon.find(mine["h"].to_numpy().view(np.uint64))[0]] = mine["cls"].to_numpy()
+    return spark.sparkContext.broadcast(lexicon), label, known, types, n_tokens, n_types, n_texts
+
+
+def _scan(rows: DataFrame, lex, label: np.ndarray) -> DataFrame:
+    """For each row: what needs no join (rare = false), and its words outside the lexicon with number and places (rare = true).
+
+    classes has a byte a word; places (int32 each) are where the joined class of a rare word goes.
+    """
+    names = ["rid", "rare", "doc_id", "held_out", "n_tokens", "n_known", "sum_known", "classes", "h", "tf", "places"]
 
     def run(batches):
-        lexicon, m = lex.value, model.value
+        lexicon = lex.value
         log_count = np.log10(lexicon.counts + 1.0) if len(lexicon.counts) else np.zeros(1)
         for batch in batches:
             rid, doc, held = (batch.column(x).to_numpy(zero_copy_only=False) if x != "doc_id" else batch.column(x) for x in ("rid", "doc_id", "held_out"))
@@ -250,37 +369,82 @@ def _scan(rows: DataFrame, lex, model) -> DataFrame:
                 n = len(chunk.counts)
                 distinct, index, at, there, item = _distinct(chunk, lexicon)
                 row = np.repeat(np.arange(n), chunk.counts)
-                before, tokens, begins = _before_after(m.label[item][index] if len(index) else index, chunk.counts)
-                sum_class = np.add.reduceat(m.table[before, tokens], begins) if n else np.zeros(0)
+                cls = lexicon.class_(at, there, label[item])[index].astype(np.uint8) if len(index) else np.zeros(0, np.uint8)
+                begins = np.cumsum(chunk.counts) - chunk.counts
+                offsets = pa.array(np.r_[begins, len(index)].astype(np.int32))
+                classes = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(cls.tobytes())])
                 logs = np.where(there, log_count[at], 0.0) if len(distinct) else np.zeros(0)
                 known = there[index] if len(index) else np.zeros(0, bool)
                 sum_known = np.bincount(row, logs[index] if len(index) else None, minlength=n)
                 some = slice(chunk.first, chunk.first + n)
                 empty = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(np.zeros(n, bool)), doc.slice(chunk.first, n), pa.array(held[some]), pa.array(chunk.counts + 1), pa.array(np.bincount(row[known], minlength=n)), pa.array(sum_known.astype(float)), pa.array(sum_class), empty, empty], names)
-                pair, tf = np.unique(row[~known] * (len(distinct) + 1) + index[~known], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(np.zeros(n, bool)), doc.slice(chunk.first, n), pa.array(held[some]), pa.array(chunk.counts + 1), pa.array(np.bincount(row[known], minlength=n)), pa.array(sum_known.astype(float)), classes, empty, empty, pa.nulls(n, pa.binary())], names)
+                rare = np.flatnonzero(~known)
+                pairs = row[rare] * (len(distinct) + 1) + index[rare]
+                order = np.argsort(pairs, kind="stable")
+                pair, first, tf = np.unique(pairs[order], return_index=True, return_counts=True)
                 if k := len(pair):
                     to, which = np.divmod(pair, len(distinct) + 1)
-                    none = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[chunk.first + to]), pa.array(np.ones(k, bool)), *none, pa.array(distinct[which].view(np.int64)), pa.array(tf.astype(np.int64))], names)
+                    none = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
+                    where = (rare - begins[row[rare]])[order].astype(np.int32)
+                    edges = pa.array((np.r_[first, len(where)] * 4).astype(np.int32))
+                    places = pa.Array.from_buffers(pa.binary(), k, [None, edges.buffers()[1], pa.py_buffer(where.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[chunk.first + to]), pa.array(np.ones(k, bool)), *none, pa.array(distinct[which].view(np.int64)), pa.array(tf.astype(np.int64)), places], names)
+
+    return rows.mapInArrow(run, "rid long, rare boolean, doc_id long, held_out boolean, n_tokens long, n_known long, sum_known double, classes binary, h long, tf long, places binary")
+
+
+def _patched(rows: DataFrame) -> DataFrame:
+    """rows with the classes of moved (cls, places) put into classes."""
+    kept = [c for c in rows.columns if c not in ("classes", "moved")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for classes, moved in zip(batch.column("classes").to_pylist(), batch.column("moved").to_pylist(), strict=True):
+                if moved:
+                    new = np.frombuffer(classes, np.uint8).copy()
+                    for x in moved:
+                        new[np.frombuffer(x["places"], np.int32)] = x["cls"]
+                    classes = new.tobytes()
+                out.append(classes)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.binary())], [*kept, "classes"])
+
+    return rows.mapInArrow(run, rows.select(*kept, "classes").schema)
+
+
+def _class_sums(rows: DataFrame, model) -> DataFrame:
+    """rows with sum_class in place of classes."""
+    kept = [c for c in rows.columns if c != "classes"]
+
+    def run(batches):
+        for batch in batches:
+            sums = [np.add.reduceat(model.value.table[before, tokens], begins) for before, tokens, begins in _sequences(batch.column("classes"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(sums) if sums else [], pa.float64())], [*kept, "sum_class"])
 
-    return rows.mapInArrow(run, "rid long, rare boolean, doc_id long, held_out boolean, n_tokens long, n_known long, sum_known double, sum_class double, h long, tf long")
+    return rows.mapInArrow(run, rows.select(*kept, F.lit(0.0).alias("sum_class")).schema)
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit on the rows whose crc32(id) mod 7 is not 2 and score all rows; four scans of the texts."""
+    """Fit on the rows whose crc32(id) mod 7 is not 2 and score all rows; four scans of the texts, two of their classes."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (id_remainder(F.col(id_col), HOLD_MOD) == HOLD).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = rows.where("not held_out").select("text")
     counts = stored(word_counts(train), "lm-counts")
-    lex, model, n_tokens, n_types = fit(train, counts)
-    scanned = stored(_scan(rows.withColumn("rid", F.monotonically_increasing_id()), lex, model), "lm-scan", "rare")
+    lex, label, known, types, n_tokens, n_types, n_texts = fit(train, counts)
+    scanned = stored(_scan(rows.withColumn("rid", F.monotonically_increasing_id()), lex, label), "lm-scan", "rare")
     rare = (
-        scanned.where("rare").select("rid", "h", "tf").join(counts.select("h", "c"), "h", "left")
-        .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("tf")).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"))
+        scanned.where("rare").select("rid", "h", "tf", "places").join(known.select("h", "c", "cls"), "h", "left")
+        .groupBy("rid").agg(
+            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) * F.col("tf")).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"),
+            F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("cls", "places"))).alias("moved"),
+        )
     )
-    end = math.log10((n_tokens and train.count()) + 1)
-    out = scanned.where("not rare").join(rare, "rid", "left")
-    counted = F.col("sum_known") + F.coalesce("s", F.lit(0.0)) + F.lit(end)
+    joined = scanned.where("not rare").join(rare, "rid", "left").select("doc_id", "held_out", "n_tokens", "n_known", "sum_known", "s", "k", "classes", "moved")
+    ready = stored(_patched(joined), "lm-classes")
+    cells = class_bigrams(ready.where("not held_out").select("classes"))
+    model = df.sparkSession.sparkContext.broadcast(Model(cells, np.arange(CLASSES), types, n_tokens, n_types, unseen=label[1 + TOP :]))
+    out = _class_sums(ready, model)
+    counted = F.col("sum_known") + F.coalesce("s", F.lit(0.0)) + F.lit(math.log10(n_texts + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0)) + F.lit(int(n_types > 0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
         (counted - F.col("n_tokens") * F.lit(math.log10(n_tokens + n_types + 1))).alias("base_score"), (counted + F.col("sum_class")).alias("score"),

@@ -213,6 +213,43 @@ def test_rare_words_are_joined(spark, docs, monkeypatch):
     assert sorted((tuple(r) for r in brown.score_texts(docs).select("doc_id", "n_known", F.round("base_score", 6)).collect()), key=repr) == want
 
 
+def test_words_beyond_the_top_have_their_own_class(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    a, b = ([f"{k}{i}xyz" for i in range(700)] for k in "pq")  # equal endings, and two kinds of words that alternate
+    texts = [(i, " ".join(w for x, y in zip(r.choice(a, 60), r.choice(b, 60), strict=True) for w in (x, y))) for i in range(1, 400)]
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    odd = spark.createDataFrame([(7_000_000 + i, " ".join(np.r_[r.choice(a, 60), r.choice(b, 60)])) for i in range(40)], "doc_id long, text string")
+    held = [f"crc32(encode(cast(doc_id as string), 'UTF-8')) % 7 {x} 2" for x in ("<>", "=")]
+    both = df.unionByName(odd.where(held[1]))
+    scores = {}
+    for frequent in (brown.FREQUENT, 1000):  # below: some words are joined, not broadcast
+        monkeypatch.setattr(brown, "FREQUENT", frequent)
+        got = [x for x in brown.score_texts(both).collect() if x["held_out"]]
+        scores[frequent] = sorted((x["doc_id"], round(x["score"], 6)) for x in got)
+        usual, unusual = ([x["score"] - x["base_score"] for x in got if (x["doc_id"] >= 7_000_000) == k] for k in (False, True))
+        assert len(unusual) and min(usual) > max(unusual) + 30
+    first, second = scores.values()
+    assert first == second
+    train = df.where(held[0]).select("text")
+    counts = brown.word_counts(train).cache()
+    known = brown.fit(train, counts)[2]
+    assert known.where("c >= 2 and cls is null").count() == 0 and known.where("cls is not null").count() > 2 * brown.TOP
+
+
+def test_insert_finds_the_best_class():
+    r = np.random.default_rng(2)
+    k = brown.CLASSES
+    cells = r.poisson(9, (k, k)).astype(float)
+    sizes, code, n = [], [], []
+    for g in (5, 17, 40):  # words with the neighbours of class g, taken from class 3
+        cells[g, g + 1] += 400
+        cells[g + 2, g] += 400
+        sizes.append(2)
+        code += [g + 2 + 2 * k * 3, k + g + 1 + 2 * k * 3]
+        n += [7, 7]
+    assert brown.insert(cells, np.array(sizes), np.array(code), np.array(n)).tolist() == [5, 17, 40]
+
+
 def test_search(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in r.normal(0, 0.3, 6)]) for i in range(450)]
