@@ -175,7 +175,7 @@ def d33b(s, d):
 
 @query("d37_html_escape", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def d37(s, d):
-    return fx.table(s, d, "pages").select("page_id", tx.html_escape(F.substring("html", 1, 200)).alias("escaped"))
+    return fx.table(s, d, "pages").select("page_id", tx.html_escape("html").alias("escaped"))
 
 
 @query("d39_retry_delay", "SELECT n AS attempts, CAST(least(30 * pow(2, n - 1), 3600) AS BIGINT) AS seconds FROM range(1, 13) t(n)")
