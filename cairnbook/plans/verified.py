@@ -181,7 +181,7 @@ def j11(s, d):
 
 @query("j12_lookup_lists", "SELECT o_orderkey, list_sort(list(l_linenumber)) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
 def j12(s, d):
-    return fx.table(s, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
+    return fx.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
 
 
 @query("j17_three_way_outer", f"WITH {SQL_VERIFIED}, {SQL_EXTRACTED}, {SQL_BATCHES} SELECT id, status, lifecycle FROM fx_verified JOIN fx_extracted ON extraction_id = extracted_id LEFT JOIN fx_batches ON active_batch_id = batch_id")

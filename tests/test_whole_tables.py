@@ -18,3 +18,13 @@ def test_html_escape_takes_whole_pages(spark):
     want = {i: None if x is None else html.escape(x) for i, x in rows("pages", "page_id", "html")}
     assert any(len(x) > 400 for x in want.values())
     assert {r["page_id"]: r["escaped"] for r in QUERIES["d37_html_escape"](spark, DIR).collect()} == want
+
+
+def test_lookup_lists_of_all_orders(spark):
+    want = defaultdict(list)
+    for order, line in rows("lineitem", "l_orderkey", "l_linenumber"):
+        want[order].append(line)
+    known = {o for (o,) in rows("orders", "o_orderkey")}
+    want = {o: sorted(x) for o, x in want.items() if o in known}
+    assert max(want) >= 500
+    assert {r["o_orderkey"]: r["lines"] for r in QUERIES["j12_lookup_lists"](spark, DIR).collect()} == want
