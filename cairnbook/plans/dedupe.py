@@ -31,7 +31,7 @@ HASH = "SELECT p_partkey AS document_id, (p_partkey * 2654435761) % 4294967296 *
 
 @query("j15_hamming_join", f"WITH h AS ({HASH}) SELECT a.document_id, b.document_id AS other_id, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.phash, b.phash)) / 64.0::DOUBLE) AS score FROM h a JOIN h b ON a.document_id < b.document_id WHERE bit_count(xor(a.phash, b.phash)) <= 8")
 def j15(s, d):
-    base = fx.table(s, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("document_id"), ((F.col("p_partkey") * 2654435761) % 4294967296 * 3).alias("phash"), (F.col("p_partkey") % 20).cast("int").alias("bit"))
+    base = fx.table(s, d, "part").select(F.col("p_partkey").alias("document_id"), ((F.col("p_partkey") * 2654435761) % 4294967296 * 3).alias("phash"), (F.col("p_partkey") % 20).cast("int").alias("bit"))
     flip = F.col("phash").bitwiseXOR(F.expr("shiftleft(1L, bit)"))
     both = base.select("document_id", "phash").unionByName(base.select((F.col("document_id") + 1000000).alias("document_id"), flip.alias("phash")))
     return dedupe.near_hashes(both).select("document_id", "other_id", F.col("distance").cast("int").alias("distance"), "score")

@@ -28,3 +28,15 @@ def test_lookup_lists_of_all_orders(spark):
     want = {o: sorted(x) for o, x in want.items() if o in known}
     assert max(want) >= 500
     assert {r["o_orderkey"]: r["lines"] for r in QUERIES["j12_lookup_lists"](spark, DIR).collect()} == want
+
+
+def test_hamming_join_of_all_parts(spark):
+    hashes = []
+    for (p,) in rows("part", "p_partkey"):
+        x = p * 2654435761 % 2**32 * 3
+        hashes += [(p, x), (p + 1000000, x ^ 1 << p % 20)]
+    pairs = {(a, b): (x ^ y).bit_count() for a, x in hashes for b, y in hashes if a < b}
+    want = {p: n for p, n in pairs.items() if n <= 8}
+    got = QUERIES["j15_hamming_join"](spark, DIR).collect()
+    assert {(r["document_id"], r["other_id"]): r["distance"] for r in got} == want and len(got) == len(want)
+    assert all(abs(r["score"] - (1 - r["distance"] / 64)) < 1e-12 for r in got)
