@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from cairnbook.llm import words
 from cairnbook.llm.shared import documents, stored
 
-BUCKETS, STRENGTH, SMOOTH, LEAST, LANGUAGES = 1 << 15, 40, 20.0, 0.6, 64
+BUCKETS, STRENGTH, SMOOTH, LEAST, HELD = 1 << 15, 40, 20.0, 0.6, 64
 UNKNOWN = "und"
 
 _CLASS = np.full(256, 32, np.uint32)
@@ -83,33 +83,53 @@ class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         """counts: (languages, BUCKETS)."""
         self.languages = [*languages, UNKNOWN]
-        smooth = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS) if len(languages) else np.zeros((0, BUCKETS))
-        self.table = np.log(np.vstack((smooth, np.full((1, BUCKETS), 1 / BUCKETS)))).T.astype(np.float32).copy()
+        self.table = np.full((BUCKETS, len(languages) + 1), np.log(1 / BUCKETS), np.float32)
+        for i in range(len(languages)):
+            self.table[:, i] = np.log((counts[i] + 0.5) / (counts[i].sum() + 0.5 * BUCKETS))
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
-    """Trigram counts of all texts by language; at most LANGUAGES (the most frequent) times BUCKETS numbers reach the driver."""
+    """Trigram counts of all texts by language; at most BUCKETS numbers of each language reach the driver.
+
+    A task holds the counts of HELD languages and of those of one piece at a time.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN)).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
 
     def run(batches):
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         number = {lang: i for i, lang in enumerate(languages)}
+        total = {}
+
+        def flush():
+            for i, of in total.items():
+                some = np.flatnonzero(of)
+                yield pa.RecordBatch.from_arrays([pa.array(some + i * BUCKETS), pa.array(of[some])], ["cell", "n"])
+            total.clear()
+
         for batch in batches:
-            own = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for first, to, offs, data in _pieces(batch.column("text")):
                 if len(data) < 3:
                     continue
                 bucket, good = _trigrams(data)
-                which = np.repeat(own[first:to], np.diff(offs))[1:-1]
-                good &= which >= 0
-                total += np.bincount(which[good] * BUCKETS + bucket[good], minlength=total.size).reshape(total.shape)
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total.reshape(-1)[some])], ["cell", "n"])
-
-    got = rows.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow() if languages else None
-    counts = np.zeros(len(languages) * BUCKETS)
+                there, which = np.unique(own[first:to], return_inverse=True)
+                which = np.repeat(which, np.diff(offs))[1:-1]
+                bucket, which = bucket[good], which[good]
+                for at in range(0, len(there), HELD):
+                    some = there[at : at + HELD]
+                    mine = (which >= at) & (which < at + HELD)
+                    got = np.bincount((which[mine] - at) * BUCKETS + bucket[mine], minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+                    for i, of in zip(some.tolist(), got, strict=True):
+                        if i in total:
+                            total[i] += of
+                        else:
+                            total[i] = of.copy()
+                    if len(total) > HELD:
+                        yield from flush()
+        yield from flush()
+
+    got = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow() if languages else None
+    counts = np.zeros(len(languages) * BUCKETS, np.int64)
     if got is not None:
         counts[got["cell"].to_numpy()] = got["n"].to_numpy()
     return TextModel(languages, counts.reshape(len(languages), BUCKETS))

@@ -299,6 +299,18 @@ def test_language(spark, docs):
     assert langid.identify_documents(docs.limit(0), langid.train(docs.limit(0))).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    r = np.random.default_rng(9)
+    lexica = {f"l{i:02}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4)] for i in range(70)}
+    rows = [(n, " ".join(r.choice(lex, 25)), lang, "s") for n, (lang, lex) in enumerate(list(lexica.items()) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    model = langid.train(df)
+    assert model.languages == [*sorted(lexica), "und"]
+    plain = df.select("doc_id", "text", F.col("lang").alias("truth"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
+    got = langid.identify_documents(plain, model).select("row.truth", "lang_found", "accepted").collect()
+    assert len(got) == len(rows) and all(x["truth"] == x["lang_found"] and x["accepted"] for x in got)
+
+
 def test_toxicity(spark, docs, none):
     r = np.random.default_rng(4)
     rows = [(i, " ".join([*r.choice([f"n{k}" for k in range(99)], 50), *(["awfulword"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(200)]
