@@ -143,22 +143,27 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _members(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, set) of the wanted (doc_id, sid); the texts are read again, most others stop at a Bloom filter."""
-    mask = rows.sparkSession.sparkContext.broadcast(_bloom(wanted.select("doc_id")))
+    """(sid, set) of the wanted (doc_id, sid); the texts are read again, most others stop at a Bloom filter.
+
+    Sets without any id are found by sid alone, among the rows without id.
+    """
+    mask = rows.sparkSession.sparkContext.broadcast(_bloom(wanted.where("doc_id is not null").select("doc_id")))
+    nameless = wanted.where("doc_id is null").limit(1).count() > 0
 
     def run(batches):
         bits = len(mask.value) * 8
         for batch in batches:
-            doc = batch.column("doc_id").to_numpy()
-            a, b = _bloom_cells(doc, bits)
+            null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            a, b = _bloom_cells(batch.column("doc_id").fill_null(0).to_numpy(), bits)
             hit = (mask.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (mask.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
-            some = np.flatnonzero(hit)
+            some = np.flatnonzero(np.where(null, nameless, hit))
             part = batch.take(pa.array(some))
             got = list(_sets(part.column("text"), n))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_identity(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "sid", "tokens"])
 
-    found = rows.where("doc_id is not null").mapInArrow(run, "doc_id long, sid long, tokens binary")
-    return found.join(wanted.select("doc_id", "sid"), ["doc_id", "sid"], "left_semi")
+    found = rows.mapInArrow(run, "doc_id long, sid long, tokens binary")
+    asked = wanted.select(F.col("doc_id").alias("asked"), F.col("sid").alias("asked_sid"))
+    return found.join(asked, found["doc_id"].eqNullSafe(asked["asked"]) & (found["sid"] == asked["asked_sid"]), "left_semi")
 
 
 def _joined(tasks: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,7 +189,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"))
     edges = _candidates(rows, sets, n, num, den)
     cluster = stored(components(edges, name="jaccard-clusters"), "jaccard-cluster")
-    member = stored(cluster.join(sets.where("doc_id is not null"), cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
+    member = stored(cluster.join(sets, cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
     tokens = stored(_members(rows, member, n).dropDuplicates(["sid"]).select("sid", "tokens"), "jaccard-sets")
     # blocks of a cluster; a cluster's smallest set is the hub of each of its blocks
     size = member.groupBy("cluster").agg(F.count("*").alias("size"), F.min("sid").alias("hub"))

@@ -104,6 +104,14 @@ def test_jaccard_chains_and_large_groups(spark, monkeypatch):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()), key=repr) == brute_components(rows, 4, 85, 100)
 
 
+def test_jaccard_texts_without_id_link(spark):
+    base = [f"b{i}" for i in range(200)]
+    a, b = (" ".join(f"{k}{i}" if i in at else w for i, w in enumerate(base)) for k, at in (("x", (20, 60, 100)), ("y", (40, 80, 120))))
+    rows = [(4, a), (None, " ".join(base)), (9, b), (None, "alone without id"), (11, "other text of some words")]  # 4 and 9 meet through the row without id only
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == sorted([(4, 4), (None, 4), (9, 4), (None, None), (11, 11)], key=repr)
+
+
 def test_components(spark, monkeypatch):
     from cairnbook.llm import components as c
 
