@@ -2,6 +2,12 @@
 
 For tokenizers that drop white space and never join characters across ASCII white space, the ids
 of a text are those of its words in order.  Each worker keeps the ids of words it has met.
+
+Words are looked up by their hashes, and their bytes compared with those of the word found; a word that
+shares its hash with another is kept by its bytes.
+
+Cases: a null or empty text, or one of white space, has no ids but the end id; a word of any length is one word;
+ids of one text follow from the text alone, whatever was met before.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import numpy as np
 from cairnbook.llm import words
 
 TOKENIZER = "word_bpe_49k.json"
-KEPT = 1_500_000
+KEPT, KEPT_BYTES = 1_500_000, 1 << 26
 
 
 class WordTokenizer:
@@ -28,33 +34,68 @@ class WordTokenizer:
 
     def _clear(self):
         self.slots: dict[int, int] = {}
+        self.others: dict[bytes, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint16), 0
-
-    def _learn(self, chunk: words.Words, which: np.ndarray, hashes: list[int]):
-        text = chunk.data.tobytes()
-        found = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(chunk.starts[which].tolist(), chunk.ends[which].tolist(), strict=True)], add_special_tokens=False)
-        for h, encoding in zip(hashes, found, strict=True):
-            ids, slot = encoding.ids, len(self.slots)
+        self.text_starts, self.text_sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.text, self.text_used, self.known = np.zeros(1 << 20, np.uint8), 0, 0
+
+    def _learn(self, words_: list[bytes]) -> list[int]:
+        """Slots of new words."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words_], add_special_tokens=False)
+        out = []
+        for word, encoding in zip(words_, found, strict=True):
+            ids, slot = encoding.ids, self.known
             if slot == len(self.starts):
-                self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+                self.starts, self.sizes, self.text_starts, self.text_sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.text_starts, self.text_sizes))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            while self.text_used + len(word) > len(self.text):
+                self.text = np.concatenate((self.text, np.zeros_like(self.text)))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[slot], self.sizes[slot] = self.used, len(ids)
+            self.text[self.text_used : self.text_used + len(word)] = np.frombuffer(word, np.uint8)
+            self.starts[slot], self.sizes[slot], self.text_starts[slot], self.text_sizes[slot] = self.used, len(ids), self.text_used, len(word)
             self.used += len(ids)
-            self.slots[h] = slot
+            self.text_used += len(word)
+            self.known += 1
+            out.append(slot)
+        return out
 
     def encode(self, chunk: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the chunk one after the other, and their number in each row."""
-        distinct, first, index = np.unique(chunk.hashes, return_index=True, return_inverse=True)
-        if len(self.slots) > KEPT:
+        keys, first, index = np.unique(chunk.hashes, return_index=True, return_inverse=True)
+        size = chunk.ends - chunk.starts
+
+        def word(at: int) -> bytes:
+            return chunk.data[chunk.starts[at] : chunk.ends[at]].tobytes()
+
+        other = first[index]
+        odd = np.flatnonzero(~words.equal(chunk.data, chunk.starts, size, chunk.data, chunk.starts[other], size[other]))
+        if len(odd):  # words of one hash that differ
+            apart: dict[bytes, int] = {}
+            more = []
+            for at in odd.tolist():
+                if (w := word(at)) not in apart:
+                    apart[w] = len(first) + len(more)
+                    more.append(at)
+                index[at] = apart[w]
+            keys, first = np.concatenate((keys, chunk.hashes[more])), np.concatenate((first, more))
+        if self.known > KEPT or self.text_used > KEPT_BYTES:
             self._clear()
-        keys = distinct.tolist()
-        slot = np.fromiter(map(self.slots.get, keys, [-1] * len(keys)), np.int64, len(keys))
+        names = keys.tolist()
+        slot = np.fromiter(map(self.slots.get, names, [-1] * len(names)), np.int64, len(names))
+        there = np.flatnonzero(slot >= 0)
+        same = words.equal(chunk.data, chunk.starts[first[there]], size[first[there]], self.text[: self.text_used], self.text_starts[slot[there]], self.text_sizes[slot[there]])
+        for i in there[~same].tolist():
+            if (w := word(first[i])) not in self.others:
+                self.others[w] = self._learn([w])[0]
+            slot[i] = self.others[w]
         if len(new := np.flatnonzero(slot < 0)):
-            self._learn(chunk, first[new], [keys[i] for i in new.tolist()])
-            slot[new] = [self.slots[keys[i]] for i in new.tolist()]
+            got = self._learn([word(i) for i in first[new].tolist()])
+            slot[new] = got
+            for i, s in zip(new.tolist(), got, strict=True):
+                if self.slots.setdefault(names[i], s) != s:
+                    self.others[word(first[i])] = s
         sizes = self.sizes[slot][index] if len(index) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         begins = self.starts[slot][index] - (ends - sizes) if len(index) else sizes

@@ -2,9 +2,10 @@
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D, with A-Z lowered.
 A text is read as UTF-8 bytes; all separators are ASCII, so this is the same as
-matching ``[^\\x20\\x09-\\x0D]+`` on code points.  Every word gets a 64-bit hash
-(sum of random byte values times powers of an odd base, then mixed); two different
-words meet with a chance of 2**-64.
+matching ``[^\\x20\\x09-\\x0D]+`` on code points.  Every word gets a 64-bit hash: each eight
+bytes, with their place in the word, are mixed by themselves (multiplications and shifts, so that
+no arithmetic relation between bytes survives), then summed and mixed with the length.
+``equal`` compares the bytes themselves where a meeting of hashes must not be taken for equality.
 """
 
 from __future__ import annotations
@@ -18,28 +19,14 @@ import pyarrow as pa
 U64 = np.uint64
 CHUNK = 1 << 20
 PIECE = 1 << 22
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = (32, 9, 10, 11, 12, 13)
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(_SPACES)] = False
-_VALUE = np.random.default_rng(20250101).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_EXACT = _VALUE.copy()
-_VALUE[65:91] = _VALUE[97:123]
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        out = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            out.append(np.multiply.accumulate(table))
-        _powers[:] = out
-    return _powers
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEEP = np.array([0, *[(1 << 8 * i) - 1 for i in range(1, 9)]], np.uint64)  # of so many bytes of eight
+_PLACE, _LENGTH = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +58,44 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
-def _split(data: np.ndarray, breaks: np.ndarray, value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number (zeros after the end); a view of a padded copy."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than eight bytes, their first block, and word and number of each of their blocks after the first."""
+    some = np.flatnonzero(size > 8)
+    n = (size[some] - 1) >> 3
+    first = np.cumsum(n) - n
+    return some, first, np.repeat(some, n), np.arange(int(n.sum())) - np.repeat(first, n) + 1
+
+
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    wide, size = _eights(data), ends - starts
+    total = mix((wide[starts] & _KEEP[np.minimum(size, 8)]) ^ _PLACE)
+    some, first, owner, k = _blocks(size)
+    if len(some):
+        block = wide[starts[owner] + 8 * k] & _KEEP[np.minimum(size[owner] - 8 * k, 8)]
+        total[some] += np.add.reduceat(mix(block ^ (k + 1).astype(np.uint64) * _PLACE), first)
+    return mix(total + size.astype(np.uint64) * _LENGTH)
+
+
+def equal(data_a: np.ndarray, starts_a: np.ndarray, sizes_a: np.ndarray, data_b: np.ndarray, starts_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each word of one side are those of its partner on the other."""
+    a, b = _eights(data_a), _eights(data_b) if data_b is not data_a else None
+    b = a if b is None else b
+    out = sizes_a == sizes_b
+    out &= (a[starts_a] ^ b[starts_b]) & _KEEP[np.minimum(sizes_a, 8)] == 0
+    some, first, owner, k = _blocks(np.where(out, sizes_a, 0))
+    if len(some):
+        other = (a[starts_a[owner] + 8 * k] ^ b[starts_b[owner] + 8 * k]) & _KEEP[np.minimum(sizes_a[owner] - 8 * k, 8)]
+        out[some] = np.bitwise_or.reduceat(other, first) == 0
+    return out
+
+
+def _split(data: np.ndarray, breaks: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last, and hash of each word; breaks: offsets where a word ends in any case."""
     inside = IS_WORD[data]
     begin = inside.copy()
@@ -82,20 +106,18 @@ def _split(data: np.ndarray, breaks: np.ndarray, value: np.ndarray = _VALUE) ->
     begin[edge] = inside[edge]
     stop[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    power, inverse = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(value[data] * power[: len(data)], out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, _hash(_LOWER[data] if fold else data, starts, ends)
 
 
-def _long(data: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_split of one very long text, piece by piece, cut at separators."""
     parts, at = [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         while to < len(data) and IS_WORD[data[to]]:
-            to += 1
-        s, e, h = _split(data[at:to], np.zeros(0, np.int64), value)
+            inside = IS_WORD[data[to : to + PIECE]]
+            to += len(inside) if inside.all() else int(np.argmin(inside))
+        s, e, h = _split(data[at:to], np.zeros(0, np.int64), fold)
         parts.append((s + at, e + at, h))
         at = to
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -103,7 +125,6 @@ def _long(data: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
     """Words of a text column in groups of rows of about size bytes; a row is never divided.  fold: A-Z hash as a-z."""
-    value = _VALUE if fold else _EXACT
     offs, raw = text_buffers(column)
     n, row = len(offs) - 1, 0
     while row < n:
@@ -113,9 +134,9 @@ def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
             starts = ends = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)
         elif to == row + 1 and len(data) > PIECE:
-            starts, ends, hashes = _long(data, value)
+            starts, ends, hashes = _long(data, fold)
         else:
-            starts, ends, hashes = _split(data, local, value)
+            starts, ends, hashes = _split(data, local, fold)
         yield Words(row, np.diff(np.searchsorted(starts, local)), hashes, starts, ends, data)
         row = to
 

@@ -240,3 +240,38 @@ def test_network_learns_planted_words():
     got = np.concatenate([toxicity.score_chunk(net, c) for c in words.chunks(pa.array(texts[180:]))])
     assert ((got >= 0.5) == label[180:]).mean() > 0.9
     assert zlib.crc32(b"1") % 5 >= 0
+
+
+def thue_morse(n):
+    """Two words of n letters that meet under every hash that is linear modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return tuple("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+
+
+@pytest.mark.parametrize("n", [8, 9, 64, 1024, 2048, 4096])
+def test_structured_words_stay_apart(n):
+    a, b = thue_morse(n)
+    (chunk,) = words.chunks(pa.array([f"{a} {b} {a}", a[:-1], a[1:], a + "\0"]))
+    h = chunk.hashes
+    assert h[0] == h[2] and len(set(h.tolist())) == 5
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    for text, ids in zip([a, b], tokens.documents_ids(pa.array([a, b]), 1), strict=True):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_when_all_words_share_hashes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(words, "mix", lambda x: x & np.uint64(3))
+    path = public_tokenizers.path(tokens.TOKENIZER)
+    t, own = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = ["one two three four five six seven", "eight one nine " + "long" * 9, "x" * 30 + " " + "x" * 31 + " one two ten", " ".join(f"w{i}" for i in range(500))]
+    for _ in range(2):
+        for text in texts:
+            (chunk,) = words.chunks(pa.array([text]), fold=False)
+            ids, counts = own.encode(chunk)
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
