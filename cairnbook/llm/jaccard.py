@@ -8,8 +8,10 @@ reach.  No candidate is left out at any step:
 1. Texts of equal sets are one set with many members; only sets go on.
 2. Sets that link share one of the first size - ceil(threshold * size) + 1 shingles in any one order
    (prefix filter).  The order here: shingles whose hash lies in the lowest 2 * (1 - threshold) of all hashes
-   come first, by the number of sets that have them, then all others by hash.  That number is exact, as every set
-   reports all its shingles of that zone.  A set of mostly unshared text has a prefix of unshared shingles and
+   come first, by the number of sets that have them, then all others by hash.  Every set reports all its shingles
+   of that zone, so that the number is exact but for the HOT most frequent shingles: these, found in one of EVERY
+   sets, have an estimate (any order serves, as long as all sets share it), and their reports are salted, so that
+   no shingle's reports gather in one task.  A set of mostly unshared text has a prefix of unshared shingles and
    drops out; passages of many documents come late.  Sets that share a prefix shingle and could link by their
    sizes, directly or through others, form a cluster; each link lies inside a cluster.
 3. Each cluster is joined by an R-tree of count vectors (see rtree).  A cluster of more than BLOCK sets is cut
@@ -35,6 +37,7 @@ from cairnbook.llm.shared import documents, shuffle_partitions, stored
 SHINGLE_WORDS, NUM, DEN = 4, 85, 100
 BLOCK = 512
 BLOOM_BITS = 1 << 26
+HOT, EVERY, SEEN, SALT = 1 << 16, 64, 16, 64
 
 
 def _sets(column, n: int):
@@ -63,23 +66,46 @@ def _prefix(n, num: int, den: int):
 
 
 def _scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, set id, set size, shingles in the zone) of each row."""
+    """(doc_id, set id, set size, shingles in the zone) of each row; of one in EVERY sets the shingles themselves, once per task."""
     top = np.uint64(min(_zone(num, den), (1 << 64) - 1))
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            got = [(_identity(x), len(x), int(np.searchsorted(x, top))) for x in _sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)]], ["doc_id", "sid", "n", "zone"])
+            got, some = [], []
+            for x in _sets(batch.column("text"), n):
+                sid, zone = _identity(x), int(np.searchsorted(x, top))
+                got.append((sid, len(x), zone))
+                drawn = sid and sid % EVERY == 0 and sid not in seen
+                if drawn:
+                    seen.add(sid)
+                some.append(x[: max(_prefix(len(x), num, den), zone)].view(np.int64) if drawn else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)], pa.array(some, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "zone", "some"])
+
+    return rows.mapInArrow(run, "doc_id long, sid long, n long, zone long, some array<long>")
+
 
-    return rows.mapInArrow(run, "doc_id long, sid long, n long, zone long")
+def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most HOT shingles that SEEN or more of the drawn sets report, ascending, and the estimated number of their sets."""
+    drawn = docs.where("some is not null").groupBy("sid").agg(F.first("some").alias("some"))
+    counts = drawn.select(F.explode("some").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= SEEN)
+    got = counts.orderBy(F.desc("c"), "key").limit(HOT).toArrow()
+    key, c = got["key"].to_numpy().view(np.uint64), got["c"].to_numpy() * EVERY
+    order = np.argsort(key)
+    return key[order], c[order]
 
 
-def _reports(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sid, keys): of each set once per task its zone's shingles, and as many more by hash as the prefix needs."""
+def _reports(rows: DataFrame, n: int, num: int, den: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(sid, key, mark): of each set once per task its zone's shingles, and as many more by hash as the prefix needs.
+
+    mark: of hot shingles SALT times their number of sets, plus a salt; 0 of all others.
+    """
     top = np.uint64(min(_zone(num, den), (1 << 64) - 1))
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         seen: set[int] = set()
+        hot_keys, hot_df = shared.value
         for batch in batches:
             ids, sizes, out = [], [], []
             for values in _sets(batch.column("text"), n):
@@ -90,18 +116,25 @@ def _reports(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ids.append(sid)
                 sizes.append(length)
                 out.append(values[:length])
-            flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            mark = np.zeros(len(flat), np.int64)
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, flat), len(hot_keys) - 1)
+                salt = np.repeat(np.array(ids, np.int64), sizes) % SALT
+                mark = np.where(hot_keys[at] == flat, hot_df[at] * SALT + salt, 0)
+            kinds = pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(mark)], ["key", "mark"])
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["sid", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), kinds)], ["sid", "keys"])
 
-    return rows.mapInArrow(run, "sid long, keys array<long>").select("sid", F.explode("keys").alias("key"))
+    return rows.mapInArrow(run, "sid long, keys array<struct<key:long,mark:long>>").select("sid", F.inline("keys"))
 
 
-def _candidates(rows: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _candidates(rows: DataFrame, docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between sets that share a prefix shingle: each set to the smallest of its size's neighbourhood."""
-    keys = _reports(rows, n, num, den).repartition(shuffle_partitions(rows.sparkSession), "key")
-    shared = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("key", "df")
-    met = keys.join(shared, "key").distinct()
+    # the reports are shuffled once; what only one set reports is left out before the next shuffle
+    of_key = Window.partitionBy("key", "mark")
+    met = _reports(rows, n, num, den, _hot(docs)).withColumn("low", F.min("sid").over(of_key)).withColumn("high", F.max("sid").over(of_key)).withColumn("found", F.count("*").over(of_key))
+    met = met.where("mark > 0 or low <> high").select("sid", "key", "mark", "found").distinct().select("sid", "key", F.when(F.col("mark") > 0, F.expr(f"mark div {SALT}")).otherwise(F.col("found")).alias("df"))
     # unsigned order of the hash: the zone is [0, top)
     top = min(_zone(num, den), (1 << 64) - 1)
     unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
@@ -187,7 +220,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(_scan(rows, n, num, den), "jaccard-scan")
     # sets with their first member
     sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"))
-    edges = _candidates(rows, sets, n, num, den)
+    edges = _candidates(rows, docs, sets, n, num, den)
     cluster = stored(components(edges, name="jaccard-clusters"), "jaccard-cluster")
     member = stored(cluster.join(sets, cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
     tokens = stored(_members(rows, member, n).dropDuplicates(["sid"]).select("sid", "tokens"), "jaccard-sets")

@@ -112,6 +112,40 @@ def test_jaccard_texts_without_id_link(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == sorted([(4, 4), (None, 4), (9, 4), (None, None), (11, 11)], key=repr)
 
 
+def test_jaccard_with_hot_shingles(spark, monkeypatch):
+    for name, value in (("EVERY", 2), ("SEEN", 2), ("SALT", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for g in range(40):
+        base = [*common, *[f"g{g}w{i}" for i in range(int(r.integers(1, 150)))]]
+        for _ in range(3):
+            w = list(base)
+            for at in r.integers(0, len(w), int(r.integers(0, 4))):
+                w[at] = f"e{r.integers(0, 1 << 30)}"
+            rows.append((len(rows), " ".join(w), "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sets = jaccard._scan(df.select("doc_id", "text"), 4, 85, 100)
+    assert len(jaccard._hot(sets)[0]) > 3
+    got = jaccard.link_components(df)
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()), key=repr) == brute_components(rows, 4, 85, 100)
+
+
+def test_structured_words(spark):
+    from test_kernels import thue_morse
+
+    rows = [(2 * i + k, f"{w} x y z {w} end", "s") for i, n in enumerate((1024, 2048, 4096)) for k, w in enumerate(thue_morse(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.link_components(df).collect()), key=repr) == brute_components(rows, 4, 85, 100)
+    assert len({x["fingerprint"] for x in fingerprints.fingerprint(df).collect()}) == len(rows)
+    assert {(x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in ans.round_trip(df).collect()} == {(i, len(x := [*reference_ids(t), 1]), crc(x)) for i, t, _ in rows}
+    assert {(x["doc_id"], x["ids_crc32"]) for x in packing.pack(df).collect() if x["length"] == x["doc_tokens"]} <= {(i, crc([*reference_ids(t), 2])) for i, t, _ in rows}
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    known = {w for i, t, _ in rows if i not in held for w in t.split()}
+    assert {(x["doc_id"], x["n_known"]) for x in brown.score_texts(df).collect()} == {(i, sum(w in known for w in t.split()) + 1) for i, t, _ in rows}
+
+
 def test_components(spark, monkeypatch):
     from cairnbook.llm import components as c
 
