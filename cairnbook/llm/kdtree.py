@@ -13,7 +13,8 @@ shards, and inside a task each shard starts from the best of what the shards bef
 Cases: vectors that are null or hold null, NaN or infinite components, and rows with a null id, take no part;
 a query meets candidates of its own number of components only; rows of one id are candidates each, and the
 query's own row alone is left out; ties go to the smaller id; fewer than k candidates give all of them.
-Scores are exact below 2**63 (floating-point products are used only where all sums stay below 2**53).
+Scores are exact below 2**63 (floating-point products are used only where all sums stay below 2**53); a finite
+component whose integer does not fit 63 bits has no score to return and raises ValueError.
 """
 
 from __future__ import annotations
@@ -140,6 +141,8 @@ def _vectors(column, n: int) -> np.ndarray:
     """Integer vectors of an Arrow list column without nulls, n rows of one length."""
     flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
     scaled = np.floor(flat.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
+    if np.abs(scaled).max(initial=0) >= float(1 << 63):
+        raise ValueError(f"a vector component exceeds {(1 << 63) // SCALE} and has no 64-bit integer")
     return scaled.astype(np.int64).reshape(n, -1)
 
 

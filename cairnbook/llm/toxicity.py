@@ -8,8 +8,9 @@ window's log odds.  Windows start every STRIDE words, the last one ends with the
 strongest window, so that no part of it is left out.  Training (numpy, in one task over the bounded sample) is multiple-instance: a
 text's label is learnt on the window that scores highest at the time.
 
-Training rows: labelled texts of the training fold, at most SAMPLE of each label (the first by hash of the id)
-of at most SAMPLE_CHARS characters; everything else covers whole texts and all rows.
+Training rows: labelled texts of the training fold, the first of each label by hash of the id, until there are
+SAMPLE of them or they hold SAMPLE_CHARS characters (parameters of fit; one text of each label in any case).  Texts
+of every length are drawn alike and learnt whole; everything else covers whole texts and all rows.
 
 Cases: a null or empty text, or one without words, scores like an empty window; a null id is never used for
 training; labels that are null or not 0 or 1 are not used; without training rows of both labels every text scores 0.
@@ -21,15 +22,15 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.llm import words
-from cairnbook.llm.shared import documents, id_remainder
+from cairnbook.llm.shared import documents, id_remainder, stored
 
 HELD_MOD = 5
-SAMPLE, SAMPLE_CHARS = 1500, 6000
+SAMPLE, SAMPLE_CHARS = 1500, 8_000_000
 WINDOW, STRIDE = 32, 16
 BUCKETS = 1 << 16
 VECTOR, HIDDEN, ATTENTION, FIXED = 6, 8, 6, 3
@@ -369,17 +370,19 @@ def score_chunk(net: Network, chunk: words.Words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(best - net.shift, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Network:
-    """Train on at most sample labelled texts of each label, of the training fold."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
+    """Train on at most sample labelled texts of each label and chars characters of them, of the training fold."""
     fold = id_remainder(F.col("doc_id"), HELD_MOD)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold > 0))
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     by_hash = F.xxhash64("doc_id", F.lit(3))
-    # a few times as many ids as wanted are drawn first, so that only their texts are joined
+    # a few times as many ids as wanted are drawn first, so that only their texts are joined: at most 6 * sample rows
     drawn = [marked.where(F.col("label") == v).orderBy(by_hash, "doc_id").limit(3 * sample) for v in (0, 1)]
-    joined = sized.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    both = [joined.where(F.col("label") == v).orderBy(by_hash, "doc_id", "text").limit(sample) for v in (0, 1)]
-    picked = both[0].unionByName(both[1]).select("doc_id", "text", F.col("label").cast("long").alias("label")).coalesce(1)
+    joined = stored(texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").withColumn("tie", F.xxhash64("text")), "toxicity-drawn")
+    w = Window.partitionBy("label").orderBy(by_hash, "doc_id", "tie")
+    ranked = joined.select("doc_id", "label", "tie", F.length("text").cast("long").alias("chars")).withColumn("place", F.row_number().over(w)).withColumn("upto", F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ranked.where((F.col("place") <= sample) & ((F.col("upto") <= chars // 2) | (F.col("place") == 1))).select("doc_id", "label", "tie").distinct()
+    picked = joined.join(F.broadcast(kept), ["doc_id", "label", "tie"], "left_semi").select("doc_id", "text", F.col("label").cast("long").alias("label")).coalesce(1)
 
     def run(batches):
         got = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)))
