@@ -15,6 +15,9 @@ The posterior of a language is proportional to
 Counts per value are aggregated before they are joined back, one row per value, so that a host with
 a third of all pages is neither gathered nor cross joined.
 
+Page texts are the whole page without tags, comments, scripts and styles; character references stand for their
+characters.
+
 Cases: a null or empty text, or one without letters, has no text evidence; a null declared language, address
 or host gives no evidence of its kind; without any labelled text every page is "und".  A row is accepted if its
 best language is not "und", its posterior reaches LEAST and it has text evidence.
@@ -22,6 +25,8 @@ best language is not "und", its posterior reaches LEAST and it has text evidence
 
 from __future__ import annotations
 
+from html import unescape
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,10 +140,10 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return TextModel(languages, counts.reshape(len(languages), BUCKETS))
 
 
-def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text", keep_text: bool = False, entities: bool = False) -> DataFrame:
     """df's other columns with text_n (trigrams) and text_logs (log likelihood of each language; zeros without text).
 
-    text_col may name a field of a struct column, which then stays.
+    text_col may name a field of a struct column, which then stays.  entities: character references stand for their characters.
     """
     shared = df.sparkSession.sparkContext.broadcast(model.table)
     outer, _, field = text_col.partition(".")
@@ -150,6 +155,8 @@ def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text", keep_
         for batch in batches:
             logs, number = [], []
             text = batch.column(outer).field(field) if field else batch.column(outer)
+            if entities:
+                text = pa.array([unescape(t) if t and "&" in t else t for t in text.to_pylist()], pa.large_string())
             for _, _, offs, data in _pieces(text):
                 sums, count = _sums(data, offs, table)
                 logs.append(sums / np.maximum(count, 1)[:, None] * np.minimum(count, STRENGTH)[:, None])
@@ -228,7 +235,7 @@ def fuse(rows: DataFrame, languages: list[str], keys: dict[str, str | None], vot
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, text without markup, and the declared language, suffix, host and domain."""
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.lower(F.col(url_col))
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z0-9#]{1,10};", " ")
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     host = F.nullif(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/?#:@]+)", 1), F.lit(""))
     segment = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/]+/([a-z]{2})(?:[/?#]|$)", 1)
     declared = F.lower(F.nullif(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})", 1), F.lit("")))
@@ -238,7 +245,7 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
-    rows = stored(text_evidence(page_evidence(pages), model), "lang-pages")
+    rows = stored(text_evidence(page_evidence(pages), model, entities=True), "lang-pages")
     return fuse(rows, model.languages, {"declared": "declared_lang", "suffix": "address", "host": "host_name", "domain": "domain_name"})
 
 

@@ -357,6 +357,53 @@ def test_language(spark, docs):
     assert langid.identify_documents(docs.limit(0), langid.train(docs.limit(0))).count() == 0
 
 
+def test_posterior_by_hand(spark):
+    """fuse() against the formulas of its module, one page at a time in plain Python."""
+    r = np.random.default_rng(3)
+    names = ["de", "en", "fr", "und"]
+    rows = []
+    for i in range(60):
+        logs = [float(x) for x in r.normal(0, 2, 4)]
+        rows.append((i, int(r.integers(0, 3)) * 10, logs, *[None if r.random() < 0.2 else str(r.choice(list(v))) for v in ("xyz", "pq", "abc", "mn")]))
+    df = spark.createDataFrame(rows, "page_id long, text_n long, text_logs array<double>, d string, s string, h string, dom string")
+    got = {x["page_id"]: x for x in langid.fuse(df, names, {"declared": "d", "suffix": "s", "host": "h", "domain": "dom"}).collect()}
+    vote = {x[0]: int(np.argmax(x[2])) if x[1] > 0 else None for x in rows}
+    every = [sum(v == k for v in vote.values()) for k in range(4)]
+    for row in rows:
+        total = np.array(row[2])
+        for at in (3, 4):
+            if row[at] is not None:
+                n = np.array([sum(vote[x[0]] == k for x in rows if x[at] == row[at] and x[0] != row[0]) for k in range(4)], float)
+                share = (n.sum() + 1) / (sum(every) + 2)
+                total += np.log((n + langid.SMOOTH * share) / (np.array(every) + langid.SMOOTH))
+        prior = (np.array(every) + 1) / (sum(every) + 4)
+        for at in (6, 5):
+            if row[at] is not None:
+                n = np.array([sum(vote[x[0]] == k for x in rows if x[at] == row[at] and x[0] != row[0]) for k in range(4)], float)
+                prior = (n + langid.SMOOTH * prior) / (n.sum() + langid.SMOOTH)
+        total += np.log(prior)
+        p = np.exp(total - total.max())
+        best = int(np.argmax(total))
+        x = got[row[0]]
+        assert x["lang"] == names[best] and abs(x["posterior"] - 1 / p.sum()) < 1e-9
+        assert x["accepted"] == (row[1] > 0 and best != 3 and 1 / p.sum() >= langid.LEAST)
+
+
+def test_markup_and_host_decide_where_the_text_does_not(spark):
+    words_ = {"de": "der die und nicht schule haus in so war", "en": "the of and that with house in so war"}
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(t.split() * 4)), k, "s") for i, (k, t) in enumerate(list(words_.items()) * 10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    pages = [(i, f"http://{k}.example.{k}/{k}/{i}", f"<html lang='{k}'><nav>{t}</nav></html>") for i, (_, t, k, _) in enumerate(rows)]
+    unclear = "in so war"  # as much of either language
+    pages += [(100 + i, f"http://{k}.example.{k}/{k}/x", f"<html lang='{k}'>{unclear}</html>") for i, k in enumerate(words_)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("lang", F.lit("x"))
+    got = {x["page_id"]: x["lang"] for x in langid.identify_pages(df, model).collect()}
+    assert got[100] == "de" and got[101] == "en" and all(got[i] == r[2] for i, r in enumerate(rows))
+    entity = spark.createDataFrame([(1, "&Uuml;ber&nbsp;&#252;ber"), (2, "\u00dcber\u00a0\u00fcber"), (3, None)], "page_id long, html string").withColumn("url", F.lit(None).cast("string"))
+    found = {x["page_id"]: (x["text_n"], x["text_logs"]) for x in langid.text_evidence(langid.page_evidence(entity), model, entities=True).collect()}
+    assert found[1] == found[2] and found[1][0] > 0 and found[3][0] == 0
+
+
 def test_every_language_is_learnt(spark):
     r = np.random.default_rng(9)
     lexica = {f"l{i:02}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4)] for i in range(70)}
