@@ -219,7 +219,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = stored(_scan(rows, n, num, den), "jaccard-scan")
     # sets with their first member
-    sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"))
+    sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.count("*").alias("copies"))
+    sets = stored(sets, "jaccard-named")
     edges = _candidates(rows, docs, sets, n, num, den)
     cluster = stored(components(edges, name="jaccard-clusters"), "jaccard-cluster")
     member = stored(cluster.join(sets, cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
@@ -241,12 +242,12 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if open_.limit(1).count():
             links = links.unionByName(stored(_pairs(labelled, open_, tokens, num, den), "jaccard-more"))
     found = components(links, name="jaccard-found") if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = stored(found, "jaccard-components")
-    groups = sets.join(found, sets["sid"] == found["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("group"))
-    lowest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(lowest, "group").select("sid", "component_id")
-    own = docs.where("sid = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return docs.where("sid <> 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own)
+    # a component's name is needed for linked sets and for sets of several rows only; stored, so that joins on a hot group or set can be split
+    linked = stored(sets.join(found, sets["sid"] == found["node"]).select("sid", "doc_id", "root"), "jaccard-components")
+    lowest = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component")), "jaccard-lowest")
+    copied = sets.where("copies > 1").join(linked.select("sid"), "sid", "left_anti").select(F.col("sid").alias("of"), F.col("doc_id").alias("component"))
+    names = stored(linked.join(lowest, "root").select(F.col("sid").alias("of"), "component").unionByName(copied), "jaccard-names")
+    return docs.join(names, docs["sid"] == names["of"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _pairs(labelled: DataFrame, open_: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
