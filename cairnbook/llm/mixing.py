@@ -12,8 +12,12 @@ order of the key until r words are taken; the one at the limit gives its first w
 found by cumulating sizes over 1,024 bins of the key, then over 1,024 bins inside one bin, then over the
 rows of that last bin, so that no task ever orders all rows of a source.
 
+Tables of one row per source are sent to all tasks if they have at most SENT rows, so that no source's rows gather;
+beyond that they are joined by the source.
+
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a source; a null id
-draws as an id of its own; rows with equal keys go by id and size; no document exceeds REPEAT copies.
+draws by its text; rows with equal keys go by id and size; no document exceeds REPEAT copies; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from pyspark.sql import functions as F
 from cairnbook.llm.shared import documents, stored
 
 REPEAT, LEAN, SEED = 3, 512, "mix-1"
-BINS = 1 << 10
+BINS, SENT = 1 << 10, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, *keep: str) -> DataFrame:
-    """doc_id, source, size and the fixed random number of each row."""
+    """doc_id, source, size and the fixed random number of each row: of its id, or without one of its text."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *keep)
-    digest = F.sha2(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")), 256)
-    return rows.withColumn("u", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52))
+    name = F.coalesce(F.col(id_col).cast("long").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), name.alias("name_"), *keep)
+    digest = F.sha2(F.concat_ws("|", F.lit(SEED), F.col("name_"), F.col("size").cast("string")), 256)
+    return rows.withColumn("u", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)).drop("name_")
 
 
 def targets(rows: DataFrame, repeat: int = REPEAT) -> DataFrame:
@@ -58,9 +63,14 @@ def targets(rows: DataFrame, repeat: int = REPEAT) -> DataFrame:
     return out.withColumn("whole", whole).withColumn("rest", F.col("want") - F.col("whole") * F.col("source_size"))
 
 
+def _sent(by_source: DataFrame) -> DataFrame:
+    """A table of one row per source, for a join: sent to all tasks where its size allows."""
+    return F.broadcast(by_source) if by_source.limit(SENT + 1).count() <= SENT else by_source
+
+
 def _with_key(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with their source's plan and the Pareto key, scaled to 0 .. 1, as key and bin."""
-    both = rows.join(plan.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
+    both = rows.join(_sent(plan.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
     f = F.col("rest") / F.col("source_size")
     z = (F.expr(f"(1000 * size) div (size + {LEAN})") - F.col("leaned") / F.col("source_size")) / 1000.0
     p = f + z * F.least(f, 1.0 - f) * 0.5
@@ -80,11 +90,11 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of sized() with source_size, target, whole and extra (words taken besides whole copies)."""
     keyed = _with_key(rows, plan)
     coarse = keyed.where("rest > 0").withColumn("hi", F.expr(f"bin div {BINS}")).groupBy("source", "hi", "rest").agg(F.sum("size").alias("s"))
-    first = _crossing(coarse.withColumn("before", F.lit(0)), "hi", ["rest"]).select(F.col("source").alias("source_"), F.col("rest").alias("rest_"), "hi_cut", "before")
-    inside = keyed.select("source", "size", "bin").join(first, F.col("source").eqNullSafe(F.col("source_")) & (F.expr(f"bin div {BINS}") == F.col("hi_cut")))
+    first = stored(_crossing(coarse.withColumn("before", F.lit(0)), "hi", ["rest"]).select(F.col("source").alias("source_"), F.col("rest").alias("rest_"), "hi_cut", "before"), "mix-coarse")
+    inside = keyed.select("source", "size", "bin").join(_sent(first), F.col("source").eqNullSafe(F.col("source_")) & (F.expr(f"bin div {BINS}") == F.col("hi_cut")))
     fine = inside.groupBy("source", F.col("rest_").alias("rest"), "before", "bin").agg(F.sum("size").alias("s"))
     cut = _crossing(fine, "bin", []).select(F.col("source").alias("source_"), "bin_cut", "before")
-    plan_cut = plan.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    plan_cut = stored(plan.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_"), "mix-cuts")
     out = _with_key(rows, plan_cut)
     easy = out.where("bin_cut is null or bin <> bin_cut").withColumn("extra", F.when(F.col("bin") < F.col("bin_cut"), F.col("size")).otherwise(F.lit(0)))
     w = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,16 +115,16 @@ def remix(df: DataFrame) -> DataFrame:
     """Rows of df, with all their columns, as often as the mix takes them.
 
     That is every whole copy, and the sampled copy where at least half of it is taken.  df needs doc_id, source and text.
-    Rows meet their numbers by id, source and size; rows equal in these are taken alike, as the first of them.
+    Rows meet their numbers by id, source, size and random number; rows equal in these are taken alike, as the first of them.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
     rows = stored(sized(df, "doc_id", "source", "text"), "mix-sizes")
     plan = stored(targets(rows), "mix-targets")
     once_more = ((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size"))).cast("int")
-    times = mixed(rows, plan).groupBy("doc_id", "source", "size").agg(F.max(F.col("whole") + once_more).cast("int").alias("times")).where("times > 0")
-    times = times.select(F.struct("doc_id", "source", "size").alias("key_"), F.col("times").alias("times_"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    picked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"), key.alias("own_")).join(times, F.col("own_").eqNullSafe(F.col("key_")))
+    times = mixed(rows, plan).groupBy("doc_id", "source", "size", "u").agg(F.max(F.col("whole") + once_more).cast("int").alias("times")).where("times > 0")
+    times = times.select(F.struct("doc_id", "source", "size", "u").alias("key_"), F.col("times").alias("times_"))
+    own = sized(df.select("doc_id", "source", "text", row), "doc_id", "source", "text", "row_").select("row_", F.struct("doc_id", "source", "size", "u").alias("own_"))
+    picked = own.join(times, F.col("own_").eqNullSafe(F.col("key_")))
     return picked.select("row_", F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_")).select("row_.*")
 
 
@@ -124,9 +134,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) AS name FROM documents),
 u AS (
-  SELECT *, (CAST('0x' || substr(sha256('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+  SELECT *, (CAST('0x' || substr(sha256('{SEED}|' || name || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u,
     (1000 * size) // (size + {LEAN}) AS lean FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * lean) AS BIGINT) AS leaned FROM u GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
