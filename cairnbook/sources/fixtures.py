@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,9 +59,45 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("job_type"), F.concat(F.lit("key-"), (F.col("event_id") % 997).cast("string")).alias("idempotency_key"), status.alias("status"),
         (F.col("event_id") % 5).cast("int").alias("attempts"), F.col("ts").alias("available_at"), (F.col("ts") + F.expr("interval 10 minutes")).alias("lease_expires_at"), F.col("ts").alias("created_at"),
+        F.concat(F.lit("w"), (F.col("event_id") % 7).cast("string")).alias("lease_owner"), F.concat(F.lit('{"source": {"version": "'), (F.col("event_id") % 13).cast("string"), F.lit('"}, "pipeline": {"completed": '), F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.lit("}}")).alias("payload"),
     )
 
 
+def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of derived formats: most dead, some named as the successor of the job before them in their group."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 41 == 0, "queued").when(F.col("event_id") % 41 == 1, "done").when(F.col("event_id") % 2 == 0, "failed").otherwise("dead")
+    before = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    key = F.when((F.col("event_id") % 3 == 0) & before.isNotNull(), F.concat(F.lit("recovery:"), before.cast("string"))).otherwise(F.concat(F.lit("key-"), F.col("event_id").cast("string")))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("target"), status.alias("status"), F.col("ts").alias("created_at"), key.alias("idempotency_key"))
+
+
+def cohort_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of candidates per order: its lines."""
+    o = table(spark, sf_dir, "orders")
+    lines = cohort_candidates(spark, sf_dir).groupBy(F.col("batch_id").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return o.join(lines, "o_orderkey").select(
+        F.col("o_orderkey").alias("batch_id"), F.col("o_custkey").alias("document_id"), F.lit(1).alias("version"), (F.col("n") + F.when(F.col("o_orderkey") % 17 == 0, 1).otherwise(0)).alias("declared"), (F.col("o_orderkey") % 13 != 0).alias("source_current"),
+        F.when(F.col("o_orderstatus") == "F", "ready_to_activate").when(F.col("o_orderstatus") == "O", "open").otherwise("active").alias("lifecycle"),
+    )
+
+
+def cohort_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One candidate per line number of an order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("candidate")).agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    return lines.select("batch_id", "candidate", (F.col("q") > 49).alias("issues"), F.when(F.col("q") == 1, "approved").otherwise("pending_review").alias("status"), F.when(F.col("f") == "R", "exclude").otherwise("include").alias("action"))
+
+
+def cohort_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests for each batch: lines 1 to 4, then lines 3 and on, so that 3 and 4 are decided twice; some expect what no longer holds."""
+    lines = cohort_candidates(spark, sf_dir).select("batch_id", "candidate", "action")
+    first = lines.where("candidate <= 4").select("*", F.lit(1).alias("request"), F.lit(0).alias("expected_revision"))
+    again = F.when((F.col("candidate") <= 4) & (F.col("batch_id") % 11 != 0), 1).otherwise(0)
+    second = lines.where("candidate >= 3").select("*", F.lit(2).alias("request"), again.alias("expected_revision"))
+    both = first.unionByName(second).groupBy("batch_id", "request").agg(F.array_sort(F.collect_list(F.struct("candidate", "expected_revision", "action"))).alias("decisions"))
+    return both.withColumn("expected_batch_version", F.when((F.col("request") == 2) & (F.col("batch_id") % 7 != 0), 2).otherwise(1))
+
+
 SQL_VERIFIED = """
 fx_verified AS (
   SELECT o_orderkey AS id, o_orderkey AS document_id, o_orderkey AS extracted_id, CAST(o_orderdate AS DATE) AS transaction_date, CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount,
@@ -90,4 +126,23 @@ fx_rows AS (
 SQL_JOBS = """
 fx_jobs AS (
   SELECT event_id AS id, user_id AS document_id, event_type AS job_type, 'key-' || (event_id % 997) AS idempotency_key, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'dead' ELSE 'done' END AS status,
-    CAST(event_id % 5 AS INTEGER) AS attempts, ts AS available_at, ts + INTERVAL 10 MINUTE AS lease_expires_at, ts AS created_at FROM events)"""
+    CAST(event_id % 5 AS INTEGER) AS attempts, ts AS available_at, ts + INTERVAL 10 MINUTE AS lease_expires_at, ts AS created_at, 'w' || (event_id % 7) AS lease_owner, CAST(event_id % 13 AS VARCHAR) AS source_version, event_id % 3 = 0 AS completed FROM events)"""
+SQL_DERIVATIVES = """
+fx_derivatives AS (
+  SELECT event_id AS id, user_id AS document_id, event_type AS target, CASE WHEN event_id % 41 = 0 THEN 'queued' WHEN event_id % 41 = 1 THEN 'done' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'dead' END AS status, ts AS created_at,
+    CASE WHEN event_id % 3 = 0 AND lag(event_id) OVER w IS NOT NULL THEN 'recovery:' || lag(event_id) OVER w ELSE 'key-' || event_id END AS idempotency_key
+  FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))"""
+SQL_COHORTS = """
+fx_cohorts AS (
+  SELECT o_orderkey AS batch_id, o_custkey AS document_id, 1 AS version, n + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS declared, o_orderkey % 13 <> 0 AS source_current,
+    CASE o_orderstatus WHEN 'F' THEN 'ready_to_activate' WHEN 'O' THEN 'open' ELSE 'active' END AS lifecycle
+  FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+fx_candidates AS (
+  SELECT l_orderkey AS batch_id, l_linenumber AS candidate, max(l_quantity) > 49 AS issues, CASE WHEN max(l_quantity) = 1 THEN 'approved' ELSE 'pending_review' END AS status, CASE WHEN min(l_returnflag) = 'R' THEN 'exclude' ELSE 'include' END AS action
+  FROM lineitem GROUP BY 1, 2),
+fx_taken AS (
+  SELECT batch_id, count(*) FILTER (candidate <= 4) > 0 AS first, count(*) FILTER (candidate >= 3) > 0 AS asked,
+    count(*) FILTER (candidate >= 3) > 0 AND CASE WHEN batch_id % 7 = 0 THEN 1 ELSE 2 END = 1 + CASE WHEN count(*) FILTER (candidate <= 4) > 0 THEN 1 ELSE 0 END AND (batch_id % 11 <> 0 OR count(*) FILTER (candidate IN (3, 4)) = 0) AS second
+  FROM fx_candidates GROUP BY 1),
+fx_latest AS (
+  SELECT * FROM (SELECT c.batch_id, candidate, CAST(CASE WHEN candidate <= 4 THEN 1 ELSE 0 END + CASE WHEN candidate >= 3 AND second THEN 1 ELSE 0 END AS INTEGER) AS revision, action FROM fx_candidates c JOIN fx_taken USING (batch_id)) WHERE revision > 0)"""
