@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,57 +18,85 @@ def unit_price(amount: Column, consumption: Column) -> Column:
 def compare_periods(points: DataFrame, months: int | None = None) -> DataFrame:
     """Differences to the month before and the same month a year before, by calendar: a missing month is missing, not skipped.
 
-    points: issuer_id, billing_period (unique per issuer), amount, consumption_value, consumption_unit.  Keeping only the
-    last months happens after the comparison.
+    points: issuer_id, billing_period (unique per issuer), amount, consumption_value, consumption_unit.  Both other points are
+    found by frames over month numbers in one sort of an issuer's points; keeping only the last months happens after the comparison.
     """
-    base = points.withColumn("unit_price", unit_price(F.col("amount"), F.col("consumption_value")))
-    out = base
-    for name, back in (("mom", -1), ("yoy", -12)):
-        other = base.select(F.col("issuer_id"), F.add_months("billing_period", -back).alias("billing_period"), *[F.col(c).alias(f"{name}_{c}") for c in ("amount", "consumption_value", "consumption_unit", "unit_price")])
-        out = out.join(other, ["issuer_id", "billing_period"], "left")
-        same = F.col("consumption_unit").eqNullSafe(F.col(f"{name}_consumption_unit"))
+    number = F.year("billing_period") * 12 + F.month("billing_period")
+    out = points.withColumn("unit_price", unit_price(F.col("amount"), F.col("consumption_value"))).withColumn("month_", number)
+    by_month = Window.partitionBy("issuer_id").orderBy("month_")
+    point = F.struct("amount", "consumption_value", "consumption_unit", "unit_price")
+    for name, back in (("mom", 1), ("yoy", 12)):
+        out = out.withColumn(f"{name}_", F.first(point).over(by_month.rangeBetween(-back, -back)))
+    for name in ("mom", "yoy"):
+        other = F.col(f"{name}_")
+        same = F.col("consumption_unit").eqNullSafe(other["consumption_unit"])
         out = (
-            out.withColumn(f"{name}_missing", F.col(f"{name}_amount").isNull()).withColumn(f"{name}_amount_delta", F.col("amount") - F.col(f"{name}_amount"))
-            .withColumn(f"{name}_consumption_delta", F.when(same, F.col("consumption_value") - F.col(f"{name}_consumption_value")))
-            .withColumn(f"{name}_unit_price_delta", F.when(same, F.col("unit_price") - F.col(f"{name}_unit_price")))
+            out.withColumn(f"{name}_missing", other["amount"].isNull()).withColumn(f"{name}_amount_delta", F.col("amount") - other["amount"])
+            .withColumn(f"{name}_consumption_delta", F.when(same, F.col("consumption_value") - other["consumption_value"])).withColumn(f"{name}_unit_price_delta", F.when(same, F.col("unit_price") - other["unit_price"]))
         )
+    out = out.drop("mom_", "yoy_", "month_")
     if months is not None:
         last = F.row_number().over(Window.partitionBy("issuer_id").orderBy(F.desc("billing_period")))
         out = out.withColumn("place", last).where(F.col("place") <= months).drop("place")
     return out
 
 
-def exact_median(values: Column) -> Column:
-    """Median of a decimal array without going through floating point."""
-    s, n = F.array_sort(values), F.size(values)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n == 0, None).when(n % 2 == 1, F.element_at(s, half + 1)).otherwise((F.element_at(s, F.greatest(half, F.lit(1))) + F.element_at(s, half + 1)) / 2)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def middle(ordered: Column) -> Column:
+    """Median of a sorted decimal array, without going through floating point."""
+
+    def of(a):
+        n = F.size(a)
+        half = F.floor(n / 2).cast("int")
+        return F.when(n == 0, None).when(n % 2 == 1, F.element_at(a, half + 1)).otherwise((F.element_at(a, F.greatest(half, F.lit(1))) + F.element_at(a, half + 1)) / 2)
+
+    return let(ordered, of)
+
+
+def exact_median(rows: DataFrame, column: str, name: str, *keys: str) -> DataFrame:
+    """Exact median of a decimal column by keys; the values of one key are one array."""
+    arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias("a_"))
+    return arrays.select(*keys, middle(F.col("a_")).alias(name))
+
+
+METRICS = (("consumption", "consumption_value"), ("unit_price", "unit_price"), ("amount", "amount"))
+KIND = "decimal(28,10)"
+
+
+def trailing(points: DataFrame, window: int = TRAILING) -> DataFrame:
+    """points with the sorted values of up to window points before each, of every metric: one frame, each array sorted once."""
+    w = Window.partitionBy("issuer_id").orderBy("billing_period").rowsBetween(-window, -1)
+    rows = points.withColumn("unit_price", unit_price(F.col("amount"), F.col("consumption_value")))
+    rows = rows.withColumn("past_", F.collect_list(F.struct(*[F.when(F.col("consumption_unit").isNotNull() | F.lit(n == "amount"), F.col(c).cast(KIND)).alias(n) for n, c in METRICS])).over(w))
+    return rows.select("*", *[F.sort_array(F.filter(F.col(f"past_.{n}"), lambda x: x.isNotNull())).alias(f"{n}_past") for n, _ in METRICS]).drop("past_")
 
 
 def anomalies(points: DataFrame, window: int = TRAILING, least: int = LEAST_HISTORY, threshold: str = THRESHOLD) -> DataFrame:
     """Robust-z flags against the trailing window, current point excluded: consumption before unit price before amount.
 
-    A point with MAD 0 is flagged if it differs at all (its score is null).  One array per point, at most window values.
+    A point with MAD 0 is flagged if it differs at all (its score is null).  Points without enough history in any metric
+    go before anything is computed for them.
     """
-    w = Window.partitionBy("issuer_id").orderBy("billing_period").rowsBetween(-window, -1)
-    rows = points.withColumn("unit_price", unit_price(F.col("amount"), F.col("consumption_value")).cast("decimal(28,10)"))
-    metrics = (("consumption", "consumption_value"), ("unit_price", "unit_price"), ("amount", "amount"))
-    for name, column in metrics:
-        kind = "decimal(28,10)"
-        past = F.collect_list(F.when(F.col("consumption_unit").isNotNull() | F.lit(name == "amount"), F.col(column).cast(kind))).over(w)
-        rows = rows.withColumn(f"{name}_past", past).withColumn(f"{name}_median", exact_median(F.col(f"{name}_past")).cast(kind))
-        gaps = F.transform(F.col(f"{name}_past"), _gap(name, kind))
-        rows = rows.withColumn(f"{name}_mad", exact_median(gaps).cast(kind))
-        gap = F.abs(F.col(column).cast(kind) - F.col(f"{name}_median"))
-        z = F.when(F.col(f"{name}_mad") > 0, F.lit(float(SCALE)) * gap.cast("double") / F.col(f"{name}_mad").cast("double"))
-        flagged = (F.size(f"{name}_past") >= least) & F.when(F.col(f"{name}_mad") > 0, z > float(threshold)).otherwise(gap > 0)
-        rows = rows.withColumn(f"{name}_flag", F.when(flagged, F.struct(F.lit(name).alias("metric"), F.col(column).cast("double").alias("value"), F.col(f"{name}_median").cast("double").alias("median"), F.col(f"{name}_mad").cast("double").alias("mad"), z.alias("robust_z"), explanation(name, F.col(f"{name}_mad") == 0).alias("explanation"))))
-    first = F.coalesce(*[F.col(f"{name}_flag") for name, _ in metrics])
-    return rows.withColumn("flag", first).where("flag is not null").select("issuer_id", "billing_period", "flag.*")
-
-
-def _gap(name: str, kind: str):
-    return lambda x: F.abs(x - F.col(f"{name}_median")).cast(kind)
+    rows = trailing(points, window)
+
+    def judged(name, column):
+        value, past = F.col(column).cast(KIND), F.col(f"{name}_past")
+
+        def said(median, mad):
+            gap = F.abs(value - median)
+            z = F.when(mad > 0, F.lit(float(SCALE)) * gap.cast("double") / mad.cast("double"))
+            flagged = F.when(mad > 0, z > float(threshold)).otherwise(gap > 0)
+            return F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), median.cast("double").alias("median"), mad.cast("double").alias("mad"), z.alias("robust_z"), explanation(name, mad == 0).alias("explanation"), flagged.alias("flagged"))
+
+        return F.when(F.size(past) >= least, let(middle(past).cast(KIND), lambda m: let(middle(F.sort_array(F.transform(past, lambda x: F.abs(x - m).cast(KIND)))).cast(KIND), lambda mad: said(m, mad))))
+
+    # the first flagged metric of a point; a generator computes its array once, whatever is asked of the rows afterwards
+    flags = F.filter(F.array(*[judged(n, c) for n, c in METRICS]), lambda x: F.coalesce(x["flagged"], F.lit(False)))
+    return rows.select("issuer_id", "billing_period", F.inline(F.slice(flags, 1, 1))).drop("flagged")
 
 
 def explanation(metric: str, flat: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairnbook.operators import series
+from cairnbook.operators import review, series
 from cairnbook.plans.registry import query
 from cairnbook.sources import fixtures as fx
 from cairnbook.sources.fixtures import SQL_BILLS
@@ -34,18 +35,15 @@ W = """w AS (SELECT issuer_id, billing_period, amount, list(CAST(amount AS DOUBL
 m AS (SELECT *, list_median(past) AS med FROM w WHERE len(past) >= 6)"""
 
 
-@query("w4_trailing_frame", B.rstrip() + ", " + W + " SELECT issuer_id, billing_period, len(past) AS history, round(med, 4) AS trailing_median FROM m".replace("list_median(past)", "list_median(past)"))
+@query("w4_trailing_frame", B.rstrip() + ", " + W + " SELECT issuer_id, billing_period, len(past) AS history, round(med, 4) AS trailing_median FROM m")
 def w4(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("issuer_id").orderBy("billing_period").rowsBetween(-12, -1)
-    rows = fx.bills(s, d).withColumn("past", F.collect_list("amount").over(w)).where(F.size("past") >= 6)
-    return rows.select("issuer_id", "billing_period", F.size("past").cast("long").alias("history"), F.round(series.exact_median(F.col("past")).cast("double"), 4).alias("trailing_median"))
+    rows = series.trailing(fx.bills(s, d)).where(F.size("amount_past") >= 6)
+    return rows.select("issuer_id", "billing_period", F.size("amount_past").cast("long").alias("history"), F.round(series.middle(F.col("amount_past")).cast("double"), 4).alias("trailing_median"))
 
 
 @query("e15_exact_median", B + "SELECT issuer_id, round(median(CAST(amount AS DOUBLE)), 4) AS median_amount FROM fx_bills GROUP BY 1")
 def e15(s, d):
-    return fx.bills(s, d).groupBy("issuer_id").agg(F.collect_list("amount").alias("a")).select("issuer_id", F.round(series.exact_median(F.col("a")).cast("double"), 4).alias("median_amount"))
+    return series.exact_median(fx.bills(s, d), "amount", "m", "issuer_id").select("issuer_id", F.round(F.col("m").cast("double"), 4).alias("median_amount"))
 
 
 def _flags(column):
@@ -96,17 +94,37 @@ def d8(s, d):
     return fx.bills(s, d).select("issuer_id", "billing_period", F.round(series.unit_price(F.col("amount"), F.col("consumption_value")).cast("double"), 6).alias("unit_price"), F.add_months("billing_period", 1).alias("next_period"))
 
 
-@query("d9_explanation")
+SAID = "metric, CASE WHEN mad > 0 THEN round(0.6745::DOUBLE * abs(x - med) / mad, 6) END AS robust_z, replace(metric, '_', ' ') || CASE WHEN mad = 0 THEN ' differs from a history without variation' ELSE ' is far from the median of the trailing history' END AS explanation"
+
+
+@query("d9_explanation", E16.replace("'consumption' AS metric", "'consumption' AS metric, x, med, mad").replace("'unit_price' AS metric", "'unit_price' AS metric, x, med, mad").replace("'amount' AS metric", "'amount' AS metric, x, med, mad").split(" SELECT issuer_id, billing_period, coalesce(")[0] + f", f AS (SELECT 1 AS rank, * FROM consumption UNION ALL SELECT 2, * FROM unit_price UNION ALL SELECT 3, * FROM amount) SELECT issuer_id, billing_period, {SAID} FROM f QUALIFY row_number() OVER (PARTITION BY issuer_id, billing_period ORDER BY rank) = 1")
 def d9(s, d):
     return series.anomalies(fx.bills(s, d)).select("issuer_id", "billing_period", "metric", F.round("robust_z", 6).alias("robust_z"), "explanation")
 
 
-@query("i14_bill_upsert", "SELECT issuer, billing_period, max(l_orderkey) AS open_key, count(*) - 1 AS superseded FROM (SELECT l_suppkey % 25 AS issuer, CAST(date_trunc('month', l_shipdate) AS DATE) AS billing_period, l_orderkey FROM lineitem) GROUP BY 1, 2")
+UPSERT = "u AS (SELECT l_suppkey % 25 AS issuer_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS billing_period, l_orderkey AS verified_id, l_orderkey % 3 AS document_id, l_orderkey % 4 < 2 AS late, row_number() OVER (PARTITION BY l_suppkey % 25, date_trunc('month', l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey) AS seq FROM (SELECT DISTINCT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem))"
+
+
+@query("i14_bill_upsert", f"""WITH RECURSIVE {UPSERT},
+r AS (
+  SELECT issuer_id, billing_period, seq, 'opened' AS outcome, verified_id AS open_id, document_id AS doc, late FROM u WHERE seq = 1
+  UNION ALL
+  SELECT u.issuer_id, u.billing_period, u.seq, CASE WHEN u.verified_id = r.open_id THEN 'kept' WHEN u.document_id = r.doc AND r.late THEN 'replaced' ELSE 'conflict' END, CASE WHEN u.document_id = r.doc AND r.late THEN u.verified_id ELSE r.open_id END,
+    r.doc, CASE WHEN u.document_id = r.doc AND r.late THEN u.late ELSE r.late END
+  FROM r JOIN u ON u.issuer_id = r.issuer_id AND u.billing_period = r.billing_period AND u.seq = r.seq + 1)
+SELECT issuer_id, billing_period, seq, outcome, open_id FROM r""")
 def i14(s, d):
-    bills = fx.table(s, d, "lineitem").select((F.col("l_suppkey") % 25).alias("issuer"), F.to_date(F.trunc("l_shipdate", "month")).alias("billing_period"), "l_orderkey")
-    return bills.groupBy("issuer", "billing_period").agg(F.max("l_orderkey").alias("open_key"), (F.count("*") - 1).alias("superseded"))
+    rows = fx.table(s, d, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").distinct().select((F.col("l_suppkey") % 25).alias("issuer_id"), F.to_date(F.trunc("l_shipdate", "month")).alias("billing_period"), F.col("l_orderkey").alias("verified_id"), (F.col("l_orderkey") % 3).alias("document_id"), (F.col("l_orderkey") % 4 < 2).alias("superseded_later"), "l_linenumber", "l_partkey")
+    seq = F.row_number().over(Window.partitionBy("issuer_id", "billing_period").orderBy("verified_id", "l_linenumber", "l_partkey")).cast("long")
+    return review.upsert_bills(rows.withColumn("seq", seq))
+
+
+ASKED = "a AS (SELECT l_suppkey % 25 AS issuer_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS billing_period, min(l_shipdate) AS asked_at, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"
 
 
-@query("i15_mark_paid", B.rstrip() + f", {DUE} SELECT payment_status, count(*) AS n FROM (SELECT CASE WHEN issuer_id = 3 THEN 'paid' ELSE payment_status END AS payment_status FROM due) GROUP BY 1")
+@query("i15_mark_paid", B.rstrip() + f", {DUE}, {ASKED}, f AS (SELECT due.*, asked_at, n, issuer_id % 9 <> 0 AND issuer_id % 8 <> 1 AS usable, CASE WHEN payment_status = 'paid' AND issuer_id % 2 = 0 THEN TIMESTAMP '2020-01-01' END AS had FROM due LEFT JOIN a USING (issuer_id, billing_period)), w AS (SELECT *, asked_at IS NOT NULL AND usable AND (payment_status <> 'paid' OR had IS NULL) AS wrote FROM f) SELECT issuer_id, billing_period, CASE WHEN wrote THEN 'paid' ELSE payment_status END AS payment_status, CASE WHEN wrote THEN asked_at ELSE had END AS paid_at, CAST(CASE WHEN wrote THEN 1 ELSE 0 END AS INTEGER) AS writes, CASE WHEN usable THEN 0 ELSE coalesce(n, 0) END AS not_found FROM w")
 def i15(s, d):
-    return due(s, d).withColumn("payment_status", F.when(F.col("issuer_id") == 3, "paid").otherwise(F.col("payment_status"))).groupBy("payment_status").agg(F.count("*").alias("n"))
+    had = F.when((F.col("payment_status") == "paid") & (F.col("issuer_id") % 2 == 0), F.lit("2020-01-01").cast("timestamp_ntz"))
+    bills = due(s, d).withColumn("paid_at", had).withColumn("superseded", F.col("issuer_id") % 9 == 0).withColumn("authority", F.col("issuer_id") % 8 != 1)
+    asked = fx.table(s, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 25).alias("issuer_id"), F.to_date(F.trunc("l_shipdate", "month")).alias("billing_period"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.col("l_shipdate").alias("seq"))
+    return review.mark_paid(bills, asked, "issuer_id", "billing_period").select("issuer_id", "billing_period", "payment_status", "paid_at", "writes", "not_found")
