@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import nfkc_udf, similarity
 
-HASH_DISTANCE, HASH_BITS, FUZZY, DAYS = 8, 64, 90.0, 1
+HASH_DISTANCE, HASH_BITS, AGREE, FUZZY, DAYS = 8, 64, 2, 90.0, 1
 
 
 def lenient_decimal(raw: Column) -> Column:
     return F.regexp_replace(raw, "[, 円¥]", "").try_cast("decimal(18,2)")
 
 
+def duplicate_classes(files: DataFrame, key: str = "sha256") -> DataFrame:
+    """Each document with the smallest document of equal key, and their number: n copies are n rows, not a pair for every two."""
+    return files.join(files.groupBy(key).agg(F.min("document_id").alias("class_id"), F.count_distinct("document_id").alias("copies")), key).select("document_id", "class_id", "copies")
+
+
 def exact_matches(files: DataFrame) -> DataFrame:
-    """Pairs (document_id < other_id) of originals with equal sha256; files: document_id, sha256."""
-    rows = files.select("document_id", "sha256").distinct()
-    other = rows.select(F.col("document_id").alias("other_id"), "sha256")
-    return rows.join(other, "sha256").where("document_id < other_id").select("document_id", "other_id", F.lit(1.0).alias("score"), F.lit("exact_sha256").alias("reason")).distinct()
+    """document_id, other_id, score, reason: every copy with its class's smallest document; two copies of a class are linked through it."""
+    rows = duplicate_classes(files.select("document_id", "sha256").distinct())
+    return rows.where("document_id <> class_id").select("document_id", F.col("class_id").alias("other_id"), F.lit(1.0).alias("score"), F.lit("exact_sha256").alias("reason"))
+
+
+def candidates_of(files: DataFrame, document_id: int) -> DataFrame:
+    """The other documents with the bytes of one document, as a review shows them: by falling score, then id."""
+    own = files.where(F.col("document_id") == document_id).select("sha256").distinct()
+    rows = files.where(F.col("document_id") != document_id).join(own, "sha256", "left_semi")
+    return rows.select("document_id", F.lit(1.0).alias("score"), F.lit("exact_sha256").alias("reason")).distinct().orderBy(F.desc("score"), "document_id")
+
 
+def band_keys(distance: int = HASH_DISTANCE, agree: int = AGREE) -> list[tuple[tuple[int, int], ...]]:
+    """Keys of hashes as tuples of (first bit, width): of distance + agree bands, every choice of agree.
 
-def duplicate_classes(files: DataFrame) -> DataFrame:
-    """Each document with the smallest document of equal sha256: the same fact without a pair for every two copies."""
-    return files.join(files.groupBy("sha256").agg(F.min("document_id").alias("class_id"), F.count("*").alias("copies")), "sha256").select("document_id", "class_id", "copies")
+    Two hashes that differ in at most distance bits have agree equal bands at least, and so a key.  Widths differ by one at
+    most: 64 bits in 9 bands of 7 or 8, in 10 bands of 6 or 7.
+    """
+    bands = distance + agree
+    cuts = [HASH_BITS * i // bands for i in range(bands + 1)]
+    return list(itertools.combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], agree))
 
 
-def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
-    """Pairs of 64-bit perceptual hashes at most distance bits apart, smallest distance per pair of documents.
+def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, agree: int = AGREE) -> DataFrame:
+    """document_id, other_id, distance, score: pairs of different 64-bit perceptual hashes at most distance bits apart, named by the smallest document of each hash.
 
-    Of distance + 1 bands at least one is equal (pigeonhole), so the join is on (band, bits) and no two hashes are
-    compared without sharing a band.  hashes: document_id, phash long.
+    Documents of one hash are a class (duplicate_classes by phash), not pairs.  Hashes are compared only if they share a key
+    of band_keys; with agree 2, 45 keys of some 13 bits each.  hashes: document_id, phash long.
     """
-    bands = distance + 1
-    width = -(-HASH_BITS // bands)
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("phash", i * width).bitwiseAND((1 << min(width, HASH_BITS - i * width)) - 1).alias("bits")) for i in range(bands)])
-    keyed = hashes.distinct().select("document_id", "phash", F.explode(cut).alias("b")).select("document_id", "phash", "b.band", "b.bits")
+    own = hashes.groupBy("phash").agg(F.min("document_id").alias("document_id"))
+    keys = band_keys(distance, agree)
+
+    def packed(key):
+        out, width = F.lit(0).cast("long"), 0
+        for first, n in key:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("phash", first).bitwiseAND(F.lit((1 << n) - 1).cast("long")), width))
+            width += n
+        return out
+
+    keyed = own.select("document_id", "phash", F.posexplode(F.array(*[packed(k) for k in keys])).alias("band", "bits"))
     other = keyed.select(F.col("document_id").alias("other_id"), F.col("phash").alias("other_hash"), "band", "bits")
     bits = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
     pairs = keyed.join(other, ["band", "bits"]).where("document_id < other_id").withColumn("distance", bits).where(F.col("distance") <= distance)
@@ -43,14 +69,55 @@ def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
 
 
 def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY) -> DataFrame:
-    """Pairs of equal amounts, dates at most days apart and alike counterparties.
+    """Pairs of facts of equal amounts, dates at most days apart and alike counterparties, named by their smallest documents.
 
-    facts: document_id, transaction_date, total_amount, counterparty.  Dates are dealt to day buckets, each row meets its own
-    bucket and the next, so that the join is on (amount, bucket); the similarity runs on what is left.
+    facts: document_id, transaction_date, total_amount, counterparty.  Documents of one amount, date and name key are one fact
+    (business_classes), so that a frequent fact is one row.  The earlier of two facts meets its own bucket of dates and the
+    next; names meet if their lengths allow the similarity, or at 100 if they are equal.
     """
-    rows = facts.where("transaction_date is not null and total_amount is not null and counterparty is not null").withColumn("name_key", nfkc_udf("counterparty")).withColumn("bucket", F.floor(F.unix_date("transaction_date") / (days + 1)))
-    left = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1)))
-    right = rows.select(F.col("document_id").alias("other_id"), F.col("transaction_date").alias("other_date"), "total_amount", F.col("name_key").alias("other_key"), "bucket")
-    near = left.join(right, ["total_amount", "bucket"]).where((F.col("document_id") < F.col("other_id")) & (F.abs(F.datediff("transaction_date", "other_date")) <= days))
-    scored = near.withColumn("similarity", similarity(F.col("name_key"), F.col("other_key"))).where(F.col("similarity") >= least)
-    return scored.select("document_id", "other_id", F.round("similarity", 6).alias("similarity"), (F.col("similarity") / 100).alias("score"), F.lit("fuzzy").alias("reason"))
+    rows = business_classes(facts).where("document_id = class_id").select(F.col("class_id").alias("id"), "transaction_date", "total_amount", "name_key").withColumn("bucket", F.floor(F.unix_date("transaction_date") / (days + 1)))
+    later = rows.select(F.col("id").alias("id2"), F.col("transaction_date").alias("date2"), "total_amount", F.col("name_key").alias("key2"), "bucket")
+    earlier = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    on = ["total_amount", "bucket"]
+    if least >= 100:
+        later, on = later.withColumnRenamed("key2", "name_key"), [*on, "name_key"]
+    near = earlier.join(later, on).where((F.datediff("date2", "transaction_date").between(0, days)) & (F.col("id") != F.col("id2")) & ((F.col("date2") > F.col("transaction_date")) | (F.col("id") < F.col("id2"))))
+    if least >= 100:
+        scored = near.withColumn("similarity", F.lit(100.0))
+    else:
+        m, n = F.length("name_key"), F.length("key2")
+        fits = 200.0 * F.least(m, n) >= least * (m + n)  # the longest common subsequence is no longer than the shorter name
+        scored = near.where(fits).withColumn("similarity", similarity(F.col("name_key"), F.col("key2"))).where(F.col("similarity") >= least)
+    return scored.select(F.least("id", "id2").alias("document_id"), F.greatest("id", "id2").alias("other_id"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") / 100).alias("score"), F.lit("fuzzy").alias("reason"))
+
+
+def business_classes(facts: DataFrame) -> DataFrame:
+    """document_id, class_id, copies and the fact (transaction_date, total_amount, name_key) of documents that have all three."""
+    rows = facts.where("transaction_date is not null and total_amount is not null and counterparty is not null").withColumn("name_key", nfkc_udf("counterparty"))
+    fact = ["transaction_date", "total_amount", "name_key"]
+    return rows.join(rows.groupBy(*fact).agg(F.min("document_id").alias("class_id"), F.count("*").alias("copies")), fact).select("document_id", "class_id", "copies", *fact)
+
+
+def upsert_flags(flags: DataFrame, found: DataFrame) -> DataFrame:
+    """Flags after a detector's runs: the last evidence of each pair, and whether the pair was there before (update) or not (insert)."""
+    last = found.groupBy("document_id", "other_id").agg(F.max_by(F.struct("reason", "score"), "run").alias("new"), F.count("*").alias("writes"))
+    both = flags.withColumn("was", F.lit(True)).join(last, ["document_id", "other_id"], "full")
+    action = F.when(F.col("new").isNull(), "keep").when(F.col("was").isNull(), "insert").otherwise("update")
+    return both.select("document_id", "other_id", F.coalesce("new.reason", "reason").alias("reason"), F.coalesce("new.score", "score").alias("score"), action.alias("action"), F.coalesce("writes", F.lit(0)).alias("writes"))
+
+
+def fingerprints(verified: DataFrame, extractions: DataFrame) -> DataFrame:
+    """document_id, origin, transaction_date, total_amount, counterparty: the verified facts, else those of the newest extraction that can be read.
+
+    extractions: document_id, extraction_id, created, payload (JSON of values or {"value": ...}, several names a field).  An
+    extraction whose date, amount or counterparty cannot be read is passed over, whatever its age.
+    """
+
+    def field(*names):
+        return F.coalesce(*[F.coalesce(F.get_json_object("payload", f"$.{n}.value"), F.get_json_object("payload", f"$.{n}")) for n in names])
+
+    read = extractions.select("document_id", "extraction_id", "created", F.try_to_date(F.trim(field("transaction_date", "issue_date")), "yyyy-M-d").alias("d"), lenient_decimal(field("total_amount", "amount")).alias("a"), F.nullif(F.trim(field("counterparty", "issuer")), F.lit("")).alias("c"))
+    best = read.where("d is not null and a is not null and c is not null").groupBy("document_id").agg(F.max_by(F.struct("d", "a", "c"), F.struct("created", "extraction_id")).alias("e"))
+    v = verified.select("document_id", F.struct(F.col("transaction_date").alias("d"), F.col("total_amount").cast("decimal(18,2)").alias("a"), F.col("counterparty").alias("c")).alias("v"))
+    both = v.join(best, "document_id", "full").withColumn("f", F.coalesce("v", "e"))
+    return both.select("document_id", F.when(F.col("v").isNotNull(), "verified").otherwise("extraction").alias("origin"), F.col("f.d").alias("transaction_date"), F.col("f.a").alias("total_amount"), F.col("f.c").alias("counterparty"))

@@ -197,11 +197,6 @@ def j18(s, d):
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@query("j20_uniqueness_conflicts", "SELECT l_suppkey % 25 AS issuer, l_shipdate, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
-def j20(s, d):
-    return fx.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 25).alias("issuer"), "l_shipdate").agg(F.count("*").alias("n")).where("n > 1")
-
-
 @query("e1_verified_total", A + "SELECT coalesce(currency, 'unspecified') AS currency, CAST(coalesce(sum(total_amount), 0) AS DOUBLE) AS amount, count(id) AS record_count FROM active GROUP BY 1")
 def e1(s, d):
     return intent.plan(active(s, d), intent.Intent("sum"))
