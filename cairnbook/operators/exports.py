@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import safe_cell
+from cairnbook.operators.ordered import digest_tree, numbered
 
 # The import formats' header, accounts and constants.
 JOURNAL_HEADER = (
@@ -44,17 +45,17 @@ def summary(tag: str) -> Column:
     return safe_cell(F.concat(F.col("counterparty"), F.lit(f" [{tag}:"), F.col("id").cast("string"), F.lit("]")))
 
 
-def voucher() -> Column:
-    """1 .. n by date, then id as text."""
-    return F.row_number().over(Window.orderBy("transaction_date", F.col("id").cast("string")))
+def with_voucher(records: DataFrame) -> DataFrame:
+    """records with voucher, 1 .. n by date, then id as text; no task holds more than a range of dates."""
+    return numbered(records.withColumn("id_text_", F.col("id").cast("string")), "voucher", "transaction_date", "id_text_").drop("id_text_")
 
 
 def journal_33(records: DataFrame, tag: str = "record") -> DataFrame:
     """33 columns with header; records: id, transaction_date, total_amount, counterparty, category, tax_8, tax_10."""
     tax, tax_amount = tax_treatment(F.col("tax_8"), F.col("tax_10"))
     amount = whole_yen(F.col("total_amount"), "total")
-    cells = {0: F.lit("[明細行]"), 1: F.date_format("transaction_date", "yyyy/MM/dd"), 2: voucher().cast("string"), 4: account(F.col("category")), 7: safe_cell(F.col("counterparty")), 15: amount, 16: tax, 17: tax_amount, 18: F.lit(PAYABLE), 29: amount, 30: F.lit(EXEMPT), 32: summary(tag)}
-    return records.select(*[cells.get(i, F.lit("")).alias(name) for i, name in enumerate(JOURNAL_HEADER)])
+    cells = {0: F.lit("[明細行]"), 1: F.date_format("transaction_date", "yyyy/MM/dd"), 2: F.col("voucher").cast("string"), 4: account(F.col("category")), 7: safe_cell(F.col("counterparty")), 15: amount, 16: tax, 17: tax_amount, 18: F.lit(PAYABLE), 29: amount, 30: F.lit(EXEMPT), 32: summary(tag)}
+    return with_voucher(records).select(*[cells.get(i, F.lit("")).alias(name) for i, name in enumerate(JOURNAL_HEADER)])
 
 
 def journal_27(records: DataFrame, tag: str = "record") -> DataFrame:
@@ -66,7 +67,7 @@ def journal_27(records: DataFrame, tag: str = "record") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """One ordered UTF-8 file with CRLF line ends (journals are small; their order matters)."""
+    """One ordered UTF-8 file with CRLF line ends: what an accounting program imports is one file, of a size that it can read."""
     df.coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").option("emptyValue", "").csv(path, header=header, quote='"', escape='"')
 
 
@@ -88,3 +89,19 @@ def audit_rows(entries: DataFrame, date_from: Column, date_to: Column, table: st
     rows = rows if table is None else rows.where(F.col("table_name") == table)
     cells = {c: safe_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in AUDIT_HEADER[2:]}
     return rows.select(F.col("audit_id").cast("string").alias("audit_id"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("at"), *[v.alias(c) for c, v in cells.items()])
+
+
+def ordered_digest(rows: DataFrame, order: list[str], cells: Column, *keys: str) -> DataFrame:
+    """keys and digest: sha256 of each key's rows in order, as a tree of bounded groups."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    return digest_tree(rows.withColumn("place_", place), "place_", cells, *keys)
+
+
+def inventory(table: DataFrame, name: str, key: str, columns: list[str]) -> DataFrame:
+    """One row: table name, number of rows, digest of its ids in order, digest of its contents (columns as text) in order."""
+    rows = numbered(table, "place_", key)
+    text = F.concat_ws("|", *[F.concat(F.lit("="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns])
+    ids, contents = (digest_tree(rows, "place_", cells).select(F.col("digest").alias(n)) for cells, n in ((F.col(key).cast("string"), "identity_digest"), (text, "content_digest")))
+    counted = rows.agg(F.count("*").alias("n"))
+    # each side is one row
+    return counted.join(F.broadcast(ids), F.lit(True), "left").join(F.broadcast(contents), F.lit(True), "left").select(F.lit(name).alias("tbl"), "n", "identity_digest", "content_digest")

@@ -26,7 +26,7 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     sizes = parts.groupBy("part_").agg(F.count("*").alias("size_"))
     before = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size_")
     place = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
-    return parts.withColumn("place_", place).join(F.broadcast(before), "part_").withColumn(name, (F.col("place_") + F.col("before_")).cast("long")).drop("part_", "place_", "before_")
+    return parts.withColumn("in_part_", place).join(F.broadcast(before), "part_").withColumn(name, (F.col("in_part_") + F.col("before_")).cast("long")).drop("part_", "in_part_", "before_")
 
 
 def digest_tree(rows: DataFrame, place: str, cells: Column, *keys: str) -> DataFrame:
@@ -42,9 +42,9 @@ def digest_sql(source: str, order: str, cells: str, keys: Sequence[str] = ()) ->
     """The same as SQL."""
     by = ", ".join(keys)
     over = f"PARTITION BY {by} ORDER BY {order}" if keys else f"ORDER BY {order}"
-    out = f"SELECT {by + ', ' if keys else ''}row_number() OVER ({over}) - 1 AS at, {cells} AS d FROM {source}"
+    out = f"SELECT {by + ', ' if keys else ''}row_number() OVER ({over}) - 1 AS pos, {cells} AS d FROM {source}"
     for _ in range(LEVELS):
-        out = f"SELECT {by + ', ' if keys else ''}at // {FAN} AS at, sha256(string_agg(d, '|' ORDER BY at)) AS d FROM ({out}) GROUP BY ALL"
+        out = f"SELECT {by + ', ' if keys else ''}pos // {FAN} AS pos, sha256(string_agg(d, '|' ORDER BY pos)) AS d FROM ({out}) GROUP BY ALL"
     return f"SELECT {by + ', ' if keys else ''}d AS digest FROM ({out})"
 
 

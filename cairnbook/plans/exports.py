@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnbook.operators import exports
+from cairnbook.operators.ordered import digest_sql
 from cairnbook.plans.registry import query
 from cairnbook.plans.verified import SQL_ACTIVE, active
 from cairnbook.sources import fixtures as fx
@@ -28,7 +29,10 @@ def a31(s, d):
     return j.select(*[F.col(k).alias(v) for k, v in names.items()])
 
 
-@query("a31_journal_33_all_columns")
+JOURNAL = {0: "'[明細行]'", 1: "strftime(transaction_date, '%Y/%m/%d')", 2: "CAST(row_number() OVER (ORDER BY transaction_date, CAST(id AS VARCHAR)) AS VARCHAR)", 4: ACCOUNT, 7: "counterparty", 15: "CAST(CAST(yen AS BIGINT) AS VARCHAR)", 16: TAX, 17: "coalesce(CAST(CAST(coalesce(t8, t10) AS BIGINT) AS VARCHAR), '')", 18: "'未払金'", 29: "CAST(CAST(yen AS BIGINT) AS VARCHAR)", 30: "'対象外'", 32: "counterparty || ' [record:' || id || ']'"}
+
+
+@query("a31_journal_33_all_columns", LEDGER + " SELECT " + ", ".join(f"""{JOURNAL.get(i, "''")} AS \"{name}\"""" for i, name in enumerate(exports.JOURNAL_HEADER)) + " FROM r")
 def a31b(s, d):
     return exports.journal_33(records(s, d))
 
@@ -44,9 +48,9 @@ def a32b(s, d):
     return exports.shift_jis(lines, "line").select(F.length("bytes").alias("n_bytes"), F.md5("bytes").alias("digest"))
 
 
-@query("w6_voucher_number", LEDGER + " SELECT id, CAST(row_number() OVER (ORDER BY transaction_date, CAST(id AS VARCHAR)) AS INTEGER) AS voucher FROM r")
+@query("w6_voucher_number", LEDGER + " SELECT id, row_number() OVER (ORDER BY transaction_date, CAST(id AS VARCHAR)) AS voucher FROM r")
 def w6(s, d):
-    return records(s, d).select("id", exports.voucher().alias("voucher"))
+    return exports.with_voucher(records(s, d)).select("id", "voucher")
 
 
 @query("d19_account_map", f"WITH {SQL_ACTIVE} SELECT id, {ACCOUNT} AS account FROM active")
@@ -75,17 +79,24 @@ def a33(s, d):
     return exports.audit_rows(entries, F.lit("2024-01-03").cast("date"), F.lit("2024-01-05").cast("date"))
 
 
-@query("a34_inventory", "SELECT 'customer' AS tbl, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS id_sum FROM customer UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders UNION ALL SELECT 'part', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part")
+TABLES = {"customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]), "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_size"])}
+
+
+def _inventory_sql(name, key, columns):
+    text = " || '|' || ".join(f"'=' || coalesce(CAST({c} AS VARCHAR), 'null')" for c in columns)
+    return f"SELECT '{name}' AS tbl, (SELECT count(*) FROM {name}) AS n, ({digest_sql(name, key, f'CAST({key} AS VARCHAR)')}) AS identity_digest, ({digest_sql(name, key, text)}) AS content_digest"
+
+
+@query("a34_inventory", " UNION ALL ".join(_inventory_sql(t, *spec) for t, spec in TABLES.items()))
 def a34(s, d):
-    parts = [fx.table(s, d, t).agg(F.lit(t).alias("tbl"), F.count("*").alias("n"), F.sum(k).alias("id_sum")) for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))]
+    parts = [exports.inventory(fx.table(s, d, t), t, key, columns) for t, (key, columns) in TABLES.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("e18_ordered_digest", "SELECT l_suppkey, sha256(string_agg(l_orderkey || ':' || l_linenumber, '|' ORDER BY l_orderkey, l_linenumber)) AS digest FROM lineitem GROUP BY 1")
+@query("e18_ordered_digest", digest_sql("(SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem)", "l_orderkey, l_linenumber, l_partkey", "l_orderkey || ':' || l_linenumber", ["l_suppkey"]))
 def e18(s, d):
-    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(r["l_orderkey"].cast("string"), F.lit(":"), r["l_linenumber"].cast("string"))), "|")
-    return fx.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sha2(text, 256).alias("digest"))
+    rows = fx.table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return exports.ordered_digest(rows, ["l_orderkey", "l_linenumber", "l_partkey"], F.concat_ws(":", "l_orderkey", "l_linenumber"), "l_suppkey")
 
 
 @query("a35_scale_table", "SELECT CAST(r AS INTEGER) AS row_number, 'synthetic-r' || lpad(CAST(r AS VARCHAR), 4, '0') || '-c01' AS synthetic_field_01, 'synthetic-r' || lpad(CAST(r AS VARCHAR), 4, '0') || '-c13' AS synthetic_field_13 FROM range(1, 1201) t(r)")
