@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import cosine
+from cairnbook.operators.intent import is_aggregation
 
 MAX_TOKENS, TOP_K, BATCH = 480, 8, 16
+REFUSAL = "amounts are answered from verified records only"
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
-_TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿＀-￯]|[A-Za-z0-9_]+|\S")
+_WORD = re.compile(r"[A-Za-z0-9_]+")
+_SPACE = re.compile(r"\s+")
 
 
 def tokens(text: str) -> int:
-    """CJK characters 1, words a quarter of their length (rounded up), other characters 1."""
-    return sum(math.ceil(len(t) / 4) if t.isascii() and (t[0].isalnum() or t[0] == "_") else 1 for t in _TOKEN.findall(text))
+    """CJK characters 1, words of letters, digits and _ a quarter of their length (rounded up), other characters 1."""
+    sizes = [len(w) for w in _WORD.findall(text)]
+    blank = sum(map(len, _SPACE.findall(text)))
+    return sum((n + 3) >> 2 for n in sizes) + len(text) - sum(sizes) - blank
 
 
 def sections(body: str) -> Iterable[tuple[str, list[str]]]:
@@ -53,19 +57,19 @@ def blocks(lines: list[str]) -> list[tuple[str, bool]]:
     return [("\n".join(part).strip(), table) for part, table in out]
 
 
-def _pack(pieces: Iterable[str], limit: int, joint: str) -> list[str]:
-    """Neighbouring pieces together up to limit tokens; each joint costs one."""
-    out: list[list[str]] = []
+def _pack(pieces: Iterable[tuple[str, int]], limit: int, joint: str) -> list[tuple[str, int]]:
+    """Neighbouring pieces (text, tokens) together up to limit tokens; each joint costs one.  Texts with their tokens, counted anew only where joined."""
+    out: list[list[tuple[str, int]]] = []
     used = 0
     for piece in pieces:
-        size = tokens(piece)
-        if out and used + 1 + size <= limit:
+        if out and used + 1 + piece[1] <= limit:
             out[-1].append(piece)
-            used += 1 + size
+            used += 1 + piece[1]
         else:
             out.append([piece])
-            used = size
-    return [joint.join(p) for p in out]
+            used = piece[1]
+    # joints are white space, so that the tokens of the whole are those of its parts
+    return [(joint.join(t for t, _ in p), sum(n for _, n in p)) for p in out]
 
 
 def hard_split(text: str, limit: int) -> list[str]:
@@ -84,17 +88,18 @@ def hard_split(text: str, limit: int) -> list[str]:
     return [p.strip() for p in out if p.strip()]
 
 
-def split_paragraph(text: str, limit: int) -> list[str]:
-    """By sentences, packed; sentences above the limit by characters."""
+def split_paragraph(text: str, limit: int) -> list[tuple[str, int]]:
+    """(text, tokens) by sentences, packed; sentences above the limit by characters."""
     sentences = [p.strip() for p in re.split(r"(?<=[。！？.!?])\s*", text) if p.strip()]
     if len(sentences) < 2:
-        return hard_split(text, limit)
+        return [(p, tokens(p)) for p in hard_split(text, limit)]
     out, run = [], []
     for sentence in sentences:
-        if tokens(sentence) <= limit:
-            run.append(sentence)
+        n = tokens(sentence)
+        if n <= limit:
+            run.append((sentence, n))
             continue
-        out += _pack(run, limit, " ") + hard_split(sentence, limit)
+        out += _pack(run, limit, " ") + [(p, tokens(p)) for p in hard_split(sentence, limit)]
         run = []
     return out + _pack(run, limit, " ")
 
@@ -105,25 +110,28 @@ def chunk(body: str, limit: int = MAX_TOKENS) -> list[tuple[int, str, str, int]]
     for path, lines in sections(body):
         pieces = []
         for text, table in blocks(lines):
-            if tokens(text) <= limit:
-                pieces.append(text)
+            n = tokens(text)
+            if n <= limit:
+                pieces.append((text, n))
             elif table:
                 raise ValueError(f"a table below {path or 'the beginning'!r} is above {limit} tokens")
             else:
                 pieces += split_paragraph(text, limit)
-        out += [(path, text) for text in _pack(pieces, limit, "\n\n")]
-    return [(i, path, text, tokens(text)) for i, (path, text) in enumerate(out)]
+        out += [(path, text, n) for text, n in _pack(pieces, limit, "\n\n")]
+    return [(i, *c) for i, c in enumerate(out)]
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, limit: int = MAX_TOKENS) -> DataFrame:
     """Chunks of every document, Arrow batch by batch, without a shuffle."""
+    names = ["document_id", "seq", "heading_path", "text", "tokens"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, *c) for i, text in zip(pdf["id"], pdf["text"], strict=True) for c in chunk(text or "", limit)]
-            yield pd.DataFrame(rows, columns=["document_id", "seq", "heading_path", "text", "tokens"])
+        for batch in batches:
+            rows = [(i, *c) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for c in chunk(text or "", limit)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "document_id long, seq int, heading_path string, text string, tokens int")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "document_id long, seq int, heading_path string, text string, tokens int")
 
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
@@ -150,3 +158,13 @@ def nearest(chunks_: DataFrame, query: Column, k: int = TOP_K, *ties: str) -> Da
     if not 1 <= k <= 100:
         raise ValueError("k is 1 to 100")
     return chunks_.withColumn("distance", cosine(F.col("embedding"), query)).orderBy("distance", *ties).limit(k)
+
+
+def answer(question: str, hits: DataFrame, hybrid: bool = False) -> DataFrame:
+    """question, refused and passage (text with its citation) of a semantic answer; arithmetic is refused unless a verified total goes with it."""
+    refused = is_aggregation(question) and not hybrid
+    if refused:
+        one = hits.sparkSession.range(1)
+        return one.select(F.lit(question).alias("question"), F.lit(True).alias("refused"), F.lit(REFUSAL).alias("passage"))
+    cited = F.concat(F.col("text"), F.lit(" [source "), F.col("document_id").cast("string"), F.lit(":"), F.col("seq").cast("string"), F.lit("]"))
+    return hits.select(F.lit(question).alias("question"), F.lit(False).alias("refused"), cited.alias("passage"))

@@ -10,7 +10,8 @@ from cairnbook.plans.registry import query
 from cairnbook.sources import fixtures as fx
 
 MARKDOWN = "# Expenses\n\nlead text\n\n## June\n\n| a | b |\n| 1 | 2 |\n\n### Notes\n\n領収書 paid in cash. Another sentence! And more?"
-DIST = "round(greatest(0.0::DOUBLE, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))), 6)"
+RAW = "greatest(0.0::DOUBLE, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)))"
+DIST = f"round({RAW}, 6)"
 
 
 def with_query(s, d):
@@ -19,15 +20,18 @@ def with_query(s, d):
     return fx.table(s, d, "embeddings").join(F.broadcast(q), F.lit(True))
 
 
-@query("v8_filtered_knn", f"SELECT vec_id, {DIST} AS distance FROM embeddings WHERE label IN (1, 3, 5) ORDER BY distance, vec_id LIMIT 8")
+def nearest(rows, k):
+    return search.nearest(rows, F.col("q"), k, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("v8_filtered_knn", f"SELECT vec_id, {DIST} AS distance FROM embeddings WHERE label IN (1, 3, 5) ORDER BY {RAW}, vec_id LIMIT 8")
 def v8(s, d):
-    rows = with_query(s, d).where(F.col("label").isin(1, 3, 5)).withColumn("distance", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6))
-    return rows.orderBy("distance", "vec_id").limit(8).select("vec_id", "distance")
+    return nearest(with_query(s, d).where(F.col("label").isin(1, 3, 5)), search.TOP_K)
 
 
-@query("g4_vector_topk", f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10")
+@query("g4_vector_topk", f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY {RAW}, vec_id LIMIT 10")
 def g4(s, d):
-    return with_query(s, d).withColumn("distance", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6)).orderBy("distance", "vec_id").limit(10).select("vec_id", "distance")
+    return nearest(with_query(s, d), 10)
 
 
 @query("v7_domain_filter", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') OR NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id)")
@@ -74,9 +78,12 @@ def v4(s, d):
     return s.createDataFrame(rows, "seq int, text string, tokens int")
 
 
-@query("w8_chunk_seq", "SELECT doc_id, CAST(unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS INTEGER) AS seq FROM documents")
+@query("w8_chunk_seq", f"SELECT doc_id AS document_id, CAST(unnest(range(1 + doc_id % 5)) AS INTEGER) AS seq, 'xxxxxxxxxxxx' || doc_id || 'p' || unnest(range(1 + doc_id % 5)) AS text FROM documents")
 def w8(s, d):
-    return fx.table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line")).select("doc_id", "seq")
+    """Numbers of chunks in their documents: texts of one to five paragraphs, each as large as a chunk may be."""
+    paragraphs = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int")), lambda i: F.concat(F.lit("x" * 12), F.col("doc_id").cast("string"), F.lit("p"), i.cast("string")))
+    docs = fx.table(s, d, "documents").select("doc_id", F.array_join(paragraphs, "\n\n").alias("text"))
+    return search.chunks(docs, "doc_id", "text", 7).select("document_id", "seq", "text")
 
 
 @query("v5_discovery_chunks")
@@ -85,7 +92,7 @@ def v5(s, d):
     return search.chunks(docs, "id", "text", 60).select("document_id", "seq", "heading_path", "text")
 
 
-@query("v6_batched_embedding")
+@query("v6_batched_embedding", "SELECT item_id, [CAST(length(text) AS DOUBLE), CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE)] AS embedding FROM benchmark")
 def v6(s, d):
     rows = fx.table(s, d, "benchmark").select("item_id", "text")
     return search.embed(rows, lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]).select("item_id", "embedding")
@@ -99,10 +106,10 @@ def i17(s, d):
     return replace_partitions(made, "chunks", "part").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
 
 
-@query("l3_semantic_answer")
+@query("l3_semantic_answer", f"WITH h AS (SELECT vec_id FROM embeddings ORDER BY {RAW}, vec_id LIMIT 3), p AS (SELECT d.text || ' [source ' || vec_id || ':0]' AS passage FROM h JOIN documents d ON d.doc_id = vec_id) SELECT 'what does the warranty say' AS question, FALSE AS refused, passage FROM p UNION ALL SELECT 'total of June', TRUE, '{search.REFUSAL}' UNION ALL SELECT 'which receipt did I spend most on', FALSE, passage FROM p")
 def l3(s, d):
-    """Retrieved passages with their citation; arithmetic questions are refused."""
-    from cairnbook.operators.intent import is_aggregation
-
-    hits = v8(s, d)
-    return hits.select(F.lit(is_aggregation("what does the warranty say")).alias("refused"), F.concat(F.lit("[source "), F.col("vec_id").cast("string"), F.lit("]")).alias("citation"))
+    """A question answered from passages, one about amounts that is refused, and one that goes with a verified total."""
+    texts = fx.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), "text")
+    hits = search.nearest(with_query(s, d), F.col("q"), 3, "vec_id").select(F.col("vec_id").alias("document_id")).join(texts, "document_id")
+    parts = [search.answer(*x) for x in (("what does the warranty say", hits), ("total of June", hits), ("which receipt did I spend most on", hits, True))]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -11,7 +11,7 @@ from cairnbook.operators import authority, dedupe, exports, intent, lifecycle, m
 from cairnbook.sources import parse
 
 
-def test_intent_slots():
+def test_intent_slots(spark):
     today = dt.date(2026, 7, 15)
     i = intent.parse("6月の食費の合計は？", today)
     assert (i.metric, i.date_from, i.date_to, i.category) == ("sum", dt.date(2026, 6, 1), dt.date(2026, 6, 30), "食費")
@@ -31,7 +31,7 @@ def test_currency_never_mixed_and_authority(spark):
     rows = {r["currency"]: r["amount"] for r in intent.plan(authority.active(v, e, b), intent.Intent("sum")).collect()}
     assert rows == {"JPY": 1200.0, "VND": 250000.0}
     assert intent.plan(authority.active(v.limit(0), e, b), intent.Intent("count")).first()[0] == 0
-    assert intent.render("total", [("JPY", 1.0, 1), ("VND", 2.0, 3)]).endswith("No currency conversion was performed.")
+    assert intent.render("total", [("JPY", 1.0, 1), ("VND", 2.0, 3)]) == "Total of verified records: JPY 1.00 (1 records); VND 2.00 (3 records). Currencies are kept apart."
 
 
 BILL = "issuer_id string, billing_period date, amount decimal(18,2), consumption_value decimal(18,4), consumption_unit string"
