@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnbook.operators import authority, intent
-from cairnbook.plans.registry import query
+from cairnbook.plans.registry import query, rows_sql
 from cairnbook.sources import fixtures as fx
 from cairnbook.sources.fixtures import SQL_ACTIVE, SQL_BATCHES, SQL_EXTRACTED, SQL_VERIFIED
 
@@ -338,17 +338,6 @@ def asked(s, questions):
     return s.createDataFrame([(q,) for q in questions], "question string")
 
 
-def rows_sql(columns: str, *rows) -> str:
-    """SQL of literal rows: None, numbers, booleans, texts, dates."""
-
-    def cell(v):
-        if isinstance(v, dt.date):
-            return f"DATE '{v.isoformat()}'"
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
-
-
 def _month(year, month):
     return dt.date(year, month, 1), dt.date(year, month, 31 if month in (7, 12) else 30)
 

@@ -10,11 +10,13 @@ import html.parser
 import io
 import json
 import re
+import struct
 import tarfile
 import xml.etree.ElementTree as ET
 import zipfile
 
 MAX_ROWS, MAX_CELLS, MAX_BYTES, MAX_NODES, MAX_DEPTH, MAX_MEMBERS = 100_000, 1_000_000, 50 << 20, 200_000, 64, 10_000
+MAX_SIDE, MAX_PIXELS, MAX_FRAMES = 12_000, 40_000_000, 100
 
 
 class Budget(ValueError):
@@ -290,17 +292,92 @@ def _cell(ref: str) -> tuple[int, int]:
     return int(digits) - 1, column - 1
 
 
-def pptx(raw: bytes) -> list[str]:
-    """Text of each slide, in order."""
+def pptx(raw: bytes) -> list[tuple[str, list[list[list[str]]]]]:
+    """(text, tables) of each slide, in order; cells are not part of the text."""
+    out = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        return ["\n".join(t.text or "" for t in _part(z, n).iter(f"{_A}t")) for n in names]
+        for name in names:
+            root = _part(z, name)
+            tables, inside = [], set()
+            for t in root.iter(f"{_A}tbl"):
+                inside |= {id(x) for x in t.iter()}
+                tables.append([["".join(x.text or "" for x in c.iter(f"{_A}t")) for c in r.iter(f"{_A}tc")] for r in t.iter(f"{_A}tr")])
+            lines = ["".join(x.text or "" for x in p.iter(f"{_A}t")) for p in root.iter(f"{_A}p") if id(p) not in inside]
+            out.append(("\n".join(x for x in lines if x.strip()), tables))
+    return out
+
 
+_TEXT, _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 
-def odf(raw: bytes) -> list[str]:
-    """Paragraphs and headings of an OpenDocument file."""
+
+def odf(raw: bytes) -> tuple[list[str], list[tuple[str, list[list[str]]]]]:
+    """(paragraphs and headings outside tables, (name, rows) of each table) of an OpenDocument file; repeated cells are written out up to a limit."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        return [x for n in _part(z, "content.xml").iter() if n.tag.endswith(("}p", "}h")) and (x := "".join(n.itertext()).strip())]
+        root = _part(z, "content.xml")
+    tables, inside, cells = [], set(), 0
+    for t in root.iter(f"{_TABLE}table"):
+        inside |= {id(x) for x in t.iter()}
+        rows = []
+        for r in t.iter(f"{_TABLE}table-row"):
+            row: list[str] = []
+            for c in r:
+                if c.tag.endswith(("}table-cell", "}covered-table-cell")):
+                    times = int(c.get(f"{_TABLE}number-columns-repeated", "1"))
+                    text = "\n".join("".join(p.itertext()) for p in c.iter(f"{_TEXT}p"))
+                    cells += times if text else 1
+                    need("cells", cells, MAX_CELLS)
+                    row += [text] * (times if text else 1)
+            while row and not row[-1]:
+                row.pop()
+            if row:
+                rows.append(row)
+        tables.append((t.get(f"{_TABLE}name", f"{len(tables) + 1}"), rows))
+    return [x for n in root.iter() if n.tag in (f"{_TEXT}p", f"{_TEXT}h") and id(n) not in inside and (x := "".join(n.itertext()).strip())], tables
+
+
+def image(raw: bytes) -> tuple[str, int, int, int]:
+    """(format, width, height, frames) from the headers of PNG, GIF, JPEG and BMP input; nothing is decoded."""
+    kind = next((k for m, k in MAGIC if raw.startswith(m)), "")
+    if kind == "png" and raw[12:16] == b"IHDR":
+        width, height = struct.unpack(">II", raw[16:24])
+        at, frames = 8, 1
+        while at + 12 <= len(raw):
+            size, name = struct.unpack(">I4s", raw[at : at + 8])
+            if name == b"acTL":
+                frames = struct.unpack(">I", raw[at + 8 : at + 12])[0]
+            at += size + 12
+    elif kind == "gif":
+        width, height = struct.unpack("<HH", raw[6:10])
+        at, frames = 13 + (3 << (raw[10] & 7) + 1 if raw[10] & 128 else 0), 0
+        while at < len(raw) and raw[at] != 0x3B:
+            if raw[at] == 0x2C:
+                frames += 1
+                at += 11 + (3 << (raw[at + 9] & 7) + 1 if raw[at + 9] & 128 else 0)
+            else:
+                at += 2
+            while at < len(raw) and raw[at]:
+                at += raw[at] + 1
+            at += 1
+    elif kind == "jpeg":
+        at, width, height, frames = 2, 0, 0, 1
+        while at + 9 <= len(raw) and raw[at] == 0xFF:
+            if raw[at + 1] in (0xC0, 0xC1, 0xC2, 0xC3):
+                height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
+                break
+            at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
+    elif kind == "bmp":
+        width, height = struct.unpack("<ii", raw[18:26])
+        height, frames = abs(height), 1
+    else:
+        raise ValueError("not an image whose header is known")
+    if not width or not height:
+        raise ValueError("an image without dimensions")
+    need("width", width, MAX_SIDE)
+    need("height", height, MAX_SIDE)
+    need("pixels", width * height * frames, MAX_PIXELS)
+    need("frames", frames, MAX_FRAMES)
+    return kind, width, height, frames
 
 
 def rtf(raw: bytes) -> str:
@@ -392,7 +469,7 @@ def sniff(raw: bytes, name: str = "") -> str:
     if head.startswith(("<?xml", "<svg")):
         return "svg" if "<svg" in head else "xml"
     end = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    return end if end in ("csv", "tsv", "md", "json", "jsonl", "yaml", "eml", "log", "rst") else "text"
+    return end if end in ("csv", "tsv", "md", "json", "jsonl", "yaml", "eml", "log", "rst") or end == "xml" and head.startswith("<") else "text"
 
 
 def page_needs_ocr(text: str, least: int = 20, mojibake: float = 0.1) -> bool:
