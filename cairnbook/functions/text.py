@@ -189,3 +189,22 @@ def normalised(a: Column) -> Column:
     bad = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(_squares(a))
     return F.when(bad | (norm == 0), F.raise_error(F.lit("not a vector that can be normalised"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm))
+
+
+def tagged(kind: str, text: Column) -> Column:
+    """A value's text under the name of its type; null stays null."""
+    return F.when(text.isNotNull(), F.struct(text.alias(kind)))
+
+
+def tagged_bytes(raw: Column) -> Column:
+    return F.when(raw.isNotNull(), F.struct(F.sha2(raw, 256).alias("bytes"), F.length(raw).alias("length")))
+
+
+def stable_json(fields: dict[str, Column]) -> Column:
+    """JSON of fields in the order of their names, nulls written."""
+    return F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def candidate_key(*names: str) -> Column:
+    """sha256 of the canonical JSON of columns, in the order of their names."""
+    return F.sha2(stable_json({n: F.col(n) for n in names}), 256)

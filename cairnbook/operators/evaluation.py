@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnbook.functions.text import cosine
+from cairnbook.functions.text import cosine, nfkc_udf
+from cairnbook.operators.ordered import numbered
 
 TOLERANCE = 0.02
 
@@ -14,6 +15,27 @@ def same_money(a: Column, b: Column, slack: float = 0.5) -> Column:
     return F.abs(a - b) <= slack
 
 
+def same_field(field: Column, predicted: Column, expected: Column) -> Column:
+    """Whether a predicted text is the expected one, by field: money within half a unit, dates by day, registration numbers without hyphens,
+    all other fields by NFKC, case and white space; null is like null only."""
+    amount = [x.try_cast("decimal(38,6)") for x in (predicted, expected)]
+    day = [F.try_to_date(x, "yyyy-MM-dd") for x in (predicted, expected)]
+    plain = [F.replace(nfkc_udf(x), F.lit(" "), F.lit("")) for x in (predicted, expected)]
+    bare = [F.replace(x, F.lit("-"), F.lit("")) for x in plain]
+    by_kind = (
+        F.when(field.isin("total_amount", "tax_8_amount", "tax_10_amount"), F.coalesce(F.abs(amount[0] - amount[1]) <= 0.5, F.lit(False))).when(F.endswith(field, F.lit("date")), F.coalesce(day[0] == day[1], F.lit(False)))
+        .when(field == "registration_number", bare[0] == bare[1]).otherwise(plain[0] == plain[1])
+    )
+    return F.when(predicted.isNull() | expected.isNull(), predicted.isNull() & expected.isNull()).otherwise(by_kind)
+
+
+def aligned(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of both sides at equal places of their orders; an error if they are not equally many."""
+    if (n := left.count()) != (m := right.count()):
+        raise ValueError(f"{n} predictions for {m} labels")
+    return numbered(left, "place_", left_order).join(numbered(right, "place_", right_order), "place_").drop("place_")
+
+
 def field_accuracy(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(field, accuracy): share of rows whose label column equals the predicted one; one pass."""
     means = rows.agg(*[F.round(F.avg(F.col(a).eqNullSafe(F.col(b)).cast("int")), 6).alias(a) for a, b in fields.items()])

@@ -97,17 +97,20 @@ def apply_rules(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def candidates_and_ledger(staged: DataFrame, mappings: dict[str, Sequence[Rule] | None]) -> tuple[DataFrame, DataFrame]:
-    """Candidates and a ledger with one disposition for every staged row; None ignores a table, tables without a mapping are residual."""
-    parts = []
-    for location, rules in mappings.items():
-        rows = staged.where(F.col("source_location") == location)
+    """Candidates and a ledger with one disposition for every staged row; None ignores a table, tables without a mapping are residual.
+
+    Candidates are numbered by document: rows of the mapped tables in the order of the mappings, then what is residual, one
+    candidate a row with its cells as they stand.
+    """
+    columns = ["document_id", "source_location", "row_index", "payload", "issues", "place"]
+    other = staged.where(~F.col("source_location").isin(list(mappings)) & ~F.col("blank"))
+    candidates = other.select("document_id", "source_location", "row_index", F.to_json("values").alias("payload"), F.array().cast("array<string>").alias("issues"), F.lit(len(mappings)).alias("place"))
+    for place, (location, rules) in enumerate(mappings.items()):
         if rules is not None:
-            parts.append(apply_rules(rows, rules).where("not blank").select("document_id", "source_location", "row_index", F.to_json("mapped").alias("payload"), "issues"))
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
-    w = Window.partitionBy("document_id").orderBy("source_location", "row_index")
-    candidates = candidates.withColumn("ordinal", F.row_number().over(w))
+            made = apply_rules(staged.where((F.col("source_location") == location) & ~F.col("blank")), rules)
+            candidates = candidates.unionByName(made.select("document_id", "source_location", "row_index", F.to_json("mapped").alias("payload"), "issues", F.lit(place).alias("place")).select(columns))
+    w = Window.partitionBy("document_id").orderBy("place", "source_location", "row_index")
+    candidates = candidates.withColumn("ordinal", F.row_number().over(w)).drop("place")
     ignored = [k for k, v in mappings.items() if v is None]
     kind = F.when(F.col("source_location").isin(ignored), "ignored").when(~F.col("source_location").isin(list(mappings)), "residual").when(F.col("blank"), "blank").otherwise("mapped")
     return candidates, staged.select("document_id", "source_location", "row_index", "fingerprint", kind.alias("disposition"))

@@ -30,9 +30,11 @@ def unique_headers(header: Column, joint: str = "__") -> Column:
 
 def numeric_aggregate(rows: DataFrame, column: str, *by: str) -> DataFrame:
     """Sum, average and count of a staged column over cells typed integer or number; six places, half to even."""
-    cell = F.element_at("values", F.lit(column))
+    cell = F.col("values")[column]  # read off the map's own entries where the map is made in the same plan
     number = F.when(cell_kind(cell).isin("integer", "number"), F.trim(cell).try_cast("decimal(24,6)"))
-    out = rows.where(number.isNotNull()).groupBy(*by).agg(F.sum(number).alias("total"), F.count("*").alias("n"))
+    out = rows.select(*by, number.alias("number")).where("number is not null").groupBy(*by).agg(F.sum("number").alias("total"), F.count("*").alias("n"))
+    if not by:  # nothing to add up is an error, not a zero
+        out = out.select("total", F.when(F.col("n") == 0, F.raise_error(F.lit(f"no numeric cell in column {column}")).cast("long")).otherwise(F.col("n")).alias("n"))
     return out.select(*by, F.bround("total", 6).cast("double").alias("total"), F.round(F.bround((F.col("total") / F.col("n")).cast("decimal(38,10)"), 6).cast("double"), 6).alias("average"), "n")
 
 
@@ -52,3 +54,11 @@ def schema_fingerprint(staged_rows: DataFrame) -> DataFrame:
     kinds = column_kinds(cells, "document_id", "source_location", "pos", "name")
     out = kinds.groupBy("document_id", "source_location").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "kind"))).alias("columns"))
     return out.withColumn("schema_digest", F.sha2(F.to_json("columns"), 256))
+
+
+def described(staged_rows: DataFrame, most: int = 25, length: int = 1000) -> DataFrame:
+    """document_id, source_location, description: up to most headers, and the range of the table's ISO dates."""
+    cells = staged_rows.select("document_id", "source_location", "names", F.filter(F.transform(F.map_values("values"), F.trim), lambda x: cell_kind(x) == "date").alias("days"))
+    out = cells.groupBy("document_id", "source_location").agg(F.first("names").alias("names"), F.min(F.array_min("days")).alias("a"), F.max(F.array_max("days")).alias("b"))
+    head = F.array_join(F.slice("names", 1, most), ", ")
+    return out.select("document_id", "source_location", F.substring(F.concat(head, F.coalesce(F.concat(F.lit("; "), F.col("a"), F.lit(" to "), F.col("b")), F.lit(""))), 1, length).alias("description"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnbook.operators import evaluation as ev
-from cairnbook.plans.registry import query
+from cairnbook.plans.registry import query, rows_sql
 from cairnbook.sources import fixtures as fx
 
 P = "p AS (SELECT doc_id, quality, toxic, CAST(doc_id % 5 > 0 AS INTEGER) AS q, CAST(doc_id % 9 = 0 AS INTEGER) AS t FROM labels)"
@@ -57,16 +57,27 @@ def e29(s, d):
     return fx.table(s, d, "part").where("p_retailprice <= 1500").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("winner"))
 
 
-@query("d38_field_equality", "SELECT o_orderkey, abs(o_totalprice - (o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 0.4 ELSE 0.7 END)) <= 0.5 AS same FROM orders")
+D38_ROWS = (
+    ("total_amount", "1200.4", "1200", True), ("total_amount", "1200.51", "1200", False), ("tax_8_amount", "n/a", "1", False), ("transaction_date", "2026-07-01", "2026-07-01", True), ("due_date", "2026-07-01", "2026-07-02", False), ("due_date", "July", "July", False),
+    ("registration_number", "T-8700-1100-05901", "Ｔ８７００１１０００５９０１", True), ("registration_number", "T1", "T2", False), ("counterparty", "ｻﾝﾌﾟﾙ 商店", "サンプル商店", True), ("counterparty", "SHOP  a", "shop A", True), ("counterparty", "a-b", "ab", False),
+    ("counterparty", None, None, True), ("counterparty", None, "", False), ("total_amount", "1", None, False),
+)
+
+
+@query("d38_field_equality", rows_sql("field, predicted, expected, same", *D38_ROWS))
 def d38(s, d):
+    rows = s.createDataFrame([r[:3] for r in D38_ROWS], "field string, predicted string, expected string")
+    return rows.withColumn("same", ev.same_field(F.col("field"), F.col("predicted"), F.col("expected")))
+
+
+@query("d38_money", "SELECT o_orderkey, abs(o_totalprice - (o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 0.4 ELSE 0.7 END)) <= 0.5 AS same FROM orders")
+def d38b(s, d):
     other = F.col("o_totalprice") + F.when(F.col("o_orderkey") % 2 == 0, 0.4).otherwise(0.7)
     return fx.table(s, d, "orders").select("o_orderkey", ev.same_money(F.col("o_totalprice"), other).alias("same"))
 
 
-@query("j19_positional_zip", "SELECT a.doc_id, a.quality = b.item_id % 2 AS same FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM labels) a JOIN (SELECT *, row_number() OVER (ORDER BY item_id) AS i FROM benchmark) b USING (i)")
+@query("j19_positional_zip", "SELECT a.event_id, b.other FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events) a JOIN (SELECT event_id AS other, row_number() OVER (ORDER BY ts DESC, event_id) AS i FROM events) b USING (i)")
 def j19(s, d):
-    from pyspark.sql import Window
-
-    b = fx.table(s, d, "benchmark").select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("i"))
-    first = fx.table(s, d, "labels").orderBy("doc_id").limit(fx.table(s, d, "benchmark").count()).select("doc_id", "quality", F.row_number().over(Window.orderBy("doc_id")).alias("i"))
-    return first.join(b, "i").select("doc_id", (F.col("quality") == F.col("item_id") % 2).alias("same"))
+    """Events in the order of their ids, zipped with events from the latest to the first."""
+    e = fx.table(s, d, "events")
+    return ev.aligned(e.select("event_id"), e.select(F.col("event_id").alias("other"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("back")), "event_id", "back").select("event_id", "other")

@@ -311,7 +311,18 @@ def m8(s, d):
     return written.groupBy("idempotency_key").agg(F.count("*").alias("written")).join(counts, "idempotency_key")
 
 
-@query("streaming_job_states")
+@query(
+    "streaming_job_states",
+    """WITH RECURSIVE q AS (SELECT user_id AS document_id, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+r AS (
+  SELECT document_id, CAST(0 AS BIGINT) AS seen, '' AS status, 0 AS attempts FROM (SELECT DISTINCT document_id FROM q)
+  UNION ALL
+  SELECT q.document_id, q.seq, CASE WHEN e = 'view' AND status IN ('', 'done', 'dead') THEN 'queued' WHEN e = 'click' AND status = 'queued' THEN 'running' WHEN e = 'error' AND status = 'running' THEN CASE WHEN attempts + 1 >= 4 THEN 'dead' ELSE 'queued' END
+      WHEN e IN ('purchase', 'signup') AND status = 'running' THEN 'done' ELSE status END,
+    CASE WHEN e = 'view' AND status IN ('', 'done', 'dead') THEN 0 WHEN e = 'error' AND status = 'running' THEN attempts + 1 ELSE attempts END
+  FROM r JOIN q ON q.document_id = r.document_id AND q.seq = r.seen + 1)
+SELECT document_id, arg_max(status, seen) AS status, arg_max(attempts, seen) AS attempts, max(seen) AS seen FROM r GROUP BY 1""",
+)
 def streaming_jobs(s, d):
     """The durable queue as a stream: events of jobs folded to one state per document, all data processed, then read back."""
     from cairnbook.streaming.jobs import run_to_end

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
 from cairnbook.operators import search
-from cairnbook.plans.registry import query
+from cairnbook.plans.registry import query, rows_sql
 from cairnbook.sources import fixtures as fx
 
 MARKDOWN = "# Expenses\n\nlead text\n\n## June\n\n| a | b |\n| 1 | 2 |\n\n### Notes\n\n領収書 paid in cash. Another sentence! And more?"
@@ -57,12 +57,12 @@ def d36(s, d):
     return fx.table(s, d, "benchmark").select("item_id", F.when(F.col("text").startswith("query: "), F.col("text")).otherwise(F.concat(F.lit("query: "), F.col("text"))).alias("prompt"))
 
 
-@query("v1_sections")
+@query("v1_sections", rows_sql("heading_path, n_lines", ("Expenses", 3), ("Expenses > June", 4), ("Expenses > June > Notes", 2)))
 def v1(s, d):
     return s.createDataFrame([(p, len(lines)) for p, lines in search.sections(MARKDOWN)], "heading_path string, n_lines int")
 
 
-@query("v2_blocks")
+@query("v2_blocks", rows_sql("text, is_table", ("# Expenses", False), ("lead text", False), ("## June", False), ("| a | b |\n| 1 | 2 |", True), ("### Notes", False), ("領収書 paid in cash. Another sentence! And more?", False)))
 def v2(s, d):
     return s.createDataFrame(search.blocks(MARKDOWN.splitlines()), "text string, is_table boolean")
 
@@ -72,7 +72,7 @@ def v3(s, d):
     return search.chunks(fx.table(s, d, "documents"), "doc_id", "text").select("document_id", "seq", "heading_path", "tokens", F.md5("text").alias("digest"))
 
 
-@query("v4_hard_split")
+@query("v4_hard_split", rows_sql("seq, text, tokens", *[(i, "領収書" * 4, 12) for i in range(7)], (7, "領収書領収書 abcdefgh abcdefgh abcdefgh", 12), (8, " ".join(["abcdefgh"] * 6), 12), (9, " ".join(["abcdefgh"] * 6), 12), (10, " ".join(["abcdefgh"] * 5), 10)))
 def v4(s, d):
     rows = [(i, t, search.tokens(t)) for i, t in enumerate(search.hard_split("領収書" * 30 + " abcdefgh" * 20, 12))]
     return s.createDataFrame(rows, "seq int, text string, tokens int")
@@ -86,7 +86,7 @@ def w8(s, d):
     return search.chunks(docs, "doc_id", "text", 7).select("document_id", "seq", "text")
 
 
-@query("v5_discovery_chunks")
+@query("v5_discovery_chunks", rows_sql("document_id, seq, heading_path, text", (1, 0, "Expenses", "lead text"), (1, 1, "Expenses > June", "| a | b |\n| 1 | 2 |"), (1, 2, "Expenses > June > Notes", "領収書 paid in cash. Another sentence! And more?"), (2, 0, "", "plain")))
 def v5(s, d):
     docs = s.createDataFrame([(1, MARKDOWN), (2, "plain")], "id long, text string")
     return search.chunks(docs, "id", "text", 60).select("document_id", "seq", "heading_path", "text")

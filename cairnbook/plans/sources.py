@@ -135,6 +135,12 @@ def a11(s, d):
     return fx.table(s, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n_chars long, n_tables long, active long, events long, external long")
 
 
+@query("a11_inert_page", rows_sql("text, tables, active, events, external", ("Hi\nl", "a|1", 1, 1, 1)))
+def a11b(s, d):
+    """One page: text without its script, its table, and counts of what could act or load."""
+    return parsed(s, ["page.html"], lambda n, c: [(text, ";".join("|".join(",".join(r) for r in t) for t in tables), counts["active"], counts["events"], counts["external"]) for text, tables, counts in [parse.inert_html(c.decode())]], "text string, tables string, active int, events int, external int")
+
+
 KEYWORDS = frozenset(("日付", "金額", "合計", "取引先", "摘要", "備考", "科目", "date", "amount", "total", "vendor", "description"))
 
 
@@ -153,12 +159,6 @@ def a14(s, d):
     return parsed(s, ["book.xlsx"], lambda n, c: [(sheet, i, len(t), len(t[0])) for sheet, grid in parse.xlsx(c).items() for i, t in enumerate(parse.subtables(grid))], "sheet string, part int, n_rows int, n_columns int")
 
 
-@query("a15_sheet_description", "SELECT event_type AS sheet, substr('day, event, k, value; ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d'), 1, 1000) AS description FROM events GROUP BY 1")
-def a15(s, d):
-    span = F.concat_ws(" to ", F.date_format(F.min("ts"), "yyyy-MM-dd"), F.date_format(F.max("ts"), "yyyy-MM-dd"))
-    return fx.table(s, d, "events").groupBy(F.col("event_type").alias("sheet")).agg(F.substring(F.concat(F.lit("day, event, k, value; "), span), 1, 1000).alias("description"))
-
-
 @query("a16_markdown_source", rows_sql("title, level, heading", ('Lease', 1, 'One'), ('Lease', 2, 'Two')))
 def a16(s, d):
     return parsed(s, ["note.md"], lambda n, c: [(parse.front_matter(c.decode())[0].get("title"), level, title) for level, title in parse.outline(parse.front_matter(c.decode())[1])], "title string, level int, heading string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnbook.operators import mapping, staging
-from cairnbook.plans.registry import query
+from cairnbook.plans.registry import query, rows_sql
 from cairnbook.plans.scalars import CELL
 from cairnbook.sources import fixtures as fx
 from cairnbook.sources.fixtures import SQL_ROWS
@@ -31,12 +31,24 @@ def staged(s):
     return staging.staged(s.createDataFrame(TABLES, "document_id int, source_location string, header array<string>, rows array<array<string>>"))
 
 
-@query("a6_unique_headers")
+@query("a6_unique_headers", rows_sql("header, delimited, workbook", (['name', 'name', ''], ['name', 'name__2', 'column_3'], ['name', 'name_2', 'column_3']), (['a', 'b', 'a', 'a'], ['a', 'b', 'a__2', 'a__3'], ['a', 'b', 'a_2', 'a_3']), ([' x ', None, 'x'], ['x', 'column_2', 'x__2'], ['x', 'column_2', 'x_2'])))
 def a6(s, d):
     rows = s.createDataFrame([(["name", "name", ""],), (["a", "b", "a", "a"],), ([" x ", None, "x"],)], "header array<string>")
     return rows.select("header", staging.unique_headers(F.col("header")).alias("delimited"), staging.unique_headers(F.col("header"), "_").alias("workbook"))
 
 
+@query("a7_workbook_headers", rows_sql("sheet, names", ("sheet/C", "name,name_2,column_3")))
+def a7(s, d):
+    """Headers of a workbook's sheet: repeats get one underscore."""
+    tables = s.createDataFrame(TABLES, "document_id int, source_location string, header array<string>, rows array<array<string>>").where("source_location = 'sheet/C'")
+    return tables.select(F.col("source_location").alias("sheet"), F.array_join(staging.unique_headers(F.col("header"), "_"), ",").alias("names"))
+
+
+@query("a15_sheet_description", rows_sql("source_location, description", ("sheet/A", "date, amount, vendor; 2026-07-01 to 2026-07-02"), ("sheet/B", "amount, units"), ("sheet/C", "name, name__2, column_3"), ("sheet/D", "date, amount, currency, memo"), ("sheet/E", "note"), ("sheet/F", "rest")))
+def a15(s, d):
+    return staging.described(staged(s)).select("source_location", "description")
+
+
 @query("w10_header_occurrence", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS occurrence FROM events")
 def w10(s, d):
     from pyspark.sql import Window
@@ -52,18 +64,26 @@ def e5(s, d):
     return staging.numeric_aggregate(fx.staged_rows(s, d), "k", "document_id", "source_location")
 
 
+@query("e5_numeric_total", R + f"SELECT CAST(sum(CAST(k AS DECIMAL(24,6))) AS DOUBLE) AS total, round(CAST(sum(CAST(k AS DECIMAL(24,6))) AS DOUBLE) / count(*), 6) AS average, count(*) AS n FROM fx_rows WHERE {NUM}")
+def e5b(s, d):
+    return staging.numeric_aggregate(fx.staged_rows(s, d), "k")
+
+
 @query("e17_column_kinds", R + f", c AS (SELECT document_id, unnest(['k', 'value', 'event', 'day']) AS name, unnest([k, value, event, day]) AS x FROM fx_rows), t AS (SELECT document_id, name, {CELL} AS kind FROM c) SELECT document_id, name, CASE count(DISTINCT kind) FILTER (kind <> 'blank') WHEN 0 THEN 'blank' WHEN 1 THEN max(kind) FILTER (kind <> 'blank') ELSE 'mixed' END AS kind FROM t GROUP BY 1, 2")
 def e17(s, d):
     cells = fx.staged_rows(s, d).select("document_id", F.explode("values").alias("name", "x")).select("document_id", "name", staging.cell_kind(F.col("x")).alias("kind"))
     return staging.column_kinds(cells, "document_id", "name")
 
 
-@query("m1_staged_structure")
+M1_ROWS = ((1, 'sheet/A', '[{"pos":0,"name":"date","kind":"date"},{"pos":1,"name":"amount","kind":"mixed"},{"pos":2,"name":"vendor","kind":"string"}]'), (1, 'sheet/B', '[{"pos":0,"name":"amount","kind":"mixed"},{"pos":1,"name":"units","kind":"integer"}]'), (2, 'sheet/C', '[{"pos":0,"name":"name","kind":"string"},{"pos":1,"name":"name__2","kind":"string"},{"pos":2,"name":"column_3","kind":"string"}]'), (3, 'sheet/D', '[{"pos":0,"name":"date","kind":"string"},{"pos":1,"name":"amount","kind":"mixed"},{"pos":2,"name":"currency","kind":"string"},{"pos":3,"name":"memo","kind":"string"}]'), (3, 'sheet/E', '[{"pos":0,"name":"note","kind":"string"}]'), (3, 'sheet/F', '[{"pos":0,"name":"rest","kind":"string"}]'))
+
+
+@query("m1_staged_structure", "SELECT *, sha256(columns) AS schema_digest FROM (" + rows_sql("document_id, source_location, columns", *M1_ROWS) + ")")
 def m1(s, d):
     return staging.schema_fingerprint(staged(s)).select("document_id", "source_location", F.to_json("columns").alias("columns"), "schema_digest")
 
 
-@query("m2_validate_mapping")
+@query("m2_validate_mapping", rows_sql("mapping, verdict", ('good', 'accepted'), ('unknown column', "unknown columns: ['amount', 'currency', 'memo']"), ('twice', 'too many fields, or a target mapped twice')))
 def m2(s, d):
     """One row per mapping tried: accepted, or why it is refused before any job runs."""
     out = []
@@ -76,7 +96,7 @@ def m2(s, d):
     return s.createDataFrame(out, "mapping string, verdict string")
 
 
-@query("m3_apply_rules")
+@query("m3_apply_rules", rows_sql("row_index, transaction_date, total_amount, currency, memo, issues", (0, '2026-08-01', '-1234.50', 'JPY', '<b>literal</b>', []), (1, '2026-08-02', '-10', 'JPY', '=1+1', []), (2, None, None, None, None, ['transaction_date:required', 'total_amount:required']), (3, None, None, 'JPY', 'x', ['transaction_date:invalid_date', 'total_amount:invalid_decimal'])))
 def m3(s, d):
     rows = mapping.apply_rules(staged(s).where("source_location = 'sheet/D'"), RULES)
     return rows.select("row_index", "mapped.*", "issues")
@@ -86,7 +106,7 @@ def mapped(s):
     return mapping.candidates_and_ledger(staged(s), {"sheet/D": RULES, "sheet/E": None})
 
 
-@query("m4_candidates")
+@query("m4_candidates", rows_sql("document_id, source_location, row_index, payload, issues, ordinal", (1, 'sheet/A', 0, '{"date":"2026-07-01","amount":"1200.5","vendor":"Shop"}', [], 1), (1, 'sheet/A', 1, '{"date":"2026-07-02","amount":"500","vendor":""}', [], 2), (1, 'sheet/B', 0, '{"amount":"250","units":"3"}', [], 3), (1, 'sheet/B', 1, '{"amount":"not-a-number","units":"4"}', [], 4), (2, 'sheet/C', 0, '{"name":"x","name__2":"y","column_3":"z"}', [], 1), (3, 'sheet/D', 0, '{"transaction_date":"2026-08-01","total_amount":"-1234.50","currency":"JPY","memo":"<b>literal</b>"}', [], 1), (3, 'sheet/D', 1, '{"transaction_date":"2026-08-02","total_amount":"-10","currency":"JPY","memo":"=1+1"}', [], 2), (3, 'sheet/D', 3, '{"currency":"JPY","memo":"x"}', ['transaction_date:invalid_date', 'total_amount:invalid_decimal'], 3), (3, 'sheet/F', 0, '{"rest":"residual"}', [], 4)))
 def m4(s, d):
     return mapped(s)[0]
 
@@ -99,23 +119,29 @@ def w7(s, d):
     return rows.select("row_index", F.row_number().over(Window.partitionBy("document_id").orderBy("source_location", "row_index")).alias("ordinal"))
 
 
-@query("m4_ledger")
+# each row's canonical text, whose digest is its fingerprint
+LEDGER = ((1, 'sheet/A', 0, '{"source_location":"sheet/A","row_index":0,"padded":["2026-07-01","1200.5","Shop"]}', 'residual'), (1, 'sheet/A', 1, '{"source_location":"sheet/A","row_index":1,"padded":["2026-07-02","500",""]}', 'residual'), (1, 'sheet/B', 0, '{"source_location":"sheet/B","row_index":0,"padded":["250","3"]}', 'residual'), (1, 'sheet/B', 1, '{"source_location":"sheet/B","row_index":1,"padded":["not-a-number","4"]}', 'residual'), (2, 'sheet/C', 0, '{"source_location":"sheet/C","row_index":0,"padded":["x","y","z"]}', 'residual'), (2, 'sheet/C', 1, '{"source_location":"sheet/C","row_index":1,"padded":["","",""]}', 'residual'), (3, 'sheet/D', 0, '{"source_location":"sheet/D","row_index":0,"padded":["2026年8月1日","1.234,50","円","<b>literal</b>"]}', 'mapped'), (3, 'sheet/D', 1, '{"source_location":"sheet/D","row_index":1,"padded":["2026年8月2日","10","円","=1+1"]}', 'mapped'), (3, 'sheet/D', 2, '{"source_location":"sheet/D","row_index":2,"padded":["","","",""]}', 'blank'), (3, 'sheet/D', 3, '{"source_location":"sheet/D","row_index":3,"padded":["not-a-date","bad","円","x"]}', 'mapped'), (3, 'sheet/E', 0, '{"source_location":"sheet/E","row_index":0,"padded":["left out"]}', 'ignored'), (3, 'sheet/F', 0, '{"source_location":"sheet/F","row_index":0,"padded":["residual"]}', 'residual'))
+
+
+@query("m4_ledger", "SELECT document_id, source_location, row_index, sha256(canonical) AS fingerprint, disposition FROM (" + rows_sql("document_id, source_location, row_index, canonical, disposition", *LEDGER) + ")")
 def m4b(s, d):
     return mapped(s)[1]
 
 
-@query("m5_ledger_violations")
+@query("m5_ledger_violations", rows_sql("document_id, source_location, row_index, n", (3, "sheet/F", 0, 2)))
 def m5(s, d):
-    return mapping.ledger_violations(mapped(s)[1])
+    """A ledger in which one row was entered twice."""
+    ledger = mapped(s)[1]
+    return mapping.ledger_violations(ledger.unionByName(ledger.where("source_location = 'sheet/F'")))
 
 
-@query("e13_disposition_counts")
+@query("e13_disposition_counts", rows_sql("document_id, mapped, blank, ignored, residual, error", (1, 0, 0, 0, 4, 0), (2, 0, 0, 0, 2, 0), (3, 3, 1, 1, 1, 0)))
 def e13(s, d):
     kinds = ["mapped", "blank", "ignored", "residual", "error"]
     return mapped(s)[1].groupBy("document_id").agg(*[F.count_if(F.col("disposition") == k).alias(k) for k in kinds])
 
 
-@query("m6_preview")
+@query("m6_preview", rows_sql("row_index, transaction_date, total_amount, currency, memo", (0, '2026-08-01', '-1234.50', 'JPY', '&lt;b&gt;literal&lt;/b&gt;'), (1, '2026-08-02', '-10', 'JPY', '=1+1'), (3, None, None, 'JPY', 'x')))
 def m6(s, d):
     from cairnbook.functions.text import html_escape
 
@@ -123,7 +149,7 @@ def m6(s, d):
     return rows.where("not blank").orderBy("row_index").limit(50).select("row_index", *[html_escape(F.col(f"mapped.{r.target}")).alias(r.target) for r in RULES])
 
 
-@query("e14_preview_counts")
+@query("e14_preview_counts", rows_sql("valid, errors, blank, total, truncated", (2, 1, 1, 4, False)))
 def e14(s, d):
     rows = mapping.apply_rules(staged(s).where("source_location = 'sheet/D'"), RULES)
     bad = F.size("issues") > 0
@@ -166,14 +192,14 @@ def e23(s, d):
     return fx.table(s, d, "events").groupBy(F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("unspecified")).alias("currency")).agg(F.round(F.sum(raw.try_cast("double")), 4).alias("amount"))
 
 
-@query("e25_delimited_evidence")
+@query("e25_delimited_evidence", rows_sql("n_rows, cells, duplicate_headers, ragged_rows", (3, 9, 1, 2)))
 def e25(s, d):
     rows = s.createDataFrame([(["a", "a", "b"], [["1", "2", "3"], ["4", "5"], ["6", "7", "8", "9"]])], "header array<string>, rows array<array<string>>")
     ragged = F.size(F.filter("rows", lambda r: F.size(r) != F.size("header")))
     return rows.select(F.size("rows").alias("n_rows"), F.aggregate("rows", F.lit(0), lambda t, r: t + F.size(r)).alias("cells"), (F.size("header") - F.size(F.array_distinct("header"))).alias("duplicate_headers"), ragged.alias("ragged_rows"))
 
 
-@query("a29_stage_sink")
+@query("a29_stage_sink", R + "SELECT document_id, count(*) AS n FROM fx_rows GROUP BY 1")
 def a29(s, d):
     """Staged rows written by (document, version) partitions, so that a source is replaced as a whole, and read back."""
     from cairnbook.sources.tables import replace_partitions
@@ -187,7 +213,7 @@ def a30(s, d):
     return fx.staged_rows(s, d).select("row_index", v["k"].try_cast("bigint").alias("k"), v["value"].try_cast("double").alias("value"), v["event"].alias("event"), F.try_to_date(v["day"], "yyyy-MM-dd").alias("day"))
 
 
-@query("m7_rule_constraints")
+@query("m7_rule_constraints", rows_sql("rule, accepted", ('nine sources', False), ('no source', False), ('style', False), ('good', True)))
 def m7(s, d):
     """Rules refused when they are written: too many sources, no source, an unknown style."""
     out = []

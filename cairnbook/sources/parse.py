@@ -125,6 +125,8 @@ def xml_tables(raw: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
 
 
 class _Inert(html.parser.HTMLParser):
+    BLOCKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "title")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.text, self.quiet, self.table, self.row, self.tables = [], 0, None, None, []
@@ -145,7 +147,7 @@ class _Inert(html.parser.HTMLParser):
             self.table.append(self.row)
         elif tag in ("td", "th") and self.row is not None:
             self.row.append("")
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "title"):
+        elif tag in self.BLOCKS:
             self.text.append("\n")
 
     def handle_endtag(self, tag):
@@ -154,6 +156,9 @@ class _Inert(html.parser.HTMLParser):
         elif tag == "table" and self.table is not None:
             self.tables.append(self.table)
             self.table = self.row = None
+            self.text.append("\n")
+        elif tag in self.BLOCKS:
+            self.text.append("\n")
 
     def handle_data(self, data):
         if self.quiet:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairnbook.sources.tables import shared_folder
+
 MOST = 4
 
 
@@ -40,15 +42,24 @@ def states(events: DataFrame) -> DataFrame:
     return events.withColumnRenamed("user_id", "document_id").groupBy("document_id").applyInPandasWithState(_fold, "document_id long, status string, attempts int, seen long", "status string, attempts int, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(spark: SparkSession, path: str) -> DataFrame:
-    """All files of path through the stream (availableNow); the latest state of each key."""
+def run_to_end(spark: SparkSession, path: str, timeout: int = 3600) -> DataFrame:
+    """All files of path through the stream (availableNow) into a table of the shared folder; the latest state of each key.
+
+    A stream that has not ended after timeout seconds is stopped and raises TimeoutError: no part of a result is returned.
+    """
     schema = spark.read.parquet(path).schema
-    name = f"job_states_{uuid.uuid4().hex}"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    folder = f"{shared_folder(spark)}/job-states-{uuid.uuid4().hex}"
     # a stream reads folders: the file's own folder with its name as a glob
     base, _, leaf = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", leaf).option("recursiveFileLookup", "false").parquet(base) if leaf else spark.readStream.schema(schema).parquet(path)
-    out = states(source.select("event_id", "ts", "user_id", "event_type")).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start()
-    out.awaitTermination(300)
-    table = spark.table(name)
+    rows = states(source.select("event_id", "ts", "user_id", "event_type"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")  # the same batch again replaces itself
+
+    out = rows.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
+    if not out.awaitTermination(timeout):
+        out.stop()
+        raise TimeoutError(f"the stream did not end in {timeout} s")
+    table = spark.read.schema(rows.schema).parquet(f"{folder}/table")
     return table.groupBy("document_id").agg(F.max_by(F.struct("status", "attempts"), "seen").alias("r"), F.max("seen").alias("seen")).select("document_id", "r.status", "r.attempts", "seen")
