@@ -66,7 +66,7 @@ def _prefix(n, num: int, den: int):
 
 
 def _scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, set id, set size, shingles in the zone) of each row; of one in EVERY sets the shingles themselves, once per task."""
+    """(doc_id, hash of the text, set id, set size, shingles in the zone) of each row; of one in EVERY sets the shingles themselves, once per task."""
     top = np.uint64(min(_zone(num, den), (1 << 64) - 1))
 
     def run(batches):
@@ -80,9 +80,9 @@ def _scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if drawn:
                     seen.add(sid)
                 some.append(x[: max(_prefix(len(x), num, den), zone)].view(np.int64) if drawn else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)], pa.array(some, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "zone", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)], pa.array(some, pa.list_(pa.int64()))], ["doc_id", "tie", "sid", "n", "zone", "some"])
 
-    return rows.mapInArrow(run, "doc_id long, sid long, n long, zone long, some array<long>")
+    return rows.mapInArrow(run, "doc_id long, tie long, sid long, n long, zone long, some array<long>")
 
 
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +215,33 @@ def _joined(tasks: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id."""
+    docs, sets, linked = _linked(df, id_col, text_col, n, num, den)
+    lowest = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component")), "jaccard-lowest")
+    copied = sets.where("copies > 1").join(linked.select("sid"), "sid", "left_anti").select(F.col("sid").alias("of"), F.col("doc_id").alias("component"))
+    names = stored(linked.join(lowest, "root").select(F.col("sid").alias("of"), "component").unionByName(copied), "jaccard-names")
+    return docs.join(names, docs["sid"] == names["of"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, tie, rows, keep) of all rows of components of several rows; tie: xxhash64 of the text, rows: rows equal in both.
+
+    Of each component the row of the smallest id is kept (rows without id come last; of one id the smallest tie): of rows equal
+    in both, one.  Rows that are not listed are alone and stay.
+    """
+    docs, sets, linked = _linked(df, id_col, text_col, n, num, den)
+    copied = sets.where("copies > 1").join(linked.select("sid"), "sid", "left_anti").select("sid", F.col("sid").alias("root"))
+    several = stored(linked.select("sid", "root").unionByName(copied), "jaccard-several")
+    kinds = stored(docs.join(several, "sid").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("rows")), "jaccard-kinds")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    best = stored(kinds.groupBy("root").agg(F.min(order).alias("best")), "jaccard-best")
+    return kinds.join(best, "root").select("doc_id", "tie", "rows", (order == F.col("best")).alias("keep"))
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, tie, sid, n), sets (sid, doc_id, copies) and linked sets (sid, doc_id, root: smallest set that links reach)."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = stored(_scan(rows, n, num, den), "jaccard-scan")
+    docs = stored(_scan(rows.withColumn("tie", F.xxhash64("text")), n, num, den), "jaccard-scan")
     # sets with their first member
     sets = docs.where("sid <> 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.count("*").alias("copies"))
     sets = stored(sets, "jaccard-named")
@@ -242,12 +266,9 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if open_.limit(1).count():
             links = links.unionByName(stored(_pairs(labelled, open_, tokens, num, den), "jaccard-more"))
     found = components(links, name="jaccard-found") if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # a component's name is needed for linked sets and for sets of several rows only; stored, so that joins on a hot group or set can be split
+    # a component's name is needed for linked sets and for sets of several rows only; tables are stored, so that joins on a hot group or set can be split
     linked = stored(sets.join(found, sets["sid"] == found["node"]).select("sid", "doc_id", "root"), "jaccard-components")
-    lowest = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component")), "jaccard-lowest")
-    copied = sets.where("copies > 1").join(linked.select("sid"), "sid", "left_anti").select(F.col("sid").alias("of"), F.col("doc_id").alias("component"))
-    names = stored(linked.join(lowest, "root").select(F.col("sid").alias("of"), "component").unionByName(copied), "jaccard-names")
-    return docs.join(names, docs["sid"] == names["of"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return docs, sets, linked
 
 
 def _pairs(labelled: DataFrame, open_: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:

@@ -126,7 +126,7 @@ def test_jaccard_with_hot_shingles(spark, monkeypatch):
                 w[at] = f"e{r.integers(0, 1 << 30)}"
             rows.append((len(rows), " ".join(w), "s"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    sets = jaccard._scan(df.select("doc_id", "text"), 4, 85, 100)
+    sets = jaccard._scan(df.select("doc_id", "text", F.xxhash64("text").alias("tie")), 4, 85, 100)
     assert len(jaccard._hot(sets)[0]) > 3
     got = jaccard.link_components(df)
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()), key=repr) == brute_components(rows, 4, 85, 100)
