@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.llm import rtree, words
 from cairnbook.llm.components import components
-from cairnbook.llm.shared import documents, shuffle_partitions, stored
+from cairnbook.llm.shared import documents, sliced, stored
 
 SHINGLE_WORDS, NUM, DEN = 4, 85, 100
 BLOCK = 512
@@ -71,7 +71,7 @@ def _scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             got, some = [], []
             for x in _sets(batch.column("text"), n):
                 sid, zone = _identity(x), int(np.searchsorted(x, top))
@@ -106,7 +106,7 @@ def _reports(rows: DataFrame, n: int, num: int, den: int, hot: tuple[np.ndarray,
     def run(batches):
         seen: set[int] = set()
         hot_keys, hot_df = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sizes, out = [], [], []
             for values in _sets(batch.column("text"), n):
                 if not len(values) or (sid := _identity(values)) in seen:
@@ -185,7 +185,7 @@ def _members(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         bits = len(mask.value) * 8
-        for batch in batches:
+        for batch in sliced(batches):
             null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             a, b = _bloom_cells(batch.column("doc_id").fill_null(0).to_numpy(), bits)
             hit = (mask.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (mask.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
