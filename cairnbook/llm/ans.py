@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.llm import tokens
 from cairnbook.llm.ordered import in_ranges
-from cairnbook.llm.shared import documents, stored
+from cairnbook.llm.shared import documents, stored, trimmed
 
 END = 1
 BITS, LANES, STEPS, SEGMENT = 16, 64, 256, 1 << 22
@@ -174,7 +174,7 @@ def write_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([encode_file(docs, ids)], pa.binary())], ["part", "segment", "n_docs", "n_tokens", "file"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for doc, where, own in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), tokens.documents_ids(batch.column("text"), end, path), strict=True):
                 if held and (where != part or held + len(own) > segment):
                     yield flush()
@@ -193,7 +193,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     """(part, segment, doc_id, before, n_tokens, ids_crc32) of each document, decoded from files; before: ids in its file before it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for part, segment, file in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("file"), strict=True):
                 docs, sizes, ids = decode_file(file.as_buffer())
                 ends = np.cumsum(sizes)

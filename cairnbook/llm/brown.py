@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnbook.llm import words
-from cairnbook.llm.shared import documents, id_remainder, stored
+from cairnbook.llm.shared import documents, id_remainder, stored, trimmed
 
 TOP, ENDINGS, CLASSES, FREQUENT = 512, 256, 64, 1 << 18
 LAMBDA, SWEEPS, SEEN = 0.95, 4, 2
@@ -54,7 +54,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             e = np.concatenate(endings)[first]
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e.astype(np.int16)), pa.array(c.astype(np.int64))], ["h", "ending", "c"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for chunk in words.chunks(batch.column(0)):
                 hashes.append(chunk.hashes)
                 endings.append(_endings(chunk).astype(np.int16))
@@ -124,7 +124,7 @@ def bigram_counts(train: DataFrame, lexicon) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(N_ITEMS * N_ITEMS, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for chunk in words.chunks(batch.column(0)):
                 _, index, _, _, item = _distinct(chunk, lexicon.value)
                 before, tokens, _ = _before_after(item[index], chunk.counts)
@@ -207,7 +207,7 @@ def contexts(train: DataFrame, lexicon, label: np.ndarray, whole: bool) -> DataF
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
             return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(code[first].astype(np.int16)), pa.array(np.add.reduceat(n, first))], ["h", "code", "n"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for chunk in words.chunks(batch.column(0)):
                 if not len(chunk.hashes):
                     continue
@@ -256,7 +256,7 @@ def placed(found: DataFrame, cells: np.ndarray) -> DataFrame:
     """(h, cls) of all words of contexts() seen SEEN times or more; a word has at most 2 * CLASSES entries."""
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 entries = part.column("x").flatten()
@@ -274,7 +274,7 @@ def class_bigrams(sequences: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for before, tokens, _ in _sequences(batch.column(0)):
                 total += np.bincount(before * CLASSES + tokens, minlength=len(total))
         some = np.flatnonzero(total)
@@ -363,7 +363,7 @@ def _scan(rows: DataFrame, lex, label: np.ndarray) -> DataFrame:
     def run(batches):
         lexicon = lex.value
         log_count = np.log10(lexicon.counts + 1.0) if len(lexicon.counts) else np.zeros(1)
-        for batch in batches:
+        for batch in trimmed(batches):
             rid, doc, held = (batch.column(x).to_numpy(zero_copy_only=False) if x != "doc_id" else batch.column(x) for x in ("rid", "doc_id", "held_out"))
             for chunk in words.chunks(batch.column("text")):
                 n = len(chunk.counts)
@@ -399,7 +399,7 @@ def _patched(rows: DataFrame) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("classes", "moved")]
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             out = []
             for classes, moved in zip(batch.column("classes").to_pylist(), batch.column("moved").to_pylist(), strict=True):
                 if moved:
@@ -418,7 +418,7 @@ def _class_sums(rows: DataFrame, model) -> DataFrame:
     kept = [c for c in rows.columns if c != "classes"]
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             sums = [np.add.reduceat(model.value.table[before, tokens], begins) for before, tokens, begins in _sequences(batch.column("classes"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(sums) if sums else [], pa.float64())], [*kept, "sum_class"])
 

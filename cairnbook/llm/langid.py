@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.llm import words
-from cairnbook.llm.shared import documents, stored
+from cairnbook.llm.shared import documents, stored, trimmed
 
 BUCKETS, STRENGTH, SMOOTH, LEAST, HELD = 1 << 15, 40, 20.0, 0.6, 64
 UNKNOWN = "und"
@@ -111,7 +111,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([pa.array(some + i * BUCKETS), pa.array(of[some])], ["cell", "n"])
             total.clear()
 
-        for batch in batches:
+        for batch in trimmed(batches):
             own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for first, to, offs, data in _pieces(batch.column("text")):
                 if len(data) < 3:
@@ -152,7 +152,7 @@ def text_evidence(df: DataFrame, model: TextModel, text_col: str = "text", keep_
 
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in trimmed(batches):
             logs, number = [], []
             text = batch.column(outer).field(field) if field else batch.column(outer)
             if entities:

@@ -5,7 +5,7 @@ A document's ids are cut at multiples of WINDOW; each full window is a sequence
 
 1. Enumerate combinations of one to four present lengths that fill a window up to SLACK ids.
 2. Solve repeat counts x >= 0 minimising |A x - histogram| (multiplicative updates), round down, and take
-   patterns in falling order of x as long as the histogram has their lengths.
+   the PATTERNS largest in falling order of x as long as the histogram has their lengths.
 3. Pack what is left greedily: the longest remainder, then the longest that still fits, and so on, each
    pattern repeated as often as the histogram allows.
 4. Patterns of step 3 that leave more than GAP ids are given up: their remainders are cut into powers of two,
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnbook.llm import tokens
-from cairnbook.llm.shared import documents, stored
+from cairnbook.llm.shared import documents, stored, trimmed
 
 WINDOW, END = 4096, 2
-SLACK, GAP, FAN, ROUNDS = 16, 24, 12, 120
+SLACK, GAP, FAN, ROUNDS, PATTERNS = 16, 24, 12, 120, 16_384
 
 
 def combinations(present: np.ndarray, counts: np.ndarray, window: int = WINDOW, slack: int = SLACK, fan: int = FAN) -> list[tuple[int, ...]]:
@@ -84,7 +84,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[
     present = np.flatnonzero(left)
     if len(present) and (patterns := combinations(present, left[present], window)):
         x = least_squares(patterns, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
+        for i in np.argsort(-x, kind="stable")[:PATTERNS]:
             if x[i] < 1:
                 break
             times = min(int(x[i]), *(int(left[n]) // k for n, k in Counter(patterns[i]).items()))
@@ -158,7 +158,7 @@ def _scan(rows: DataFrame, window: int, end: int, path: str | None) -> DataFrame
 
     def run(batches):
         task, seen, full = TaskContext.get().partitionId(), Counter(), 0
-        for batch in batches:
+        for batch in trimmed(batches):
             out = [[] for _ in names]
             for ids in tokens.documents_ids(batch.column("text"), end, path):
                 raw, n = ids.astype("<u4"), len(ids)
@@ -197,7 +197,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     full = scanned.where(F.size("full_crc") > 0).select("doc_id", "n", "whole", F.posexplode("full_crc").alias("k", "ids_crc32"))
     full = full.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("whole") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     ranked = scanned.where("rest > 0").select("doc_id", "n", "rest", "task", "rank", "rest_crc", "cut_crc").join(before, ["rest", "task"]).withColumn("place", F.col("rank") + F.col("before"))
-    # at most a few slots for each of WINDOW lengths, whatever the input
+    # four slots for each of PATTERNS patterns, and those of at most WINDOW greedy patterns, whatever the input
     slot = F.broadcast(spark.createDataFrame(slots, _SLOT))
     placed = ranked.join(slot, (F.col("rest") == F.col("slot_rest")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     first = F.col("n") - F.col("rest")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,23 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def trimmed(batches):
+    """The batches; after the last one, memory that the worker has freed goes back to the system, as workers live on between stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def sliced(batches, rows: int = 1024):
-    """Arrow batches in slices of at most so many rows, so that what a task makes of them stays small."""
-    for batch in batches:
+    """Arrow batches in slices of at most so many rows, so that what a task makes of them stays small; trimmed."""
+    for batch in trimmed(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

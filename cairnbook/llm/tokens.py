@@ -33,24 +33,24 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self):
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # ascending hashes of known words, and the slot of each
         self.others: dict[bytes, int] = {}
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.text_starts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.sizes, self.text_sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint16), 0
-        self.text_starts, self.text_sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.text, self.text_used, self.known = np.zeros(1 << 20, np.uint8), 0, 0
 
-    def _learn(self, words_: list[bytes]) -> list[int]:
+    def _learn(self, words_: list[bytes]) -> np.ndarray:
         """Slots of new words."""
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words_], add_special_tokens=False)
-        out = []
+        first = self.known
         for word, encoding in zip(words_, found, strict=True):
             ids, slot = encoding.ids, self.known
             if slot == len(self.starts):
                 self.starts, self.sizes, self.text_starts, self.text_sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.text_starts, self.text_sizes))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            while self.text_used + len(word) > len(self.text):
+            while self.text_used + len(word) + 8 > len(self.text):
                 self.text = np.concatenate((self.text, np.zeros_like(self.text)))
             self.flat[self.used : self.used + len(ids)] = ids
             self.text[self.text_used : self.text_used + len(word)] = np.frombuffer(word, np.uint8)
@@ -58,8 +58,7 @@ class WordTokenizer:
             self.used += len(ids)
             self.text_used += len(word)
             self.known += 1
-            out.append(slot)
-        return out
+        return np.arange(first, self.known)
 
     def encode(self, chunk: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the chunk one after the other, and their number in each row."""
@@ -69,8 +68,10 @@ class WordTokenizer:
         def word(at: int) -> bytes:
             return chunk.data[chunk.starts[at] : chunk.ends[at]].tobytes()
 
+        named_ = len(keys)
         other = first[index]
-        odd = np.flatnonzero(~words.equal(chunk.data, chunk.starts, size, chunk.data, chunk.starts[other], size[other]))
+        wide = words.eights(chunk.data)
+        odd = np.flatnonzero(~words.equal(wide, chunk.starts, size, wide, chunk.starts[other], size[other]))
         if len(odd):  # words of one hash that differ
             apart: dict[bytes, int] = {}
             more = []
@@ -82,21 +83,23 @@ class WordTokenizer:
             keys, first = np.concatenate((keys, chunk.hashes[more])), np.concatenate((first, more))
         if self.known > KEPT or self.text_used > KEPT_BYTES:
             self._clear()
-        names = keys.tolist()
-        slot = np.fromiter(map(self.slots.get, names, [-1] * len(names)), np.int64, len(names))
-        there = np.flatnonzero(slot >= 0)
-        same = words.equal(chunk.data, chunk.starts[first[there]], size[first[there]], self.text[: self.text_used], self.text_starts[slot[there]], self.text_sizes[slot[there]])
-        for i in there[~same].tolist():
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        hit = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        slot = np.where(hit, self.slots[near], -1).astype(np.int64) if len(self.keys) else np.full(len(keys), -1)
+        there = np.flatnonzero(hit)
+        same = words.equal(wide, chunk.starts[first[there]], size[first[there]], words.eights(self.text, padded=True), self.text_starts[slot[there]], self.text_sizes[slot[there]].astype(np.int64))
+        new = np.flatnonzero(~hit)
+        named = new[new < named_]  # of words that share a hash in this chunk the first is found by it, all others by their bytes
+        apart_ = np.concatenate((there[~same], new[new >= named_]))
+        if len(named):
+            slot[named] = self._learn([word(i) for i in first[named].tolist()])
+            self.keys, self.slots = np.insert(self.keys, at[named], keys[named]), np.insert(self.slots, at[named], slot[named].astype(np.int32))
+        for i in apart_.tolist():
             if (w := word(first[i])) not in self.others:
-                self.others[w] = self._learn([w])[0]
+                self.others[w] = int(self._learn([w])[0])
             slot[i] = self.others[w]
-        if len(new := np.flatnonzero(slot < 0)):
-            got = self._learn([word(i) for i in first[new].tolist()])
-            slot[new] = got
-            for i, s in zip(new.tolist(), got, strict=True):
-                if self.slots.setdefault(names[i], s) != s:
-                    self.others[word(first[i])] = s
-        sizes = self.sizes[slot][index] if len(index) else np.zeros(0, np.int64)
+        sizes = self.sizes[slot][index].astype(np.int64) if len(index) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         begins = self.starts[slot][index] - (ends - sizes) if len(index) else sizes
         total = int(ends[-1]) if len(ends) else 0

@@ -58,10 +58,10 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each byte on as one number (zeros after the end); a view of a padded copy."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+def eights(data: np.ndarray, padded: bool = False) -> np.ndarray:
+    """The eight bytes from each byte on as one number; a view of a copy with zeros after the end, or of data itself but for its last eight bytes."""
+    data = data if padded else np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
 
 
 def _blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def _blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    wide, size = _eights(data), ends - starts
+    wide, size = eights(data), ends - starts
     total = mix((wide[starts] & _KEEP[np.minimum(size, 8)]) ^ _PLACE)
     some, first, owner, k = _blocks(size)
     if len(some):
@@ -82,10 +82,8 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(np.uint64) * _LENGTH)
 
 
-def equal(data_a: np.ndarray, starts_a: np.ndarray, sizes_a: np.ndarray, data_b: np.ndarray, starts_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
-    """Whether the bytes of each word of one side are those of its partner on the other."""
-    a, b = _eights(data_a), _eights(data_b) if data_b is not data_a else None
-    b = a if b is None else b
+def equal(a: np.ndarray, starts_a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each word of one side are those of its partner on the other; a, b: eights() of their data."""
     out = sizes_a == sizes_b
     out &= (a[starts_a] ^ b[starts_b]) & _KEEP[np.minimum(sizes_a, 8)] == 0
     some, first, owner, k = _blocks(np.where(out, sizes_a, 0))
