@@ -5,7 +5,8 @@ buckets of its character n-grams (character input), next to three fixed inputs:
 largest and mean log odds of its character n-grams, counted over the training texts.  Two gated recurrent units read
 a window of WINDOW words in both directions; attention weights pool their states; a logistic unit gives the
 window's log odds.  Windows start every STRIDE words, the last one ends with the text; a text scores as its
-strongest window, so that no part of it is left out.  Training (numpy, in one task over the bounded sample) is multiple-instance: a
+strongest window, so that no part of it is left out, less what the strongest of so many clean windows is expected to
+have (a line over the logarithm of their number, fitted on the clean training texts).  Training (numpy, in one task over the bounded sample) is multiple-instance: a
 text's label is learnt on the window that scores highest at the time.
 
 Training rows: labelled texts of the training fold, the first of each label by hash of the id, until there are
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.llm import words
-from cairnbook.llm.shared import documents, id_remainder, stored
+from cairnbook.llm.shared import documents, id_remainder, stored, trimmed
 
 HELD_MOD = 5
 SAMPLE, SAMPLE_CHARS = 1500, 8_000_000
@@ -112,7 +113,7 @@ class Network:
         }
         self.p = {k: v.astype(F32) for k, v in self.p.items()}
         self.word_odds, self.gram_odds = np.zeros(BUCKETS, F32), np.zeros(BUCKETS, F32)
-        self.shift = F32(0)
+        self.shift, self.slope = F32(0), F32(0)
         self.trained = False
 
     def inputs(self, some: Distinct) -> np.ndarray:
@@ -313,10 +314,18 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5, epochs: int | None
         at = np.flatnonzero(half[row] == side)
         np.maximum.at(best, row[at], _logits(net, net.inputs(some), index[at], mask[at]))
     net.word_odds, net.gram_odds = odds[2]
-    net.shift = F32(_threshold(best, label))
+    many = np.log(np.bincount(row, minlength=len(texts)))
+    net.slope = F32(_slope(many[label == 0], best[label == 0]))
+    net.shift = F32(_threshold(best - net.slope * many, label))
     return net
 
 
+def _slope(x: np.ndarray, y: np.ndarray) -> float:
+    """Slope of the line of least squares, at least 0."""
+    spread = ((x - x.mean()) ** 2).sum()
+    return max(0.0, float(((x - x.mean()) * (y - y.mean())).sum() / spread)) if spread > 0 else 0.0
+
+
 def _some_inputs(net: Network, some: Distinct, used: np.ndarray, none: int) -> np.ndarray:
     own = used[used < none]
     part = Distinct.__new__(Distinct)
@@ -367,7 +376,8 @@ def score_chunk(net: Network, chunk: words.Words) -> np.ndarray:
         index = np.where(mask, some.index[np.minimum(first[part][:, None] + spread, max(0, len(some.index) - 1))], none) if len(some.index) else np.full(mask.shape, none)
         got, _ = net.forward(x, index, mask.astype(F32))
         np.maximum.at(best, row[part], got)
-    return 1 / (1 + np.exp(-np.clip(best - net.shift, -40, 40)))
+    many = np.log(np.bincount(row, minlength=len(best)))
+    return 1 / (1 + np.exp(-np.clip(best - net.slope * many - net.shift, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
@@ -385,7 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     picked = joined.join(F.broadcast(kept), ["doc_id", "label", "tie"], "left_semi").select("doc_id", "text", F.col("label").cast("long").alias("label")).coalesce(1)
 
     def run(batches):
-        got = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)))
+        got = sorted((r for batch in trimmed(batches) for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)))
         net = train([r[2] for r in got], np.array([r[1] for r in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
@@ -401,7 +411,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", T.DoubleType())
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             text = batch.column(outer).field(field) if field else batch.column(outer)
             got = [score_chunk(shared.value, c) for c in words.chunks(text, size=1 << 19)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*kept, "score"])

@@ -428,3 +428,107 @@ def test_toxicity(spark, docs, none):
     assert len(edge) == len(ROWS) and all(0 <= x["score"] <= 1 for x in edge)
     assert toxicity.score(none, net).count() == 0
     assert {x["score"] for x in toxicity.score(docs, toxicity.fit(none, labels)).collect()} == {0.0}
+
+
+def exact_likeness(a, b):
+    x, y = (brute_shingles(t) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_shingles(text, n=5):
+    w = words(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def test_fingerprints_of_small_texts_are_exact(spark):
+    r = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = ["", " ", "a b", "A  B", *[" ".join(r.choice(base[:12], int(r.integers(1, 100)))) for _ in range(20)], " ".join(base), " ".join([*base[:50], "x", *base[51:]])]
+    rows = [(10 * i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in fingerprints.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert abs(got[i]["near_next"] - exact_likeness(t, after)) < 1e-12 and abs(got[i]["near_edited"] - exact_likeness(t, edited)) < 1e-12
+        assert got[i]["n_shingles"] == len(brute_shingles(t))
+    same = {}
+    for i, t in rows:
+        assert same.setdefault(frozenset(brute_shingles(t)), got[i]["fingerprint"]) == got[i]["fingerprint"]
+    assert len(set(same.values())) == len(same)
+
+
+def test_fingerprints_of_large_texts_are_near(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(12):
+        a = [f"v{x}" for x in r.integers(0, 900, 1500)]
+        b = [f"u{i}" if r.random() < 0.004 * i else x for x in a]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {x["doc_id"]: x["near_next"] for x in fingerprints.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    error = [got[2 * i] - exact_likeness(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(12)]
+    assert max(map(abs, error)) < 0.2 and abs(np.mean(error)) < 0.06
+
+
+def test_score_by_hand(spark):
+    """The class model's probabilities, from the classes that the fit found, one token at a time."""
+    r = np.random.default_rng(13)
+    vocabulary = [f"{k}{i}" for k in "abc" for i in range(40)]
+    rows = [(i, " ".join(r.choice(vocabulary, int(r.integers(0, 40))))) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where("crc32(encode(cast(doc_id as string), 'UTF-8')) % 7 <> 2").select("text")
+    counts = brown.word_counts(train).cache()
+    _, label, known, _, _, _, _ = brown.fit(train, counts)
+    cls = {x["h"]: x["cls"] for x in known.collect()}
+    from cairnbook.llm import words as w_
+
+    def class_of(word):
+        import pyarrow as pa
+
+        (chunk,) = w_.chunks(pa.array([word]))
+        own = cls.get(int(chunk.hashes.view(np.int64)[0]))
+        return own if own is not None else int(label[1 + brown.TOP + brown._endings(chunk)[0]])
+
+    texts = [x["text"].split() for x in train.collect()]
+    tokens_ = [[*t, "</s>"] for t in texts]
+    n = sum(map(len, tokens_))
+    count = {}
+    for t in tokens_:
+        for x in t:
+            count[x] = count.get(x, 0) + 1
+    k = brown.CLASSES
+    of = {x: 0 if x == "</s>" else class_of(x) for x in {*count, *[x for _, t in rows for x in t.split()]}}
+    cells, types = np.zeros((k, k)), np.zeros(k)
+    for t in tokens_:
+        for a, b in zip(["</s>", *t], t, strict=False):
+            cells[of[a], of[b]] += 1
+    for x in count:
+        types[of[x]] += 1
+    unseen = np.zeros(k)
+    unseen[label[1 + brown.TOP :]] = 1
+    size = cells.sum(0)
+    prior = (size + 1) / (size.sum() + k)
+    for x in brown.score_texts(df).collect():
+        t = [*dict(rows)[x["doc_id"]].split(), "</s>"]
+        total = 0.0
+        for a, b in zip(["</s>", *t], t, strict=False):
+            step = (cells[of[a], of[b]] + k * prior[of[b]]) / (cells[of[a]].sum() + k)
+            emit = size[of[b]] + types[of[b]] + unseen[of[b]]
+            total += np.log10((count.get(b, 0) + 1) * (brown.LAMBDA * step / max(emit, 1) + (1 - brown.LAMBDA) / (n + len(count) + 1)))
+        assert abs(total - x["score"]) < 1e-6
+
+
+def test_training_takes_long_texts(spark):
+    r = np.random.default_rng(14)
+    rows = [(i, " ".join([*r.choice([f"n{k}" for k in range(300)], 3000), *(["awfulword", "awfulthing"] * 3 if i % 3 == 0 else []), *r.choice([f"n{k}" for k in range(300)], 500)]), int(i % 3 == 0)) for i in range(60)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit(many.select("doc_id", "text"), many.select("doc_id", "toxic"))
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(many.select("doc_id", "text"), net).collect()}
+    assert net.trained and np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.95
+    small = toxicity.fit(many.select("doc_id", "text"), many.select("doc_id", "toxic"), chars=10)
+    assert small.trained  # one text of each label in any case
+
+
+def test_search_refuses_what_has_no_integer(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e18, 0.0])]
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
