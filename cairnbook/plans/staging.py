@@ -207,6 +207,22 @@ def a29(s, d):
     return replace_partitions(fx.staged_rows(s, d).withColumn("values", F.to_json("values")), "staged", "document_id", "source_version").groupBy("document_id").agg(F.count("*").alias("n"))
 
 
+@query("a29_scale_staged", rows_sql("rows_staged, columns_staged, fingerprints", (1200, 13, 1200)))
+def a29b(s, d):
+    """A file of 1,200 rows and 13 columns preserved as bytes, parsed, staged under its document and version, and read back."""
+    from cairnbook.sources import files
+    from cairnbook.sources.tables import replace_partitions
+
+    names = [f"synthetic_field_{c:02d}" for c in range(1, 14)]
+    line = F.concat_ws(",", *[F.format_string(f"synthetic-r%04d-c{c:02d}", F.col("id").cast("int")) for c in range(1, 14)])
+    body = s.range(1, 1201).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    file = body.select(F.lit("scale.csv").alias("path"), F.encode(F.concat(F.lit(",".join(names) + "\n"), F.array_join("lines", "\n"), F.lit("\n")), "UTF-8").alias("content"))
+    tables = files.parse_files(file).where("cells is not null").select(F.lit(1).alias("document_id"), F.col("locator").alias("source_location"), F.element_at("cells", 1).alias("header"), F.slice("cells", 2, 1 << 20).alias("rows"))
+    rows = staging.staged(tables).withColumn("values", F.to_json("values")).withColumn("source_version", F.lit(1)).drop("kinds", "names")
+    kept = replace_partitions(rows, "staged", "document_id", "source_version")
+    return kept.agg(F.count("*").alias("rows_staged"), F.max(F.size(F.json_object_keys("values"))).alias("columns_staged"), F.count_distinct("fingerprint").alias("fingerprints"))
+
+
 @query("a30_stage_typed_rows", R + "SELECT row_index, TRY_CAST(CASE WHEN k <> '' THEN k END AS BIGINT) AS k, TRY_CAST(CASE WHEN value <> '' THEN value END AS DOUBLE) AS value, event, CAST(day AS DATE) AS day FROM fx_rows")
 def a30(s, d):
     v = {c: F.nullif(F.trim(F.element_at("values", F.lit(c))), F.lit("")) for c in ("k", "value", "event", "day")}
