@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from cairnbook.llm import jaccard, langid, mixing, packing, toxicity
 from cairnbook.llm.shared import documents, stored
 
+SENT = 500_000
+
 
 def _row(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -45,7 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = F.col("doc_id").cast("long")
     rows = docs.select(_row(docs), own.isNull().alias("a_"), F.coalesce(own, F.lit(0)).alias("b_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c_"))
     keys = ["a_", "b_", "c_"]
-    kept = rows.join(found.where("not stays_").select(keys), keys, "left_anti")
+    gone = found.where("not stays_").select(keys)
+    # up to SENT keys (some 64 bytes each) go to all tasks and no text is shuffled; beyond that the texts are, once
+    kept = rows.join(F.broadcast(gone) if gone.limit(SENT + 1).count() <= SENT else gone, keys, "left_anti")
     # rows equal in id and text, of which one stays, are few: only they are gathered by key
     again = rows.join(found.where("once_").select(keys), keys, "left_semi").groupBy(keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return kept.select("row.*").unionByName(again.select("row.*"))
