@@ -47,12 +47,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = F.col("doc_id").cast("long")
     rows = docs.select(_row(docs), own.isNull().alias("a_"), F.coalesce(own, F.lit(0)).alias("b_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c_"))
     keys = ["a_", "b_", "c_"]
-    gone = found.where("not stays_").select(keys)
     # up to SENT keys (some 64 bytes each) go to all tasks and no text is shuffled; beyond that the texts are, once
-    kept = rows.join(F.broadcast(gone) if gone.limit(SENT + 1).count() <= SENT else gone, keys, "left_anti")
+    gone, once = (found.where(c).select(keys) for c in ("not stays_", "once_"))
+    kept = rows.join(_sent(gone), keys, "left_anti").select("row.*")
+    if not once.limit(1).count():
+        return kept
     # rows equal in id and text, of which one stays, are few: only they are gathered by key
-    again = rows.join(found.where("once_").select(keys), keys, "left_semi").groupBy(keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return kept.select("row.*").unionByName(again.select("row.*"))
+    again = rows.join(_sent(once), keys, "left_semi").groupBy(keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.unionByName(again.select("row.*"))
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(SENT + 1).count() <= SENT else keys
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
