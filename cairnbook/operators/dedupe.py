@@ -34,37 +34,58 @@ def candidates_of(files: DataFrame, document_id: int) -> DataFrame:
     return rows.select("document_id", F.lit(1.0).alias("score"), F.lit("exact_sha256").alias("reason")).distinct().orderBy(F.desc("score"), "document_id")
 
 
-def band_keys(distance: int = HASH_DISTANCE, agree: int = AGREE) -> list[tuple[tuple[int, int], ...]]:
+def band_keys(bits: int = HASH_BITS, distance: int = HASH_DISTANCE, agree: int = AGREE) -> list[tuple[tuple[int, int], ...]]:
     """Keys of hashes as tuples of (first bit, width): of distance + agree bands, every choice of agree.
 
-    Two hashes that differ in at most distance bits have agree equal bands at least, and so a key.  Widths differ by one at
-    most: 64 bits in 9 bands of 7 or 8, in 10 bands of 6 or 7.
+    Two hashes that differ in at most distance of their bits have agree equal bands at least, and so a key.  Widths differ by one
+    at most, and no band is empty: fewer bits give fewer bands.  Hashes of no more bits than the distance have one key.
     """
-    bands = distance + agree
-    cuts = [HASH_BITS * i // bands for i in range(bands + 1)]
-    return list(itertools.combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], agree))
+    bands = min(bits, distance + agree)
+    if bands <= distance:
+        return [()]
+    cuts = [bits * i // bands for i in range(bands + 1)]
+    return list(itertools.combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], bands - distance))
+
+
+def _dense(hashes: DataFrame) -> tuple[Column, int]:
+    """The bits that are not the same in all hashes, side by side, and their number; one row reaches the driver."""
+    some, every = hashes.agg(F.bit_or("phash"), F.bit_and("phash")).first()
+    varying = ((some or 0) ^ (every or 0)) & ((1 << HASH_BITS) - 1)
+    out, width, bit = F.lit(0).cast("long"), 0, 0
+    while bit < HASH_BITS:
+        run = 0
+        while bit + run < HASH_BITS and varying >> (bit + run) & 1:
+            run += 1
+        if run:
+            part = F.shiftrightunsigned("phash", bit)
+            part = part if run == HASH_BITS else part.bitwiseAND(F.lit((1 << run) - 1).cast("long"))
+            out, width = out.bitwiseOR(F.shiftleft(part, width)), width + run
+        bit += run + 1
+    return out, width
 
 
 def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, agree: int = AGREE) -> DataFrame:
     """document_id, other_id, distance, score: pairs of different 64-bit perceptual hashes at most distance bits apart, named by the smallest document of each hash.
 
     Documents of one hash are a class (duplicate_classes by phash), not pairs.  Hashes are compared only if they share a key
-    of band_keys; with agree 2, 45 keys of some 13 bits each.  hashes: document_id, phash long.
+    of band_keys over the bits that vary at all; of 64 such bits, with agree 2, 45 keys of some 13 bits each.
+    hashes: document_id, phash long.
     """
     own = hashes.groupBy("phash").agg(F.min("document_id").alias("document_id"))
-    keys = band_keys(distance, agree)
+    dense, bits = _dense(hashes)
+    own = own.withColumn("dense", dense)
 
     def packed(key):
         out, width = F.lit(0).cast("long"), 0
         for first, n in key:
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("phash", first).bitwiseAND(F.lit((1 << n) - 1).cast("long")), width))
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("dense", first).bitwiseAND(F.lit((1 << n) - 1).cast("long")), width))
             width += n
         return out
 
-    keyed = own.select("document_id", "phash", F.posexplode(F.array(*[packed(k) for k in keys])).alias("band", "bits"))
+    keyed = own.select("document_id", "phash", F.posexplode(F.array(*[packed(k) for k in band_keys(bits, distance, agree)])).alias("band", "bits"))
     other = keyed.select(F.col("document_id").alias("other_id"), F.col("phash").alias("other_hash"), "band", "bits")
-    bits = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
-    pairs = keyed.join(other, ["band", "bits"]).where("document_id < other_id").withColumn("distance", bits).where(F.col("distance") <= distance)
+    differ = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
+    pairs = keyed.join(other, ["band", "bits"]).where("document_id < other_id").withColumn("distance", differ).where(F.col("distance") <= distance)
     return pairs.groupBy("document_id", "other_id").agg(F.min("distance").alias("distance")).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS))
 
 

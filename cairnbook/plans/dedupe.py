@@ -26,16 +26,14 @@ def j14b(s, d):
     return dedupe.duplicate_classes(files(s, d))
 
 
-BASE = "SELECT p_partkey AS document_id, (p_partkey * 1103515245 + 12345) % 2147483648 * 4294967296 + (p_partkey * 2654435761) % 4294967296 AS phash FROM part"
-HASH = f"h0 AS ({BASE} UNION ALL SELECT document_id + 1000000, xor(phash, CAST(1 AS BIGINT) << CAST(document_id % 40 AS INTEGER)) FROM ({BASE})), h AS (SELECT phash, min(document_id) AS document_id FROM h0 GROUP BY 1)"
+HASH = "h0 AS (SELECT p_partkey AS document_id, (p_partkey * 2654435761) % 4294967296 * 3 AS phash FROM part UNION ALL SELECT p_partkey + 1000000, xor((p_partkey * 2654435761) % 4294967296 * 3, CAST(1 << CAST(p_partkey % 20 AS INTEGER) AS BIGINT)) FROM part), h AS (SELECT phash, min(document_id) AS document_id FROM h0 GROUP BY 1)"
 
 
 def hashes(s, d):
-    """A hash for each part and the same with one bit flipped."""
-    key = F.col("p_partkey")
-    base = fx.table(s, d, "part").select(key.alias("document_id"), ((key * 1103515245 + 12345) % 2147483648 * 4294967296 + (key * 2654435761) % 4294967296).alias("phash"))
-    flipped = F.col("phash").bitwiseXOR(F.expr("shiftleft(1L, cast(document_id % 40 as int))"))
-    return base.unionByName(base.select((F.col("document_id") + 1000000).alias("document_id"), flipped.alias("phash")))
+    """A hash of 34 bits for each part, and the same with one bit flipped."""
+    base = fx.table(s, d, "part").select(F.col("p_partkey").alias("document_id"), ((F.col("p_partkey") * 2654435761) % 4294967296 * 3).alias("phash"), (F.col("p_partkey") % 20).cast("int").alias("bit"))
+    flip = F.col("phash").bitwiseXOR(F.expr("shiftleft(1L, bit)"))
+    return base.select("document_id", "phash").unionByName(base.select((F.col("document_id") + 1000000).alias("document_id"), flip.alias("phash")))
 
 
 @query("j15_hamming_join", f"WITH {HASH} SELECT least(a.document_id, b.document_id) AS document_id, greatest(a.document_id, b.document_id) AS other_id, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.phash, b.phash)) / 64.0::DOUBLE) AS score FROM h a JOIN h b ON a.document_id < b.document_id WHERE bit_count(xor(a.phash, b.phash)) <= 8")

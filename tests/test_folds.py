@@ -82,7 +82,11 @@ def test_hamming_keys_miss_nothing(spark):
     df = spark.createDataFrame(rows, "document_id long, phash long")
     for agree in (1, 2, 3):
         assert {(x["document_id"], x["other_id"]): x["distance"] for x in dedupe.near_hashes(df, agree=agree).collect()} == want
-        assert min(sum(n for _, n in key) for key in dedupe.band_keys(8, agree)) >= 5 * agree
+        assert min(sum(n for _, n in key) for key in dedupe.band_keys(64, 8, agree)) >= 5 * agree
+    few = spark.createDataFrame([(i, 1 << 62 | (i * 37 % 64) << 20) for i in range(40)], "document_id long, phash long")  # six bits vary, fewer than may differ
+    assert dedupe.near_hashes(few).count() == 40 * 39 // 2
+    same = spark.createDataFrame([(1, -5), (2, -5)], "document_id long, phash long")
+    assert dedupe.near_hashes(same).count() == 0 and dedupe.near_hashes(same.limit(0)).count() == 0
 
 
 def test_fuzzy_facts_against_all_pairs(spark):
