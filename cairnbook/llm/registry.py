@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, mixing, packing, toxicity, warc
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, manifest, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_language_id": langid.op9_language_id,
     "op10_language_model": brown.op10_language_model,
+    "op11_manifest": manifest.op11_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ SQL: dict[str, str] = {
     "op3_warc_audit": warc.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
+    "op11_manifest": manifest.OP11_SQL,
 }
