@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, manifest, mixing, packing, toxicity, warc
+from cairnbook.llm import ans, brown, fingerprints, jaccard, kdtree, langid, manifest, mixing, packing, secrets, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_language_model": brown.op10_language_model,
     "op11_manifest": manifest.op11_manifest,
+    "op12_ranked_search": wavelet.op12_ranked_search,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +26,5 @@ SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
     "op11_manifest": manifest.OP11_SQL,
+    "op12_ranked_search": wavelet.OP12_SQL,
 }

@@ -93,9 +93,9 @@ def equal(a: np.ndarray, starts_a: np.ndarray, sizes_a: np.ndarray, b: np.ndarra
     return out
 
 
-def _split(data: np.ndarray, breaks: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(data: np.ndarray, breaks: np.ndarray, fold: bool = True, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last, and hash of each word; breaks: offsets where a word ends in any case."""
-    inside = IS_WORD[data]
+    inside = is_word[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     stop = inside.copy()
@@ -107,22 +107,22 @@ def _split(data: np.ndarray, breaks: np.ndarray, fold: bool = True) -> tuple[np.
     return starts, ends, _hash(_LOWER[data] if fold else data, starts, ends)
 
 
-def _long(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, fold: bool, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_split of one very long text, piece by piece, cut at separators."""
     parts, at = [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
-        while to < len(data) and IS_WORD[data[to]]:
-            inside = IS_WORD[data[to : to + PIECE]]
+        while to < len(data) and is_word[data[to]]:
+            inside = is_word[data[to : to + PIECE]]
             to += len(inside) if inside.all() else int(np.argmin(inside))
-        s, e, h = _split(data[at:to], np.zeros(0, np.int64), fold)
+        s, e, h = _split(data[at:to], np.zeros(0, np.int64), fold, is_word)
         parts.append((s + at, e + at, h))
         at = to
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
-    """Words of a text column in groups of rows of about size bytes; a row is never divided.  fold: A-Z hash as a-z."""
+def chunks(column, size: int = CHUNK, fold: bool = True, is_word: np.ndarray = IS_WORD) -> Iterator[Words]:
+    """Words of a text column in groups of rows of about size bytes; a row is never divided.  fold: A-Z hash as a-z; is_word: of each byte."""
     offs, raw = text_buffers(column)
     n, row = len(offs) - 1, 0
     while row < n:
@@ -132,9 +132,9 @@ def chunks(column, size: int = CHUNK, fold: bool = True) -> Iterator[Words]:
             starts = ends = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)
         elif to == row + 1 and len(data) > PIECE:
-            starts, ends, hashes = _long(data, fold)
+            starts, ends, hashes = _long(data, fold, is_word)
         else:
-            starts, ends, hashes = _split(data, local, fold)
+            starts, ends, hashes = _split(data, local, fold, is_word)
         yield Words(row, np.diff(np.searchsorted(starts, local)), hashes, starts, ends, data)
         row = to
 
