@@ -328,3 +328,37 @@ def streaming_jobs(s, d):
     from cairnbook.streaming.jobs import run_to_end
 
     return run_to_end(s, f"{d}/events.parquet")
+
+
+# Fixed values of the query: what each kind of event asks of a document's job, seconds, and the value that notes the pipeline's end.
+KINDS = {"view": "enqueue", "click": "claim", "signup": "renew", "error": "fail", "purchase": "finish"}
+LEASE, DELAY, DELAY_MOST, LATE, MARKED = 6 * 3600, 2 * 3600, 24 * 3600, 24 * 3600, 30.0
+
+
+@query(
+    "i3_lease_timers",
+    f"""WITH RECURSIVE lim AS (SELECT max(epoch_us(ts) // 1000) - {LATE * 1000} AS upto FROM events),
+e AS (SELECT user_id AS document_id, event_id, epoch_us(ts) // 1000 AS inst, CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())} END AS kind, value >= {MARKED} AS m, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS seq FROM events, lim WHERE epoch_us(ts) // 1000 <= upto),
+r AS (
+  SELECT document_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS at_ms, CAST(NULL AS BIGINT) AS event_id, '' AS action, '' AS status, 0 AS attempts, CAST(NULL AS BIGINT) AS until_ms, FALSE AS marked FROM (SELECT DISTINCT document_id FROM e)
+  UNION ALL
+  SELECT document_id, seq, inst, event_id, action,
+    CASE action WHEN 'queued' THEN 'queued' WHEN 'claimed' THEN 'running' WHEN 'finished' THEN 'done' WHEN 'completed' THEN 'done' WHEN 'buried' THEN 'dead' WHEN 'lease_buried' THEN 'dead' WHEN 'retried' THEN 'queued' WHEN 'lease_lost' THEN 'queued' ELSE status END,
+    CASE action WHEN 'queued' THEN 0 WHEN 'claimed' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN action IN ('queued', 'lease_lost') THEN inst WHEN action IN ('claimed', 'renewed') THEN inst + {LEASE * 1000} WHEN action = 'retried' THEN inst + least({DELAY * 1000} * CAST(pow(2, attempts - 1) AS BIGINT), {DELAY_MOST * 1000}) WHEN action IN ('refused', 'duplicate') THEN until_ms END,
+    CASE WHEN action IN ('queued', 'finished', 'completed', 'buried', 'lease_buried') THEN FALSE WHEN action = 'renewed' THEN marked OR m ELSE marked END
+  FROM (SELECT document_id, CASE WHEN gone THEN seq ELSE seq + 1 END AS seq, CASE WHEN gone THEN until_ms ELSE inst END AS inst, CASE WHEN NOT gone THEN event_id END AS event_id, status, attempts, until_ms, marked, m,
+      CASE WHEN gone THEN CASE WHEN attempts < {lc.MAX_ATTEMPTS} THEN 'lease_lost' WHEN marked THEN 'completed' ELSE 'lease_buried' END
+        WHEN kind = 'enqueue' THEN CASE WHEN status IN ('', 'done', 'dead') THEN 'queued' ELSE 'duplicate' END
+        WHEN kind = 'claim' AND status = 'queued' AND until_ms <= inst THEN 'claimed'
+        WHEN status = 'running' AND kind = 'renew' THEN 'renewed' WHEN status = 'running' AND kind = 'finish' THEN 'finished'
+        WHEN status = 'running' AND kind = 'fail' THEN CASE WHEN attempts >= {lc.MAX_ATTEMPTS} THEN 'buried' ELSE 'retried' END ELSE 'refused' END AS action
+    FROM (SELECT r.document_id, r.seq, r.status, r.attempts, r.until_ms, r.marked, e.inst, e.event_id, e.kind, e.m, r.status = 'running' AND r.until_ms <= least(coalesce(e.inst, upto), upto) AS gone, e.inst IS NOT NULL AS more
+      FROM r CROSS JOIN lim LEFT JOIN e ON e.document_id = r.document_id AND e.seq = r.seq + 1) WHERE gone OR more))
+SELECT document_id, at_ms, event_id, action, status, attempts, until_ms FROM r WHERE action <> ''""",
+)
+def lease_timers(s, d):
+    """The log of every document's job: leases run out, failures wait and exhausted jobs are buried by timers, up to a day before the last event."""
+    from cairnbook.streaming import queue
+
+    return queue.drain(queue.log(queue.requests_of(s, f"{d}/events.parquet", KINDS, MARKED), LEASE, DELAY, DELAY_MOST, LATE), queue.folder(s))
