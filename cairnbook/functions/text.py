@@ -8,8 +8,10 @@ import json
 import re
 import unicodedata
 import urllib.parse
+from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +55,34 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words whose 64 signs are summed at once.
+_SUMMED = 1 << 16
+
+
+def word_signs(words: list[str]) -> np.ndarray:
+    """For each word 64 times 1 or -1, from bit 63 down, by the first 64 bits of its md5."""
+    digests = b"".join([hashlib.md5(w.encode()).digest()[:8] for w in words])
+    return np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.int8) * 2 - 1
+
+
+def simhashes(texts: list[str | None]) -> np.ndarray:
+    """64-bit similarity hashes: a bit is set if more of the words' hashes (repeats counted) have it set than not; 0 without words."""
+    number: dict[str, int] = {}
+    of = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t or "")], np.int64) for t in texts]
+    signs = word_signs(list(number))
+    total = np.array([sum((signs[x[i : i + _SUMMED]].sum(0, dtype=np.int64) for i in range(0, len(x), _SUMMED)), np.zeros(64, np.int64)) for x in of]).reshape(-1, 64)
+    return np.packbits(total > 0, axis=1).view(">i8").reshape(-1).astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def simhash_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """64-bit similarity hash of a text's words (runs between white space, as they are written); null for null."""
+    for s in texts:
+        parts = [pd.Series(simhashes(s[i : i + 256].tolist()), dtype="Int64") for i in range(0, len(s), 256)]
+        yield (pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype="Int64")).where(s.notna().reset_index(drop=True))
+
+
 def canonical_json(value: object) -> str:
     """Sorted keys, ASCII, no spaces, no NaN."""
     return json.dumps(value, sort_keys=True, ensure_ascii=True, separators=(",", ":"), allow_nan=False)

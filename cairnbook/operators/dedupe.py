@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import itertools
+import math
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import nfkc_udf, similarity
+from cairnbook.sources.tables import stored
 
-HASH_DISTANCE, HASH_BITS, AGREE, FUZZY, DAYS = 8, 64, 2, 90.0, 1
+HASH_DISTANCE, HASH_BITS, FUZZY, DAYS = 8, 64, 90.0, 1
+#: Values that a hash may ask for in one part.
+MOST_AROUND = 4096
+#: Hashes from which the division is chosen.
+SAMPLE = 1024
 
 
 def lenient_decimal(raw: Column) -> Column:
@@ -34,17 +42,57 @@ def candidates_of(files: DataFrame, document_id: int) -> DataFrame:
     return rows.select("document_id", F.lit(1.0).alias("score"), F.lit("exact_sha256").alias("reason")).distinct().orderBy(F.desc("score"), "document_id")
 
 
-def band_keys(bits: int = HASH_BITS, distance: int = HASH_DISTANCE, agree: int = AGREE) -> list[tuple[tuple[int, int], ...]]:
-    """Keys of hashes as tuples of (first bit, width): of distance + agree bands, every choice of agree.
+class Part(NamedTuple):
+    """A run of bits of a hash, and how many of them may differ for two hashes to meet in it."""
 
-    Two hashes that differ in at most distance of their bits have agree equal bands at least, and so a key.  Widths differ by one
-    at most, and no band is empty: fewer bits give fewer bands.  Hashes of no more bits than the distance have one key.
+    first: int
+    width: int
+    radius: int
+
+
+def neighbours(width: int, radius: int) -> int:
+    """Values at most radius bits away from one of width bits."""
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def divisions(bits: int, distance: int) -> list[list[Part]]:
+    """The ways to cut hashes of so many bits into parts, one for each number of parts, that miss no pair at most distance bits apart.
+
+    With distance = q * parts + r, the first r + 1 parts have radius q and the others q - 1: were all exceeded, more than
+    distance bits would differ.  A part of radius -1 is not looked at.
     """
-    bands = min(bits, distance + agree)
-    if bands <= distance:
-        return [()]
-    cuts = [bits * i // bands for i in range(bands + 1)]
-    return list(itertools.combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], bands - distance))
+    if bits <= distance:
+        return [[Part(0, bits, bits)]]
+
+    def of(parts: int) -> list[Part]:
+        q, r = divmod(distance, parts)
+        cuts = [bits * i // parts for i in range(parts + 1)]
+        made = [Part(a, b - a, min(b - a, q if i <= r else q - 1)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        return [p for p in made if p.radius >= 0]
+
+    every = [of(n) for n in range(1, min(bits, distance + 1) + 1)]
+    return [parts for parts in every if max(neighbours(p.width, p.radius) for p in parts) <= MOST_AROUND] or every[-1:]
+
+
+def share_met(sample: np.ndarray, parts: list[Part]) -> float:
+    """Pairs that meet in a part, of all pairs of the sample (uint64), summed over parts."""
+    met = 0
+    for p in parts:
+        value = sample >> np.uint64(p.first) & np.uint64((1 << p.width) - 1)
+        met += sum(int((np.bitwise_count(value[i + 1 :] ^ value[i]) <= p.radius).sum()) for i in range(len(value)))
+    return 2 * met / max(1, len(sample) * (len(sample) - 1))
+
+
+def hash_parts(rows: int, bits: int, distance: int, sample: np.ndarray) -> list[Part]:
+    """Of the divisions the one of least work for so many hashes: the values that all hashes ask for, and the pairs that then meet.
+
+    sample: some of the hashes; hashes of texts are not spread evenly, and that decides how many parts are best.  Any choice is exact.
+    """
+
+    def work(parts: list[Part]) -> float:
+        return rows * sum(neighbours(p.width, p.radius) + 1 for p in parts) + rows * rows / 2 * share_met(sample, parts)
+
+    return min(divisions(bits, distance), key=work)
 
 
 def _dense(hashes: DataFrame) -> tuple[Column, int]:
@@ -64,29 +112,49 @@ def _dense(hashes: DataFrame) -> tuple[Column, int]:
     return out, width
 
 
-def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, agree: int = AGREE) -> DataFrame:
+def _flips(part: Part) -> list[int]:
+    """The values whose exclusive or with a part's value gives those around it."""
+    return [sum(1 << i for i in some) for n in range(part.radius + 1) for some in itertools.combinations(range(part.width), n)]
+
+
+def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, seen: Observation | None = None) -> DataFrame:
     """document_id, other_id, distance, score: pairs of different 64-bit perceptual hashes at most distance bits apart, named by the smallest document of each hash.
 
-    Documents of one hash are a class (duplicate_classes by phash), not pairs.  Hashes are compared only if they share a key
-    of band_keys over the bits that vary at all; of 64 such bits, with agree 2, 45 keys of some 13 bits each.
-    hashes: document_id, phash long.
+    Multi-index hashing: hashes are cut into the parts of hash_parts over the bits that vary at all; every hash stands in the index of
+    each part under its own value, and asks there for all values within the part's radius.  A pair that meets is compared at once, and
+    counts in the first part only in which it can meet, so that neither candidates nor repeats are shuffled.  Documents of one hash
+    are a class (duplicate_classes by phash), not pairs.
+
+    hashes: document_id, phash long; null hashes take no part.  seen: gets rows (different hashes) and candidates (pairs compared).
     """
-    own = hashes.groupBy("phash").agg(F.min("document_id").alias("document_id"))
-    dense, bits = _dense(hashes)
+    own = stored(hashes.where("phash is not null").groupBy("phash").agg(F.min("document_id").alias("document_id")), "hashes")
+    dense, bits = _dense(own)
+    rows = own.count()
     own = own.withColumn("dense", dense)
-
-    def packed(key):
-        out, width = F.lit(0).cast("long"), 0
-        for first, n in key:
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("dense", first).bitwiseAND(F.lit((1 << n) - 1).cast("long")), width))
-            width += n
-        return out
-
-    keyed = own.select("document_id", "phash", F.posexplode(F.array(*[packed(k) for k in band_keys(bits, distance, agree)])).alias("band", "bits"))
-    other = keyed.select(F.col("document_id").alias("other_id"), F.col("phash").alias("other_hash"), "band", "bits")
-    differ = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
-    pairs = keyed.join(other, ["band", "bits"]).where("document_id < other_id").withColumn("distance", differ).where(F.col("distance") <= distance)
-    return pairs.groupBy("document_id", "other_id").agg(F.min("distance").alias("distance")).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS))
+    sample = own.select("dense").orderBy(F.xxhash64("phash")).limit(SAMPLE).collect()
+    parts = hash_parts(rows, bits, distance, np.array([r["dense"] for r in sample], np.int64).view(np.uint64))
+
+    def value(hash_: Column, part: Part) -> Column:
+        cut = F.shiftrightunsigned(hash_, part.first)
+        return cut if part.width == HASH_BITS else cut.bitwiseAND(F.lit((1 << part.width) - 1).cast("long"))
+
+    def placed(part: int, at: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), at.alias("at"))
+
+    index = own.select(F.col("document_id").alias("other_id"), F.col("phash").alias("other_hash"), F.col("dense").alias("other_dense"), F.explode(F.array(*[placed(i, value(F.col("dense"), p)) for i, p in enumerate(parts)])).alias("p")).select("*", "p.*").drop("p")
+    around = [F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(p)]), _at(i, value(F.col("dense"), p))) for i, p in enumerate(parts)]
+    asked = own.select("document_id", "phash", "dense", F.explode(F.concat(*around)).alias("p")).select("*", "p.*").drop("p")
+    met = asked.join(index, ["part", "at"]).where("document_id < other_id")
+    if seen is not None:
+        met = met.observe(seen, F.count("*").alias("candidates"), F.lit(rows).alias("rows"))
+    apart = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
+    meets = F.array(*[F.bit_count(value(F.col("dense").bitwiseXOR(F.col("other_dense")), p)) <= p.radius for p in parts])
+    pairs = met.withColumn("distance", apart).where((F.col("distance") <= distance) & (F.array_position(meets, F.lit(True)) == F.col("part") + 1))
+    return pairs.select("document_id", "other_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS).alias("score"))
+
+
+def _at(part: int, value: Column):
+    return lambda flip: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(flip).alias("at"))
 
 
 def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY) -> DataFrame:

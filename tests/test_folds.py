@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import indel_ratio
@@ -66,7 +67,7 @@ def test_retries_and_leases(spark):
     assert [tuple(r) for r in lifecycle.retry_targets(jobs, "document_id", "target").collect()] == [("d", "a", 2, "recovery:2")]
 
 
-def test_hamming_keys_miss_nothing(spark):
+def test_hamming_parts_miss_nothing(spark, monkeypatch):
     r = np.random.default_rng(1)
     base = [int(x) for x in r.integers(0, 1 << 63, 40)]
     rows = [(i, h) for i, h in enumerate(base)] + [(100, base[0])]
@@ -80,15 +81,61 @@ def test_hamming_keys_miss_nothing(spark):
         first.setdefault(h, i)
     want = {(min(a, b), max(a, b)): (x ^ y).bit_count() for (x, a), (y, b) in itertools.combinations(first.items(), 2) if (x ^ y).bit_count() <= 8}
     df = spark.createDataFrame(rows, "document_id long, phash long")
-    for agree in (1, 2, 3):
-        assert {(x["document_id"], x["other_id"]): x["distance"] for x in dedupe.near_hashes(df, agree=agree).collect()} == want
-        assert min(sum(n for _, n in key) for key in dedupe.band_keys(64, 8, agree)) >= 5 * agree
+    chosen = dedupe.hash_parts
+    for pretended in (1, 1_000, 10**5, 10**7, 10**9):  # the parts of larger tables miss nothing either
+        monkeypatch.setattr(dedupe, "hash_parts", lambda rows, bits, distance, sample, n=pretended: chosen(n, bits, distance, sample))
+        got = [(x["document_id"], x["other_id"], x["distance"]) for x in dedupe.near_hashes(df).collect()]
+        assert len(got) == len(set(got)) and {(a, b): n for a, b, n in got} == want
+    monkeypatch.undo()
     few = spark.createDataFrame([(i, 1 << 62 | (i * 37 % 64) << 20) for i in range(40)], "document_id long, phash long")  # six bits vary, fewer than may differ
     assert dedupe.near_hashes(few).count() == 40 * 39 // 2
     same = spark.createDataFrame([(1, -5), (2, -5)], "document_id long, phash long")
     assert dedupe.near_hashes(same).count() == 0 and dedupe.near_hashes(same.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 8, 9, 20, 34, 64])
+def test_radii_cover_the_distance(bits):
+    for parts in dedupe.divisions(bits, 8):
+        assert bits <= 8 or sum(p.radius + 1 for p in parts) > 8  # so many bits differ at least where no part meets
+        assert all(0 <= p.radius <= p.width and dedupe.neighbours(p.width, p.radius) <= dedupe.MOST_AROUND for p in parts)
+        ends = [(p.first, p.first + p.width) for p in parts]
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(ends)) and ends[-1][1] <= bits
+
+
+def test_parts_follow_rows_and_spread():
+    r = np.random.default_rng(3)
+    even = r.integers(0, 1 << 64, 500, dtype=np.uint64)
+    assert len(dedupe.hash_parts(100, 64, 8, even)) > len(dedupe.hash_parts(10**9, 64, 8, even))
+    near = even[0] ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64))
+    assert dedupe.share_met(near, dedupe.divisions(64, 8)[-1]) > 100 * dedupe.share_met(even, dedupe.divisions(64, 8)[-1])
+    assert dedupe.share_met(even[:1], [dedupe.Part(0, 64, 0)]) == 0
+
+
+def test_hamming_candidates_are_few(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, int(h)) for i, h in enumerate(r.integers(-(1 << 63), 1 << 63, 3000))]
+    rows += [(5000 + i, h ^ 1 << i % 64 if i % 64 < 63 else h ^ 1) for i, (_, h) in enumerate(rows[:300])]
+    seen = Observation()
+    found = dedupe.near_hashes(spark.createDataFrame(rows, "document_id long, phash long"), seen=seen).count()
+    assert found >= 300 and seen.get["candidates"] <= 0.1 * seen.get["rows"] * (seen.get["rows"] - 1) / 2
+
+
+def test_simhash_is_the_sign_of_word_bits(spark):
+    from cairnbook.functions.text import simhash_udf
+
+    texts = ["", None, " \t", "one", "one two\nthree  three", "ünï 日本 a\u00a0b", "w " * 5000 + "x"]
+
+    def plain(text):
+        words, out = re.findall(r"[^\x20\x09-\x0D]+", text), 0
+        for i in range(64):
+            if sum(1 if int(hashlib.md5(w.encode()).hexdigest()[:16], 16) >> i & 1 else -1 for w in words) > 0:
+                out |= 1 << i
+        return out - (1 << 64) if out >> 63 else out
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", simhash_udf("t").alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
 def test_fuzzy_facts_against_all_pairs(spark):
     r = np.random.default_rng(2)
     names = ["Sample Shop Tokyo", "Sample Shop Tokyoo", "Sample Shop", "Other Store 12", "Other Store 13", "短い"]
