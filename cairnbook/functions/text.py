@@ -46,9 +46,36 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """indel_ratio of many pairs: the bit rows of all pairs of about one length side by side; names of over 64 characters one by one."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    out = np.empty(len(sizes))
+    swap = sizes[:, 0] > sizes[:, 1]  # the shorter one is the row of bits
+    order = np.lexsort((sizes.max(1), sizes.min(1)))
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        wide, long = sizes[some].min(1), sizes[some].max(1)
+        if wide.max() > 64:
+            out[some] = [indel_ratio(a[i], b[i]) for i in some]
+            continue
+        x, y = (np.array([list(map(ord, t)) + [fill] * (width - len(t)) for t in texts], np.int32).reshape(len(some), width) for texts, width, fill in (([b[i] if swap[i] else a[i] for i in some], wide.max(), -1), ([a[i] if swap[i] else b[i] for i in some], long.max(), -2)))
+        bit = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        full = np.where(wide < 64, (np.uint64(1) << np.minimum(wide, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+        row = full.copy()
+        for j in range(y.shape[1]):
+            hit = row & ((x == y[:, j : j + 1]) * bit).sum(1, dtype=np.uint64)
+            row = ((row + hit) | (row - hit)) & full
+        total = wide + long
+        out[some] = np.where(total > 0, 200.0 * (wide - np.bitwise_count(row)) / np.maximum(total, 1), 100.0)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    there = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[there] = indel_ratios(a[there].tolist(), b[there].tolist())
+    return pd.Series(out).astype("Float64").where(there)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
 from cairnbook.operators import dedupe, review
+from cairnbook.operators import names as nm
 from cairnbook.plans.registry import query
 from cairnbook.sources import fixtures as fx
 from cairnbook.sources.fixtures import SQL_EXTRACTED, SQL_VERIFIED
@@ -71,12 +72,41 @@ def facts(s, d):
     return fx.verified(s, d).select(F.col("id").alias("document_id"), "transaction_date", F.round(F.col("total_amount") / 1000, 0).cast("decimal(18,2)").alias("total_amount"), "counterparty")
 
 
-@query("d16_similarity_ratio")
+def ratio_sql(a: str, b: str) -> str:
+    """The similarity of two names of at most 60 characters: the bits of a row go through one character of b after the other."""
+    masks = f"list_transform(string_split({b}, ''), lambda c: CAST(list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT))"
+    full = f"((CAST(1 AS BIGINT) << CAST(len({a}) AS INTEGER)) - 1)"
+    return f"200.0::DOUBLE * (len({a}) - bit_count(list_reduce({masks}, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}, {full}))) / (len({a}) + len({b}))"
+
+
+@query("d16_similarity_ratio", f"WITH n AS (SELECT c_custkey, c_name, lead(c_name) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS other FROM customer) SELECT c_custkey, CASE WHEN other IS NOT NULL THEN round({ratio_sql('c_name', 'other')}, 6) END AS ratio FROM n")
 def d16(s, d):
     c = fx.table(s, d, "customer").select("c_custkey", "c_name", F.lead("c_name").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("other"))
     return c.select("c_custkey", F.round(tx.similarity(F.col("c_name"), F.col("other")), 6).alias("ratio"))
 
 
+NAMES = """names AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer UNION ALL SELECT 1000000000 + s_suppkey, lower(s_name) FROM supplier
+  UNION ALL SELECT 2000000000 + c_custkey, substr(lower(c_name), 1, CAST(c_custkey % 18 AS INTEGER)) || 'x' || substr(lower(c_name), CAST(c_custkey % 18 AS INTEGER) + 2) FROM customer
+  UNION ALL SELECT 3000000000 + s_suppkey, substr(lower(s_name), 1, CAST(s_suppkey % 18 AS INTEGER)) || substr(lower(s_name), CAST(s_suppkey % 18 AS INTEGER) + 2) FROM supplier)"""
+
+
+def names(s, d):
+    """Names of customers and suppliers, those of customers with one character changed, those of suppliers with one left out."""
+    c, u = (fx.table(s, d, t).select(F.col(k).alias("key"), F.lower(n).alias("name")) for t, k, n in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")))
+    place = (F.col("key") % 18).cast("int")
+
+    def edited(rows, between):
+        return rows.withColumn("name", F.concat(F.substring("name", F.lit(1), place), F.lit(between), F.substring("name", place + 2, F.length("name"))))
+
+    parts = [x.select((F.col("key") + i * 1_000_000_000).alias("id"), "name") for i, x in enumerate((c, u, edited(c, "x"), edited(u, "")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("j16_near_names", f"WITH {NAMES}, own AS (SELECT name, min(id) AS id FROM names GROUP BY name), p AS (SELECT a.id, b.id AS other_id, a.name AS x, b.name AS y FROM own a JOIN own b ON a.id < b.id WHERE levenshtein(a.name, b.name) <= len(a.name) + len(b.name) - 2 * ceil(0.45 * (len(a.name) + len(b.name)) - 1e-9)), s AS (SELECT id, other_id, {ratio_sql('x', 'y')} AS similarity FROM p) SELECT id, other_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 90")
+def j16d(s, d):
+    return nm.near_names(names(s, d), 90.0).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("g6_dedupe_ranking", "WITH t AS (SELECT doc_id, text FROM documents WHERE doc_id = 0) SELECT d.doc_id AS document_id, CAST(1.0 AS DOUBLE) AS score, 'exact_sha256' AS reason FROM documents d JOIN t ON d.text = t.text AND d.doc_id <> t.doc_id ORDER BY 1")
 def g6(s, d):
     """What a review shows of one document's duplicates."""

@@ -12,7 +12,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import indel_ratio
-from cairnbook.operators import dedupe, exports, lifecycle, ordered, review, search, staging
+from cairnbook.operators import dedupe, exports, lifecycle, names, ordered, review, search, staging
 
 
 def test_numbered_is_the_order(spark):
@@ -167,3 +167,60 @@ def test_nothing_numeric_is_an_error(spark):
     rows = spark.createDataFrame([({"a": "x"},)], "values map<string,string>")
     with pytest.raises(Exception, match="no numeric cell"):
         staging.numeric_aggregate(rows, "a").collect()
+
+
+def some_names():
+    r = np.random.default_rng(11)
+    base = ["", "a", "ab", "ba", "aa", "abc", "customer#000000123", "日本商事株式会社", "ＡＢＣ", "x" * 70, "the long name of a company that has its seat somewhere in the north", "aaaaaaaaaaaaaaaa"]
+    base += ["".join(r.choice(list("abcdefgh "), int(n))) for n in r.integers(3, 40, 40)]
+    out = list(base)
+    for name in base * 4:
+        t = list(name)
+        for _ in range(int(r.integers(1, 4))):
+            at = int(r.integers(0, len(t) + 1))
+            kind = int(r.integers(0, 3))
+            if kind == 0:
+                t.insert(at, str(r.choice(list("abx"))))
+            elif t and kind == 1:
+                del t[min(at, len(t) - 1)]
+            elif t:
+                t[min(at, len(t) - 1)] = "z"
+        out.append("".join(t))
+    return out
+
+
+def plain_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *itertools.accumulate(range(len(b)), lambda left, j, row=row, x=x: row[j] + 1 if x == b[j] else max(left, row[j + 1]), initial=0)][1:]
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_vectorised_similarity():
+    from cairnbook.functions.text import indel_ratios
+
+    own = some_names()
+    pairs = [(a, b) for a in own[::3] for b in own[::7]]
+    assert np.allclose(indel_ratios(*map(list, zip(*pairs, strict=True))), [plain_ratio(a, b) for a, b in pairs])
+    assert len(indel_ratios([], [])) == 0
+
+
+@pytest.mark.parametrize("least", [60.0, 75.0, 90.0, 100.0])
+def test_near_names_against_all_pairs(spark, least):
+    own = some_names()
+    rows = [(i, n) for i, n in enumerate(own)] + [(900, None), (901, own[6])]
+    first = {}
+    for i, n in enumerate(own):
+        first.setdefault(n, i)
+    want = {(min(i, j), max(i, j)) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if a and b and plain_ratio(a, b) >= least}
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = [(r["id"], r["other_id"]) for r in names.near_names(df, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert names.near_names(df.limit(0), least).count() == 0
+
+
+def test_few_names_are_scored(spark):
+    rows = [(i, f"customer#{i:09}") for i in range(3000)]
+    seen = Observation()
+    names.near_names(spark.createDataFrame(rows, "id long, name string"), 90.0, seen).count()
+    assert seen.get["scored"] <= 0.05 * 3000 * 2999 / 2
