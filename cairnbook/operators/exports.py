@@ -92,9 +92,17 @@ def audit_rows(entries: DataFrame, date_from: Column, date_to: Column, table: st
 
 
 def ordered_digest(rows: DataFrame, order: list[str], cells: Column, *keys: str) -> DataFrame:
-    """keys and digest: sha256 of each key's rows in order, as a tree of bounded groups."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    return digest_tree(rows.withColumn("place_", place), "place_", cells, *keys)
+    """keys and digest: sha256 of each key's rows in order, as a tree of bounded groups.
+
+    Rows are numbered by ranges of keys and order, so that a key of many rows is many ranges; a key's own numbers begin at its first.
+    """
+    placed = numbered(rows, "all_", *keys, *order)
+    firsts = placed.groupBy(*keys).agg(F.min("all_").alias("first_")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "first_")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    placed = placed.join(firsts, same).withColumn("place_", F.col("all_") - F.col("first_") + 1)
+    return digest_tree(placed, "place_", cells, *keys)
 
 
 def inventory(table: DataFrame, name: str, key: str, columns: list[str]) -> DataFrame:

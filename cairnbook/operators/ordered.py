@@ -30,16 +30,21 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
 
 
 def digest_tree(rows: DataFrame, place: str, cells: Column, *keys: str) -> DataFrame:
-    """keys and digest: sha256 of the rows' texts in the order of place (1 .. n in each key), by groups of FAN at LEVELS levels."""
-    level = rows.select(*keys, (F.col(place) - 1).alias("at"), cells.alias("d"))
-    for _ in range(LEVELS):
+    """keys and digest: sha256 of the rows' texts in the order of place (1 .. n in each key), by groups of FAN.
+
+    LEVELS levels, and more until every key has one group left.  No rows give no digest.
+    """
+    level, done = rows.select(*keys, (F.col(place) - 1).alias("at"), cells.alias("d")), 0
+    while done < LEVELS or level.where("at > 0").limit(1).count():
         groups = level.groupBy(*keys, F.expr(f"at div {FAN}").alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "d"))).alias("x"))
-        level = groups.select(*keys, F.col("up").alias("at"), F.sha2(F.array_join(F.transform("x", lambda r: r["d"]), "|"), 256).alias("d"))
+        level, done = groups.select(*keys, F.col("up").alias("at"), F.sha2(F.array_join(F.transform("x", lambda r: r["d"]), "|"), 256).alias("d")), done + 1
+        if done >= LEVELS:
+            level = stored(level, "digests")
     return level.select(*keys, F.col("d").alias("digest"))
 
 
 def digest_sql(source: str, order: str, cells: str, keys: Sequence[str] = ()) -> str:
-    """The same as SQL."""
+    """The same as SQL, for up to FAN**LEVELS rows a key."""
     by = ", ".join(keys)
     over = f"PARTITION BY {by} ORDER BY {order}" if keys else f"ORDER BY {order}"
     out = f"SELECT {by + ', ' if keys else ''}row_number() OVER ({over}) - 1 AS pos, {cells} AS d FROM {source}"

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnbook.sources.tables import stored
+
+#: Bins of a range of values, and ranges (two for each key) that go to all tasks; beyond that rows and ranges are joined by key.
+BINS, SENT_RANGES = 1024, 100_000
 TRAILING, LEAST_HISTORY, THRESHOLD, SCALE = 12, 6, "3.5", "0.6745"
 
 
@@ -58,9 +62,55 @@ def middle(ordered: Column) -> Column:
 
 
 def exact_median(rows: DataFrame, column: str, name: str, *keys: str) -> DataFrame:
-    """Exact median of a decimal column by keys; the values of one key are one array."""
-    arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias("a_"))
-    return arrays.select(*keys, middle(F.col("a_")).alias(name))
+    """Exact median of a numeric column by keys (of all rows without keys), by selection: no key's values are gathered or sorted.
+
+    Each middle rank is looked for among the values of a range, at first all of its key: a histogram of BINS bins, counted where the rows
+    are, tells the bin that holds the rank, and the least and greatest value of that bin are the next range, until they are equal.
+    A range's ends fall in different bins, so that every round narrows it; of decimals of d digits that takes some d / 3 rounds, of few
+    different values one.  Null keys are keys; null values do not count, and a key without others has a null median.
+    """
+    value, own = F.col("v_"), [f"k{i}_" for i in range(len(keys))]
+    rows = rows.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(column).alias("v_"))
+    sizes = stored(rows.groupBy(*own).agg(F.count("v_").alias("n"), F.min("v_").alias("lo"), F.max("v_").alias("hi")), "median-sizes")
+    ranks = F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))
+    found = sizes.where("n > 0").select(*own, F.posexplode(ranks).alias("side", "rank"), "lo", "hi")
+    done, open_ = [found.where("lo = hi")], stored(found.where("lo < hi"), "median-ranges")
+    while n := open_.count():
+        ranges = open_.select(*[F.col(o).alias(f"r{o}") for o in own], "side", "rank", "lo", "hi")
+        same = F.lit(True)
+        for o in own:
+            same = same & F.col(o).eqNullSafe(F.col(f"r{o}"))
+        ranges = F.broadcast(ranges) if n <= SENT_RANGES else ranges
+        place = (value - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double") * BINS
+        inside = rows.join(ranges, same).where(value.between(F.col("lo"), F.col("hi")))
+        bins = inside.groupBy(*own, "side", "rank", F.floor(place).alias("bin")).agg(F.count("*").alias("n"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*own, "side").orderBy("bin"))
+        held = bins.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        held = stored(held.select(*own, "side", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi"), "median-ranges")
+        done.append(held.where("lo = hi"))
+        open_ = held.where("lo < hi")
+    middles = done[0]
+    for more in done[1:]:
+        middles = middles.unionByName(more)
+    middles = middles.groupBy(*own).agg(F.min("lo").alias("a_"), F.max("lo").alias("b_"), F.lit(True).alias("there"))
+    # keys of null values alone have no middle
+    rest = sizes.where("n = 0").select(*own, *[F.lit(None).cast(sizes.schema["lo"].dataType).alias(c) for c in ("a_", "b_")], F.lit(True).alias("there"))
+    out = middles.unionByName(rest).select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], ((F.col("a_") + F.col("b_")) / 2).alias(name))
+    return out
+
+
+def spread(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, median and mad (median of the distances to the median), both by selection."""
+    middles = stored(exact_median(rows, column, "median", *keys), "medians")
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(middles[k])
+    apart = rows.join(middles, same).select(*[rows[k].alias(k) for k in keys], F.abs(rows[column] - middles["median"]).alias("apart"))
+    mads = exact_median(apart, "apart", "mad", *keys)
+    both = F.lit(True)
+    for k in keys:
+        both = both & middles[k].eqNullSafe(mads[k])
+    return middles.join(mads, both).select(*[middles[k].alias(k) for k in keys], "median", "mad")
 
 
 METRICS = (("consumption", "consumption_value"), ("unit_price", "unit_price"), ("amount", "amount"))

@@ -46,6 +46,26 @@ def e15(s, d):
     return series.exact_median(fx.bills(s, d), "amount", "m", "issuer_id").select("issuer_id", F.round(F.col("m").cast("double"), 4).alias("median_amount"))
 
 
+LINES = "l AS (SELECT 'all' AS scope, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem UNION ALL SELECT l_returnflag || l_linestatus, CAST(l_extendedprice AS DECIMAL(18,2)) FROM lineitem)"
+
+
+def lines(s, d):
+    """Every line's price twice: under one key that holds all lines, and under its flags."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
+    rows = fx.table(s, d, "lineitem")
+    return rows.select(F.lit("all").alias("scope"), price).unionByName(rows.select(F.concat("l_returnflag", "l_linestatus").alias("scope"), price))
+
+
+@query("e15_median_of_hot_keys", f"WITH {LINES} SELECT scope, CAST(median(price) AS DOUBLE) AS median_price FROM (SELECT scope, CAST(price AS DOUBLE) AS price FROM l) GROUP BY 1")
+def e15b(s, d):
+    return series.exact_median(lines(s, d), "price", "m", "scope").select("scope", F.col("m").cast("double").alias("median_price"))
+
+
+@query("e16_spread_of_hot_keys", f"WITH {LINES}, p AS (SELECT scope, CAST(price * 100 AS BIGINT) AS price FROM l), m AS (SELECT scope, median(price) AS median FROM p GROUP BY 1) SELECT scope, round(any_value(median) / 100, 4) AS median_price, round(median(abs(price - median)) / 100, 4) AS mad FROM p JOIN m USING (scope) GROUP BY scope")
+def e16b(s, d):
+    return series.spread(lines(s, d), "price", "scope").select("scope", F.round(F.col("median").cast("double"), 4).alias("median_price"), F.round(F.col("mad").cast("double"), 4).alias("mad"))
+
+
 def _flags(column):
     return f"""SELECT issuer_id, billing_period, {column} AS x, list({column}) OVER (PARTITION BY issuer_id ORDER BY billing_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past FROM u"""
 

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import itertools
 import re
+import statistics
 from decimal import Decimal
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import indel_ratio
-from cairnbook.operators import dedupe, exports, lifecycle, names, ordered, review, search, staging
+from cairnbook.operators import dedupe, exports, lifecycle, names, ordered, review, search, series, staging
 
 
 def test_numbered_is_the_order(spark):
@@ -25,11 +26,14 @@ def test_numbered_is_the_order(spark):
 
 def test_digest_tree(spark, monkeypatch):
     monkeypatch.setattr(ordered, "FAN", 3)
-    rows = [("a", i) for i in range(20)] + [("b", 0)]
-    got = {r["k"]: r["digest"] for r in exports.ordered_digest(spark.createDataFrame(rows, "k string, i int"), ["i"], F.concat(F.lit("x"), F.col("i").cast("string")), "k").collect()}
-    for k in "ab":
-        level = [f"x{i}" for x, i in rows if x == k]
-        for _ in range(ordered.LEVELS):
+    rows = [("a", i) for i in range(100)] + [("b", 0), (None, 5)]  # more than one full set of levels
+    found = exports.ordered_digest(spark.createDataFrame(rows, "k string, i int"), ["i"], F.concat(F.lit("x"), F.col("i").cast("string")), "k").collect()
+    got = {r["k"]: r["digest"] for r in found}
+    assert len(found) == 3
+    for k in ("a", "b", None):
+        level, done = [f"x{i}" for x, i in rows if x == k], 0
+        while done < ordered.LEVELS or any(len([f"x{i}" for x, i in rows if x == q]) > 3**done for q in ("a", "b", None)):
+            done += 1
             level = [hashlib.sha256("|".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)]
         assert got[k] == level[0]
 
@@ -224,3 +228,25 @@ def test_few_names_are_scored(spark):
     seen = Observation()
     names.near_names(spark.createDataFrame(rows, "id long, name string"), 90.0, seen).count()
     assert seen.get["scored"] <= 0.05 * 3000 * 2999 / 2
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_medians_by_selection(spark, monkeypatch, bins):
+    monkeypatch.setattr(series, "BINS", bins)
+    r = np.random.default_rng(5)
+    groups = {"one": [Decimal("3.10")], "two": [Decimal("1.00"), Decimal("2.01")], None: [Decimal("-5.00")] * 4, "even": [Decimal(int(x)) / 100 for x in r.integers(-(10**12), 10**12, 200)], "odd": [Decimal(int(x)) / 100 for x in r.integers(0, 50, 301)], "none": []}
+    groups["far"] = [Decimal("0.01")] * 30 + [Decimal("9999999999999999.99")] * 31
+    rows = [(k, v) for k, some in groups.items() for v in [*some, None]]
+    df = spark.createDataFrame(rows, "k string, v decimal(18,2)").repartition(5)
+    got = {x["k"]: x["m"] for x in series.exact_median(df, "v", "m", "k").collect()}
+    assert got == {k: statistics.median(v) if v else None for k, v in groups.items()}
+    every = [v for some in groups.values() for v in some]
+    assert [x["m"] for x in series.exact_median(df, "v", "m").collect()] == [statistics.median(every)]
+    mads = {x["k"]: (x["median"], x["mad"]) for x in series.spread(df, "v", "k").collect()}
+    assert {k: v for k, v in mads.items() if groups[k]} == {k: (m := statistics.median(v), statistics.median([abs(x - m) for x in v])) for k, v in groups.items() if v}
+    assert series.exact_median(df.limit(0), "v", "m", "k").count() == 0
+
+
+def test_selection_gathers_no_values(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("decimal(18,2)").alias("v"))
+    assert "collect_list" not in series.exact_median(df, "v", "m", "k")._jdf.queryExecution().toString()
