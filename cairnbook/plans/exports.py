@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairnbook.operators import exports
 from cairnbook.operators.ordered import digest_sql
-from cairnbook.plans.registry import query
+from cairnbook.plans.registry import SQL, query
 from cairnbook.plans.verified import SQL_ACTIVE, active
 from cairnbook.sources import fixtures as fx
 
@@ -79,6 +81,34 @@ def a33(s, d):
     return exports.audit_rows(entries, F.lit("2024-01-03").cast("date"), F.lit("2024-01-05").cast("date"))
 
 
+def written(s, df, order, header, charset, drop=()):
+    """df written by tasks as ordered parts, committed, and read back."""
+    from cairnbook.sources import sink
+    from cairnbook.sources.tables import shared_folder
+
+    path = f"{shared_folder(s)}/export-{uuid.uuid4().hex}"
+    sink.write_parts(df, path, order, header, charset, drop)
+    return sink.read_parts(s, path, [c for c in df.columns if c not in drop])
+
+
+@query("a31_written_journal", SQL["a31_journal_33_all_columns"])
+def a31c(s, d):
+    return written(s, exports.journal_33(records(s, d)), [F.col("伝票番号").cast("long")], True, "utf-8")
+
+
+YAYOI = {0: "'2000'", 3: "strftime(transaction_date, '%Y/%m/%d')", 4: ACCOUNT, 7: TAX, 8: "CAST(CAST(yen AS BIGINT) AS VARCHAR)", 9: "coalesce(CAST(CAST(coalesce(t8, t10) AS BIGINT) AS VARCHAR), '')", 10: "'未払金'", 13: "'対象外'", 14: "CAST(CAST(yen AS BIGINT) AS VARCHAR)", 16: "substr(counterparty || ' [record:' || id || ']', 1, 30)", 19: "'0'", 22: "'0'", 23: "'0'", 24: "'no'", 25: "substr(counterparty, 1, 15)"}
+
+
+@query("a32_written_shift_jis", LEDGER + " SELECT " + ", ".join(f"""{YAYOI.get(i, "''")} AS c{i + 1:02d}""" for i in range(27)) + " FROM r")
+def a32c(s, d):
+    return written(s, exports.journal_27(records(s, d)), ["c04", "c17"], False, "shift_jis")
+
+
+@query("a33_written_audit", SQL["a33_audit_csv"])
+def a33b(s, d):
+    return written(s, a33(s, d), [F.col("audit_id").cast("long")], True, "utf-8")
+
+
 TABLES = {"customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]), "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_size"])}
 
 
