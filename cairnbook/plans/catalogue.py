@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnbook.plans import bills, cues, dedupe, evaluation, exports, lifecycle, scalars, search, sources, staging, trees, verified  # noqa: F401
+from cairnbook.plans import bills, cues, dedupe, evaluation, exports, lifecycle, questions, scalars, search, sources, staging, trees, verified  # noqa: F401
 from cairnbook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
