@@ -362,3 +362,13 @@ def lease_timers(s, d):
     from cairnbook.streaming import queue
 
     return queue.drain(queue.log(queue.requests_of(s, f"{d}/events.parquet", KINDS, MARKED), LEASE, DELAY, DELAY_MOST, LATE), queue.folder(s))
+
+
+@query("i8_streamed_uploads", "SELECT 'key-' || (event_id % 997) AS key, count(DISTINCT event_type) AS digests, CASE WHEN count(DISTINCT event_type) > 1 THEN 'conflict' ELSE 'stored' END AS outcome FROM events GROUP BY 1")
+def streamed_uploads(s, d):
+    """Uploads under repeated keys as a stream: repeats go, keys with several digests are conflicts."""
+    from cairnbook.streaming import queue, uploads
+
+    events = queue.requests_of(s, f"{d}/events.parquet", KINDS, MARKED)
+    asked = events.select(F.concat(F.lit("key-"), (F.col("event_id") % 997).cast("string")).alias("key"), F.element_at(F.create_map(*[F.lit(x) for a, b in KINDS.items() for x in (b, a)]), F.col("kind")).alias("digest"), "ts")
+    return uploads.outcomes(asked, queue.folder(s), 31 * 24 * 3600)[0]

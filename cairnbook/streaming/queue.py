@@ -151,14 +151,14 @@ def log(requests: DataFrame, lease: float = LEASE, delay: float = DELAY, delay_m
     return rows.groupBy("document_id").transformWithStateInPandas(Queue(limits), SCHEMA, "Append", "EventTime")
 
 
-def drain(rows: DataFrame, folder: str, timeout: int = 3600, batches: int | None = None) -> DataFrame:
+def drain(rows: DataFrame, folder: str, timeout: int = 3600, batches: int | None = None, progress: list | None = None) -> DataFrame:
     """All that the stream's source holds now, appended to a table of the folder; run again, it goes on where the folder's checkpoint stands.
 
-    batches: stop after so many micro-batches (as a process that ends does).  A stream that has not ended after timeout seconds is stopped and
+    batches: stop after so many micro-batches (as a process that ends does).  progress: gets what Spark reports of each.  A stream that has not ended after timeout seconds is stopped and
     raises TimeoutError.
     """
     spark = rows.sparkSession
-    name, before = "spark.sql.streaming.stateStore.providerClass", None
+    name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, PROVIDER)
 
@@ -179,6 +179,8 @@ def drain(rows: DataFrame, folder: str, timeout: int = 3600, batches: int | None
         except Exception as error:
             if batches is None or "stopped before batch" not in str(error):
                 raise
+        if progress is not None:
+            progress += out.recentProgress
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     return spark.read.schema(rows.schema).parquet(f"{folder}/table/batch=*")

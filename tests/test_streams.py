@@ -97,3 +97,29 @@ def test_advance_by_hand():
         job, log, _ = queue.advance(job, [(job.until, 9, "claim", False)], job.until + 600_000, LIMITS)
     assert job.status == "dead" and log[-1][2] == "lease_buried"
     assert queue.advance(queue.Job(), [], 10, LIMITS) == (queue.Job(), [], [])
+
+
+def test_uploads_in_any_order(spark, tmp_path):
+    from cairnbook.streaming import uploads
+
+    rows = [(i, t, u, name, v) for i, t, u, name, v in events(120, 9)]
+    shuffled = random.Random(1).sample(rows, len(rows))
+    written(spark, shuffled, f"{tmp_path}/in", 4)
+    stream = queue.requests_of(spark, f"{tmp_path}/in", KINDS, 30.0, 1).select(F.col("document_id").cast("string").alias("key"), F.col("kind").alias("digest"), "ts")
+    got, dropped = uploads.outcomes(stream, f"{tmp_path}/run", 86_400)
+    want = {}
+    for _, _, u, name, _ in rows:
+        want.setdefault(None if u is None else str(u), set()).add(name)
+    assert dropped == 0 and {r["key"]: r["digests"] for r in got.collect()} == {k: len(v) for k, v in want.items()}
+    assert {r["outcome"] for r in got.collect()} <= {"stored", "conflict"}
+
+
+def test_late_uploads_are_counted(spark, tmp_path):
+    from cairnbook.streaming import uploads
+
+    rows = events(60, 3)
+    # what a batch drops is decided by the watermark of the batch before it
+    written(spark, [*rows[20:], *rows[:20]], f"{tmp_path}/in", 3)
+    stream = queue.requests_of(spark, f"{tmp_path}/in", KINDS, 30.0, 1).select(F.col("event_id").cast("string").alias("key"), F.col("kind").alias("digest"), "ts")
+    got, dropped = uploads.outcomes(stream, f"{tmp_path}/run", 60)
+    assert dropped == 20 and got.count() == 40
