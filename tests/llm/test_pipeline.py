@@ -105,3 +105,20 @@ def test_packed_ids_are_those_of_the_texts(spark, docs):
         want.setdefault((i, len(ids)), []).append(ids)
     for r in STAGES["packing"](spark, docs, DIR).collect():
         assert r["ids_crc32"] in {zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for ids in want[r["doc_id"], r["doc_tokens"]]}
+
+
+def test_keys_that_are_joined_instead_of_sent(spark, docs, monkeypatch):
+    """Above SENT keys near_duplicates and the mixture join by key; the rows are the same."""
+    from cairnbook.llm import mixing
+
+    def rows(df):
+        return sorted([tuple(r) for r in df.collect()], key=repr)
+
+    real = spark.read.parquet(f"{DIR}/documents.parquet")
+    few = [rows(STAGES[n](spark, d, DIR)) for n in ("near_duplicates", "mixture") for d in (docs, real)]
+    monkeypatch.setattr(corpus_pipeline, "SENT", 0)
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert [rows(STAGES[n](spark, d, DIR)) for n in ("near_duplicates", "mixture") for d in (docs, real)] == few
+    taken = [rows(mixing.mix(d)) for d in (docs, real)]
+    monkeypatch.undo()
+    assert [rows(mixing.mix(d)) for d in (docs, real)] == taken
