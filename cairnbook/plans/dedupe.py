@@ -27,18 +27,38 @@ def j14b(s, d):
     return dedupe.duplicate_classes(files(s, d))
 
 
-HASH = r"""w AS (SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 1, 16) AS UBIGINT) AS v FROM documents WHERE text IS NOT NULL),
+TEXT_HASH = r"""w AS (SELECT doc_id, CAST('0x' || substr(md5(unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 1, 16) AS UBIGINT) AS v FROM documents WHERE text IS NOT NULL),
 bits AS (SELECT doc_id, i, sum(CASE WHEN (v >> i) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS one FROM w, range(64) r(i) GROUP BY doc_id, i),
 h0 AS (SELECT d.doc_id AS document_id, CAST(coalesce(sum(CASE WHEN i = 63 THEN -CAST(9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(i AS INTEGER) END) FILTER (one), 0) AS BIGINT) AS phash
   FROM documents d LEFT JOIN bits b ON b.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id),
 h AS (SELECT phash, min(document_id) AS document_id FROM h0 GROUP BY 1)"""
 
 
-def hashes(s, d):
+def text_hashes(s, d):
     """The similarity hash of each document's words."""
     return fx.table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), tx.simhash_udf("text").alias("phash"))
 
 
+@query("j15_text_hashes", f"WITH {TEXT_HASH} SELECT least(a.document_id, b.document_id) AS document_id, greatest(a.document_id, b.document_id) AS other_id, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.phash, b.phash)) / 64.0::DOUBLE) AS score FROM h a JOIN h b ON a.document_id < b.document_id WHERE bit_count(xor(a.phash, b.phash)) <= 8")
+def j15c(s, d):
+    return dedupe.near_hashes(text_hashes(s, d)).select("document_id", "other_id", F.col("distance").cast("int").alias("distance"), "score")
+
+
+@query("j15_text_hash_classes", f"WITH {TEXT_HASH} SELECT h0.document_id, h.document_id AS class_id, CAST(count(*) OVER (PARTITION BY h0.phash) AS BIGINT) AS copies FROM h0 JOIN h USING (phash)")
+def j15d(s, d):
+    return dedupe.duplicate_classes(text_hashes(s, d), "phash")
+
+
+HASH = "h0 AS (SELECT p_partkey AS document_id, (p_partkey * 2654435761) % 4294967296 * 3 AS phash FROM part UNION ALL SELECT p_partkey + 1000000, xor((p_partkey * 2654435761) % 4294967296 * 3, CAST(1 << CAST(p_partkey % 20 AS INTEGER) AS BIGINT)) FROM part), h AS (SELECT phash, min(document_id) AS document_id FROM h0 GROUP BY 1)"
+
+
+def hashes(s, d):
+    """A hash of 34 bits for each part, and the same with one bit flipped."""
+    base = fx.table(s, d, "part").select(F.col("p_partkey").alias("document_id"), ((F.col("p_partkey") * 2654435761) % 4294967296 * 3).alias("phash"), (F.col("p_partkey") % 20).cast("int").alias("bit"))
+    flip = F.col("phash").bitwiseXOR(F.expr("shiftleft(1L, bit)"))
+    return base.select("document_id", "phash").unionByName(base.select((F.col("document_id") + 1000000).alias("document_id"), flip.alias("phash")))
+
+
 @query("j15_hamming_join", f"WITH {HASH} SELECT least(a.document_id, b.document_id) AS document_id, greatest(a.document_id, b.document_id) AS other_id, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.phash, b.phash)) / 64.0::DOUBLE) AS score FROM h a JOIN h b ON a.document_id < b.document_id WHERE bit_count(xor(a.phash, b.phash)) <= 8")
 def j15(s, d):
     return dedupe.near_hashes(hashes(s, d)).select("document_id", "other_id", F.col("distance").cast("int").alias("distance"), "score")
