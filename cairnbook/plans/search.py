@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnbook.functions import text as tx
-from cairnbook.operators import search
+from cairnbook.operators import neighbors, search
 from cairnbook.plans.registry import query, rows_sql
 from cairnbook.sources import fixtures as fx
 
@@ -29,6 +29,24 @@ def v8(s, d):
     return nearest(with_query(s, d).where(F.col("label").isin(1, 3, 5)), search.TOP_K)
 
 
+PAIR_DIST = "round(greatest(0.0::DOUBLE, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 9)"
+
+
+@query(
+    "v8_filtered_knn_of_many",
+    f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM "
+    f"(SELECT q.vec_id AS query_id, e.vec_id, {PAIR_DIST} AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 10 = 0 AND (q.vec_id % 100 = 0 OR e.label IN (q.label, (q.label + 3) % 10, (q.label + 6) % 10)))) WHERE rank <= 8",
+)
+def v8_of_many(s, d):
+    """Every tenth vector as a query that admits three labels, every hundredth one that admits all; the vectors of all lists within reach."""
+    rows = fx.table(s, d, "embeddings")
+    label = F.col("label")
+    admits = F.when(F.col("vec_id") % 100 != 0, F.array(label, (label + 3) % 10, (label + 6) % 10))
+    asked = rows.where("vec_id % 10 = 0").withColumn("admits", admits)
+    found = neighbors.nearest_of_many(asked, "vec_id", "embedding", neighbors.build(rows, "vec_id", "embedding", "label"), search.TOP_K, "admits")
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query("g4_vector_topk", f"SELECT vec_id, {DIST} AS distance FROM embeddings ORDER BY {RAW}, vec_id LIMIT 10")
 def g4(s, d):
     return nearest(with_query(s, d), 10)
