@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.llm import words
-from cairnbook.llm.ordered import range_cuts, range_of
+from cairnbook.llm.ordered import parts_of_rows
 from cairnbook.llm.shared import documents, shuffle_partitions
 
 K, SHINGLE_WORDS = 128, 5
@@ -110,24 +109,23 @@ def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt by ranges of doc_id, each partition ending with the first row of the next one (last = 1).
 
     Ranges come from a quantile sketch and one number for each range reaches the driver: at most
-    the number of shuffle partitions.  The texts are shuffled once.
+    the number of shuffle partitions.  The texts are shuffled once.  An id of several ranges (null too) is cut by text hashes.
     """
     n = shuffle_partitions(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = range_cuts(rows, n)
-    bucket = partial(range_of, cuts=cuts)
-    null_first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), F.col("doc_id")))
-    firsts = [(r["b"], r["f"]["doc_id"]) for r in rows.select("doc_id", bucket(F.col("doc_id")).alias("b")).groupBy("b").agg(null_first.alias("f")).orderBy("b").collect()]
-    own = F.struct(bucket(F.col("doc_id")).alias("part"), F.lit(0).alias("last"))
-    also = F.lit(None).cast("array<struct<part:int,last:int>>")
-    for i, (_, first) in enumerate(firsts):
-        before = firsts[i - 1][0]
-        also = F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.array(F.struct(F.lit(before).alias("part"), F.lit(1).alias("last")))).otherwise(also) if len(firsts) <= 64 else also
-    if len(firsts) > 64:
-        befores = F.create_map(*[x for i, (_, first) in enumerate(firsts) if first is not None for x in (F.lit(first).cast("long"), F.lit(firsts[i - 1][0]))])
-        found = F.when(F.col("doc_id").isNull(), F.lit(firsts[-1][0]) if firsts[0][1] is None else F.lit(None)).otherwise(befores[F.col("doc_id")])
-        also = F.when(found.isNotNull(), F.array(F.struct(found.cast("int").alias("part"), F.lit(1).alias("last"))))
-    dealt = rows.select("doc_id", "text", F.explode(F.concat(F.array(own), F.coalesce(also, F.array().cast("array<struct<part:int,last:int>>")))).alias("p")).select("doc_id", "text", "p.part", "p.last")
+    bucket, hashed = parts_of_rows(rows, n)
+    # rows of one id share a range unless texts decide it, which are then hashed for the first rows too
+    tie = F.xxhash64("text") if hashed else F.lit(0).cast("long")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), F.col("doc_id"), tie.alias("tie")))
+    firsts = [(r["b"], r["f"]["doc_id"], r["f"]["tie"]) for r in rows.select("doc_id", *["text"] * hashed, bucket.alias("b")).groupBy("b").agg(first.alias("f")).orderBy("b").collect()]
+    own = F.struct(bucket.alias("part"), F.lit(0).alias("last"))
+    also = F.array().cast("array<struct<part:int,last:int>>")
+    if firsts:
+        at = {b: (doc, tie_, firsts[i - 1][0]) for i, (b, doc, tie_) in enumerate(firsts)}
+        lists = [F.array(*[F.lit(at.get(b, (None, None, None))[j]).cast("long") for b in range(n)]) for j in range(3)]
+        doc, tie_, before = (F.element_at(x, bucket + 1) for x in lists)
+        also = F.when(F.col("doc_id").eqNullSafe(doc) & (tie == tie_), F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("last")))).otherwise(also)
+    dealt = rows.select("doc_id", "text", F.explode(F.concat(F.array(own), also)).alias("p")).select("doc_id", "text", "p.part", "p.last")
     return dealt.repartitionById(n, "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 

@@ -59,6 +59,42 @@ def test_ranges(spark, n):
     assert spark.range(1).select(range_of(F.lit(None).cast("long"), cuts)).first()[0] == 0
 
 
+@pytest.mark.parametrize("hot", [None, 7, 0, -3, 59])
+def test_a_hot_id_is_cut_by_its_texts(spark, hot):
+    """Half of all rows share an id: their parts hold about a like number of rows, ordered by id and text hash."""
+    from cairnbook.llm.ordered import parts_of_rows
+
+    rows = [(hot, f"text {i}") for i in range(600)] + [(i % 60, f"other {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    part, hashed = parts_of_rows(df, 16)
+    got = df.select("doc_id", "text", F.xxhash64("text").alias("h"), part.alias("part")).collect()
+    key = [(r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["part"]) for r in got]
+    assert hashed and [k[3] for k in sorted(key)] == sorted(k[3] for k in key) and {k[3] for k in key} <= set(range(16))
+    assert max(sum(r["part"] == p for r in got) for p in range(16)) < 240
+    for n in (1, 2, 3):
+        part, _ = parts_of_rows(df, n)
+        key = [(r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["part"]) for r in df.select("doc_id", F.xxhash64("text").alias("h"), part.alias("part")).collect()]
+        assert [k[3] for k in sorted(key)] == sorted(k[3] for k in key) and {k[3] for k in key} <= set(range(n))
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_documents_of_a_hot_id_in_order(spark, hot):
+    """op4 and op7 over an id of most rows: each row once, neighbours and starts those of one global order."""
+    rows = [(hot, f"t{i} " * (1 + i % 7)) for i in range(60)] + [(i, f"other {i} words here") for i in range(20)] + [(hot, "same")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect())
+    texts = [x[3] for x in order]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + a[: len(t) // 4]).encode()).hexdigest() for t, a in zip(texts, [*texts[1:], texts[0]], strict=True))
+    assert sorted(r["edited_sha256"] for r in fingerprints.edited_neighbours(df).collect()) == want
+    got = sorted(((r["start"], r["n_tokens"], r["ids_crc32"]) for r in ans.round_trip(df).collect()))
+    at, expected = 0, []
+    for text in texts:
+        ids = [*reference_ids(text), 1]
+        expected.append((at, len(ids), crc(ids)))
+        at += len(ids)
+    assert got == expected
+
+
 def test_single_document_follows_itself(spark):
     row = fingerprints.edited_neighbours(spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")).first()
     assert row["near_next"] == 1.0 and row["n_chars"] == 15
