@@ -2,7 +2,8 @@
 
 Vectors count by their direction, distances are cosine distances rounded to 9 places before they are compared (so that
 the order of summation decides no tie), ties go to the smaller id.  A list holds the vectors next to one centre that lie
-in one ring around it; long lists are cut to parts of about PART_BYTES.  Inside a part rows are sorted by label and by
+in one ring around it.  Lists hold about PART_BYTES, as a query
+is sent to each list within its reach: centres first, then rings, then parts of a ring are as many as that asks for.  Inside a part rows are sorted by label and by
 distance from the centre, so that a query reads, of the labels that it admits only, the rows whose distance from the
 centre differs from its own by no more than its k-th distance.  That k-th distance comes from the PROBES lists next to
 the query; lists that cannot hold anything nearer are not visited.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.sources.tables import stored
 
-CELLS, RINGS, PROBES, SWEEPS = 1024, 8, 4, 6
+CELLS, LEAST_CELLS, RINGS, PROBES, SWEEPS = 1024, 16, 8, 2, 6
 SAMPLE, SAMPLE_BYTES, PART_BYTES, SLICE_BYTES = 1 << 14, 1 << 26, 1 << 20, 1 << 22
 PLACES, SLACK = 9, 1e-7
 HITS = "query_id long, id long, distance double, n_read long"
@@ -105,6 +106,7 @@ def build(rows: DataFrame, id_col: str, vector_col: str, label_col: str | None =
     n, width = _width(given)
     if not n:
         return None
+    share = max(1, PART_BYTES // (8 * width))
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
     chance = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / (1 << 30)
     drawn = given.where(chance < most / n).select("v").limit(2 * most).toArrow() if n > most else given.select("v").toArrow()
@@ -112,7 +114,7 @@ def build(rows: DataFrame, id_col: str, vector_col: str, label_col: str | None =
         drawn = given.select("v").limit(1).toArrow()
     sample = _units(drawn.column("v").combine_chunks())
     sample = sample[np.lexsort(sample.T[::-1])]
-    centres = _centres(sample, max(1, min(CELLS, math.isqrt(n), len(sample) // 4)))
+    centres = _centres(sample, max(1, min(CELLS, max(LEAST_CELLS, n // share), math.isqrt(n), len(sample) // 4)))
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches):
@@ -124,14 +126,13 @@ def build(rows: DataFrame, id_col: str, vector_col: str, label_col: str | None =
 
     placed = stored(given.mapInArrow(assign, "id long, label long, cell int, far double, unit binary"), "neighbor-rows")
     shared.destroy()
-    cuts = placed.groupBy("cell").agg(F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"))
+    cuts = placed.groupBy("cell").agg(F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"), F.least(F.lit(RINGS), F.ceil(F.count("*") / share)).cast("int").alias("wanted"))
     # at most CELLS rows, and CELLS * RINGS below
     cuts = F.broadcast(stored(cuts, "neighbor-cuts"))
-    ringed = placed.withColumn("row", F.monotonically_increasing_id()).join(cuts, "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c <= F.col("far"))))
-    share = max(1, PART_BYTES // (8 * width))
+    ringed = placed.withColumn("row", F.monotonically_increasing_id()).join(cuts, "cell").withColumn("ring", F.floor(F.size(F.filter("cuts", lambda c: c <= F.col("far"))) * F.col("wanted") / RINGS).cast("int"))
     rings = ringed.groupBy("cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.ceil(F.count("*") / share).alias("parts"))
     rings = stored(rings, "neighbor-rings")
-    parted = ringed.drop("cuts").join(F.broadcast(rings.select("cell", "ring", "parts")), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    parted = ringed.drop("cuts", "wanted").join(F.broadcast(rings.select("cell", "ring", "parts")), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
     def pack(table):
         label = table.column("label").combine_chunks()
@@ -191,8 +192,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _read(visits: DataFrame, lists: Lists, k: int) -> DataFrame:
-    """At most k hits of each query in each part, and a row without id that holds how many vectors it read there."""
+def _read(visits: DataFrame, lists: Lists, k: int, counted: bool) -> DataFrame:
+    """At most k hits of each query in each part, none beyond its bound; counted: also a row without id that holds how many vectors it read there."""
     width = lists.width
 
     def scan(ids, labels, far, units, q, unit, apart, bound, admits):
@@ -212,13 +213,9 @@ def _read(visits: DataFrame, lists: Lists, k: int) -> DataFrame:
                 continue
             at = np.concatenate(spans)
             away = np.round(np.maximum(1 - units[at] @ unit[i], 0), PLACES)
-            if len(at) > k:
-                keep = away <= np.partition(away, k - 1)[k - 1]
-                at_kept, away = at[keep], away[keep]
-            else:
-                at_kept = at
-            best = np.lexsort((ids[at_kept], away))[:k]
-            yield q[i], ids[at_kept][best], away[best], len(at)
+            keep = np.flatnonzero(away <= min(bound[i] ** 2 / 2, np.partition(away, k - 1)[k - 1] if len(at) > k else np.inf))
+            best = keep[np.lexsort((ids[at[keep]], away[keep]))[:k]]
+            yield q[i], ids[at[best]], away[best], len(at)
 
     def run(batches):
         for batch in batches:
@@ -228,10 +225,10 @@ def _read(visits: DataFrame, lists: Lists, k: int) -> DataFrame:
                 unit = np.frombuffer(a["unit"].as_buffer(), np.float64).reshape(-1, width)
                 out = [[], [], [], []]
                 for q, ids, away, n in scan(a["id"].values.to_numpy(), a["label"].values, a["far"].values.to_numpy(), units, a["q"].values.to_numpy(zero_copy_only=False), unit, a["apart"].as_py(), a["bound"].as_py(), a["admits"].as_py()):
-                    out[0] += [int(q)] * (len(ids) + 1)
-                    out[1] += [*ids.tolist(), None]
-                    out[2] += [*away.tolist(), None]
-                    out[3] += [*[None] * len(ids), n]
+                    out[0] += [int(q)] * (len(ids) + counted)
+                    out[1] += [*ids.tolist(), *[None] * counted]
+                    out[2] += [*away.tolist(), *[None] * counted]
+                    out[3] += [*[None] * len(ids), *[n] * counted]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "id", "distance", "n_read"])
 
@@ -244,8 +241,8 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.where("id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hits(queries: DataFrame, id_col: str, vector_col: str, lists: Lists | None, k: int, admits_col: str | None = None) -> DataFrame:
-    """Stored hits, more than are needed: the nearest lists first, whose k-th distances then bound what else is read."""
+def hits(queries: DataFrame, id_col: str, vector_col: str, lists: Lists | None, k: int, admits_col: str | None = None, counted: bool = False) -> DataFrame:
+    """Stored hits, more than are needed: the nearest lists first, whose k-th distances then bound what else is read.  counted: for vectors_read."""
     if not 1 <= k <= 100:
         raise ValueError("k is 1 to 100")
     admits = F.col(admits_col) if admits_col else F.lit(None)
@@ -256,10 +253,10 @@ def hits(queries: DataFrame, id_col: str, vector_col: str, lists: Lists | None,
     n, width = _width(asked)
     if n and width != lists.width:
         raise ValueError(f"queries of {width} components, vectors of {lists.width}")
-    near = stored(_read(_visits(asked, lists, True), lists, k), "neighbor-hits")
+    near = stored(_read(_visits(asked, lists, True), lists, k, counted), "neighbor-hits")
     kth = _top(near, k).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("kth"))
     bounded = asked.join(kth.withColumnRenamed("query_id", "q"), "q", "left")
-    return near.union(stored(_read(_visits(bounded, lists, False), lists, k), "neighbor-hits"))
+    return near.union(stored(_read(_visits(bounded, lists, False), lists, k, counted), "neighbor-hits"))
 
 
 def nearest_of_many(queries: DataFrame, id_col: str, vector_col: str, lists: Lists | None, k: int, admits_col: str | None = None) -> DataFrame:
@@ -268,5 +265,5 @@ def nearest_of_many(queries: DataFrame, id_col: str, vector_col: str, lists: Lis
 
 
 def vectors_read(found: DataFrame) -> DataFrame:
-    """query_id and how many vectors were compared with it."""
+    """query_id and how many vectors were compared with it; found: counted hits."""
     return found.where("n_read IS NOT NULL").groupBy("query_id").agg(F.sum("n_read").alias("n_read"))
