@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnbook.functions.text import cosine, nfkc_udf
+from cairnbook.functions.fields import text_key
+from cairnbook.functions.text import cosine
 from cairnbook.operators.ordered import numbered
 
 TOLERANCE = 0.02
@@ -20,7 +21,7 @@ def same_field(field: Column, predicted: Column, expected: Column) -> Column:
     all other fields by NFKC, case and white space; null is like null only."""
     amount = [x.try_cast("decimal(38,6)") for x in (predicted, expected)]
     day = [F.try_to_date(x, "yyyy-MM-dd") for x in (predicted, expected)]
-    plain = [F.replace(nfkc_udf(x), F.lit(" "), F.lit("")) for x in (predicted, expected)]
+    plain = [F.replace(text_key(x), F.lit(" "), F.lit("")) for x in (predicted, expected)]
     bare = [F.replace(x, F.lit("-"), F.lit("")) for x in plain]
     by_kind = (
         F.when(field.isin("total_amount", "tax_8_amount", "tax_10_amount"), F.coalesce(F.abs(amount[0] - amount[1]) <= 0.5, F.lit(False))).when(F.endswith(field, F.lit("date")), F.coalesce(day[0] == day[1], F.lit(False)))
@@ -60,3 +61,21 @@ def regressions(base: DataFrame, now: DataFrame, tolerance: float = TOLERANCE) -
     """Metrics that fell by more than tolerance."""
     both = base.join(now.withColumnRenamed("value", "now"), "metric")
     return both.where(F.col("value") - F.col("now") > tolerance).select("metric", F.round(F.col("value") - F.col("now"), 6).alias("drop"))
+
+
+def recovery(rows: DataFrame, engine: str, fields: dict[str, Column], seconds: Column, bytes_: Column) -> DataFrame:
+    """engine, the share of rows of which each field was recovered, their mean, seconds a row and peak bytes; one pass.
+
+    A row whose field says neither (null) is not recovered; an engine without rows has no row."""
+    shares = [F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in fields.items()]
+    out = rows.groupBy(engine).agg(*shares, F.avg(seconds).alias("seconds"), F.max(bytes_).alias("bytes"))
+    return out.withColumn("mean", F.round(sum(F.col(n) for n in fields) / len(fields), 4))
+
+
+def winner(engines: DataFrame, engine: str, limits: dict[str, float], better: str = "mean", cheaper: str = "seconds", *by: str) -> DataFrame:
+    """Of the engines within all limits (column -> highest value) the one of the best mean, then of the least cost, then the first by name; one row for each by."""
+    fit = engines
+    for column, most in limits.items():
+        fit = fit.where(F.col(column) <= most)
+    first = F.min_by(F.struct(engine, better, cheaper), F.struct(-F.col(better), F.col(cheaper), F.col(engine)))
+    return fit.groupBy(*by).agg(first.alias("w")).where("w is not null").select(*by, "w.*")

@@ -96,3 +96,28 @@ def numbers(texts: DataFrame, text: str, *by: str) -> DataFrame:
     number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get("in_value", "$", "decimal(38,6)"))
     out = fields.select(*by, F.col("in_key").alias("column"), number.alias("number")).where("number is not null").groupBy(*by, "column").agg(F.sum("number").alias("total"), F.count("*").alias("n"))
     return out.select(*by, "column", F.col("total").cast("double").alias("total"), F.round((F.col("total") / F.col("n")).cast("double"), 6).alias("average"), "n")
+
+
+def confidences(texts: DataFrame, key: str, text: str = "json", name: str = "confidence") -> DataFrame:
+    """key, path and number of every object that has a value and a confidence, wherever it stands; path: fields by dots, items as [i].
+
+    Nothing is looked for inside of such an object.  A null confidence gives no row, nor does one that is no number.
+    """
+    level = texts.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(text).alias("node")).where("node is not null")
+    found = []
+    for _ in range(DEPTH):
+        fields = F.try_variant_get("node", "$", "map<string,variant>")
+        leaf = F.coalesce(F.map_contains_key(fields, "value") & F.map_contains_key(fields, name), F.lit(False))
+        level = stored(level.withColumn("leaf", leaf), "json-level")
+        found.append(level.where("leaf").select(key, "path", F.try_variant_get("node", f"$.{name}", "double").alias(name)).where(F.col(name).isNotNull()))
+        open_ = level.where(~F.col("leaf") & (is_object(F.col("node")) | is_list(F.col("node"))))
+        if not open_.limit(1).count():
+            break
+        step = F.when(F.col("in_key").isNull(), F.concat("path", F.lit("["), F.col("in_pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("in_key")).otherwise(F.concat_ws(".", "path", "in_key"))
+        level = exploded(open_, "node", "in").select(key, step.alias("path"), F.col("in_value").alias("node")).where("node is not null")
+    else:
+        raise ValueError(f"a tree is deeper than {DEPTH} levels")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

@@ -48,6 +48,15 @@ def decide(files: DataFrame, process: Column) -> DataFrame:
     return files.withColumn("verdict_", verdict).select("*", "verdict_.action", "verdict_.reason", F.col("verdict_.reason").isin(*RETRYABLE).alias("retryable")).drop("verdict_")
 
 
+def within(rows: DataFrame, content: str, ceilings: dict[str, tuple[Column, int]]) -> DataFrame:
+    """rows with error: the first measure above its ceiling, and then nothing of the content (null); null without content or excess.
+
+    ceilings: name -> (measure, highest value).  Measures are taken on the whole content, in the scan.
+    """
+    over = [F.when(measure > most, F.concat(F.lit(f"{name}: "), measure.cast("string"), F.lit(f" is above {most}"))) for name, (measure, most) in ceilings.items()]
+    return rows.withColumn("error", F.coalesce(*over)).withColumn(content, F.when(F.col("error").isNull(), F.col(content)))
+
+
 FAMILIES = {
     "csv": "table", "tsv": "table", "json": "structured", "jsonl": "structured", "yaml": "structured", "xml": "structured", "svg": "structured", "html": "markup", "md": "markup", "text": "text", "log": "text", "rst": "text",
     "docx": "document", "pptx": "document", "odf": "document", "rtf": "document", "pdf": "document", "eml": "mail", "xlsx": "spreadsheet", "zip": "container", "tar": "container", "gzip": "container",
