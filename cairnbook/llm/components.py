@@ -1,4 +1,7 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table.
+
+Cases: a table without edges names no component; an edge from a node to itself, or given twice, changes nothing; nodes are never null.
+"""
 
 from __future__ import annotations
 

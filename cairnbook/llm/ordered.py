@@ -1,4 +1,8 @@
-"""Rows dealt by ranges of doc_id, each range sorted."""
+"""Rows dealt by ranges of doc_id, each range sorted.
+
+Cases: an empty table has no bounds and no rows; rows without id form the first range, and a range of one id, null too, that is too large for a
+task is cut by the hash of its texts.
+"""
 
 from __future__ import annotations
 

@@ -4,6 +4,8 @@ A set of 64-bit token hashes is indexed as a point: the tokens are hashed into G
 point holds the number of tokens of each group.  Two sets share at most the sum over groups of the
 smaller count; with boxes of points, the sum of the smaller upper bounds.  A pair of boxes whose bound
 cannot reach the threshold is skipped with all pairs below it; other pairs are verified on the sets.
+
+Cases: no sets give no pairs; an empty set is a point of zeros and shares nothing; sets are never null, and equal sets meet as any others.
 """
 
 from __future__ import annotations

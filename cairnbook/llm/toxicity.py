@@ -386,8 +386,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold > 0))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     by_hash = F.xxhash64("doc_id", F.lit(3))
-    # a few times as many ids as wanted are drawn first, so that only their texts are joined: at most 6 * sample rows
-    drawn = [marked.where(F.col("label") == v).orderBy(by_hash, "doc_id").limit(3 * sample) for v in (0, 1)]
+    # labels meet ids first, so that what is drawn has texts; then only the texts of at most 2 * sample ids are joined
+    there = texts.select("doc_id").join(marked, "doc_id").distinct()
+    drawn = [there.where(F.col("label") == v).orderBy(by_hash, "doc_id").limit(sample) for v in (0, 1)]
     joined = stored(texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").withColumn("tie", F.xxhash64("text")), "toxicity-drawn")
     w = Window.partitionBy("label").orderBy(by_hash, "doc_id", "tie")
     ranked = joined.select("doc_id", "label", "tie", F.length("text").cast("long").alias("chars")).withColumn("place", F.row_number().over(w)).withColumn("upto", F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -6,6 +6,9 @@ matching ``[^\\x20\\x09-\\x0D]+`` on code points.  Every word gets a 64-bit hash
 bytes, with their place in the word, are mixed by themselves (multiplications and shifts, so that
 no arithmetic relation between bytes survives), then summed and mixed with the length.
 ``equal`` compares the bytes themselves where a meeting of hashes must not be taken for equality.
+
+Cases: a null or empty text, or one of separators only, has no words; a column without rows gives no chunks; a text longer than a chunk is one
+of its own, read whole.
 """
 
 from __future__ import annotations

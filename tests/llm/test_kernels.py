@@ -1,5 +1,6 @@
 """Parts of the operators that need no session."""
 
+import math
 import re
 import zlib
 
@@ -240,6 +241,42 @@ def test_network_learns_planted_words():
     got = np.concatenate([toxicity.score_chunk(net, c) for c in words.chunks(pa.array(texts[180:]))])
     assert ((got >= 0.5) == label[180:]).mean() > 0.9
     assert zlib.crc32(b"1") % 5 >= 0
+    some = [*texts[180:186], "", " \t ", "grubby", " ".join(neutral[:31]), " ".join([*neutral, *neutral][:33]), "Vileword " * 47]
+    for text, score in zip(some, np.concatenate([toxicity.score_chunk(net, c) for c in words.chunks(pa.array(some))]), strict=True):
+        assert abs(score - plain_score(net, text)) < 1e-4, text
+
+
+def plain_score(net, text):
+    """A text's score by loops over numbers: every window, both directions, attention, the allowance for many windows."""
+    h, p = toxicity.HIDDEN, {k: v.astype(float).tolist() for k, v in net.p.items() if k not in ("word", "char")}
+    found = text.split()
+    x = [net.inputs(toxicity.Distinct(next(iter(words.chunks(pa.array([w]))))))[0].astype(float).tolist() for w in found]
+
+    def times(vector, matrix, j):
+        return sum(a * row[j] for a, row in zip(vector, matrix, strict=True))
+
+    def states(window, s):
+        state, out = [0.0] * h, []
+        for v in window if s == "f" else window[::-1]:
+            into = [times(v, p["W" + s], j) + p["b" + s][j] for j in range(3 * h)]
+            back = [times(state, p["U" + s], j) for j in range(3 * h)]
+            z, r = ([1 / (1 + math.exp(-into[j] - back[j])) for j in range(at, at + h)] for at in (0, h))
+            new = [math.tanh(into[2 * h + j] + r[j] * back[2 * h + j]) for j in range(h)]
+            state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+            out.append(state)
+        return out if s == "f" else out[::-1]
+
+    def logit(window):
+        both = [a + b for a, b in zip(states(window, "f"), states(window, "b"), strict=True)]
+        raw = [sum(p["v"][j] * math.tanh(times(st, p["A"], j) + p["a"][j]) for j in range(toxicity.ATTENTION)) for st in both]
+        weight = [math.exp(v) for v in raw]
+        pooled = [sum(w * st[j] for w, st in zip(weight, both, strict=True)) / sum(weight) for j in range(2 * h)] if both else [0.0] * (2 * h)
+        return sum(a * b for a, b in zip(pooled, p["o"], strict=True)) + p["c"][0]
+
+    wide, step = toxicity.WINDOW, toxicity.STRIDE
+    begins = [*range(0, max(0, len(x) - wide), step), max(0, len(x) - wide)]
+    best = max(logit(x[b : b + wide]) for b in begins)
+    return 1 / (1 + math.exp(-(best - float(net.slope) * math.log(len(begins)) - float(net.shift))))
 
 
 def thue_morse(n):

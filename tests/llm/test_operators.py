@@ -560,6 +560,11 @@ def test_training_takes_long_texts(spark):
     net = toxicity.fit(many.select("doc_id", "text"), many.select("doc_id", "toxic"))
     got = {x["doc_id"]: x["score"] for x in toxicity.score(many.select("doc_id", "text"), net).collect()}
     assert net.trained and np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.95
+    # a label table far wider than the documents: what is drawn has texts all the same
+    wider = many.select("doc_id", "toxic").unionByName(spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")))
+    drawn = toxicity.fit(many.select("doc_id", "text"), wider, sample=40)
+    alone = toxicity.fit(many.select("doc_id", "text"), many.select("doc_id", "toxic"), sample=40)
+    assert drawn.trained and all((drawn.p[k] == alone.p[k]).all() for k in drawn.p)
     small = toxicity.fit(many.select("doc_id", "text"), many.select("doc_id", "toxic"), chars=10)
     assert small.trained  # one text of each label in any case
 
