@@ -165,3 +165,23 @@ def _canonical(s: pd.Series) -> pd.Series:
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys, ASCII only, without spaces; null for what is no JSON, or holds NaN or an infinity."""
     return _canonical(text)
+
+
+_QUIET = r"(?is)<!--.*?-->|(<(script|style)\b[^>]*+>).*?</\2\s*+>"
+_TAG = r"""(<[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""
+
+
+def html_counts(html: Column) -> Column:
+    """struct<active, events, external>: elements that act, event attributes, and references to other hosts, in the tags of a page.
+
+    Comments and what stands inside of scripts and styles are left out, as is what only looks like an attribute inside of a quoted value.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), _QUIET, "$1"), F.lit(_TAG), F.lit(1))
+
+    def number(pattern, of=lambda t: t):
+        return F.aggregate(tags, F.lit(0), lambda n, t: n + F.regexp_count(of(t), F.lit(pattern)))
+
+    bare = lambda t: F.regexp_replace(t, "\"[^\"]*+\"|'[^']*+'", "''")
+    # quotes of values that are no references go, so that the pattern meets attributes only
+    names = lambda t: F.regexp_replace(t, "(?i)(?<!\\b(?:src|href|action)\\s{0,9}=\\s{0,9})(?:\"[^\"]*+\"|'[^']*+')", "''")
+    return F.struct(number(r"(?i)^<(?:script|iframe|object|embed)(?=[\s/>])").alias("active"), number(r"(?i)[\s'/]on[^\s=>/]*", bare).alias("events"), number(r"""(?i)[\s'"/](?:src|href|action)\s*=\s*["']?(?:https?:)?//""", names).alias("external"))

@@ -232,3 +232,13 @@ def e29b(s, d):
     usual = fx.table(s, d, "lineitem").agg(F.avg("l_quantity").alias("usual"))
     fit = engines(s, d).join(usual, F.col("seconds") <= F.col("usual"))
     return ev.winner(fit, "engine", {}).select("engine", "mean", F.round("seconds", 6).alias("seconds"))
+
+
+#: Pages with elements that act, load and listen, and with texts that only look like them, by number.
+ACTING = "concat(html, " + chosen("page_id", "'<img src=\"https://a.example/x.png\" onerror=\"go()\">'", "'<!-- <iframe src=\"//a.example\"> --><p title=\"a > b onclick=1 src=//x\">t</p>'", "'<iframe src=''//b.example''></iframe><a href=\"/own\" onClick=go ONLOAD=\"x\">t</a>'", "'<script src=\"http://c.example/s.js\">document.write(\"<embed src=//d>\")</script>'", "'<form action=\"https://e.example\"><object></object></form>'") + ")"
+
+
+@query("a11_page_counts", "SELECT page_id, " + ", ".join(f"CAST({base} + {chosen('page_id', *map(str, more))} AS INTEGER) AS {name}" for name, base, more in (("active", "len(regexp_extract_all(html, '<(script|iframe|object|embed)[ >]'))", (0, 0, 1, 1, 1)), ("events", "0", (1, 0, 2, 0, 0)), ("external", "0", (1, 0, 1, 1, 1)))) + " FROM pages")
+def a11(s, d):
+    """What could act or load in whole pages, counted by built-in functions."""
+    return fx.table(s, d, "pages").select("page_id", fd.html_counts(F.expr(ACTING)).alias("c")).select("page_id", "c.*")

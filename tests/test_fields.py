@@ -14,7 +14,7 @@ from cairnbook.functions import text as tx
 from cairnbook.operators import evaluation as ev
 from cairnbook.operators import semistructured as tree
 from cairnbook.plans.catalogue import QUERIES
-from cairnbook.sources import policy
+from cairnbook.sources import parse, policy
 
 TEXTS = [
     "ｻﾝﾌﾟﾙ  商店", "Straße  42", "Ａ１ Shop", " a\tb ", "", None, "ＴＥＰＣＯ", "Tokyo  Gas", "市水道局", "国民健康保険課", "City Tax Office", "Sample\x1cShop", "ﬁne ﬃ", "İstanbul", " wide　　x ", "a\nb\r\n",
@@ -136,3 +136,15 @@ def test_labels_of_orders_read_back_whole(spark):
     got = QUERIES["d31_labels_of_orders"](spark, "/root/testdata/sf0.001")
     assert got.where("period is null and period_error is null").count() == 0
     assert got.agg(F.min("due")).collect()[0][0] >= dt.date(2019, 5, 1)
+
+
+def test_page_counts_are_those_of_the_parser(spark):
+    pages = [
+        "", None, "plain < text > on=1", "<p onclick='a' onload=b>x</p>", "<SCRIPT>var a = '<iframe src=//x>'</SCRIPT><embed>", "<!-- <script> --><a href='//x' title=\"on fire src=//y\">", "<style>p{}</style><object data=x></object>",
+        "<img alt='a > b' src=https://h/x onerror=\"y\">", "<scripty></scripty><form action = 'HTTP://z'>", "<a href='/own'>t</a>" * 3000,
+    ]
+    got = found(column(spark, pages).select("i", fd.html_counts(F.col("v"))))
+    for page, row in zip(pages, got, strict=True):
+        assert row.asDict() == parse.inert_html(page or "")[2], page
+    real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html", fd.html_counts(F.col("html")).alias("c")).collect()
+    assert all(r.c.asDict() == parse.inert_html(r.html or "")[2] for r in real)
