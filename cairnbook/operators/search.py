@@ -122,16 +122,26 @@ def chunk(body: str, limit: int = MAX_TOKENS) -> list[tuple[int, str, str, int]]
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, limit: int = MAX_TOKENS) -> DataFrame:
-    """Chunks of every document, Arrow batch by batch, without a shuffle."""
-    names = ["document_id", "seq", "heading_path", "text", "tokens"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+    """Chunks of every document, Arrow batch by batch, without a shuffle.
+
+    A document that cannot be cut (a table above the limit) gives one row with the reason in error and no chunk, and stops no other document.
+    Cases: a null or empty text has no chunks; a null id is an id; repeated rows are chunked each.
+    """
+    names = ["document_id", "seq", "heading_path", "text", "tokens", "error"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+
+    def cut(i, text):
+        try:
+            return [(i, *c, None) for c in chunk(text or "", limit)]
+        except ValueError as e:
+            return [(i, None, None, None, None, str(e))]
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *c) for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for c in chunk(text or "", limit)]
+            rows = [r for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in cut(i, text)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "document_id long, seq int, heading_path string, text string, tokens int")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "document_id long, seq int, heading_path string, text string, tokens int, error string")
 
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:

@@ -120,7 +120,7 @@ def v6(s, d):
 def i17(s, d):
     from cairnbook.sources.tables import replace_partitions
 
-    made = search.chunks(fx.table(s, d, "documents"), "doc_id", "text").withColumn("chunk_id", F.sha2(F.concat_ws("/", F.col("document_id").cast("string"), F.col("seq").cast("string"), "text"), 256)).withColumn("part", F.col("document_id") % 4)
+    made = search.chunks(fx.table(s, d, "documents"), "doc_id", "text").where("error is null").drop("error").withColumn("chunk_id", F.sha2(F.concat_ws("/", F.col("document_id").cast("string"), F.col("seq").cast("string"), "text"), 256)).withColumn("part", F.col("document_id") % 4)
     return replace_partitions(made, "chunks", "part").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairnbook.functions import fields as fd
 from cairnbook.functions import text as tx
 from cairnbook.operators import evaluation as ev
+from cairnbook.operators import search
 from cairnbook.operators import semistructured as tree
 from cairnbook.plans.catalogue import QUERIES
 from cairnbook.sources import parse, policy
@@ -148,3 +149,9 @@ def test_page_counts_are_those_of_the_parser(spark):
         assert row.asDict() == parse.inert_html(page or "")[2], page
     real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html", fd.html_counts(F.col("html")).alias("c")).collect()
     assert all(r.c.asDict() == parse.inert_html(r.html or "")[2] for r in real)
+
+
+def test_a_table_above_the_limit_stops_no_other_document(spark):
+    docs = spark.createDataFrame([(1, "# A\n\n" + "\n".join(f"| {'word ' * 9}| {i} |" for i in range(40))), (2, "plain"), (3, None), (None, "no id"), (2, "plain")], "id long, text string")
+    got = sorted(((r.document_id, r.seq, r.text, r.error) for r in search.chunks(docs, "id", "text", 60).collect()), key=str)
+    assert got == [(1, None, None, "a table below 'A' is above 60 tokens"), (2, 0, "plain", None), (2, 0, "plain", None), (None, 0, "no id", None)]
