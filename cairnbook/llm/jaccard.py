@@ -176,9 +176,10 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _members(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, set) of the wanted (doc_id, sid); the texts are read again, most others stop at a Bloom filter.
+    """(sid, tokens) once of the wanted (doc_id, sid) and of a few other sets; the texts are read again, most stop at a Bloom filter.
 
-    Sets without any id are found by sid alone, among the rows without id.
+    Sets without any id are looked for among all rows without id.  Rows are dealt by sid, so that a join by sid, which drops
+    the sets that were not wanted, shuffles no tokens.
     """
     mask = rows.sparkSession.sparkContext.broadcast(_bloom(wanted.where("doc_id is not null").select("doc_id")))
     nameless = wanted.where("doc_id is null").limit(1).count() > 0
@@ -192,11 +193,9 @@ def _members(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             some = np.flatnonzero(np.where(null, nameless, hit))
             part = batch.take(pa.array(some))
             got = list(_sets(part.column("text"), n))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_identity(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_identity(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["sid", "tokens"])
 
-    found = rows.mapInArrow(run, "doc_id long, sid long, tokens binary")
-    asked = wanted.select(F.col("doc_id").alias("asked"), F.col("sid").alias("asked_sid"))
-    return found.join(asked, found["doc_id"].eqNullSafe(asked["asked"]) & (found["sid"] == asked["asked_sid"]), "left_semi")
+    return rows.mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
 
 
 def _joined(tasks: DataFrame, num: int, den: int) -> DataFrame:
@@ -248,14 +247,14 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: in
     edges = _candidates(rows, docs, sets, n, num, den)
     cluster = stored(components(edges, name="jaccard-clusters"), "jaccard-cluster")
     member = stored(cluster.join(sets, cluster["node"] == sets["sid"]).select("sid", "doc_id", F.col("root").alias("cluster")), "jaccard-members")
-    tokens = stored(_members(rows, member, n).dropDuplicates(["sid"]).select("sid", "tokens"), "jaccard-sets")
     # blocks of a cluster; a cluster's smallest set is the hub of each of its blocks
     size = member.groupBy("cluster").agg(F.count("*").alias("size"), F.min("sid").alias("hub"))
     blocks = F.greatest(F.lit(1), F.expr(f"(size + {BLOCK // 2} - 1) div {BLOCK // 2}"))
     placed = member.join(size, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     at = F.when((F.col("sid") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.col("block").cast("long")))
     first = placed.select("sid", "cluster", F.explode(at).alias("task2"))
-    tasks = first.join(tokens, "sid").select(F.col("cluster").alias("task"), "task2", F.lit(0).cast("long").alias("task3"), F.lit(-1).alias("side"), "sid", F.col("sid").alias("label"), "tokens")
+    # tokens, most of all bytes, are shuffled twice, by set and by block, and stored nowhere: the few of open clusters are read again
+    tasks = first.join(_members(rows, member, n), "sid").select(F.col("cluster").alias("task"), "task2", F.lit(0).cast("long").alias("task3"), F.lit(-1).alias("side"), "sid", F.col("sid").alias("label"), "tokens")
     links = stored(_joined(tasks, num, den), "jaccard-links")
     # pairs of blocks of large clusters that have more than one component still
     large = placed.where("blocks > 1").select("sid", "cluster")
@@ -264,7 +263,8 @@ def _linked(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: in
         labelled = stored(large.join(known, large["sid"] == known["node"], "left").select("sid", "cluster", F.coalesce("root", "sid").alias("label")), "jaccard-labels")
         open_ = labelled.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
         if open_.limit(1).count():
-            links = links.unionByName(stored(_pairs(labelled, open_, tokens, num, den), "jaccard-more"))
+            again = _members(rows, member.join(open_.select("cluster"), "cluster", "left_semi"), n)
+            links = links.unionByName(stored(_pairs(labelled, open_, again, num, den), "jaccard-more"))
     found = components(links, name="jaccard-found") if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a component's name is needed for linked sets and for sets of several rows only; tables are stored, so that joins on a hot group or set can be split
     linked = stored(sets.join(found, sets["sid"] == found["node"]).select("sid", "doc_id", "root"), "jaccard-components")

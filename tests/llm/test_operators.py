@@ -168,6 +168,34 @@ def test_jaccard_with_hot_shingles(spark, monkeypatch):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()), key=repr) == brute_components(rows, 4, 85, 100)
 
 
+def shuffle_writes(spark) -> dict[int, tuple[int, int]]:
+    """Bytes and records that each stage so far has written for shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): (stages.apply(i).shuffleWriteBytes(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())}
+
+
+def test_jaccard_shuffles_each_set_twice(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(3000)]
+        rows += [(len(rows) + k, " ".join([*base[: 1500 + 10 * k], f"e{r.integers(0, 1 << 30)}", *base[1500 + 10 * k :]])) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be sent
+    try:
+        before = set(shuffle_writes(spark))
+        got = jaccard.link_components(df).collect()
+        written = [x for stage, x in shuffle_writes(spark).items() if stage not in before]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(i, i - i % 4) for i, _ in rows]
+    # no other record than a whole set is as long; a shingle has 8 bytes
+    whole = sum(size for size, records in written if size > 1000 * records)
+    sets = 8 * sum(len(t.split(" ")) - 3 for _, t in rows)
+    assert sets < whole < 2.5 * sets
+
+
 def test_structured_words(spark):
     from test_kernels import thue_morse
 
