@@ -122,3 +122,20 @@ def test_keys_that_are_joined_instead_of_sent(spark, docs, monkeypatch):
     taken = [rows(mixing.mix(d)) for d in (docs, real)]
     monkeypatch.undo()
     assert [rows(mixing.mix(d)) for d in (docs, real)] == taken
+
+
+def test_near_duplicates_shuffles_each_set_twice(spark):
+    from test_operators import shuffle_writes
+
+    texts = [[*[f"g{g}w{i}" for i in range(500 + 9 * k)], f"e{g}x{k}", *[f"g{g}w{i}" for i in range(500 + 9 * k, 2000)]] for g in range(60) for k in range(3)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be sent
+    try:
+        before = set(shuffle_writes(spark))
+        got = STAGES["near_duplicates"](spark, df, DIR).select("doc_id").collect()
+        written = [x for stage, x in shuffle_writes(spark).items() if stage not in before]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["doc_id"] for r in got) == list(range(0, len(texts), 3))
+    sets = 8 * sum(len(w) - 4 for w in texts)  # a shingle has 8 bytes; no other record than a whole set is as long
+    assert sets < sum(size for size, records in written if size > 1000 * records) < 2.5 * sets
