@@ -174,7 +174,7 @@ def write_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([encode_file(docs, ids)], pa.binary())], ["part", "segment", "n_docs", "n_tokens", "file"])
 
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, tokens.HELD):
             for doc, where, own in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), tokens.documents_ids(batch.column("text"), end, path), strict=True):
                 if held and (where != part or held + len(own) > segment):
                     yield flush()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.llm.shared import stored
+from cairnbook.llm.shared import returned, stored, trimmed
 
 PER_TASK = 500_000
 
@@ -38,10 +38,12 @@ def _contracted(edges: DataFrame, tasks: int, name: str) -> DataFrame:
     """The edges of each task as stars; components stay the same, at most one edge per node and task is left."""
 
     def run(batches):
-        parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+        parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in trimmed(batches)]
         if parts:
             a, b = contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            del parts, a, b
+            returned()
 
     return stored(edges.coalesce(tasks).mapInArrow(run, "a long, b long"), name)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.llm import rtree, words
 from cairnbook.llm.components import components
-from cairnbook.llm.shared import documents, sliced, stored
+from cairnbook.llm.shared import documents, sliced, stored, trimmed
 
 SHINGLE_WORDS, NUM, DEN = 4, 85, 100
 BLOCK = 512
@@ -164,7 +164,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
     def run(batches):
         mask = np.zeros(bits, bool)
-        for batch in batches:
+        for batch in trimmed(batches):
             for cells in _bloom_cells(batch.column(0).to_numpy(), bits):
                 mask[cells] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(mask).tobytes()], pa.binary())], ["mask"])

@@ -158,7 +158,7 @@ def _scan(rows: DataFrame, window: int, end: int, path: str | None) -> DataFrame
 
     def run(batches):
         task, seen, full = TaskContext.get().partitionId(), Counter(), 0
-        for batch in trimmed(batches):
+        for batch in trimmed(batches, tokens.HELD):
             out = [[] for _ in names]
             for ids in tokens.documents_ids(batch.column("text"), end, path):
                 raw, n = ids.astype("<u4"), len(ids)
@@ -179,7 +179,7 @@ def _scan(rows: DataFrame, window: int, end: int, path: str | None) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, n long, rest int, task int, rank long, whole long, full_crc array<long>, rest_crc long, cut_crc array<long>")
 
 
-_SLOT = "slot_rest int, low long, high long, first long, at long, bases array<long>"
+_SLOT = {"slot_rest": pa.int32(), "low": pa.int64(), "high": pa.int64(), "first": pa.int64(), "at": pa.int64(), "bases": pa.list_(pa.int64())}
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, path: str | None = None) -> DataFrame:
@@ -198,7 +198,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     full = full.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("whole") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     ranked = scanned.where("rest > 0").select("doc_id", "n", "rest", "task", "rank", "rest_crc", "cut_crc").join(before, ["rest", "task"]).withColumn("place", F.col("rank") + F.col("before"))
     # four slots for each of PATTERNS patterns, and those of at most WINDOW greedy patterns, whatever the input
-    slot = F.broadcast(spark.createDataFrame(slots, _SLOT))
+    # (as an Arrow table: Python rows would start a second pool of Python workers)
+    columns = zip(*slots, strict=True) if slots else [()] * len(_SLOT)
+    slot = F.broadcast(spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, _SLOT.items(), strict=True)})))
     placed = ranked.join(slot, (F.col("rest") == F.col("slot_rest")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     first = F.col("n") - F.col("rest")
     kept = placed.where("bases is null").select("doc_id", first.alias("start"), F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.col("first") + F.col("place") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))

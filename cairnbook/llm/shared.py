@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +43,27 @@ except (OSError, AttributeError):  # not glibc
     _trim = None
 
 
-def trimmed(batches):
-    """The batches; after the last one, memory that the worker has freed goes back to the system, as workers live on between stages."""
-    yield from batches
+#: By name, what empties the caches that this worker keeps from task to task.
+held: dict[str, Callable[[], None]] = {}
+
+
+def returned() -> None:
+    """Memory that the worker has freed goes back to the system, as workers live on between stages."""
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
 
 
+def trimmed(batches, uses: str = ""):
+    """The batches; after the last one, freed memory is returned.  Before the first, held caches other than the one that the task uses are emptied."""
+    if others := [held.pop(name) for name in list(held) if name != uses]:
+        for empty in others:
+            empty()
+        returned()
+    yield from batches
+    returned()
+
+
 def sliced(batches, rows: int = 1024):
     """Arrow batches in slices of at most so many rows, so that what a task makes of them stays small; trimmed."""
     for batch in trimmed(batches):

@@ -1,7 +1,7 @@
 """Token ids of whole texts, one tokenizer call per distinct word.
 
 For tokenizers that drop white space and never join characters across ASCII white space, the ids
-of a text are those of its words in order.  Each worker keeps the ids of words it has met.
+of a text are those of its words in order.  Each worker keeps the ids of words it has met until it has a task that needs none.
 
 Words are looked up by their hashes, and their bytes compared with those of the word found; a word that
 shares its hash with another is kept by its bytes.
@@ -16,10 +16,19 @@ import os
 
 import numpy as np
 
-from cairnbook.llm import words
+from cairnbook.llm import shared, words
 
 TOKENIZER = "word_bpe_49k.json"
+HELD = "words' ids"
 KEPT, KEPT_BYTES = 1_500_000, 1 << 26
+AT_ONCE = 1 << 13
+
+
+def _doubled(x: np.ndarray) -> np.ndarray:
+    """x and as many zeros, whose memory is not touched yet."""
+    out = np.zeros(2 * len(x), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 class WordTokenizer:
@@ -41,24 +50,28 @@ class WordTokenizer:
         self.text, self.text_used, self.known = np.zeros(1 << 20, np.uint8), 0, 0
 
     def _learn(self, words_: list[bytes]) -> np.ndarray:
-        """Slots of new words."""
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words_], add_special_tokens=False)
+        """Slots of new words, encoded AT_ONCE at a time, as an encoding is many times its word."""
         first = self.known
+        for at in range(0, len(words_), AT_ONCE):
+            self._add(words_[at : at + AT_ONCE])
+        return np.arange(first, self.known)
+
+    def _add(self, words_: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words_], add_special_tokens=False)
         for word, encoding in zip(words_, found, strict=True):
             ids, slot = encoding.ids, self.known
             if slot == len(self.starts):
-                self.starts, self.sizes, self.text_starts, self.text_sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.text_starts, self.text_sizes))
+                self.starts, self.sizes, self.text_starts, self.text_sizes = (_doubled(x) for x in (self.starts, self.sizes, self.text_starts, self.text_sizes))
             while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+                self.flat = _doubled(self.flat)
             while self.text_used + len(word) + 8 > len(self.text):
-                self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+                self.text = _doubled(self.text)
             self.flat[self.used : self.used + len(ids)] = ids
             self.text[self.text_used : self.text_used + len(word)] = np.frombuffer(word, np.uint8)
             self.starts[slot], self.sizes[slot], self.text_starts[slot], self.text_sizes[slot] = self.used, len(ids), self.text_used, len(word)
             self.used += len(ids)
             self.text_used += len(word)
             self.known += 1
-        return np.arange(first, self.known)
 
     def encode(self, chunk: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the chunk one after the other, and their number in each row."""
@@ -111,6 +124,11 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
+def _forget() -> None:
+    for of in _loaded.values():
+        of._clear()
+
+
 def tokenizer(path: str | None = None) -> WordTokenizer:
     """The worker's tokenizer, loaded once."""
     if path is None:
@@ -125,6 +143,7 @@ def tokenizer(path: str | None = None) -> WordTokenizer:
 def documents_ids(column, end: int, path: str | None = None):
     """For each text of an Arrow column its ids and the end id, as unsigned 16-bit integers."""
     encoder = tokenizer(path)
+    shared.held[HELD] = _forget
     for chunk in words.chunks(column, fold=False):
         ids, counts = encoder.encode(chunk)
         at = 0

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.llm import words
-from cairnbook.llm.shared import documents, id_remainder, stored, trimmed
+from cairnbook.llm.shared import documents, id_remainder, returned, stored, trimmed
 
 HELD_MOD = 5
 SAMPLE, SAMPLE_CHARS = 1500, 8_000_000
@@ -61,10 +61,10 @@ def _grams(chunk: words.Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         keys.append(words.mix(key[good] + np.uint64(n)) % np.uint64(BUCKETS))
         owner.append(which[: len(key)][good])
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
     key, own = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
-    return key[order].astype(np.int64), np.bincount(own, minlength=len(size))
+    return key[order].astype(np.int32), np.bincount(own, minlength=len(size))
 
 
 def _reduce(op, values: np.ndarray, counts: np.ndarray, empty=0.0) -> np.ndarray:
@@ -399,6 +399,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         got = sorted((r for batch in trimmed(batches) for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)))
         net = train([r[2] for r in got], np.array([r[1] for r in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        del got, net
+        returned()
 
     rows = picked.mapInArrow(run, "net binary").collect()
     return pickle.loads(rows[0]["net"]) if rows else Network()

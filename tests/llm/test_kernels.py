@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairnbook.llm import ans, brown, components, fingerprints, kdtree, packing, rtree, tokens, toxicity, words
+from cairnbook.llm import ans, brown, components, fingerprints, kdtree, packing, rtree, shared, tokens, toxicity, words
 
 TEXTS = ["", None, " \t\n", "A b\x0bC", "x y z", "é " * 3000, "one two three four five six", "a" * 50]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,3 +312,33 @@ def test_ids_when_all_words_share_hashes(monkeypatch):
             (chunk,) = words.chunks(pa.array([text]), fold=False)
             ids, counts = own.encode(chunk)
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_known_words_go_when_a_task_needs_none():
+    texts = pa.array([" ".join(f"held{i}" for i in range(3000))])
+    (ids,) = tokens.documents_ids(texts, 1)
+    own = tokens.tokenizer()
+    assert own.known >= 3000
+    assert list(shared.trimmed([1, 2], tokens.HELD)) == [1, 2] and own.known >= 3000
+    assert list(shared.trimmed([1, 2])) == [1, 2] and own.known == 0 and not len(own.keys)
+    (again,) = tokens.documents_ids(texts, 1)
+    assert again.tolist() == ids.tolist()
+
+
+def test_new_words_are_encoded_a_few_at_a_time():
+    import public_tokenizers
+
+    own, sizes = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER)), []
+    whole = own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **kw):
+            sizes.append(len(some))
+            return whole.encode_batch_fast(some, **kw)
+
+    own.tokenizer = Counted()
+    text = " ".join(f"w{i}" for i in range(20_000))
+    (chunk,) = words.chunks(pa.array([text]), fold=False)
+    ids, _ = own.encode(chunk)
+    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sum(sizes) == 20_000 and max(sizes) <= 1 << 13

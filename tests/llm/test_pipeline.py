@@ -107,6 +107,17 @@ def test_packed_ids_are_those_of_the_texts(spark, docs):
         assert r["ids_crc32"] in {zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for ids in want[r["doc_id"], r["doc_tokens"]]}
 
 
+def test_packing_sends_no_python_rows(spark, docs, monkeypatch):
+    """Rows of Python objects would start a second pool of Python workers on each executor."""
+    want = sorted([tuple(r) for r in STAGES["packing"](spark, docs, DIR).collect()], key=repr)
+
+    def refused(*_, **__):
+        raise AssertionError("parallelize")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    assert sorted([tuple(r) for r in STAGES["packing"](spark, docs, DIR).collect()], key=repr) == want
+
+
 def test_keys_that_are_joined_instead_of_sent(spark, docs, monkeypatch):
     """Above SENT keys near_duplicates and the mixture join by key; the rows are the same."""
     from cairnbook.llm import mixing
