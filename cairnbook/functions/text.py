@@ -248,6 +248,11 @@ def normalised(a: Column) -> Column:
     return F.when(bad | (norm == 0), F.raise_error(F.lit("not a vector that can be normalised"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero that keeps its sign, also where it comes to zero (F.round gives 0.0 for small negative numbers, not -0.0)."""
+    return F.round(F.abs(x) * 10.0**digits, 0) / 10.0**digits * F.signum(x)
+
+
 def tagged(kind: str, text: Column) -> Column:
     """A value's text under the name of its type; null stays null."""
     return F.when(text.isNotNull(), F.struct(text.alias(kind)))

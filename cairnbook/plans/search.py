@@ -62,7 +62,7 @@ def v7(s, d):
 
 @query("d34_l2_normalise", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6)) AS unit FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
 def d34(s, d):
-    return fx.table(s, d, "embeddings").select("vec_id", F.transform(tx.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return fx.table(s, d, "embeddings").select("vec_id", F.transform(tx.normalised(F.col("embedding")), lambda x: tx.rounded(x, 6)).alias("unit"))
 
 
 @query("d35_cosine_distance", f"SELECT vec_id, {DIST} AS distance FROM embeddings")

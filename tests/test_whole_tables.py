@@ -3,9 +3,11 @@
 import html
 from collections import defaultdict
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from cairnbook.plans.catalogue import QUERIES
+from cairnbook.plans.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,3 +42,12 @@ def test_hamming_join_of_all_parts(spark):
     got = QUERIES["j15_hamming_join"](spark, DIR).collect()
     assert {(r["document_id"], r["other_id"]): r["distance"] for r in got} == want and len(got) == len(want)
     assert all(abs(r["score"] - (1 - r["distance"] / 64)) < 1e-12 for r in got)
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    vectors = [[1.0, -1e-7, 0.0, -0.0], [-3.0, 4.0], [1.0, -4e-7, -6e-7], None]
+    table = pa.table({"vec_id": pa.array(range(4), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    want = duckdb.from_arrow(table).query("embeddings", SQL["d34_l2_normalise"]).fetchall()
+    got = {r["vec_id"]: r["unit"] for r in QUERIES["d34_l2_normalise"](spark, str(tmp_path)).collect()}
+    assert {i: repr(x) for i, x in want} == {i: repr(x) for i, x in got.items()} and "-0.0" in repr(got[0])
