@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from typing import NamedTuple
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import nfkc_udf, similarity
+from cairnbook.operators import hamming
 from cairnbook.sources.tables import stored
 
 HASH_DISTANCE, HASH_BITS, FUZZY, DAYS = 8, 64, 90.0, 1
@@ -18,6 +18,8 @@ HASH_DISTANCE, HASH_BITS, FUZZY, DAYS = 8, 64, 90.0, 1
 MOST_AROUND = 4096
 #: Hashes from which the division is chosen.
 SAMPLE = 1024
+#: Hashes of a block: at most, at least, and blocks that a smaller table is cut into; blocks of one side in a task at once; tasks at least.
+BLOCK, LEAST_BLOCK, BLOCKS, HELD, LEAST_TASKS = 16_384, 1024, 24, 64, 32
 
 
 def lenient_decimal(raw: Column) -> Column:
@@ -112,18 +114,14 @@ def _dense(hashes: DataFrame) -> tuple[Column, int]:
     return out, width
 
 
-def _flips(part: Part) -> list[int]:
-    """The values whose exclusive or with a part's value gives those around it."""
-    return [sum(1 << i for i in some) for n in range(part.radius + 1) for some in itertools.combinations(range(part.width), n)]
-
-
 def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, seen: Observation | None = None) -> DataFrame:
     """document_id, other_id, distance, score: pairs of different 64-bit perceptual hashes at most distance bits apart, named by the smallest document of each hash.
 
-    Multi-index hashing: hashes are cut into the parts of hash_parts over the bits that vary at all; every hash stands in the index of
-    each part under its own value, and asks there for all values within the part's radius.  A pair that meets is compared at once, and
-    counts in the first part only in which it can meet, so that neither candidates nor repeats are shuffled.  Documents of one hash
-    are a class (duplicate_classes by phash), not pairs.
+    Multi-index hashing: hashes are cut into the parts of hash_parts over the bits that vary at all.  For each part they are sorted by
+    its value and packed into blocks; every two blocks of a part meet in one row of a product that no shuffle holds, and in it only
+    hashes whose values are within the part's radius are compared.  So disk holds each hash a few times a part, whatever
+    the number of pairs, and a task holds a few blocks.  A pair counts in the first part only in which it can meet.  Documents of one
+    hash are a class (duplicate_classes by phash), not pairs.
 
     hashes: document_id, phash long; null hashes take no part.  seen: gets rows (different hashes) and candidates (pairs compared).
     """
@@ -134,27 +132,25 @@ def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, seen: Observat
     sample = own.select("dense").orderBy(F.xxhash64("phash")).limit(SAMPLE).collect()
     parts = hash_parts(rows, bits, distance, np.array([r["dense"] for r in sample], np.int64).view(np.uint64))
 
-    def value(hash_: Column, part: Part) -> Column:
-        cut = F.shiftrightunsigned(hash_, part.first)
+    def value(part: Part) -> Column:
+        cut = F.shiftrightunsigned("dense", part.first)
         return cut if part.width == HASH_BITS else cut.bitwiseAND(F.lit((1 << part.width) - 1).cast("long"))
 
-    def placed(part: int, at: Column) -> Column:
-        return F.struct(F.lit(part).alias("part"), at.alias("at"))
-
-    index = own.select(F.col("document_id").alias("other_id"), F.col("phash").alias("other_hash"), F.col("dense").alias("other_dense"), F.explode(F.array(*[placed(i, value(F.col("dense"), p)) for i, p in enumerate(parts)])).alias("p")).select("*", "p.*").drop("p")
-    around = [F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(p)]), _at(i, value(F.col("dense"), p))) for i, p in enumerate(parts)]
-    asked = own.select("document_id", "phash", "dense", F.explode(F.concat(*around)).alias("p")).select("*", "p.*").drop("p")
-    met = asked.join(index, ["part", "at"]).where("document_id < other_id")
+    size = min(BLOCK, max(LEAST_BLOCK, -(-rows // BLOCKS)))
+    placed = own.select("document_id", "dense", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), value(p).alias("at")) for i, p in enumerate(parts)])).alias("p")).select("*", "p.*")
+    # the hash too, so that a frequent value fills several ranges
+    ranges = max(1, -(-rows * len(parts) // (16 * BLOCK)))
+    sorted_ = placed.repartitionByRange(ranges, "part", "at", "dense").sortWithinPartitions("part", "at", "dense").select("part", "dense", "document_id")
+    blocks = stored(sorted_.mapInArrow(lambda batches: hamming.packed(batches, size), "part int, block long, dense binary, ids binary"), "blocks")
+    many = blocks.count()
+    one = blocks.repartition(max(1, min(many, LEAST_TASKS), -(-many // 4)))
+    other = blocks.select(F.col("part").alias("other_part"), F.col("block").alias("other_block"), F.col("dense").alias("other_dense"), F.col("ids").alias("other_ids")).repartition(max(1, -(-many // HELD)))
+    met = one.join(other.hint("shuffle_replicate_nl"), F.expr("part = other_part and block <= other_block"))
+    met = met.select("part", F.expr("block = other_block").alias("same"), "dense", "ids", "other_dense", "other_ids")
+    pairs = met.mapInArrow(lambda batches: hamming.pairs(batches, parts, distance), "document_id long, other_id long, distance int")
     if seen is not None:
-        met = met.observe(seen, F.count("*").alias("candidates"), F.lit(rows).alias("rows"))
-    apart = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
-    meets = F.array(*[F.bit_count(value(F.col("dense").bitwiseXOR(F.col("other_dense")), p)) <= p.radius for p in parts])
-    pairs = met.withColumn("distance", apart).where((F.col("distance") <= distance) & (F.array_position(meets, F.lit(True)) == F.col("part") + 1))
-    return pairs.select("document_id", "other_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS).alias("score"))
-
-
-def _at(part: int, value: Column):
-    return lambda flip: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(flip).alias("at"))
+        pairs = pairs.observe(seen, F.coalesce(F.sum(F.when(F.col("document_id").isNull(), F.col("other_id"))), F.lit(0)).alias("candidates"), F.lit(rows).alias("rows"))
+    return pairs.where("document_id is not null").select("document_id", "other_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS).alias("score"))
 
 
 def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY) -> DataFrame:
