@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cairnbook.operators import dedupe
+from cairnbook.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize("blocks", [1, 7])
@@ -23,3 +24,8 @@ def test_near_hashes_in_blocks(spark, monkeypatch, blocks):
     assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_text_hashes_shuffle_no_pairs(spark):
+    plan = QUERIES["j15_text_hashes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
