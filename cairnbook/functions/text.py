@@ -46,6 +46,12 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def _points(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points of texts side by side, fill where a text has no more."""
+    out = np.frombuffer("".join([t.ljust(width, "\0") for t in texts]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(texts), width)
+    return np.where(np.arange(width) < np.array([len(t) for t in texts])[:, None], out, fill)
+
+
 def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """indel_ratio of many pairs: the bit rows of all pairs of about one length side by side; names of over 64 characters one by one."""
     sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
@@ -58,12 +64,13 @@ def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
         if wide.max() > 64:
             out[some] = [indel_ratio(a[i], b[i]) for i in some]
             continue
-        x, y = (np.array([list(map(ord, t)) + [fill] * (width - len(t)) for t in texts], np.int32).reshape(len(some), width) for texts, width, fill in (([b[i] if swap[i] else a[i] for i in some], wide.max(), -1), ([a[i] if swap[i] else b[i] for i in some], long.max(), -2)))
-        bit = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        # as many columns as whole bytes of bits; code points of a text that is too short match nothing
+        x, y = (_points([s[i] if swap[i] == other else r[i] for i in some], width, fill) for r, s, other, width, fill in ((a, b, True, -(-wide.max() // 8) * 8, -1), (a, b, False, long.max(), -2)))
         full = np.where(wide < 64, (np.uint64(1) << np.minimum(wide, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
-        row = full.copy()
+        row, bits = full.copy(), np.zeros((len(some), 8), np.uint8)
         for j in range(y.shape[1]):
-            hit = row & ((x == y[:, j : j + 1]) * bit).sum(1, dtype=np.uint64)
+            bits[:, : x.shape[1] // 8] = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little")
+            hit = row & bits.view("<u8")[:, 0]
             row = ((row + hit) | (row - hit)) & full
         total = wide + long
         out[some] = np.where(total > 0, 200.0 * (wide - np.bitwise_count(row)) / np.maximum(total, 1), 100.0)

@@ -4,8 +4,10 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 
-from cairnbook.operators import dedupe
+from cairnbook.functions.text import indel_ratio, indel_ratios
+from cairnbook.operators import dedupe, names
 from cairnbook.plans.catalogue import QUERIES
 
 
@@ -29,3 +31,16 @@ def test_near_hashes_in_blocks(spark, monkeypatch, blocks):
 def test_text_hashes_shuffle_no_pairs(spark):
     plan = QUERIES["j15_text_hashes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_names_of_other_lengths_bring_no_candidates(spark):
+    """Texts of 16 characters are for pairs of 17 and 18: two names of 18 don't meet in them."""
+    rows = [(i, f"customer#{i:09}") for i in range(1500)] + [(9000 + i, f"supplier#{i:08}") for i in range(20)]
+    seen = Observation()
+    found = names.near_names(spark.createDataFrame(rows, "id long, name string"), 90.0, seen).count()
+    assert 0 < seen.get["scored"] <= 2 * found
+
+
+def test_surrogates_and_pads_in_similarities():
+    a, b = ["a\0b", "\0", "😀" * 9, "x" * 64, ""], ["ab", "", "é😀é" * 9, "\0" + "x" * 63, "\0"]
+    assert indel_ratios(a, b).tolist() == [indel_ratio(x, y) for x, y in zip(a, b, strict=True)]
