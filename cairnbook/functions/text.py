@@ -77,6 +77,36 @@ def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def signatures(texts: list[str]) -> np.ndarray:
+    """64 bits of how often characters occur: each digit up to 3 times, 17 classes of all others up to 2 times.
+
+    Two texts' signatures differ in no more bits than characters must go and come to make one text the other.
+    """
+    out = np.zeros(len(texts), np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        x = _points([texts[i] for i in some], int(sizes[some].max()), -1)
+        digit = (x >= 48) & (x < 58)
+        kind = np.where(digit, x - 48, np.where(x < 0, -1, x % 17 + 10))
+        bit = 0
+        for k in range(27):
+            n = (kind == k).sum(1)
+            for least in range(1, 4 if k < 10 else 3):
+                out[some] |= (n >= least).astype(np.uint64) << np.uint64(bit)
+                bit += 1
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def signature_udf(a: pd.Series) -> pd.Series:
+    there = a.notna().to_numpy()
+    out = np.zeros(len(a), np.int64)
+    out[there] = signatures(a[there].tolist()).view(np.int64)
+    return pd.Series(out).astype("Int64").where(there)
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     there = (a.notna() & b.notna()).to_numpy()
@@ -89,6 +119,21 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
+def edits_within(a: Column, b: Column, most: Column) -> Column:
+    """An array of the number of edits, empty where it is above most; to be exploded, so that it is computed once.  Looked for in a band where most is small."""
+    edits = F.when(most <= 2, F.levenshtein(a, b, 2)).when(most <= 4, F.levenshtein(a, b, 4)).otherwise(F.levenshtein(a, b))
+    return F.filter(F.array(edits), lambda e: (e >= 0) & (e <= most))
+
+
+def similarity_of_edits(a: Column, b: Column, edits: Column) -> Column:
+    """similarity; where the number of edits says it, it is not computed in Python: no more than the lengths differ, or one between equal lengths."""
+    m, n = F.length(a), F.length(b)
+    common = F.when(edits == F.abs(m - n), F.least(m, n)).when((m == n) & (edits == 1), m - 1)
+    known = F.when(common.isNotNull() & (m + n > 0), 200.0 * common / (m + n))
+    asked = a.isNotNull() & b.isNotNull() & known.isNull()
+    return F.coalesce(known, similarity(F.when(asked, a), F.when(asked, b)))
+
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words whose 64 signs are summed at once.
 _SUMMED = 1 << 16

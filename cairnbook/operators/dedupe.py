@@ -9,11 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cairnbook.functions.text import nfkc_udf, similarity
+from cairnbook.functions.text import edits_within, nfkc_udf, signature_udf, similarity_of_edits
 from cairnbook.operators import hamming
 from cairnbook.sources.tables import stored
 
 HASH_DISTANCE, HASH_BITS, FUZZY, DAYS = 8, 64, 90.0, 1
+FACT = ["transaction_date", "total_amount", "name_key"]
 #: Values that a hash may ask for in one part.
 MOST_AROUND = 4096
 #: Hashes from which the division is chosen.
@@ -153,16 +154,20 @@ def near_hashes(hashes: DataFrame, distance: int = HASH_DISTANCE, seen: Observat
     return pairs.where("document_id is not null").select("document_id", "other_id", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance") / HASH_BITS).alias("score"))
 
 
-def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY) -> DataFrame:
+def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY, seen: Observation | None = None) -> DataFrame:
     """Pairs of facts of equal amounts, dates at most days apart and alike counterparties, named by their smallest documents.
 
     facts: document_id, transaction_date, total_amount, counterparty.  Documents of one amount, date and name key are one fact
     (business_classes), so that a frequent fact is one row.  The earlier of two facts meets its own bucket of dates and the
-    next; names meet if their lengths allow the similarity, or at 100 if they are equal.
+    next ones; at 100 names meet if they are equal, else if their lengths, the characters they hold (signatures) and a bounded number of edits
+    allow the similarity, all looked at inside the join.  seen: gets scored (pairs whose similarity was computed).
     """
-    rows = business_classes(facts).where("document_id = class_id").select(F.col("class_id").alias("id"), "transaction_date", "total_amount", "name_key").withColumn("bucket", F.floor(F.unix_date("transaction_date") / (days + 1)))
-    later = rows.select(F.col("id").alias("id2"), F.col("transaction_date").alias("date2"), "total_amount", F.col("name_key").alias("key2"), "bucket")
-    earlier = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    wide = max(1, (days + 1) // 2)
+    rows = _named(facts).groupBy(*FACT).agg(F.min("document_id").alias("id")).withColumn("bucket", F.floor(F.unix_date("transaction_date") / wide))
+    if least < 100:
+        rows = rows.withColumn("signature", signature_udf("name_key"))
+    later = rows.select(F.col("id").alias("id2"), F.col("transaction_date").alias("date2"), "total_amount", F.col("name_key").alias("key2"), "bucket", *([F.col("signature").alias("signature2")] if least < 100 else []))
+    earlier = rows.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in range(-(-days // wide) + 1)])))
     on = ["total_amount", "bucket"]
     if least >= 100:
         later, on = later.withColumnRenamed("key2", "name_key"), [*on, "name_key"]
@@ -172,15 +177,23 @@ def business_matches(facts: DataFrame, days: int = DAYS, least: float = FUZZY) -
     else:
         m, n = F.length("name_key"), F.length("key2")
         fits = 200.0 * F.least(m, n) >= least * (m + n)  # the longest common subsequence is no longer than the shorter name
-        scored = near.where(fits).withColumn("similarity", similarity(F.col("name_key"), F.col("key2"))).where(F.col("similarity") >= least)
+        changes = m + n - 2 * F.ceil(least * (m + n) / 200 - 1e-9)  # characters that may go or come
+        near = near.where(fits & (F.bit_count(F.col("signature").bitwiseXOR(F.col("signature2"))) <= changes))
+        near = near.select("id", "id2", "name_key", "key2", F.explode(edits_within(F.col("name_key"), F.col("key2"), changes)).alias("edits"))
+        if seen is not None:
+            near = near.observe(seen, F.count("*").alias("scored"))
+        scored = near.withColumn("similarity", similarity_of_edits(F.col("name_key"), F.col("key2"), F.col("edits"))).where(F.col("similarity") >= least)
     return scored.select(F.least("id", "id2").alias("document_id"), F.greatest("id", "id2").alias("other_id"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") / 100).alias("score"), F.lit("fuzzy").alias("reason"))
 
 
+def _named(facts: DataFrame) -> DataFrame:
+    return facts.where("transaction_date is not null and total_amount is not null and counterparty is not null").withColumn("name_key", nfkc_udf("counterparty"))
+
+
 def business_classes(facts: DataFrame) -> DataFrame:
     """document_id, class_id, copies and the fact (transaction_date, total_amount, name_key) of documents that have all three."""
-    rows = facts.where("transaction_date is not null and total_amount is not null and counterparty is not null").withColumn("name_key", nfkc_udf("counterparty"))
-    fact = ["transaction_date", "total_amount", "name_key"]
-    return rows.join(rows.groupBy(*fact).agg(F.min("document_id").alias("class_id"), F.count("*").alias("copies")), fact).select("document_id", "class_id", "copies", *fact)
+    rows = _named(facts)
+    return rows.join(rows.groupBy(*FACT).agg(F.min("document_id").alias("class_id"), F.count("*").alias("copies")), FACT).select("document_id", "class_id", "copies", *FACT)
 
 
 def upsert_flags(flags: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.functions.text import similarity
+from cairnbook.functions.text import edits_within, similarity_of_edits
 from cairnbook.sources.tables import stored
 
 VARIANTS = 256
@@ -131,9 +131,9 @@ def near_names(names: DataFrame, least: float, seen: Observation | None = None)
     m, n = F.length("name"), F.length("other")
     fits = 200.0 * F.least(m, n) >= least * (m + n)
     # changes of single characters are no more than insertions and deletions: a bounded look in the JVM leaves few to score
-    edits = F.levenshtein("name", "other")
-    met = met.where(fits).where(edits <= m + n - 2 * F.ceil(least * (m + n) / 200 - 1e-9))
+    changes = m + n - 2 * F.ceil(least * (m + n) / 200 - 1e-9)
+    met = met.where(fits).select("id", "other_id", "name", "other", F.explode(edits_within(F.col("name"), F.col("other"), changes)).alias("edits"))
     if seen is not None:
         met = met.observe(seen, F.count("*").alias("scored"))
-    alike = met.withColumn("similarity", similarity(F.col("name"), F.col("other"))).where(F.col("similarity") >= least)
+    alike = met.withColumn("similarity", similarity_of_edits(F.col("name"), F.col("other"), F.col("edits"))).where(F.col("similarity") >= least)
     return alike.select(F.least("id", "other_id").alias("id"), F.greatest("id", "other_id").alias("other_id"), "similarity").distinct()
